@@ -95,7 +95,7 @@ def squish(c: str | Column) -> Column:
 
 def remove_first(c: str | Column, pattern: str) -> Column:
     """``str_remove``: drop only the first match of ``pattern`` (T18)."""
-    return F.regexp_replace(col(c), f"^(.*?){pattern}", "$1")
+    return F.regexp_replace(col(c), f"(?s)^(.*?){pattern}", "$1")
 
 
 def parse_number(c: str | Column, x_as_one: bool = True) -> Column:

@@ -145,8 +145,8 @@ NAMES = """names AS (
   GROUP BY 1
 )"""
 
-NOCTURNAL = """nocturnal AS (SELECT DISTINCT p_name AS common_name FROM part WHERE p_size > 40)"""
-FOCAL = """focal AS (SELECT DISTINCT p_name AS common_name, TRUE AS is_focal FROM part WHERE p_size < 10)"""
+NOCTURNAL = """nocturnal AS (SELECT DISTINCT p_name AS common_name FROM part WHERE p_size >= 50)"""
+FOCAL = """focal AS (SELECT DISTINCT p_name AS common_name, TRUE AS is_focal FROM part WHERE p_size <= 1)"""
 
 
 def nd(c: str) -> str:

@@ -2,24 +2,544 @@
 
 from __future__ import annotations
 
-from blockwise.oracle import OBS, FIXED, NAMES, OLD_ATLAS, nd, r6, summary_sql
+import math
+
+from blockwise.oracle import (
+    LOOKUP,
+    NAMES,
+    OBS,
+    OLD_ATLAS,
+    SEASONS,
+    TZ,
+    classified_sql,
+    from_utc_sql,
+    nd,
+    summary_sql,
+    sun_sql,
+)
 
 ORACLE: dict[str, str] = {}
+MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
+WEEKS = [f"{m} {i}" for m in MONTHS for i in range(1, 5)]
+
+
+def rnd(cols: list[str]) -> str:
+    return ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in cols)
+
+
+def fixed_sql(src: str) -> str:
+    return f"""dupes AS (
+  SELECT checklist_id FROM (SELECT DISTINCT checklist_id, observation_datetime FROM {src})
+  GROUP BY checklist_id HAVING count(*) > 1
+),
+exploded AS (
+  SELECT checklist_id, observation_datetime, unnest(string_split(observer_id, ',')) AS obs_one
+  FROM (SELECT DISTINCT pba3_block, checklist_id, observer_id, observation_datetime FROM {src}
+        WHERE checklist_id IN (SELECT checklist_id FROM dupes))
+),
+fixed AS (
+  SELECT checklist_id, observation_datetime AS fixed FROM (
+    SELECT checklist_id, observation_datetime,
+      row_number() OVER (PARTITION BY checklist_id ORDER BY count(*) DESC, observation_datetime) AS rn
+    FROM exploded WHERE observation_datetime IS NOT NULL GROUP BY checklist_id, observation_datetime
+  ) WHERE rn = 1
+)"""
+
 
+W = "WITH " + OBS
+WF = W + ",\n" + fixed_sql("obsr")
+FAN = "fan AS (SELECT s.season, o.* FROM obsr o JOIN seasons s ON s.month_num = o.observation_month_num)"
+VISITS = """visits AS (
+  SELECT 'B' || CAST(user_id % 20 AS VARCHAR) AS pba3_block, 'E' || CAST(event_id % 500 AS VARCHAR) AS checklist_id,
+    CAST(user_id AS VARCHAR) || ',' || CAST(user_id % 3 AS VARCHAR) AS observer_id, event_type AS common_name,
+    ts AS observation_datetime, CAST(ts AS DATE) AS observation_date,
+    CAST(user_id % 50 - 800 AS DOUBLE) / 10 AS longitude, CAST(user_id % 20 + 400 AS DOUBLE) / 10 AS latitude,
+    value AS duration_minutes
+  FROM events
+)"""
+
+CAL = """cal_counts AS (
+  SELECT CASE WHEN o_orderpriority LIKE '1%' THEN o_orderpriority || '*' ELSE o_orderpriority END AS raw_name,
+    strftime(o_orderdate, '%b') || ' ' || CAST(CAST(least(ceil(day(o_orderdate) / 7.75), 4) AS INTEGER) AS VARCHAR) AS week,
+    count(*) AS cnt
+  FROM orders GROUP BY 1, 2
+),
+cal_names AS (
+  SELECT raw_name, regexp_replace(raw_name, '\\*', '') AS common_name, contains(raw_name, '*') AS priority_species,
+    CAST(substring(min(o_orderpriority), 1, 1) AS INTEGER) AS taxonomic_order,
+    strftime(CAST(min(o_orderdate) AS DATE) + INTERVAL 30 DAY, '%-d-%b') AS safe_date_probable_start,
+    strftime(min(o_orderdate), '%-d-%b') AS safe_date_possible_start,
+    strftime(max(o_orderdate), '%-d-%b') AS safe_date_possible_end,
+    strftime(CAST(max(o_orderdate) AS DATE) - INTERVAL 30 DAY, '%-d-%b') AS safe_date_probable_end
+  FROM (SELECT *, CASE WHEN o_orderpriority LIKE '1%' THEN o_orderpriority || '*' ELSE o_orderpriority END AS raw_name
+        FROM orders)
+  GROUP BY raw_name
+),
+weeks AS (SELECT * FROM (VALUES """ + ", ".join(f"('{w}', {i})" for i, w in enumerate(WEEKS, 1)) + """) t(week, week_index)),
+cal_long AS (
+  SELECT n.common_name, n.priority_species, w.week, w.week_index,
+    coalesce(CASE WHEN c.cnt % 5 > 0 THEN substring('BEMN', CAST(c.cnt % 5 AS INTEGER), 1) END, '') AS breeding_calendar_code
+  FROM cal_names n CROSS JOIN weeks w LEFT JOIN cal_counts c ON c.raw_name = n.raw_name AND c.week = w.week
+)"""
+
+
+def cal_wide(weeks: list[str], ids: str) -> str:
+    cols = ", ".join(f"max(breeding_calendar_code) FILTER (WHERE week = '{w}') AS \"{w}\"" for w in weeks)
+    return f"SELECT {ids}, {cols} FROM cal_long GROUP BY {ids}"
+
+
+PARSE = (
+    "CASE WHEN trim(observation_count) = 'X' THEN 1.0 ELSE TRY_CAST(replace(nullif(regexp_extract(observation_count, "
+    "'-?[0-9][0-9,]*(\\.[0-9]+)?', 0), ''), ',', '') AS DOUBLE) END"
+)
+
+ES = """b AS (
+  SELECT pba3_block, common_name, checklist_id, observation_month_num AS month_num, """ + PARSE + """ AS cnt
+  FROM obsr WHERE observation_month_num IN (4, 5, 6, 7, 8)
+),
+blk_cl AS (SELECT DISTINCT pba3_block, checklist_id FROM b),
+blk_sp AS (SELECT DISTINCT pba3_block, common_name FROM b),
+months AS (SELECT unnest([4, 5, 6, 7, 8]) AS month_num),
+grid AS (
+  SELECT c.pba3_block, s.common_name, c.checklist_id, m.month_num
+  FROM blk_cl c JOIN blk_sp s ON s.pba3_block = c.pba3_block CROSS JOIN months m
+),
+filled AS (
+  SELECT pba3_block, common_name, checklist_id, month_num, cnt FROM b
+  UNION ALL
+  SELECT g.pba3_block, g.common_name, g.checklist_id, g.month_num, NULL FROM grid g
+  WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.pba3_block = g.pba3_block AND b.common_name = g.common_name
+                    AND b.checklist_id = g.checklist_id AND b.month_num = g.month_num)
+),
+es AS (
+  SELECT pba3_block, common_name, ['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'][month_num]
+      AS observation_month, month_num,
+    count(cnt) AS observations, count(DISTINCT checklist_id) AS checklist_count,
+    avg(CASE WHEN cnt IS NOT NULL THEN 1.0 ELSE 0.0 END) AS observed_pct
+  FROM filled GROUP BY pba3_block, common_name, month_num
+)"""
+
+SQ = summary_sql()
+
+
+def from_summary(select: str) -> str:
+    return SQ + "\n" + select
+
+
+DUR = ["duration_hours_diurnal", "duration_hours_nocturnal", "duration_hours_unknown"]
 SUMMARY_DOUBLES = [
     "duration_hours_total",
-    "duration_hours_diurnal",
-    "duration_hours_nocturnal",
-    "duration_hours_unknown",
+    *DUR,
     "effort_distance_km",
     "pct_missing_pba2_confirmations",
     "pct_coded_atlas_comparison",
     "pba3_pba2_coded_count_compare_pct",
 ]
+ROUND_SUMMARY = "SELECT * REPLACE (" + ", ".join(f"round({c}, 6) AS {c}" for c in SUMMARY_DOUBLES) + ") FROM summary"
+
+# ---------------------------------------------------------------- flagship
+ORACLE["block_season_summary"] = from_summary(ROUND_SUMMARY)
+
+# ---------------------------------------------------------------- 2.1 sources
+ORACLE["scan_parquet"] = (
+    "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_suppkey % 20 = 3 AND l_quantity >= 40"
+)
+ORACLE["extract_filter"] = W + """
+SELECT atlas_block, checklist_id, common_name, observation_date, duration_minutes, project_names FROM raw
+WHERE observation_date BETWEEN DATE '1996-01-01' AND DATE '1997-06-30' AND contains(project_names, 'Atlas')"""
+
+# ---------------------------------------------------------------- 2.2 projection, filter, reshape
+ORACLE["select_reorder"] = W + """
+SELECT checklist_id, pba3_block, breeding_code, breeding_category, breeding_category_desc, breeding_rank,
+  observation_month, round(longitude, 6) AS longitude FROM obsr"""
+ORACLE["rename_fn"] = W + """
+SELECT checklist_id, observation_date AS "date", observation_month AS "month", observation_count AS "count" FROM obsr"""
+ORACLE["across_round"] = from_summary(
+    "SELECT season, pba3_block, round_even(duration_hours_total, 2) AS duration_hours_total, "
+    "round_even(effort_distance_km, 2) AS effort_distance_km FROM summary"
+)
+ORACLE["filter_predicates"] = W + """
+SELECT checklist_id, common_name, pba3_block, breeding_rank, protocol_name FROM obsr
+WHERE (breeding_rank >= 3 AND pba3_block IN ('B1', 'B2'))
+   OR (observation_datetime IS NULL AND NOT (protocol_name = 'Traveling'))"""
+ORACLE["calendar_exclude_blank"] = (
+    "WITH " + CAL + "\nSELECT * FROM (" + cal_wide(WEEKS, "common_name, priority_species") + ") WHERE \"Jan 1\" <> ''"
+)
+ORACLE["drop_na"] = W + "\nSELECT DISTINCT checklist_id, observation_datetime FROM obsr WHERE observation_datetime IS NOT NULL"
+ORACLE["fill_na"] = W + """
+SELECT checklist_id, common_name, coalesce(breeding_category, 'C1') AS breeding_category,
+  coalesce(observation_count, '0') AS observation_count FROM raw"""
+ORACLE["unpivot_weeks"] = "WITH " + CAL + "\nSELECT common_name, priority_species, week, breeding_calendar_code FROM cal_long"
+ORACLE["pivot_codes"] = from_summary("SELECT * FROM coded")
+ORACLE["explode_delimited"] = W + """
+SELECT DISTINCT pba3_block, unnest(string_split(observer_id, ',')) AS observer_id
+FROM (SELECT DISTINCT pba3_block, observer_id FROM obsr)"""
+ORACLE["unnest_effort"] = WF + ",\ncls AS " + classified_sql("obsr") + """
+SELECT pba3_block, CAST(observation_datetime AS DATE) AS observation_date,
+  round(sum(duration_minutes) FILTER (WHERE checklist_type = 'diurnal') / 60, 6) AS duration_hours_diurnal,
+  round(sum(duration_minutes) FILTER (WHERE checklist_type = 'nocturnal') / 60, 6) AS duration_hours_nocturnal,
+  round(sum(duration_minutes) FILTER (WHERE checklist_type = 'unknown') / 60, 6) AS duration_hours_unknown
+FROM cls GROUP BY 1, 2"""
+ORACLE["complete_grid"] = W + ",\n" + NAMES + """
+SELECT n.pba3_block, CAST(coalesce(c.k, 0) AS BIGINT) AS confirmed_species
+FROM names n LEFT JOIN (
+  SELECT pba3_block, """ + nd("common_name") + """ AS k FROM obsr WHERE breeding_rank = 4 GROUP BY 1
+) c ON c.pba3_block = n.pba3_block"""
 
-ORACLE["block_season_summary"] = (
-    summary_sql()
-    + "\nSELECT * REPLACE ("
+# ---------------------------------------------------------------- 2.3 joins
+ORACLE["left_join_lookup"] = W + ",\n" + NAMES + """
+SELECT b.pba3_block, coalesce(n.block_name, 'Unknown block name') AS block_name,
+  coalesce(n.block_region, 'Unknown region') AS block_region, coalesce(n.block_county, 'Unknown county') AS block_county
+FROM (SELECT DISTINCT pba3_block FROM obsr) b LEFT JOIN names n ON n.pba3_block IS NOT DISTINCT FROM b.pba3_block"""
+_rise, _set = sun_sql("longitude", "latitude", "observation_datetime")
+ORACLE["left_join_multi"] = W + f"""
+SELECT pba3_block, checklist_id, round(longitude, 6) AS longitude, round(latitude, 6) AS latitude, observation_datetime,
+  {from_utc_sql(_rise)} AS sunrise, {from_utc_sql(_set)} AS sunset
+FROM (SELECT pba3_block, checklist_id, longitude, latitude, min(observation_datetime) AS observation_datetime
+      FROM obsr GROUP BY ALL)"""
+ORACLE["inner_join_season"] = W + """
+SELECT DISTINCT o.pba3_block, s.season, s.month FROM obsr o JOIN seasons s ON s.month = o.observation_month"""
+ORACLE["semi_join_season"] = W + """
+SELECT pba3_block, count(*) AS n FROM obsr
+WHERE observation_month IN (SELECT month FROM seasons WHERE season = 'Breeding') GROUP BY 1"""
+ORACLE["anti_join_blocks"] = W + ",\n" + NAMES + ",\n" + OLD_ATLAS + """
+SELECT pba3_block, 'new' AS missing_from FROM (SELECT DISTINCT pba3_block FROM pba2)
+  WHERE pba3_block NOT IN (SELECT DISTINCT pba3_block FROM obsr)
+UNION ALL
+SELECT pba3_block, 'old' AS missing_from FROM (SELECT DISTINCT pba3_block FROM obsr)
+  WHERE pba3_block NOT IN (SELECT DISTINCT pba3_block FROM pba2)"""
+ORACLE["join_null_safe"] = W + """,
+d AS (SELECT DISTINCT checklist_id, observation_datetime FROM obsr),
+c AS (SELECT observation_datetime, count(*) AS n_checklists FROM d GROUP BY 1)
+SELECT d.checklist_id, d.observation_datetime, c.n_checklists
+FROM d LEFT JOIN c ON c.observation_datetime IS NOT DISTINCT FROM d.observation_datetime"""
+ORACLE["spatial_covers"] = W + """,
+sq AS (SELECT DISTINCT longitude AS x0, latitude AS y0 FROM obsr),
+pts AS (SELECT DISTINCT checklist_id, longitude AS px, latitude AS py FROM obsr)
+SELECT 'P' || CAST(sq.x0 AS VARCHAR) || '_' || CAST(sq.y0 AS VARCHAR) AS pba2_block, pts.checklist_id,
+  round(pts.px, 6) AS px, round(pts.py, 6) AS py
+FROM sq JOIN pts ON pts.px BETWEEN sq.x0 AND sq.x0 + 0.1 AND pts.py BETWEEN sq.y0 AND sq.y0 + 0.1"""
+CMP = W + ",\n" + NAMES + ",\n" + OLD_ATLAS
+ORACLE["full_outer_compare"] = CMP + "\nSELECT * FROM cmp"
+
+# ---------------------------------------------------------------- 2.4 aggregations
+ORACLE["count_by_keys"] = W + "\nSELECT breeding_category, breeding_code, count(*) AS n FROM obsr GROUP BY 1, 2"
+ORACLE["count_of_counts"] = W + """
+SELECT n, count(*) AS nn FROM (
+  SELECT checklist_id, count(*) AS n FROM (SELECT DISTINCT checklist_id, observation_datetime FROM obsr) GROUP BY 1
+) GROUP BY 1"""
+ORACLE["grouped_summary"] = W + """
+SELECT pba3_block, round(sum(duration_minutes), 6) AS sum_duration, min(observation_date) AS first_date,
+  max(observation_date) AS last_date, round(avg(effort_distance_km), 6) AS mean_distance FROM obsr GROUP BY 1"""
+ORACLE["date_range"] = W + """
+SELECT min(observation_date) AS min_observation_date, max(observation_date) AS max_observation_date FROM obsr"""
+ORACLE["effort_two_level"] = from_summary(
+    "SELECT season, pba3_block, round(duration_hours_total, 6) AS duration_hours_total, "
+    "round(effort_distance_km, 6) AS effort_distance_km FROM ef"
+)
+ORACLE["n_distinct_nulls"] = W + f"""
+SELECT pba3_block, {nd('observation_datetime')} AS start_times, count(DISTINCT observation_datetime) AS start_times_non_null
+FROM obsr GROUP BY 1"""
+ORACLE["count_if_ranks"] = W + """
+SELECT pba3_block, count(*) FILTER (WHERE breeding_rank >= 2) AS coded_rows,
+  count(*) FILTER (WHERE breeding_rank = 4) AS confirmed_rows FROM obsr GROUP BY 1"""
+ORACLE["share_if"] = W + """
+SELECT pba3_block, round(avg(CASE WHEN breeding_rank = 4 THEN 1.0 WHEN breeding_rank IS NULL THEN NULL ELSE 0.0 END), 6)
+  AS confirmed_share FROM obsr GROUP BY 1"""
+ORACLE["distinct_keys"] = W + "\nSELECT DISTINCT breeding_category, breeding_code, breeding_rank FROM obsr"
+ORACLE["modal_value"] = "WITH " + VISITS + """
+SELECT checklist_id, modal_hour FROM (
+  SELECT checklist_id, hour(observation_datetime) AS modal_hour,
+    row_number() OVER (PARTITION BY checklist_id ORDER BY count(*) DESC, hour(observation_datetime)) AS rn
+  FROM visits GROUP BY checklist_id, hour(observation_datetime)
+) WHERE rn = 1"""
+ORACLE["rows_at_group_max"] = CMP + "\nSELECT * FROM pba3"
+ORACLE["region_blocks"] = from_summary(
+    "SELECT DISTINCT block_region, pba3_block, block_name FROM summary WHERE block_region <> 'Unknown region'"
+)
+ORACLE["rowwise_sum"] = WF + ",\ncls AS " + classified_sql("obsr") + """
+SELECT pba3_block, observation_date, round(coalesce(d, 0) + coalesce(n, 0) + coalesce(u, 0), 6) AS duration_hours_total
+FROM (
+  SELECT pba3_block, CAST(observation_datetime AS DATE) AS observation_date,
+    sum(duration_minutes) FILTER (WHERE checklist_type = 'diurnal') / 60 AS d,
+    sum(duration_minutes) FILTER (WHERE checklist_type = 'nocturnal') / 60 AS n,
+    sum(duration_minutes) FILTER (WHERE checklist_type = 'unknown') / 60 AS u
+  FROM cls GROUP BY 1, 2)"""
+
+# ---------------------------------------------------------------- 2.5 windows
+ORACLE["week_index"] = "WITH " + CAL + "\nSELECT DISTINCT week, week_index FROM cal_long"
+ORACLE["add_count"] = W + """,
+d AS (SELECT DISTINCT pba3_block, checklist_id, duration_minutes, effort_distance_km FROM obsr)
+SELECT pba3_block, checklist_id, round(duration_minutes, 6) AS duration_minutes,
+  round(effort_distance_km, 6) AS effort_distance_km, n
+FROM (SELECT *, count(*) OVER (PARTITION BY checklist_id) AS n FROM d) WHERE n > 1"""
+
+# ---------------------------------------------------------------- 2.6 sort, limit
+ORACLE["sort_nulls_last"] = CMP + "\nSELECT * FROM cmp ORDER BY pba3_block, pba2_breeding_rank_max DESC NULLS LAST, common_name"
+ORACLE["top_k"] = from_summary(
+    "SELECT season, pba3_block, checklist_count FROM cc WHERE season = 'All seasons' "
+    "ORDER BY checklist_count DESC, pba3_block LIMIT 10"
+)
+
+# ---------------------------------------------------------------- 2.7 set operations
+ORACLE["union_rows"] = CMP + "\nSELECT pba3_block, common_name FROM pba2 UNION ALL SELECT pba3_block, common_name FROM pba3"
+ORACLE["union_distinct"] = CMP + "\nSELECT pba3_block, common_name FROM pba2 UNION SELECT pba3_block, common_name FROM pba3"
+
+# ---------------------------------------------------------------- 2.8 scalar functions
+ORACLE["str_squish"] = "SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text_squished FROM documents"
+ORACLE["str_detect_remove"] = """
+SELECT conv_id, turn, regexp_matches(text, '[0-9]') AS has_digit,
+  regexp_replace(text, '[0-9]+', '') AS text_first_number_removed, contains(text, 'the') AS has_the
+FROM conversations"""
+ORACLE["concat_nulls"] = W + """
+SELECT DISTINCT checklist_id, CAST(observation_date AS VARCHAR) || ' ' || time_observations_started AS stamp FROM raw"""
+ORACLE["recode_map"] = CMP + """
+SELECT pba3_block, species, CASE WHEN r = 1 THEN 'Observed' WHEN r = 2 THEN 'Possible' WHEN r = 3 THEN 'Probable'
+  WHEN r = 4 THEN 'Confirmed' END AS category FROM old_long"""
+ORACLE["parse_number"] = W + f"""
+SELECT observation_count, round({PARSE}, 6) AS count_value FROM (SELECT DISTINCT observation_count FROM raw)"""
+ORACLE["month_label"] = W + "\nSELECT DISTINCT observation_month_num, observation_month FROM obsr"
+ORACLE["year_month"] = W + """
+SELECT year(observation_date) AS obs_year, CAST(date_trunc('month', observation_date) AS DATE) AS obs_ym, count(*) AS n
+FROM obsr GROUP BY 1, 2"""
+ORACLE["datetime_build"] = W + "\nSELECT DISTINCT observation_date, time_observations_started, observation_datetime FROM obsr"
+
+
+def _safe(c: str) -> str:
+    s = f"('2025-' || trim({c}))"
+    return (
+        f"coalesce(CASE WHEN regexp_full_match({s}, '\\d{{4}}-\\d{{1,2}}-[A-Za-z]{{3}}') "
+        f"THEN CAST(try_strptime({s}, '%Y-%d-%b') AS DATE) END, "
+        f"CASE WHEN regexp_full_match({s}, '\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}') THEN CAST(try_strptime({s}, '%Y-%d-%m') AS DATE) END)"
+    )
+
+
+ORACLE["safe_dates"] = "WITH " + CAL + f"""
+SELECT common_name, {_safe('safe_date_probable_start')} AS date_probable_start,
+  {_safe('safe_date_probable_end')} AS date_probable_end, {_safe('safe_date_possible_start')} AS date_possible_start,
+  {_safe('safe_date_possible_end')} AS date_possible_end
+FROM (SELECT DISTINCT taxonomic_order, common_name, safe_date_probable_start, safe_date_possible_start,
+        safe_date_possible_end, safe_date_probable_end FROM cal_names)"""
+ORACLE["time_of_day"] = "WITH " + VISITS + """
+SELECT checklist_id, observation_datetime, strftime(observation_datetime, '%H:%M:%S') AS time_of_day FROM visits"""
+ORACLE["ratio_rules"] = CMP + """,
+am AS (SELECT * FROM atlas_metrics2)
+SELECT pba3_block, round(pba3_pba2_coded_count_compare_pct, 6) AS coded_ratio, CAST(NULL AS DOUBLE) AS zero_over_zero FROM am"""
+
+# ---------------------------------------------------------------- 2.9 domain jobs
+ORACLE["clean_observations"] = W + """
+SELECT * REPLACE (round(longitude, 6) AS longitude, round(latitude, 6) AS latitude,
+  round(duration_minutes, 6) AS duration_minutes, round(effort_distance_km, 6) AS effort_distance_km) FROM obsr"""
+ORACLE["collapse_shared"] = """WITH rows AS (
+  SELECT CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE 'G' || CAST(l_orderkey AS VARCHAR) END AS group_identifier,
+    'S' || CAST(l_orderkey AS VARCHAR) || '_' || CAST(l_linenumber % 3 AS VARCHAR) AS sampling_event_identifier,
+    'obsr' || CAST((l_suppkey + l_linenumber) % 50 AS VARCHAR) AS observer_id, p_name AS common_name,
+    CASE WHEN l_returnflag = 'A' THEN 'C4' WHEN l_returnflag = 'N' THEN 'C2' ELSE 'C1' END AS breeding_category,
+    l_quantity AS observation_count
+  FROM lineitem JOIN part ON l_partkey = p_partkey
+),
+k AS (SELECT coalesce(group_identifier, sampling_event_identifier) AS checklist_id, * FROM rows),
+firsts AS (
+  SELECT checklist_id, common_name, observation_count FROM (
+    SELECT *, row_number() OVER (PARTITION BY checklist_id, common_name ORDER BY sampling_event_identifier, observation_count) AS rn FROM k
+  ) WHERE rn = 1
+)
+SELECT a.checklist_id, a.common_name, a.observer_id, a.breeding_category, a.first_event_id,
+  round(f.observation_count, 6) AS observation_count
+FROM (
+  SELECT checklist_id, common_name, string_agg(DISTINCT observer_id, ',' ORDER BY observer_id) AS observer_id,
+    max(breeding_category) AS breeding_category, min(sampling_event_identifier) AS first_event_id
+  FROM k GROUP BY 1, 2
+) a JOIN firsts f USING (checklist_id, common_name)"""
+ORACLE["calendar_view"] = (
+    "WITH " + CAL + "\nSELECT * FROM (" + cal_wide(WEEKS[WEEKS.index("Jun 1"):], "common_name") + ") WHERE \"Jun 1\" <> ''"
+)
+_vr, _vs = sun_sql("longitude", "latitude", "observation_datetime")
+ORACLE["sun_times"] = "WITH " + VISITS + f"""
+SELECT round(longitude, 6) AS longitude, round(latitude, 6) AS latitude, observation_datetime,
+  {from_utc_sql(_vr)} AS sunrise, {from_utc_sql(_vs)} AS sunset
+FROM (SELECT DISTINCT longitude, latitude, observation_datetime FROM visits)"""
+ORACLE["season_fanout"] = W + ",\n" + FAN + "\nSELECT season, observation_month, count(*) AS n FROM fan GROUP BY 1, 2"
+ORACLE["start_time_repair"] = WF + "\nSELECT checklist_id, fixed AS observation_datetime_fixed FROM fixed"
+ORACLE["day_night_effort"] = "WITH " + VISITS + ",\n" + fixed_sql("visits") + ",\ncls AS " + classified_sql("visits") + """
+SELECT pba3_block,
+  round(coalesce(sum(duration_minutes) FILTER (WHERE checklist_type = 'diurnal') / 60, 0), 6) AS duration_hours_diurnal,
+  round(coalesce(sum(duration_minutes) FILTER (WHERE checklist_type = 'nocturnal') / 60, 0), 6) AS duration_hours_nocturnal,
+  round(coalesce(sum(duration_minutes) FILTER (WHERE checklist_type = 'unknown') / 60, 0), 6) AS duration_hours_unknown
+FROM cls GROUP BY 1"""
+ORACLE["checklist_count"] = from_summary("SELECT * FROM cc")
+ORACLE["species_observed"] = from_summary("SELECT * FROM so")
+ORACLE["birders"] = from_summary("SELECT * FROM bi")
+ORACLE["season_coverage"] = from_summary("SELECT * FROM cov")
+ORACLE["nocturnal_coded"] = from_summary("SELECT * FROM noc")
+ORACLE["atlas_compare"] = CMP + "\nSELECT * FROM cmp"
+ORACLE["atlas_missing"] = CMP + "\nSELECT * FROM cmp WHERE pba2_breeding_rank_max > pba3_breeding_rank_max"
+ORACLE["atlas_block_metrics"] = CMP + """
+SELECT * REPLACE (round(pct_missing_pba2_confirmations, 6) AS pct_missing_pba2_confirmations,
+  round(pct_coded_atlas_comparison, 6) AS pct_coded_atlas_comparison,
+  round(pba3_pba2_coded_count_compare_pct, 6) AS pba3_pba2_coded_count_compare_pct) FROM atlas_metrics2"""
+ORACLE["expected_species"] = W + ",\n" + ES + "\nSELECT * REPLACE (round(observed_pct, 6) AS observed_pct) FROM es"
+ORACLE["eb_moments"] = W + ",\n" + ES + """,
+m AS (SELECT avg(CAST(observations AS DOUBLE) / checklist_count) AS mu,
+        var_samp(CAST(observations AS DOUBLE) / checklist_count) AS v FROM es WHERE checklist_count > 0)
+SELECT round(mu * (mu * (1 - mu) / v - 1), 6) AS alpha, round((1 - mu) * (mu * (1 - mu) / v - 1), 6) AS beta,
+  round(mu, 6) AS mean FROM m"""
+ORACLE["expected_species_state"] = W + ",\n" + ES + """
+SELECT common_name, CAST(sum(checklist_count) AS BIGINT) AS checklist_count, CAST(sum(observations) AS BIGINT) AS observations
+FROM es GROUP BY 1"""
+FLAGS_SQL = """flags AS (
+  SELECT pba3_block, block_name, block_county,
+    species_coded >= 70 AS flag_coded_species,
+    (CASE WHEN species_coded = 0 THEN NULL ELSE CAST(coalesce(Confirmed, 0) AS DOUBLE) / species_coded END) >= 0.25
+      AS flag_confirmed_pct,
+    (CASE WHEN species_coded = 0 THEN NULL ELSE CAST(coalesce(Possible, 0) AS DOUBLE) / species_coded END) < 0.25
+      AS flag_possible_pct,
+    pba3_pba2_coded_count_compare_pct >= 0.8 AS flag_coded_atlas_comparison,
+    duration_hours_total >= 20 AS flag_20_effort_hours,
+    breeding_season_months_covered >= 3 AS flag_breeeding_season_coverage,
+    nocturnal_species_coded >= 2 OR duration_hours_nocturnal >= 2 AS flag_nocturnal_coverage
+  FROM (SELECT *, coalesce(Possible, 0) + coalesce(Probable, 0) + coalesce(Confirmed, 0) AS species_coded
+        FROM summary WHERE season = 'All seasons' AND pba3_block IS NOT NULL)
+)"""
+ORACLE["completion_flags"] = (
+    SQ
+    + ",\n"
+    + FLAGS_SQL
+    + """
+SELECT pba3_block, block_name, block_county,
+  flag_coded_species AND flag_confirmed_pct AND flag_possible_pct AND flag_coded_atlas_comparison AND
+  flag_20_effort_hours AND flag_breeeding_season_coverage AND flag_nocturnal_coverage AS all_criteria_complete,
+  flag_coded_species, flag_confirmed_pct, flag_possible_pct, flag_coded_atlas_comparison, flag_20_effort_hours,
+  flag_breeeding_season_coverage, flag_nocturnal_coverage
+FROM flags"""
+)
+ORACLE["progress_table"] = from_summary(
+    "SELECT * EXCLUDE (season) REPLACE ("
     + ", ".join(f"round({c}, 6) AS {c}" for c in SUMMARY_DOUBLES)
-    + ") FROM summary"
+    + ") FROM summary WHERE season = 'Breeding'"
+)
+ORACLE["missing_report"] = W + ",\n" + NAMES + ",\n" + OLD_ATLAS + """,
+focal AS (SELECT DISTINCT p_name AS common_name, TRUE AS is_focal FROM part WHERE p_size <= 1)
+SELECT m.pba3_block, m.block_name, m.common_name, coalesce(f.is_focal, FALSE) AS is_focal,
+  m.pba3_breeding_category_max, m.pba2_breeding_category_max,
+  m.pba2_breeding_rank_max - m.pba3_breeding_rank_max AS atlas_diff
+FROM cmp m LEFT JOIN focal f ON f.common_name = m.common_name
+WHERE m.pba2_breeding_rank_max > m.pba3_breeding_rank_max AND m.pba3_block = 'B21'"""
+ORACLE["report_effort"] = from_summary("""
+SELECT "Effort type", round_even("Value", 2) AS "Value" FROM (
+  SELECT 'Total' AS "Effort type", duration_hours_total AS "Value" FROM summary WHERE pba3_block = 'B3' AND season = 'Breeding'
+  UNION ALL SELECT 'Diurnal', duration_hours_diurnal FROM summary WHERE pba3_block = 'B3' AND season = 'Breeding'
+  UNION ALL SELECT 'Nocturnal', duration_hours_nocturnal FROM summary WHERE pba3_block = 'B3' AND season = 'Breeding'
+  UNION ALL SELECT 'Unknown', duration_hours_unknown FROM summary WHERE pba3_block = 'B3' AND season = 'Breeding')""")
+ORACLE["report_codes"] = from_summary("""
+SELECT 'Confirmed' AS "Code", Confirmed AS "Count" FROM summary WHERE pba3_block = 'B3' AND season = 'Breeding'
+UNION ALL SELECT 'Probable', Probable FROM summary WHERE pba3_block = 'B3' AND season = 'Breeding'
+UNION ALL SELECT 'Possible', Possible FROM summary WHERE pba3_block = 'B3' AND season = 'Breeding'
+UNION ALL SELECT 'Observed', Observed FROM summary WHERE pba3_block = 'B3' AND season = 'Breeding'""")
+DENSITY = """dens AS (
+  SELECT longitude, latitude, count(*) AS checklist_count FROM (
+    SELECT DISTINCT checklist_id, longitude, latitude FROM obsr
+    WHERE pba3_block = 'B3' AND observation_month_num IN (SELECT month_num FROM seasons WHERE season = 'Breeding'))
+  GROUP BY 1, 2
+)"""
+ORACLE["checklist_density"] = W + ",\n" + DENSITY + """
+SELECT round(longitude, 6) AS longitude, round(latitude, 6) AS latitude, checklist_count FROM dens"""
+ORACLE["effort_over_time"] = WF + """,
+one AS (SELECT o.* FROM obsr o WHERE pba3_block = 'B3'
+        AND observation_month_num IN (SELECT month_num FROM seasons WHERE season = 'Breeding')),
+cls AS """ + classified_sql("one") + """,
+bydate AS (
+  SELECT pba3_block, CAST(observation_datetime AS DATE) AS observation_date,
+    sum(duration_minutes) FILTER (WHERE checklist_type = 'diurnal') / 60 AS duration_hours_diurnal,
+    sum(duration_minutes) FILTER (WHERE checklist_type = 'nocturnal') / 60 AS duration_hours_nocturnal,
+    sum(duration_minutes) FILTER (WHERE checklist_type = 'unknown') / 60 AS duration_hours_unknown
+  FROM cls GROUP BY 1, 2
+)
+SELECT year(observation_date) AS obs_year, month(observation_date) AS obs_month_num,
+  strftime(observation_date, '%b') AS obs_month,
+  round(sum(coalesce(duration_hours_diurnal, 0) + coalesce(duration_hours_nocturnal, 0) + coalesce(duration_hours_unknown, 0)), 6)
+    AS duration_hours_total,
+  round(sum(duration_hours_diurnal), 6) AS duration_hours_diurnal,
+  round(sum(duration_hours_nocturnal), 6) AS duration_hours_nocturnal,
+  round(sum(duration_hours_unknown), 6) AS duration_hours_unknown
+FROM bydate GROUP BY 1, 2, 3"""
+ORACLE["effort_audit"] = W + """,
+naive AS (
+  SELECT pba3_block, coalesce(sum(duration_minutes), 0) / 60 AS duration_hours_total_naive,
+    coalesce(sum(effort_distance_km), 0) AS effort_distance_km_naive
+  FROM (SELECT DISTINCT pba3_block, checklist_id, duration_minutes, effort_distance_km FROM obsr) GROUP BY 1
+),
+adj AS (
+  SELECT pba3_block, coalesce(sum(d), 0) / 60 AS duration_hours_total_adj, coalesce(sum(k), 0) AS effort_distance_km_adj
+  FROM (SELECT pba3_block, checklist_id, max(duration_minutes) AS d, max(effort_distance_km) AS k FROM obsr GROUP BY 1, 2)
+  GROUP BY 1
 )
+SELECT n.pba3_block, round(duration_hours_total_naive, 6) AS duration_hours_total_naive,
+  round(effort_distance_km_naive, 6) AS effort_distance_km_naive, round(duration_hours_total_adj, 6) AS duration_hours_total_adj,
+  round(effort_distance_km_adj, 6) AS effort_distance_km_adj,
+  round(duration_hours_total_adj - duration_hours_total_naive, 6) AS duration_hours_diff,
+  round(effort_distance_km_adj - effort_distance_km_naive, 6) AS effort_distance_diff
+FROM naive n LEFT JOIN adj a ON a.pba3_block IS NOT DISTINCT FROM n.pba3_block"""
+ORACLE["focal_match"] = W + """,
+focal AS (SELECT DISTINCT p_name AS common_name FROM part WHERE p_size <= 1),
+seen AS (SELECT DISTINCT common_name FROM obsr)
+SELECT common_name, 'focal_not_observed' AS side FROM focal WHERE common_name NOT IN (SELECT common_name FROM seen)
+UNION ALL
+SELECT common_name, 'observed_not_focal' AS side FROM seen WHERE common_name NOT IN (SELECT common_name FROM focal)"""
+ORACLE["map_values"] = from_summary(
+    "SELECT pba3_block, round(duration_hours_diurnal, 6) AS value FROM summary WHERE season = 'Breeding'"
+)
+
+# ---------------------------------------------------------------- 2.10 spatial
+ORACLE["web_mercator"] = W + """
+SELECT round(longitude, 6) AS longitude, round(latitude, 6) AS latitude,
+  round(radians(longitude) * 6378137.0, 6) AS x_3857,
+  round(ln(tan(pi() / 4 + radians(latitude) / 2)) * 6378137.0, 6) AS y_3857
+FROM (SELECT DISTINCT longitude, latitude FROM obsr)"""
+ORACLE["bbox_buffer"] = W + ",\n" + DENSITY + """
+SELECT round(min(radians(longitude) * 6378137.0) - 1000.0, 6) AS xmin,
+  round(min(ln(tan(pi() / 4 + radians(latitude) / 2)) * 6378137.0) - 1000.0, 6) AS ymin,
+  round(max(radians(longitude) * 6378137.0) + 1000.0, 6) AS xmax,
+  round(max(ln(tan(pi() / 4 + radians(latitude) / 2)) * 6378137.0) + 1000.0, 6) AS ymax
+FROM dens"""
+
+# ---------------------------------------------------------------- 2.11 statistics
+BREAKS = """mm AS (SELECT CAST(min(checklist_count) AS DOUBLE) AS lo, CAST(max(checklist_count) AS DOUBLE) AS hi FROM dens),
+brks AS (
+  SELECT DISTINCT round_even(exp(ln(lo) + i * (ln(hi) - ln(lo)) / 9), 0) AS brk
+  FROM mm, (SELECT unnest(range(10)) AS i) WHERE lo > 0 AND hi > 0
+)"""
+ORACLE["log_breaks"] = W + ",\n" + DENSITY + ",\n" + BREAKS + "\nSELECT brk FROM brks"
+ORACLE["step_bins"] = W + ",\n" + DENSITY + ",\n" + BREAKS + """,
+ranked AS (SELECT brk, row_number() OVER (ORDER BY brk) AS i, count(*) OVER () AS k FROM brks),
+sizes AS (
+  SELECT brk, i, CASE WHEN k = 1 THEN 3.0
+    ELSE round_even(exp(ln(3.0) + (i - 1) * (ln(15.0) - ln(3.0)) / (k - 1)), 0) END AS size FROM ranked
+)
+SELECT round(d.longitude, 6) AS longitude, round(d.latitude, 6) AS latitude, d.checklist_count,
+  coalesce((SELECT s.size FROM sizes s WHERE s.brk <= d.checklist_count ORDER BY s.brk DESC LIMIT 1),
+           (SELECT s.size FROM sizes s WHERE s.i = 1)) AS circle_size
+FROM dens d"""
+ORACLE["histogram"] = W + ",\n" + ES + """,
+mm AS (SELECT min(observed_pct) AS lo, max(observed_pct) AS hi FROM es),
+w AS (SELECT lo, CASE WHEN hi > lo THEN (hi - lo) / 30 ELSE 1.0 END AS w FROM mm)
+SELECT bin, round(lo + bin * w, 6) AS bin_lo, round(lo + (bin + 1) * w, 6) AS bin_hi, n FROM (
+  SELECT CAST(least(floor((observed_pct - lo) / w), 29) AS INTEGER) AS bin, count(*) AS n, any_value(lo) AS lo,
+    any_value(w) AS w
+  FROM es, w WHERE observed_pct IS NOT NULL GROUP BY 1)"""
+ORACLE["bin_2d"] = W + ",\n" + ES + """
+SELECT CAST(floor(CAST(checklist_count AS DOUBLE) / 100.0) AS BIGINT) AS bx,
+  CAST(floor(observed_pct / 0.05) AS BIGINT) AS "by", count(*) AS n
+FROM es WHERE observed_pct IS NOT NULL GROUP BY 1, 2"""
+
+# ---------------------------------------------------------------- 2.12 quality
+ORACLE["duplicate_keys"] = W + """
+SELECT checklist_id, common_name, count(*) AS n FROM obsr GROUP BY 1, 2 HAVING count(*) > 1"""
+ORACLE["one_to_one"] = W + """
+SELECT checklist_id, count(*) AS n FROM (SELECT DISTINCT checklist_id, latitude FROM obsr WHERE checklist_id IS NOT NULL)
+GROUP BY 1 HAVING count(*) > 1"""
+ORACLE["multi_valued_keys"] = W + """
+SELECT checklist_id, count(*) AS n FROM (SELECT DISTINCT checklist_id, observation_datetime FROM obsr)
+GROUP BY 1 HAVING count(*) > 1"""
+
+_ = (math, LOOKUP, SEASONS, TZ)

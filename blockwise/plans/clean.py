@@ -51,7 +51,8 @@ def collapse_shared(
 
     ``checklist_id`` = group id, or the event id when not shared; observers of
     the species' rows comma-joined in sorted order; the highest category is
-    kept; the remaining columns come from the member with the smallest event id.
+    kept; the remaining columns come from the member with the smallest event id
+    (ties: smallest value).
     """
     cid = F.coalesce(F.col(group_col), F.col(event_col))
     keyed = rows.withColumn("checklist_id", cid)
@@ -60,7 +61,7 @@ def collapse_shared(
         F.array_join(F.sort_array(F.collect_set(observer_col)), ",").alias(observer_col),
         F.max(category_col).alias(category_col),
         F.min(event_col).alias("first_event_id"),
-    ] + [F.min_by(F.col(c), F.col(event_col)).alias(c) for c in rest]
+    ] + [F.min_by(F.col(c), F.struct(F.col(event_col), F.col(c))).alias(c) for c in rest]
     return keyed.groupBy("checklist_id", species_col).agg(*aggs)
 
 

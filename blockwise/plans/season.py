@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from blockwise.functions.semantics import n_distinct, sum0
 from blockwise.operators.joins import join_chain, join_on, lookup, semi_join
 from blockwise.operators.reshape import explode_delimited
+from blockwise.plans.clean import modal_start_times
 from blockwise.plans.effort import day_night_effort
 from blockwise.plans.lookups import ALL_SEASONS, BREEDING, CODED_CLASSES, breeding_lookup, seasons
 from blockwise.session import LOCAL_TZ
@@ -91,6 +92,36 @@ def nocturnal_coded(fan: DataFrame, nocturnal: DataFrame, min_rank: int = 2) ->
     )
 
 
+CHECKLIST_GRAIN = [
+    "pba3_block",
+    "checklist_id",
+    "observer_id",
+    "longitude",
+    "latitude",
+    "observation_month_num",
+    "observation_datetime",
+]
+SPECIES_GRAIN = ["pba3_block", "common_name", "observation_month_num", "breeding_rank", "breeding_category_desc"]
+
+
+def checklist_grain(obs: DataFrame) -> DataFrame:
+    """Observations collapsed to one row per (block, checklist, observers, place, month, start).
+
+    Carries the longest duration and distance. Every checklist-level metric of
+    the summary (counts, effort, day/night, coverage, birders, start-time
+    repair) is exact on this table, and it is one partial aggregate of the
+    observation scan — species rows never reach the season fan-out.
+    """
+    return obs.groupBy(*CHECKLIST_GRAIN).agg(
+        F.max("duration_minutes").alias("duration_minutes"), F.max("effort_distance_km").alias("effort_distance_km")
+    )
+
+
+def species_grain(obs: DataFrame) -> DataFrame:
+    """Distinct (block, species, month, rank, category): feeds every species-level metric."""
+    return obs.select(*SPECIES_GRAIN).distinct()
+
+
 def block_season_metrics(
     obs: DataFrame,
     nocturnal: DataFrame,
@@ -98,22 +129,32 @@ def block_season_metrics(
     season: str | None = None,
     tz: str = LOCAL_TZ,
     nested: bool = True,
+    strict: bool = False,
 ) -> DataFrame:
-    """All per (season, block) metrics of the summary, before names and atlas metrics."""
-    fan = season_fanout(obs, season)
+    """All per (season, block) metrics of the summary, before names and atlas metrics.
+
+    Two aggregates of the observations (checklist grain, species grain) are
+    fanned out to seasons; each branch then works on those small tables.
+    """
+    cg = SE_fan(checklist_grain(obs), season)
+    sg = SE_fan(species_grain(obs), season)
     parts = [
-        checklist_count(fan),
-        species_observed(fan),
-        birders(fan),
-        effort_two_level(fan),
-        species_by_max_category(fan),
-        day_night_effort(fan, fixed, group=["season"], tz=tz, nested=nested),
-        season_coverage(fan),
-        nocturnal_coded(fan, nocturnal),
+        checklist_count(cg),
+        species_observed(sg),
+        birders(cg),
+        effort_two_level(cg),
+        species_by_max_category(sg, strict=strict),
+        day_night_effort(cg, fixed, group=["season"], tz=tz, nested=nested),
+        season_coverage(cg),
+        nocturnal_coded(sg, nocturnal),
     ]
     return join_chain(parts, KEYS, null_safe=True)
 
 
+def SE_fan(df: DataFrame, season: str | None) -> DataFrame:
+    return season_fanout(df, season)
+
+
 SUMMARY_COLUMNS = [
     "pba3_block",
     "block_name",
@@ -160,6 +201,8 @@ def block_season_summary(
     nested: bool = True,
 ) -> DataFrame:
     """Block × season summary with names and (for "All seasons") atlas comparison metrics."""
+    if fixed is None:
+        fixed = modal_start_times(checklist_grain(obs))
     m = block_season_metrics(obs, nocturnal, fixed, season, tz, nested)
     if atlas_metrics is not None:
         am = atlas_metrics.select(

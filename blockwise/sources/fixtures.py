@@ -104,13 +104,13 @@ def block_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nocturnal_species(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where(F.col("p_size") > 40).select(F.col("p_name").alias("common_name")).distinct()
+    return table(spark, sf_dir, "part").where(F.col("p_size") >= 50).select(F.col("p_name").alias("common_name")).distinct()
 
 
 def focal_species(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "part")
-        .where(F.col("p_size") < 10)
+        .where(F.col("p_size") <= 1)
         .select(F.col("p_name").alias("common_name"))
         .distinct()
         .withColumn("is_focal", F.lit(True))

@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty.
+
+The reference has no stream, watermark, window or stateful operator; a data
+refresh is a full batch re-run. Nothing is built here (see README).
+"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import math
 import sys
 
@@ -35,6 +36,10 @@ def _norm(v):
             pass
     if isinstance(v, pd.Timestamp):
         return v.to_pydatetime().replace(tzinfo=None)
+    if isinstance(v, datetime.date) and not isinstance(v, datetime.datetime):
+        return datetime.datetime(v.year, v.month, v.day)
+    if isinstance(v, (list, tuple)) or hasattr(v, "tolist"):
+        return str(list(v))
     return v
 
 
