@@ -19,8 +19,13 @@ EARTH_RADIUS_M = 6378137.0
 
 
 def _closed(ring: Column) -> Column:
+    """Ring with its first point repeated at the end; a one-point ring becomes one zero-length edge."""
     first, last = ring[0], F.element_at(ring, -1)
-    return F.when((first.x == last.x) & (first.y == last.y), ring).otherwise(F.concat(ring, F.array(first)))
+    return (
+        F.when(F.size(ring) == 1, F.concat(ring, ring))
+        .when((first.x == last.x) & (first.y == last.y), ring)
+        .otherwise(F.concat(ring, F.array(first)))
+    )
 
 
 def covers(ring: str | Column, px: str | Column, py: str | Column) -> Column:

@@ -50,6 +50,19 @@ def join_chain(frames: Sequence[DataFrame], keys: Sequence[str], null_safe: bool
     return reduce(lambda x, y: join_on(x, y, keys, how="left", null_safe=null_safe), frames)
 
 
+def combine_by_key(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Merge frames that each hold at most one row per key into one wide row per key.
+
+    Same rows as a NULL-matching full outer join chain, but one shuffle: the
+    frames are stacked by name and grouped once. NULL keys form one group,
+    as dplyr's joins match NULL with NULL. Columns must be unique across frames.
+    """
+    keys = list(keys)
+    stacked = union_rows(*frames)
+    values = [c for c in stacked.columns if c not in keys]
+    return stacked.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in values])
+
+
 def semi_join(a: DataFrame, b: DataFrame, left_on: Sequence[str], right_on: Sequence[str] | None = None) -> DataFrame:
     """``semi_join`` (also with differently named keys); never ``isin`` of a collected list."""
     return _filtering(a, b, left_on, right_on, "left_semi")

@@ -66,25 +66,22 @@ def classify_checklists(
 
 def day_night_hours(classified: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """Hours per class, wide, missing classes 0: (group..., pba3_block, duration_hours_*)."""
-    wide = (
-        classified.groupBy(*group, "pba3_block")
-        .pivot("checklist_type", CLASSES)
-        .agg((sum0("duration_minutes") / 60).alias("h"))
-    )
-    return wide.select(
-        *group, "pba3_block", *[F.coalesce(F.col(c), F.lit(0.0)).alias(f"duration_hours_{c}") for c in CLASSES]
-    )
+    hours = [
+        (sum0(F.when(F.col("checklist_type") == c, F.col("duration_minutes"))) / 60).alias(f"duration_hours_{c}")
+        for c in CLASSES
+    ]
+    return classified.groupBy(*group, "pba3_block").agg(*hours)
 
 
 def effort_by_date(classified: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """Hours per (block, local date, class), wide; absent classes stay NULL."""
     dated = classified.withColumn("observation_date", F.to_date("observation_datetime"))
-    wide = (
-        dated.groupBy(*group, "pba3_block", "observation_date")
-        .pivot("checklist_type", CLASSES)
-        .agg((sum0("duration_minutes") / 60).alias("h"))
-    )
-    return wide.withColumnsRenamed({c: f"duration_hours_{c}" for c in CLASSES})
+    is_c = {c: F.col("checklist_type") == c for c in CLASSES}
+    hours = [
+        F.when(F.count_if(is_c[c]) > 0, sum0(F.when(is_c[c], F.col("duration_minutes"))) / 60).alias(f"duration_hours_{c}")
+        for c in CLASSES
+    ]
+    return dated.groupBy(*group, "pba3_block", "observation_date").agg(*hours)
 
 
 def nest_effort(by_date: DataFrame, group: Sequence[str] = ()) -> DataFrame:

@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockwise.functions.semantics import n_distinct, sum0
-from blockwise.operators.joins import join_chain, join_on, lookup, semi_join
+from blockwise.operators.joins import combine_by_key, join_on, lookup, semi_join
 from blockwise.operators.reshape import explode_delimited
 from blockwise.plans.clean import modal_start_times
-from blockwise.plans.effort import day_night_effort
+from blockwise.plans.effort import classify_checklists, day_night_effort, day_night_hours, effort_by_date, nest_effort
 from blockwise.plans.lookups import ALL_SEASONS, BREEDING, CODED_CLASSES, breeding_lookup, seasons
 from blockwise.session import LOCAL_TZ
 
@@ -122,6 +122,48 @@ def species_grain(obs: DataFrame) -> DataFrame:
     return obs.select(*SPECIES_GRAIN).distinct()
 
 
+def species_side(sg: DataFrame, nocturnal: DataFrame, min_rank: int = 2, strict: bool = False) -> DataFrame:
+    """Fused species metrics per (season, block): species observed, species by highest
+    category (absent class NULL, as an unfilled pivot), nocturnal species coded (0-filled).
+
+    Two aggregates in total: highest rank per (season, block, species), then
+    conditional counts per (season, block). The nocturnal list is a species
+    list (bounded by the taxonomy), joined as a flag.
+    """
+    m = F.max("breeding_rank")
+    if strict:
+        m = F.when(F.count_if(F.col("breeding_rank").isNull()) > 0, F.lit(None)).otherwise(m)
+    noct = nocturnal.select("common_name").distinct().withColumn("__noct", F.lit(True))
+    per = sg.groupBy(*KEYS, "common_name").agg(m.alias("r"))
+    per = per.join(noct, "common_name", "left")
+    classes = [
+        F.when(F.count_if(F.col("r") == rank) > 0, F.count_if(F.col("r") == rank)).alias(name)
+        for rank, name in enumerate(CODED_CLASSES, start=1)
+    ]
+    return per.groupBy(*KEYS).agg(
+        F.count(F.lit(1)).alias("species_observed"),
+        *classes,
+        F.count_if(F.col("__noct") & (F.col("r") >= min_rank)).alias("nocturnal_species_coded"),
+    )
+
+
+def checklist_side(cg: DataFrame) -> DataFrame:
+    """Fused checklist metrics per (season, block): checklist count, hours, km.
+
+    One row per (season, block, checklist) first (longest duration and
+    distance), so the count of those rows is the distinct checklist count
+    (a NULL id counts once) and their sums are the two-level effort.
+    """
+    per = cg.groupBy(*KEYS, "checklist_id").agg(
+        F.max("duration_minutes").alias("d"), F.max("effort_distance_km").alias("k")
+    )
+    return per.groupBy(*KEYS).agg(
+        F.count(F.lit(1)).alias("checklist_count"),
+        (sum0("d") / 60).alias("duration_hours_total"),
+        sum0("k").alias("effort_distance_km"),
+    )
+
+
 def block_season_metrics(
     obs: DataFrame,
     nocturnal: DataFrame,
@@ -138,17 +180,20 @@ def block_season_metrics(
     """
     cg = SE_fan(checklist_grain(obs), season)
     sg = SE_fan(species_grain(obs), season)
+    classified = classify_checklists(cg, fixed, group=["season"], tz=tz)
     parts = [
-        checklist_count(cg),
-        species_observed(sg),
+        checklist_side(cg),
+        species_side(sg, nocturnal, strict=strict),
         birders(cg),
-        effort_two_level(cg),
-        species_by_max_category(sg, strict=strict),
-        day_night_effort(cg, fixed, group=["season"], tz=tz, nested=nested),
+        day_night_hours(classified, ["season"]),
         season_coverage(cg),
-        nocturnal_coded(sg, nocturnal),
     ]
-    return join_chain(parts, KEYS, null_safe=True)
+    if nested:
+        parts.append(nest_effort(effort_by_date(classified, ["season"]), ["season"]))
+    # Every branch has one row per (season, block) and its keys are a subset of
+    # the checklist-count keys, so stacking and grouping once gives the rows of
+    # the reference's left-join chain without seven joins.
+    return combine_by_key(parts, KEYS)
 
 
 def SE_fan(df: DataFrame, season: str | None) -> DataFrame:

@@ -76,9 +76,11 @@ def hull_and_point(points: DataFrame, group: str, x: str = "longitude", y: str =
 
     def partial(pdf: pd.DataFrame) -> pd.DataFrame:
         h = _hull(pdf["x"].to_numpy(), pdf["y"].to_numpy())
-        return pd.DataFrame({"g": pdf["g"].iloc[0], "x": h[:, 0], "y": h[:, 1], "n": len(pdf)})
+        return pd.DataFrame(
+            {"g": pdf["g"].iloc[0], "salt": pdf["salt"].iloc[0], "x": h[:, 0], "y": h[:, 1], "n": len(pdf)}
+        )
 
-    stage1 = salted.groupBy("g", "salt").applyInPandas(partial, "g string, x double, y double, n long")
+    stage1 = salted.groupBy("g", "salt").applyInPandas(partial, "g string, salt long, x double, y double, n long")
     counts = stage1.groupBy("g", "salt").agg(F.first("n").alias("n")).groupBy("g").agg(F.sum("n").alias("n_points"))
 
     def final(pdf: pd.DataFrame) -> pd.DataFrame:

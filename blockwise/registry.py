@@ -51,9 +51,15 @@ def obs(spark, sf):
     return fx.observations(spark, sf)
 
 
+_SPECIES: dict[tuple[int, str], list[str]] = {}
+
+
 def species_list(spark, sf) -> list[str]:
     """Distinct species names (bounded by the species count) as the pivot value list."""
-    return sorted(r[0] for r in fx.table(spark, sf, "part").select("p_name").distinct().collect())
+    key = (id(spark._jsparkSession), sf)
+    if key not in _SPECIES:
+        _SPECIES[key] = sorted(r[0] for r in fx.table(spark, sf, "part").select("p_name").distinct().collect())
+    return _SPECIES[key]
 
 
 def old_atlas(spark, sf):

@@ -28,8 +28,17 @@ CATEGORY_SQL = """CASE
   ELSE NULL END"""
 
 
+_TABLES: dict[tuple[int, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Lazy scan of one test table; the DataFrame is reused per session and path
+    (its schema is read once, and equal subtrees let Spark reuse exchanges)."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark._jsparkSession), path)
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(path)
+    return _TABLES[key]
 
 
 def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
