@@ -320,6 +320,10 @@ SELECT common_name, {_safe('safe_date_probable_start')} AS date_probable_start,
   {_safe('safe_date_possible_end')} AS date_possible_end
 FROM (SELECT DISTINCT taxonomic_order, common_name, safe_date_probable_start, safe_date_possible_start,
         safe_date_possible_end, safe_date_probable_end FROM cal_names)"""
+ORACLE["date_label"] = "WITH " + CAL + f"""
+SELECT common_name, strftime(d, '%b') || ' ' || lpad(CAST(day(d) AS VARCHAR), 2, ' ') AS label
+FROM (SELECT common_name, {_safe('safe_date_probable_start')} AS d
+      FROM (SELECT DISTINCT common_name, safe_date_probable_start FROM cal_names))"""
 ORACLE["time_of_day"] = "WITH " + VISITS + """
 SELECT checklist_id, observation_datetime, strftime(observation_datetime, '%H:%M:%S') AS time_of_day FROM visits"""
 ORACLE["ratio_rules"] = CMP + """,
@@ -538,6 +542,8 @@ SELECT checklist_id, common_name, count(*) AS n FROM obsr GROUP BY 1, 2 HAVING c
 ORACLE["one_to_one"] = W + """
 SELECT checklist_id, count(*) AS n FROM (SELECT DISTINCT checklist_id, latitude FROM obsr WHERE checklist_id IS NOT NULL)
 GROUP BY 1 HAVING count(*) > 1"""
+ORACLE["class_balance"] = "WITH " + VISITS + ",\n" + fixed_sql("visits") + ",\ncls AS " + classified_sql("visits") + """
+SELECT checklist_type, count(*) AS n FROM cls GROUP BY 1"""
 ORACLE["multi_valued_keys"] = W + """
 SELECT checklist_id, count(*) AS n FROM (SELECT DISTINCT checklist_id, observation_datetime FROM obsr)
 GROUP BY 1 HAVING count(*) > 1"""

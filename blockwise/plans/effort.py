@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockwise.functions.semantics import MONTH_ABB, month_label, row_sum, sum0, to_utc
-from blockwise.functions.sun import sun_events_local, sun_events_utc
+from blockwise.functions.semantics import MONTH_ABB, from_utc, month_label, row_sum, sum0, to_utc
+from blockwise.functions.sun import with_sun_events_utc
 from blockwise.operators.joins import join_on
 from blockwise.operators.reshape import nest, unnest
 from blockwise.plans.clean import apply_start_fix
@@ -26,8 +26,11 @@ def sun_times(obs: DataFrame, tz: str = LOCAL_TZ) -> DataFrame:
     distinct's shuffle.
     """
     keys = obs.select("longitude", "latitude", "observation_datetime").distinct()
-    rise, sset = sun_events_local("longitude", "latitude", F.to_date("observation_datetime"), tz)
-    return keys.withColumns({"sunrise": rise, "sunset": sset})
+    utc = with_sun_events_utc(keys, "longitude", "latitude", F.to_date("observation_datetime"), "__r", "__s")
+    return utc.select(
+        "longitude", "latitude", "observation_datetime",
+        from_utc("__r", tz).alias("sunrise"), from_utc("__s", tz).alias("sunset"),
+    )
 
 
 def classify_checklists(
@@ -54,14 +57,15 @@ def classify_checklists(
     )
     if fixed is not None:
         per = apply_start_fix(per, fixed)
-    rise, sset = sun_events_utc("longitude", "latitude", F.to_date("observation_datetime"))
+    per = with_sun_events_utc(per, "longitude", "latitude", F.to_date("observation_datetime"), "__rise", "__set")
     start = to_utc("observation_datetime", tz)
     day = start.between(
-        rise - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(before_min)),
-        sset + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(after_min)),
+        F.col("__rise") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(before_min)),
+        F.col("__set") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(after_min)),
     )
-    kind = F.when(day, "diurnal").when(~day, "nocturnal").otherwise("unknown")
-    return per.withColumn("checklist_type", kind)
+    per = per.withColumn("__day", day)
+    kind = F.when(F.col("__day"), "diurnal").when(~F.col("__day"), "nocturnal").otherwise("unknown")
+    return per.withColumn("checklist_type", kind).drop("__rise", "__set", "__day")
 
 
 def day_night_hours(classified: DataFrame, group: Sequence[str] = ()) -> DataFrame:

@@ -77,19 +77,19 @@ def beta_moments(es: DataFrame, x: str = "observations", n: str = "checklist_cou
     )
 
 
-def _tail(hist: dict[int, int], top: int) -> list[int]:
+def _tail(hist: dict[int, int], top: int):
     """t[j] = number of rows with value > j, for j in [0, top)."""
-    t = [0] * (top + 1)
+    import numpy as np
+
+    counts = np.zeros(top + 1)
     for v, c in hist.items():
         if v > 0:
-            t[min(v, top) - 1] += c
-    for j in range(top - 1, -1, -1):
-        t[j] += t[j + 1]
-    return t[:top]
+            counts[min(v, top)] += c
+    return np.cumsum(counts[::-1])[::-1][1:]
 
 
 def beta_binomial_mle(
-    es: DataFrame, x: str = "observations", n: str = "checklist_count", tol: float = 1e-8, max_iter: int = 5000
+    es: DataFrame, x: str = "observations", n: str = "checklist_count", tol: float = 1e-8, max_iter: int = 20000
 ) -> tuple[float, float]:
     """Beta-binomial maximum likelihood prior (Minka's fixed point).
 
@@ -97,6 +97,8 @@ def beta_binomial_mle(
     iterates on vectors as long as the largest n (bounded by the checklists of
     one block), starting from the moment estimate.
     """
+    import numpy as np
+
     base = es.where(F.col(n) > 0).select(F.col(x).cast("long").alias("x"), F.col(n).cast("long").alias("n"))
     hx = {r[0]: r[1] for r in base.groupBy("x").count().collect()}
     hf = {r[0]: r[1] for r in base.groupBy((F.col("n") - F.col("x")).alias("f")).count().collect()}
@@ -105,18 +107,18 @@ def beta_binomial_mle(
     if top == 0:
         return float("nan"), float("nan")
     tx, tf, tn = _tail(hx, top), _tail(hf, top), _tail(hn, top)
+    j = np.arange(top, dtype=float)
     mom = beta_moments(es, x, n).first()
     a = mom["alpha"] if mom and mom["alpha"] and mom["alpha"] > 0 else 1.0
     b = mom["beta"] if mom and mom["beta"] and mom["beta"] > 0 else 1.0
     for _ in range(max_iter):
-        s = a + b
-        den = sum(tn[j] / (s + j) for j in range(top))
-        na = a * sum(tx[j] / (a + j) for j in range(top) if tx[j]) / den
-        nb = b * sum(tf[j] / (b + j) for j in range(top) if tf[j]) / den
-        if abs(na - a) < tol * max(1.0, a) and abs(nb - b) < tol * max(1.0, b):
-            a, b = na, nb
-            break
+        den = float(np.sum(tn / (a + b + j)))
+        na = a * float(np.sum(tx / (a + j))) / den
+        nb = b * float(np.sum(tf / (b + j))) / den
+        done = abs(na - a) < tol * max(1.0, a) and abs(nb - b) < tol * max(1.0, b)
         a, b = na, nb
+        if done:
+            break
     return float(a), float(b)
 
 

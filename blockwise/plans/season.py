@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from blockwise.functions.semantics import n_distinct, sum0
 from blockwise.operators.joins import combine_by_key, join_on, lookup, semi_join
 from blockwise.operators.reshape import explode_delimited
-from blockwise.plans.clean import modal_start_times
+from blockwise.plans.clean import apply_start_fix, modal_start_times
 from blockwise.plans.effort import classify_checklists, day_night_effort, day_night_hours, effort_by_date, nest_effort
 from blockwise.plans.lookups import ALL_SEASONS, BREEDING, CODED_CLASSES, breeding_lookup, seasons
-from blockwise.session import LOCAL_TZ
+from blockwise.session import LOCAL_TZ, materialize
 
 KEYS = ["season", "pba3_block"]
 
@@ -165,22 +165,30 @@ def checklist_side(cg: DataFrame) -> DataFrame:
 
 
 def block_season_metrics(
-    obs: DataFrame,
+    obs: DataFrame | None,
     nocturnal: DataFrame,
     fixed: DataFrame | None = None,
     season: str | None = None,
     tz: str = LOCAL_TZ,
     nested: bool = True,
     strict: bool = False,
+    grains: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """All per (season, block) metrics of the summary, before names and atlas metrics.
 
     Two aggregates of the observations (checklist grain, species grain) are
     fanned out to seasons; each branch then works on those small tables.
+    ``grains`` passes them in already built (e.g. materialized once).
     """
-    cg = SE_fan(checklist_grain(obs), season)
-    sg = SE_fan(species_grain(obs), season)
-    classified = classify_checklists(cg, fixed, group=["season"], tz=tz)
+    c_grain, s_grain = grains if grains is not None else (checklist_grain(obs), species_grain(obs))
+    if fixed is None:
+        fixed = modal_start_times(c_grain)
+    cg = SE_fan(c_grain, season)
+    sg = SE_fan(s_grain, season)
+    # The repaired start is per checklist, so it is applied once on the grain,
+    # before the season fan-out (coverage keeps the reported starts, as the
+    # reference does).
+    classified = classify_checklists(SE_fan(apply_start_fix(c_grain, fixed), season), None, group=["season"], tz=tz)
     parts = [
         checklist_side(cg),
         species_side(sg, nocturnal, strict=strict),
@@ -235,8 +243,20 @@ def with_block_names(df: DataFrame, names: DataFrame) -> DataFrame:
     )
 
 
+def summary_grains(obs: DataFrame, persist: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(checklist grain, species grain), written once to the shared checkpoint folder.
+
+    At scale these are a small fraction of the observations and are read by
+    every branch, the start-time repair and the atlas comparison.
+    """
+    cg, sg = checklist_grain(obs), species_grain(obs)
+    if not persist:
+        return cg, sg
+    return materialize(cg, "checklist-grain"), materialize(sg, "species-grain")
+
+
 def block_season_summary(
-    obs: DataFrame,
+    obs: DataFrame | None,
     nocturnal: DataFrame,
     names: DataFrame,
     atlas_metrics: DataFrame | None = None,
@@ -244,11 +264,10 @@ def block_season_summary(
     season: str | None = None,
     tz: str = LOCAL_TZ,
     nested: bool = True,
+    grains: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """Block × season summary with names and (for "All seasons") atlas comparison metrics."""
-    if fixed is None:
-        fixed = modal_start_times(checklist_grain(obs))
-    m = block_season_metrics(obs, nocturnal, fixed, season, tz, nested)
+    m = block_season_metrics(obs, nocturnal, fixed, season, tz, nested, grains=grains)
     if atlas_metrics is not None:
         am = atlas_metrics.select(
             "pba3_block",

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from blockwise.plans import compare as cmp
 from blockwise.plans.clean import modal_start_times
-from blockwise.plans.season import block_season_summary, checklist_grain, species_grain
+from blockwise.plans.season import block_season_summary, checklist_grain, species_grain, summary_grains
 from blockwise.sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,14 +74,16 @@ def compare_table(spark, sf, o=None):
 
 def summary(spark, sf, nested: bool = False, season: str | None = None):
     o = obs(spark, sf)
+    cg, sg = summary_grains(o)
+    compare = cmp.atlas_compare(old_atlas(spark, sf), cmp.new_atlas_max(sg), fx.block_names(spark, sf))
     return block_season_summary(
-        o,
+        None,
         fx.nocturnal_species(spark, sf),
         fx.block_names(spark, sf),
-        atlas_metrics=cmp.atlas_block_metrics(compare_table(spark, sf, o)),
-        fixed=modal_start_times(checklist_grain(o)),
+        atlas_metrics=cmp.atlas_block_metrics(compare),
         season=season,
         nested=nested,
+        grains=(cg, sg),
     )
 
 
@@ -564,6 +566,13 @@ def q_safe_dates(spark, sf):
     return CAL.safe_dates_view(safe, SAFE_YEAR)
 
 
+@register("date_label")
+def q_date_label(spark, sf):
+    _, safe = calendar(spark, sf)
+    d = CAL.safe_dates_view(safe, SAFE_YEAR)
+    return d.select("common_name", S.short_date("date_probable_start").alias("label"))
+
+
 @register("time_of_day")
 def q_time_of_day(spark, sf):
     v = fx.visits(spark, sf)
@@ -611,7 +620,13 @@ def q_collapse_shared(spark, sf):
 
 @register("calendar_build", rows_only=True)
 def q_calendar_build(spark, sf):
-    cal, _ = calendar(spark, sf)
+    """Calendar delivered as CSV text with a header line per file, read back by
+    position with the first line of each file skipped, then built."""
+    raw = fx.calendar_raw(spark, sf)
+    path = scratch(spark, "calendar")
+    IO.write_csv_text(raw, path)
+    back = IO.read_csv_positional(spark, path, raw.columns, skip=1)
+    cal, _ = CAL.calendar_build(back)
     return cal
 
 
@@ -841,6 +856,13 @@ def q_one_to_one(spark, sf):
     return SP.one_to_one_violations(o.select("checklist_id", "latitude"), "checklist_id", "latitude")
 
 
+@register("class_balance")
+def q_class_balance(spark, sf):
+    v = fx.visits(spark, sf)
+    c = EF.classify_checklists(v, CL.modal_start_times(v))
+    return A.count_by(c, ["checklist_type"])
+
+
 @register("multi_valued_keys")
 def q_multi_valued_keys(spark, sf):
     return CL.dupe_start_checklists(obs(spark, sf))

@@ -60,6 +60,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+
+    Used for small intermediate tables that several branches read (the
+    checklist and species grains): computed once, columnar on re-read, and
+    the lineage is cut, so a lost executor does not force a rescan of the
+    observations.
+    """
+    import uuid
+
+    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{base}/{tag}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
