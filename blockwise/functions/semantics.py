@@ -116,7 +116,7 @@ def parse_number(c: str | Column, x_as_one: bool = True) -> Column:
 
 def month_label(d: str | Column) -> Column:
     """``month(d, label=TRUE, abbr=TRUE)`` as text; sort on ``month(d)``, never the label."""
-    return F.date_format(col(d), "MMM")
+    return F.element_at(F.array(*[F.lit(m) for m in MONTH_ABB]), F.month(col(d)))
 
 
 def build_local_datetime(date: str | Column, time: str | Column, tz: str) -> Column:
@@ -127,9 +127,12 @@ def build_local_datetime(date: str | Column, time: str | Column, tz: str) -> Col
     """
     t = F.trim(col(time))
     ok = t.rlike(r"^([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9])?$")
-    hms = F.when(F.length(t) == 5, F.concat(t, F.lit(":00"))).otherwise(t)
-    text = F.concat(F.date_format(col(date), "yyyy-MM-dd"), F.lit(" "), hms)
-    ts = F.when(ok, F.to_timestamp_ntz(text, F.lit("yyyy-MM-dd HH:mm:ss")))
+    # Validated text -> integer parts -> date + interval (no per-row format/parse).
+    h = F.substring(t, 1, 2).cast("int")
+    m = F.substring(t, 4, 2).cast("int")
+    sec = F.when(F.length(t) == 8, F.substring(t, 7, 2).cast("int")).otherwise(F.lit(0))
+    start = col(date).cast("date").cast("timestamp_ntz")
+    ts = F.when(ok, start + F.make_dt_interval(F.lit(0), h, m, sec.cast("decimal(8,6)")))
     return null_dst_gap(ts, tz)
 
 
