@@ -116,7 +116,10 @@ def parse_number(c: str | Column, x_as_one: bool = True) -> Column:
 
 def month_label(d: str | Column) -> Column:
     """``month(d, label=TRUE, abbr=TRUE)`` as text; sort on ``month(d)``, never the label."""
-    return F.element_at(F.array(*[F.lit(m) for m in MONTH_ABB]), F.month(col(d)))
+    # Guard the index: on Spark 4.1, element_at over a literal array returns the
+    # last element for a NULL index instead of NULL.
+    m = F.month(col(d))
+    return F.when(m.isNotNull(), F.element_at(F.array(*[F.lit(x) for x in MONTH_ABB]), m))
 
 
 def build_local_datetime(date: str | Column, time: str | Column, tz: str) -> Column:

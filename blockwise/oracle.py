@@ -66,7 +66,7 @@ obs AS (
     coalesce(trim(regexp_replace(p.breeding_category, '\\s+', ' ', 'g')), 'C1') AS breeding_category,
     p.observation_count, p.observation_date, p.time_observations_started,
     strftime(p.observation_date, '%b') AS observation_month,
-    month(p.observation_date) AS observation_month_num,
+    CAST(month(p.observation_date) AS INTEGER) AS observation_month_num,
     CASE WHEN timezone('{TZ}', timezone('{TZ}', p.ts)) = p.ts THEN p.ts END AS observation_datetime,
     p.longitude, p.latitude, p.duration_minutes, p.effort_distance_km, p.project_names, p.protocol_name
   FROM parsed p

@@ -77,7 +77,7 @@ cal_names AS (
 ),
 weeks AS (SELECT * FROM (VALUES """ + ", ".join(f"('{w}', {i})" for i, w in enumerate(WEEKS, 1)) + """) t(week, week_index)),
 cal_long AS (
-  SELECT n.common_name, n.priority_species, w.week, w.week_index,
+  SELECT n.taxonomic_order, n.common_name, n.priority_species, w.week, w.week_index,
     coalesce(CASE WHEN c.cnt % 5 > 0 THEN substring('BEMN', CAST(c.cnt % 5 AS INTEGER), 1) END, '') AS breeding_calendar_code
   FROM cal_names n CROSS JOIN weeks w LEFT JOIN cal_counts c ON c.raw_name = n.raw_name AND c.week = w.week
 )"""
@@ -144,6 +144,7 @@ ORACLE["block_season_summary"] = from_summary(ROUND_SUMMARY)
 ORACLE["scan_parquet"] = (
     "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_suppkey % 20 = 3 AND l_quantity >= 40"
 )
+ORACLE["csv_roundtrip"] = W + "\nSELECT atlas_block, checklist_id, common_name, observation_count FROM raw"
 ORACLE["extract_filter"] = W + """
 SELECT atlas_block, checklist_id, common_name, observation_date, duration_minutes, project_names FROM raw
 WHERE observation_date BETWEEN DATE '1996-01-01' AND DATE '1997-06-30' AND contains(project_names, 'Atlas')"""
@@ -249,7 +250,7 @@ SELECT pba3_block, round(avg(CASE WHEN breeding_rank = 4 THEN 1.0 WHEN breeding_
 ORACLE["distinct_keys"] = W + "\nSELECT DISTINCT breeding_category, breeding_code, breeding_rank FROM obsr"
 ORACLE["modal_value"] = "WITH " + VISITS + """
 SELECT checklist_id, modal_hour FROM (
-  SELECT checklist_id, hour(observation_datetime) AS modal_hour,
+  SELECT checklist_id, CAST(hour(observation_datetime) AS INTEGER) AS modal_hour,
     row_number() OVER (PARTITION BY checklist_id ORDER BY count(*) DESC, hour(observation_datetime)) AS rn
   FROM visits GROUP BY checklist_id, hour(observation_datetime)
 ) WHERE rn = 1"""
@@ -300,7 +301,8 @@ ORACLE["parse_number"] = W + f"""
 SELECT observation_count, round({PARSE}, 6) AS count_value FROM (SELECT DISTINCT observation_count FROM raw)"""
 ORACLE["month_label"] = W + "\nSELECT DISTINCT observation_month_num, observation_month FROM obsr"
 ORACLE["year_month"] = W + """
-SELECT year(observation_date) AS obs_year, CAST(date_trunc('month', observation_date) AS DATE) AS obs_ym, count(*) AS n
+SELECT CAST(year(observation_date) AS INTEGER) AS obs_year, CAST(date_trunc('month', observation_date) AS DATE) AS obs_ym,
+  count(*) AS n
 FROM obsr GROUP BY 1, 2"""
 ORACLE["datetime_build"] = W + "\nSELECT DISTINCT observation_date, time_observations_started, observation_datetime FROM obsr"
 
@@ -358,6 +360,13 @@ FROM (
 ORACLE["calendar_view"] = (
     "WITH " + CAL + "\nSELECT * FROM (" + cal_wide(WEEKS[WEEKS.index("Jun 1"):], "common_name") + ") WHERE \"Jun 1\" <> ''"
 )
+ORACLE["calendar_build"] = (
+    "WITH " + CAL + "\nSELECT CAST(taxonomic_order AS VARCHAR) AS taxonomic_order, common_name, priority_species, "
+    + ", ".join(f'coalesce("{w}", \'\') AS "{w}"' for w in WEEKS)
+    + " FROM ("
+    + cal_wide(WEEKS, "taxonomic_order, common_name, priority_species")
+    + ")"
+)
 _vr, _vs = sun_sql("longitude", "latitude", "observation_datetime")
 ORACLE["sun_times"] = "WITH " + VISITS + f"""
 SELECT round(longitude, 6) AS longitude, round(latitude, 6) AS latitude, observation_datetime,
@@ -459,7 +468,7 @@ bydate AS (
     sum(duration_minutes) FILTER (WHERE checklist_type = 'unknown') / 60 AS duration_hours_unknown
   FROM cls GROUP BY 1, 2
 )
-SELECT year(observation_date) AS obs_year, month(observation_date) AS obs_month_num,
+SELECT CAST(year(observation_date) AS INTEGER) AS obs_year, CAST(month(observation_date) AS INTEGER) AS obs_month_num,
   strftime(observation_date, '%b') AS obs_month,
   round(sum(coalesce(duration_hours_diurnal, 0) + coalesce(duration_hours_nocturnal, 0) + coalesce(duration_hours_unknown, 0)), 6)
     AS duration_hours_total,
@@ -544,6 +553,30 @@ SELECT checklist_id, count(*) AS n FROM (SELECT DISTINCT checklist_id, latitude
 GROUP BY 1 HAVING count(*) > 1"""
 ORACLE["class_balance"] = "WITH " + VISITS + ",\n" + fixed_sql("visits") + ",\ncls AS " + classified_sql("visits") + """
 SELECT checklist_type, count(*) AS n FROM cls GROUP BY 1"""
+ORACLE["quality_report"] = W + ",\n" + NAMES + """,
+per_block AS (SELECT pba3_block, count(*) AS n FROM obsr GROUP BY 1)
+SELECT 'duplicate_checklist_species' AS "check", checklist_id || '|' || common_name AS "key", count(*) AS n
+FROM obsr GROUP BY checklist_id, common_name HAVING count(*) > 1
+UNION ALL
+SELECT 'multi_start_checklist', checklist_id, count(*) FROM (SELECT DISTINCT checklist_id, observation_datetime FROM obsr)
+GROUP BY 1, 2 HAVING count(*) > 1
+UNION ALL
+SELECT 'multi_location_checklist', checklist_id, count(*) FROM (SELECT DISTINCT checklist_id, latitude FROM obsr)
+GROUP BY 1, 2 HAVING count(*) > 1
+UNION ALL
+SELECT 'block_without_name', pba3_block, n FROM per_block WHERE pba3_block NOT IN (SELECT pba3_block FROM names)
+UNION ALL
+SELECT 'name_without_observations', pba3_block, CAST(0 AS BIGINT) FROM names
+WHERE pba3_block NOT IN (SELECT pba3_block FROM per_block)"""
+ORACLE["dupe_start_export"] = W + """,
+dupes AS (SELECT checklist_id FROM (SELECT DISTINCT checklist_id, observation_datetime FROM obsr)
+          GROUP BY 1 HAVING count(*) > 1)
+SELECT CAST(pba3_block AS VARCHAR) AS pba3_block, checklist_id, observer_id,
+  CAST(observation_date AS VARCHAR) AS observation_date, time_observations_started,
+  CAST(observation_datetime AS VARCHAR) AS observation_datetime
+FROM (SELECT DISTINCT pba3_block, checklist_id, observer_id, observation_date, time_observations_started,
+        observation_datetime FROM obsr)
+WHERE checklist_id IN (SELECT checklist_id FROM dupes)"""
 ORACLE["multi_valued_keys"] = W + """
 SELECT checklist_id, count(*) AS n FROM (SELECT DISTINCT checklist_id, observation_datetime FROM obsr)
 GROUP BY 1 HAVING count(*) > 1"""

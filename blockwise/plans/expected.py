@@ -48,7 +48,9 @@ def expected_species(
     g = join_on(g, act, [block, species, "month_num"], "left", null_safe=True)
     rows = F.col("checklist_count") - F.coalesce(F.col("D"), F.lit(0)) + F.coalesce(F.col("R"), F.lit(0))
     obs_n = F.coalesce(F.col("O"), F.lit(0))
-    label = F.element_at(F.array(*[F.lit(m) for m in MONTH_ABB]), F.col("month_num"))
+    label = F.when(
+        F.col("month_num").isNotNull(), F.element_at(F.array(*[F.lit(m) for m in MONTH_ABB]), F.col("month_num"))
+    )
     return g.select(
         block,
         species,

@@ -30,7 +30,47 @@ def date_range(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.min(column).alias(f"min_{column}"), F.max(column).alias(f"max_{column}"))
 
 
+def quality_report(obs: DataFrame, names: DataFrame) -> DataFrame:
+    """All observation checks as one table (check, key, n); an empty table is a pass.
+
+    * ``duplicate_checklist_species``: a species twice on one checklist
+    * ``multi_start_checklist``: a checklist with more than one start time
+    * ``multi_location_checklist``: a checklist at more than one latitude
+    * ``block_without_name`` / ``name_without_observations``: lookup gaps both ways
+    """
+    key_n = ["check", "key", "n"]
+    dup = duplicate_keys(obs, ["checklist_id", "common_name"]).select(
+        F.lit("duplicate_checklist_species").alias("check"),
+        F.concat_ws("|", "checklist_id", "common_name").alias("key"),
+        "n",
+    )
+    starts = multi_valued_keys(obs, "checklist_id", "observation_datetime").select(
+        F.lit("multi_start_checklist").alias("check"), F.col("checklist_id").alias("key"), "n"
+    )
+    places = multi_valued_keys(obs, "checklist_id", "latitude").select(
+        F.lit("multi_location_checklist").alias("check"), F.col("checklist_id").alias("key"), "n"
+    )
+    per_block = count_by(obs, ["pba3_block"])
+    no_name = anti_join(per_block, names, ["pba3_block"]).select(
+        F.lit("block_without_name").alias("check"), F.col("pba3_block").alias("key"), "n"
+    )
+    no_obs = anti_join(names.select("pba3_block").distinct(), per_block, ["pba3_block"]).select(
+        F.lit("name_without_observations").alias("check"), F.col("pba3_block").alias("key"), F.lit(0).cast("long").alias("n")
+    )
+    return union_rows(dup, starts, places, no_name, no_obs).select(*key_n)
+
+
+def offending_rows(obs: DataFrame, bad_keys: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
+    """Distinct rows of the offending keys, every column as text (for export)."""
+    from blockwise.operators.joins import semi_join
+
+    rows = semi_join(obs.select(*cols).distinct(), bad_keys, [key])
+    return rows.select([F.col(c).cast("string").alias(c) for c in cols])
+
+
 __all__ = [
+    "quality_report",
+    "offending_rows",
     "keys_missing_both_ways",
     "duplicate_keys",
     "one_to_one_violations",

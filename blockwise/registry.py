@@ -154,7 +154,7 @@ def q_scan_parquet(spark, sf):
     )
 
 
-@register("csv_roundtrip", rows_only=True)
+@register("csv_roundtrip")
 def q_csv_roundtrip(spark, sf):
     path = scratch(spark, "csv")
     src = fx.raw_observations(spark, sf).select("atlas_block", "checklist_id", "common_name", "observation_count")
@@ -618,7 +618,7 @@ def q_collapse_shared(spark, sf):
     return r6(CL.collapse_shared(rows))
 
 
-@register("calendar_build", rows_only=True)
+@register("calendar_build")
 def q_calendar_build(spark, sf):
     """Calendar delivered as CSV text with a header line per file, read back by
     position with the first line of each file skipped, then built."""
@@ -863,6 +863,18 @@ def q_class_balance(spark, sf):
     return A.count_by(c, ["checklist_type"])
 
 
+@register("quality_report")
+def q_quality_report(spark, sf):
+    return QC.quality_report(obs(spark, sf), fx.block_names(spark, sf))
+
+
+@register("dupe_start_export")
+def q_dupe_start_export(spark, sf):
+    o = obs(spark, sf)
+    cols = ["pba3_block", "checklist_id", "observer_id", "observation_date", "time_observations_started", "observation_datetime"]
+    return QC.offending_rows(o, CL.dupe_start_checklists(o), "checklist_id", cols)
+
+
 @register("multi_valued_keys")
 def q_multi_valued_keys(spark, sf):
     return CL.dupe_start_checklists(obs(spark, sf))

@@ -49,10 +49,28 @@ def rows(df: pd.DataFrame) -> list[tuple]:
     return sorted(out, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
+SPARK_TO_DUCK = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+    "date": "DATE",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
+
 def compare(spark, name, fn, sql, sf_dir):
-    sp = fn(spark, sf_dir).toPandas()
-    dk = duck(sf_dir).execute(sql).df()
+    sdf = fn(spark, sf_dir)
+    sp = sdf.toPandas()
+    rel = duck(sf_dir).sql(sql)
+    dk = rel.df()
     problems = []
+    st = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
+    dt = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    bad_types = {c: (st[c], dt.get(c)) for c in st if c in dt and st[c] != dt[c]}
+    if bad_types:
+        problems.append(f"types {bad_types}")
     if sorted(sp.columns) != sorted(dk.columns):
         problems.append(f"columns spark={sorted(sp.columns)} duck={sorted(dk.columns)}")
         return problems, sp, dk

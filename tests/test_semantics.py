@@ -100,3 +100,8 @@ def test_safe_date_formats(spark):  # F14
 def test_kleene_flags(spark):  # F18
     df = spark.createDataFrame([(None, True), (None, False), (True, True)], "a boolean, b boolean")
     assert [r["x"] for r in df.select((F.col("a") & F.col("b")).alias("x")).collect()] == [None, False, True]
+
+
+def test_month_label_null_date_is_null(spark):  # element_at with a NULL index must not pick the last month
+    df = spark.createDataFrame([(None,), (dt.date(2024, 3, 5),)], "d date")
+    assert [r["m"] for r in df.select(S.month_label("d").alias("m")).collect()] == [None, "Mar"]
