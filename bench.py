@@ -26,6 +26,7 @@ from blockwise.plans.reports import completion_flags, progress_table, report_cod
 from blockwise.plans.season import block_season_summary, checklist_grain, species_grain, summary_grains  # noqa: E402
 from blockwise.session import ensure_checkpoint_dir, get_session  # noqa: E402
 from blockwise.sources import fixtures as fx  # noqa: E402
+from blockwise.sources.io import write_observations  # noqa: E402
 
 
 def run(df) -> None:
@@ -45,12 +46,10 @@ def main() -> None:
     obs_path = f"{base}/bench-obs-{uuid.uuid4().hex}"
     times: dict[str, float] = {}
 
-    # Written as several files, as a cluster job would; the test tables are a
-    # single row group each, which would otherwise pin every scan to one task.
-    parts = spark.sparkContext.defaultParallelism
-    times["clean_observations_write"] = timed(
-        lambda: fx.observations(spark, sf_dir).repartition(parts).write.mode("overwrite").parquet(obs_path)
-    )
+    # Written as several files clustered by checklist and sorted by block
+    # (sources.io.write_observations); the test tables are a single row group
+    # each, which would otherwise pin every scan to one task.
+    times["clean_observations_write"] = timed(lambda: write_observations(fx.observations(spark, sf_dir), obs_path))
     obs = spark.read.parquet(obs_path)
     names = fx.block_names(spark, sf_dir)
     noct = fx.nocturnal_species(spark, sf_dir)

@@ -287,3 +287,16 @@ def block_season_summary(
     out = with_block_names(m, names)
     cols = SUMMARY_COLUMNS + (["effort_breakdown"] if nested else [])
     return out.select(*cols)
+
+
+def summary_with_polygons(
+    polygons: DataFrame, summary: DataFrame, block: str = "pba3_block", null_safe: bool = False
+) -> DataFrame:
+    """Old-atlas polygons (with their new block id from the crosswalk) left-joined to the summary.
+
+    Every polygon is kept; a polygon with several seasons gets one row per
+    season. ``null_safe=True`` copies dplyr's NULL-matching join (T1): every
+    polygon without a new block then takes the summary of the NULL block, if
+    there is one. The default matches only real block ids.
+    """
+    return join_on(polygons, summary, [block], "left", null_safe=null_safe)

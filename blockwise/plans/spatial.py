@@ -21,50 +21,58 @@ from blockwise.operators.joins import union_rows
 HULL_SALTS = 32
 
 
-def _hull(xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
-    """Monotone-chain convex hull, counter-clockwise, no repeated end point."""
-    pts = np.unique(np.column_stack([xs, ys]), axis=0)
-    if len(pts) <= 2:
-        return pts
-
-    def cross(o, a, b):
-        return (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
-
-    lower: list = []
-    for p in pts:
-        while len(lower) >= 2 and cross(lower[-2], lower[-1], p) <= 0:
-            lower.pop()
-        lower.append(tuple(p))
-    upper: list = []
-    for p in pts[::-1]:
-        while len(upper) >= 2 and cross(upper[-2], upper[-1], p) <= 0:
-            upper.pop()
-        upper.append(tuple(p))
-    return np.array(lower[:-1] + upper[:-1])
-
-
-def _interior_point(h: np.ndarray) -> tuple[float, float]:
-    """Point on surface of a convex ring: middle of the scan line between the vertex
-    heights nearest the envelope centre; a point or segment gives its first point."""
-    if len(h) <= 2:
-        return float(h[0][0]), float(h[0][1])
-    ys = h[:, 1]
-    lo_y, hi_y = ys.min(), ys.max()
-    centre = (lo_y + hi_y) / 2
-    below = ys[(ys <= centre) & (ys > lo_y)]
-    above = ys[(ys > centre) & (ys < hi_y)]
-    lo = below.max() if len(below) else lo_y
-    hi = above.min() if len(above) else hi_y
-    y = (lo + hi) / 2
-    xs = []
-    n = len(h)
-    for i in range(n):
-        (x1, y1), (x2, y2) = h[i], h[(i + 1) % n]
-        if (y1 > y) != (y2 > y):
-            xs.append(x1 + (y - y1) * (x2 - x1) / (y2 - y1))
-    if len(xs) < 2:
-        return float(h[0][0]), float(y)
-    return float((min(xs) + max(xs)) / 2), float(y)
+def _geometry_helpers():
+    """Hull and interior-point helpers, built inside a function so that the
+    pandas functions that use them are shipped to executors by value (no
+    import of this package is needed on the workers)."""
+    import numpy as np
+
+    def _hull(xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+        """Monotone-chain convex hull, counter-clockwise, no repeated end point."""
+        pts = np.unique(np.column_stack([xs, ys]), axis=0)
+        if len(pts) <= 2:
+            return pts
+
+        def cross(o, a, b):
+            return (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
+
+        lower: list = []
+        for p in pts:
+            while len(lower) >= 2 and cross(lower[-2], lower[-1], p) <= 0:
+                lower.pop()
+            lower.append(tuple(p))
+        upper: list = []
+        for p in pts[::-1]:
+            while len(upper) >= 2 and cross(upper[-2], upper[-1], p) <= 0:
+                upper.pop()
+            upper.append(tuple(p))
+        return np.array(lower[:-1] + upper[:-1])
+
+
+    def _interior_point(h: np.ndarray) -> tuple[float, float]:
+        """Point on surface of a convex ring: middle of the scan line between the vertex
+        heights nearest the envelope centre; a point or segment gives its first point."""
+        if len(h) <= 2:
+            return float(h[0][0]), float(h[0][1])
+        ys = h[:, 1]
+        lo_y, hi_y = ys.min(), ys.max()
+        centre = (lo_y + hi_y) / 2
+        below = ys[(ys <= centre) & (ys > lo_y)]
+        above = ys[(ys > centre) & (ys < hi_y)]
+        lo = below.max() if len(below) else lo_y
+        hi = above.min() if len(above) else hi_y
+        y = (lo + hi) / 2
+        xs = []
+        n = len(h)
+        for i in range(n):
+            (x1, y1), (x2, y2) = h[i], h[(i + 1) % n]
+            if (y1 > y) != (y2 > y):
+                xs.append(x1 + (y - y1) * (x2 - x1) / (y2 - y1))
+        if len(xs) < 2:
+            return float(h[0][0]), float(y)
+        return float((min(xs) + max(xs)) / 2), float(y)
+
+    return _hull, _interior_point
 
 
 def hull_and_point(points: DataFrame, group: str, x: str = "longitude", y: str = "latitude") -> DataFrame:
@@ -73,6 +81,7 @@ def hull_and_point(points: DataFrame, group: str, x: str = "longitude", y: str =
         F.col(group).alias("g"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
     ).distinct()
     salted = pts.withColumn("salt", F.pmod(F.xxhash64("x", "y"), F.lit(HULL_SALTS)))
+    _hull, _interior_point = _geometry_helpers()
 
     def partial(pdf: pd.DataFrame) -> pd.DataFrame:
         h = _hull(pdf["x"].to_numpy(), pdf["y"].to_numpy())

@@ -810,6 +810,15 @@ def q_block_crosswalk(spark, sf):
     return SP.block_crosswalk(o, fx.grid_squares(o))
 
 
+@register("summary_polygons", rows_only=True)
+def q_summary_polygons(spark, sf):
+    o = obs(spark, sf)
+    squares = fx.grid_squares(o)
+    cw = SP.block_crosswalk(o, squares)
+    polys = squares.join(cw, "pba2_block", "left")
+    return SE.summary_with_polygons(polys, summary(spark, sf))
+
+
 # ---------------------------------------------------------------- 2.11 statistics
 
 

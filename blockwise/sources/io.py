@@ -108,6 +108,24 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     w.parquet(path)
 
 
+def write_observations(obs: DataFrame, path: str, partitions: int | None = None) -> None:
+    """Write processed observations laid out for the jobs that read them.
+
+    Rows are hash-partitioned by checklist, so the checklist-grain partial
+    aggregate collapses each checklist's species rows before any shuffle, and
+    each file is sorted by (block, checklist), so a one-block filter (the
+    block report) skips row groups by their min/max statistics. Hash
+    partitioning on checklist spreads a hot block over every file.
+    """
+    n = partitions or obs.sparkSession.sparkContext.defaultParallelism
+    (
+        obs.repartition(n, "checklist_id")
+        .sortWithinPartitions("pba3_block", "checklist_id")
+        .write.mode("overwrite")
+        .parquet(path)
+    )
+
+
 def write_csv_text(df: DataFrame, path: str) -> None:
     """Everything cast to text first (``mutate(across(everything(), as.character))``)."""
     df.select([F.col(c).cast("string").alias(c) for c in df.columns]).write.mode("overwrite").option(
