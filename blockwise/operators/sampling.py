@@ -91,17 +91,32 @@ def sample_weighted_prop(df: DataFrame, prop: float, weight: str, key_cols: Sequ
 
 
 def sample_per_group(
-    df: DataFrame, group: Sequence[str], n: int, key_cols: Sequence[str], seed: int = 42, salts: int = 64
+    df: DataFrame, group: Sequence[str], n: int, key_cols: Sequence[str], seed: int = 42, slack: float = 3.0
 ) -> DataFrame:
-    """``group_by(g) |> slice_sample(n)``: the ``n`` smallest hash keys per group.
-
-    Two stages: each (group, salt) slice keeps its own ``n`` smallest, then the
-    group keeps ``n`` of at most ``salts * n`` survivors — a hot group is split
-    over ``salts`` tasks instead of sorted in one.
+    """``group_by(g) |> slice_sample(n)``: exactly the ``n`` smallest hash keys per group.
+
+    Each group's rows are first cut by a map-side filter ``u < slack * n / N_g``
+    (``N_g`` from one partial aggregate), so only about ``slack * n`` candidates
+    per group reach the final window — a group holding a third of the data is
+    never sorted or gathered in one task. The cut is exact: a group that kept
+    fewer than ``min(n, N_g)`` candidates (vanishingly rare) is redone with
+    the filter lifted for that group only.
     """
-    u = hash_uniform(key_cols, seed)
-    keyed = df.withColumn("__u", u).withColumn("__salt", F.pmod(F.xxhash64(F.col("__u")), F.lit(salts)))
-    w1 = Window.partitionBy(*group, "__salt").orderBy("__u")
-    stage1 = keyed.withColumn("__r", F.row_number().over(w1)).where(F.col("__r") <= n)
-    w2 = Window.partitionBy(*group).orderBy("__u")
-    return stage1.withColumn("__r", F.row_number().over(w2)).where(F.col("__r") <= n).drop("__u", "__salt", "__r")
+    group = list(group)
+    keyed = df.withColumn("__u", hash_uniform(key_cols, seed))
+    sizes = keyed.groupBy(*group).agg(F.count(F.lit(1)).alias("__N"))
+    cut = F.least(F.lit(1.0), F.lit(slack * n) / F.col("__N"))
+    with_n = keyed.join(sizes, on=group, how="inner")
+    cand = with_n.where(F.col("__u") < cut)
+    short = (
+        cand.groupBy(*group, "__N")
+        .agg(F.count(F.lit(1)).alias("__c"))
+        .where(F.col("__c") < F.least(F.lit(n), F.col("__N")))
+        .select(*group)
+    )
+    if short.limit(1).count() > 0:
+        # Lift the filter for the few short groups (exactness); others keep their cut.
+        redo = with_n.join(short, on=group, how="left_semi")
+        cand = cand.join(short, on=group, how="left_anti").unionByName(redo)
+    w = Window.partitionBy(*group).orderBy("__u")
+    return cand.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__u", "__N", "__r")

@@ -128,3 +128,23 @@ def test_top_n_by_key_large_path_exact(spark, monkeypatch):
 
 def test_exp_seq_matches_r():
     assert exp_seq(3, 15, 5) == [3.0, 4.0, 7.0, 10.0, 15.0]
+
+
+def test_sample_per_group_exact_against_brute_force(spark):
+    from pyspark.sql import Window
+
+    from blockwise.operators.sampling import hash_uniform
+
+    df = spark.range(0, 3000).withColumn(
+        "g", F.when(F.col("id") < 2000, "hot").when(F.col("id") < 2990, "mid").otherwise("tiny")
+    )
+    w = Window.partitionBy("g").orderBy("u")
+    brute = (
+        df.withColumn("u", hash_uniform(["id"], 5))
+        .withColumn("r", F.row_number().over(w))
+        .where(F.col("r") <= 40)
+    )
+    want = sorted((r["g"], r["id"]) for r in brute.collect())
+    for slack in (3.0, 0.5):  # 0.5 forces the exact redo path for short groups
+        got = sorted((r["g"], r["id"]) for r in sample_per_group(df, ["g"], 40, ["id"], seed=5, slack=slack).collect())
+        assert got == want
