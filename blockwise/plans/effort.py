@@ -15,6 +15,10 @@ from blockwise.plans.clean import apply_start_fix
 from blockwise.session import LOCAL_TZ
 
 CLASSES = ["diurnal", "nocturnal", "unknown"]
+# A start counts as daytime from 40 minutes before sunrise to
+# 20 minutes after sunset (both ends included).
+MINUTES_BEFORE_SUNRISE = 40
+MINUTES_AFTER_SUNSET = 20
 DURATION_COLS = [f"duration_hours_{c}" for c in CLASSES]
 
 
@@ -38,8 +42,8 @@ def classify_checklists(
     fixed: DataFrame | None = None,
     group: Sequence[str] = (),
     tz: str = LOCAL_TZ,
-    before_min: int = 40,
-    after_min: int = 20,
+    before_min: int = MINUTES_BEFORE_SUNRISE,
+    after_min: int = MINUTES_AFTER_SUNSET,
 ) -> DataFrame:
     """One row per (group..., pba3_block, checklist_id, longitude, latitude) with its class.
 

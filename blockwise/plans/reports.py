@@ -12,6 +12,16 @@ from blockwise.operators.reshape import pivot_longer
 from blockwise.plans.lookups import ALL_SEASONS
 from blockwise.plans.season import season_fanout
 
+# Completion criteria thresholds.
+MIN_CODED_SPECIES = 70
+MIN_CONFIRMED_SHARE = 0.25
+MAX_POSSIBLE_SHARE = 0.25
+MIN_CODED_VS_OLD_ATLAS = 0.8
+MIN_EFFORT_HOURS = 20
+MIN_BREEDING_MONTHS = 3
+MIN_NOCTURNAL_SPECIES = 2
+MIN_NOCTURNAL_HOURS = 2
+
 FLAGS = [
     "flag_coded_species",
     "flag_confirmed_pct",
@@ -43,13 +53,14 @@ def completion_flags(summary: DataFrame, season: str = ALL_SEASONS) -> DataFrame
     )
     s = s.withColumns(
         {
-            "flag_coded_species": F.col("species_coded") >= 70,
-            "flag_confirmed_pct": F.col("confirmed_pct") >= 0.25,
-            "flag_possible_pct": F.col("possible_pct") < 0.25,
-            "flag_coded_atlas_comparison": F.col("pba3_pba2_coded_count_compare_pct") >= 0.8,
-            "flag_20_effort_hours": F.col("duration_hours_total") >= 20,
-            "flag_breeeding_season_coverage": F.col("breeding_season_months_covered") >= 3,
-            "flag_nocturnal_coverage": (F.col("nocturnal_species_coded") >= 2) | (F.col("duration_hours_nocturnal") >= 2),
+            "flag_coded_species": F.col("species_coded") >= MIN_CODED_SPECIES,
+            "flag_confirmed_pct": F.col("confirmed_pct") >= MIN_CONFIRMED_SHARE,
+            "flag_possible_pct": F.col("possible_pct") < MAX_POSSIBLE_SHARE,
+            "flag_coded_atlas_comparison": F.col("pba3_pba2_coded_count_compare_pct") >= MIN_CODED_VS_OLD_ATLAS,
+            "flag_20_effort_hours": F.col("duration_hours_total") >= MIN_EFFORT_HOURS,
+            "flag_breeeding_season_coverage": F.col("breeding_season_months_covered") >= MIN_BREEDING_MONTHS,
+            "flag_nocturnal_coverage": (F.col("nocturnal_species_coded") >= MIN_NOCTURNAL_SPECIES)
+            | (F.col("duration_hours_nocturnal") >= MIN_NOCTURNAL_HOURS),
         }
     )
     all_ok = F.col(FLAGS[0])

@@ -202,9 +202,11 @@ def q_blocks_source(spark, sf):
 
 @register("select_reorder")
 def q_select_reorder(spark, sf):
-    return R.select_matching(
-        obs(spark, sf), first=["checklist_id", "pba3_block"], starts_with="breeding", contains="month",
-        any_of=["longitude", "no_such_column"], drop=["observation_month_num"],
+    return r6(
+        R.select_matching(
+            obs(spark, sf), first=["checklist_id", "pba3_block"], starts_with="breeding", contains="month",
+            any_of=["longitude", "no_such_column"], drop=["observation_month_num"],
+        )
     )
 
 
@@ -297,7 +299,7 @@ def q_left_join_multi(spark, sf):
     per = o.groupBy("pba3_block", "checklist_id", "longitude", "latitude").agg(
         F.min("observation_datetime").alias("observation_datetime")
     )
-    return J.join_on(per, EF.sun_times(o), ["longitude", "latitude", "observation_datetime"], "left")
+    return r6(J.join_on(per, EF.sun_times(o), ["longitude", "latitude", "observation_datetime"], "left"))
 
 
 @register("inner_join_season")
@@ -330,7 +332,7 @@ def q_join_null_safe(spark, sf):
 def q_spatial_covers(spark, sf):
     o = obs(spark, sf)
     pts = o.select("checklist_id", F.col("longitude").alias("px"), F.col("latitude").alias("py")).distinct()
-    return SP.covers_join(fx.grid_squares(o), pts).drop("ring")
+    return r6(SP.covers_join(fx.grid_squares(o), pts).drop("ring"))
 
 
 @register("full_outer_compare")
@@ -638,7 +640,7 @@ def q_calendar_view(spark, sf):
 
 @register("sun_times")
 def q_sun_times(spark, sf):
-    return EF.sun_times(fx.visits(spark, sf))
+    return r6(EF.sun_times(fx.visits(spark, sf)))
 
 
 @register("season_fanout")
@@ -750,7 +752,7 @@ def q_report_codes(spark, sf):
 
 @register("checklist_density")
 def q_checklist_density(spark, sf):
-    return RP.checklist_density(obs(spark, sf), REPORT_BLOCK, REPORT_SEASON)
+    return r6(RP.checklist_density(obs(spark, sf), REPORT_BLOCK, REPORT_SEASON))
 
 
 @register("effort_over_time")
@@ -831,7 +833,7 @@ def q_log_breaks(spark, sf):
 def q_step_bins(spark, sf):
     d = RP_density_points(spark, sf)
     brks = [r["brk"] for r in ST.log_breaks(d, "checklist_count").collect()]
-    return ST.step_bins(d, "checklist_count", brks)
+    return r6(ST.step_bins(d, "checklist_count", brks))
 
 
 @register("histogram")

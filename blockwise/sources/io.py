@@ -11,8 +11,10 @@ from pyspark.sql import types as T
 from blockwise.functions.semantics import squish
 
 MONTH_ALT = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
-# Fixed value: pattern of the release tag in an extract file name, e.g. "relMay-2026.txt".
+# Pattern of the release tag in an extract file name (e.g.
+# "relMay-2026.txt") and the sentence the tag is shown in.
 RELEASE_PATTERN = rf"({MONTH_ALT})-\d{{4}}\.txt"
+RELEASE_SENTENCE = "Data includes checklists from Jan-2024 to"
 
 
 def read_parquet(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -84,7 +86,7 @@ def release_tag(df: DataFrame, path_col: str = "path") -> DataFrame:
     return df.select(
         F.col(path_col),
         F.when(tag != "", tag).alias("release"),
-        F.when(tag != "", F.concat_ws(" ", F.lit("Data includes checklists from Jan-2024 to"), tag)).alias(
+        F.when(tag != "", F.concat_ws(" ", F.lit(RELEASE_SENTENCE), tag)).alias(
             "release_sentence"
         ),
     )
