@@ -61,6 +61,13 @@ def classify_checklists(
     )
     if fixed is not None:
         per = apply_start_fix(per, fixed)
+    return add_day_night_class(per, tz, before_min, after_min)
+
+
+def add_day_night_class(
+    per: DataFrame, tz: str = LOCAL_TZ, before_min: int = MINUTES_BEFORE_SUNRISE, after_min: int = MINUTES_AFTER_SUNSET
+) -> DataFrame:
+    """Add ``checklist_type`` from ``observation_datetime``, ``longitude``, ``latitude``."""
     per = with_sun_events_utc(per, "longitude", "latitude", F.to_date("observation_datetime"), "__rise", "__set")
     start = to_utc("observation_datetime", tz)
     day = start.between(
@@ -72,6 +79,40 @@ def classify_checklists(
     return per.withColumn("checklist_type", kind).drop("__rise", "__set", "__day")
 
 
+def classify_by_season(
+    grain: DataFrame,
+    season_fanout,
+    season: str | None = None,
+    tz: str = LOCAL_TZ,
+    before_min: int = MINUTES_BEFORE_SUNRISE,
+    after_min: int = MINUTES_AFTER_SUNSET,
+) -> DataFrame:
+    """Per (season, block, checklist, place) class, classifying each place once.
+
+    Same rows as fanning ``grain`` out to seasons and then classifying per
+    season. A checklist place whose rows all fall in one month has the same
+    start and duration in every season that contains the month, so it is
+    classified once and then fanned out; the (in practice absent) places that
+    span months take the per-season path. ``season_fanout(df, season)`` is
+    the season join to use.
+    """
+    from blockwise.operators.joins import join_on
+
+    loc = ["pba3_block", "checklist_id", "longitude", "latitude"]
+    per = grain.groupBy(*loc).agg(
+        F.min("observation_datetime").alias("observation_datetime"),
+        F.coalesce(F.max("duration_minutes"), F.lit(0.0)).cast("double").alias("duration_minutes"),
+        F.min("observation_month_num").alias("__m0"),
+        F.max("observation_month_num").alias("__m1"),
+    )
+    single = per.where(F.col("__m0") == F.col("__m1")).withColumnRenamed("__m0", "observation_month_num").drop("__m1")
+    single = season_fanout(add_day_night_class(single, tz, before_min, after_min), season).drop("observation_month_num")
+    spanning = per.where(F.col("__m0") != F.col("__m1")).select(*loc)
+    rest = join_on(grain, spanning, loc, "left_semi", null_safe=True)
+    rest = classify_checklists(season_fanout(rest, season), None, ["season"], tz, before_min, after_min)
+    return single.select(*rest.columns).unionByName(rest)
+
+
 def day_night_hours(classified: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """Hours per class, wide, missing classes 0: (group..., pba3_block, duration_hours_*)."""
     hours = [

@@ -17,7 +17,14 @@ from blockwise.functions.semantics import n_distinct, sum0
 from blockwise.operators.joins import combine_by_key, join_on, lookup, semi_join
 from blockwise.operators.reshape import explode_delimited
 from blockwise.plans.clean import apply_start_fix, modal_start_times
-from blockwise.plans.effort import classify_checklists, day_night_effort, day_night_hours, effort_by_date, nest_effort
+from blockwise.plans.effort import (
+    classify_by_season,
+    classify_checklists,
+    day_night_effort,
+    day_night_hours,
+    effort_by_date,
+    nest_effort,
+)
 from blockwise.plans.lookups import ALL_SEASONS, BREEDING, CODED_CLASSES, breeding_lookup, seasons
 from blockwise.session import LOCAL_TZ, materialize
 
@@ -188,7 +195,7 @@ def block_season_metrics(
     # The repaired start is per checklist, so it is applied once on the grain,
     # before the season fan-out (coverage keeps the reported starts, as the
     # reference does).
-    classified = classify_checklists(SE_fan(apply_start_fix(c_grain, fixed), season), None, group=["season"], tz=tz)
+    classified = classify_by_season(apply_start_fix(c_grain, fixed), season_fanout, season, tz)
     parts = [
         checklist_side(cg),
         species_side(sg, nocturnal, strict=strict),

@@ -44,3 +44,26 @@ def test_fused_summary_equals_branches_on_hot_block(spark):
         (F.max(F.when(F.col("pba3_block") == "HOT", F.col("checklist_count"))) / F.sum("checklist_count")).alias("s")
     ).first()["s"]
     assert share > 0.33
+
+
+def test_classify_by_season_equals_per_season_path(spark):
+    import datetime as dt
+
+    from blockwise.plans.effort import classify_by_season, classify_checklists
+
+    rows = [
+        ("B", "c1", -79.9, 40.4, 4, dt.datetime(2024, 4, 2, 6, 0), 30.0),
+        ("B", "c1", -79.9, 40.4, 12, dt.datetime(2024, 12, 2, 23, 0), 50.0),  # same place, another month
+        ("B", "c2", -79.9, 40.4, 6, dt.datetime(2024, 6, 1, 12, 0), None),
+        (None, "c3", -79.9, 40.4, 1, None, 10.0),
+    ]
+    g = spark.createDataFrame(
+        rows,
+        "pba3_block string, checklist_id string, longitude double, latitude double, observation_month_num int, "
+        "observation_datetime timestamp_ntz, duration_minutes double",
+    )
+    a = classify_by_season(g, SE.season_fanout)
+    b = classify_checklists(SE.season_fanout(g), None, ["season"])
+    cols = b.columns
+    assert sorted(map(tuple, a.select(*cols).collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+    assert a.count() == 7  # c1: All seasons, Breeding (Apr), Winter (Dec); c2: 2; c3: 2
