@@ -18,6 +18,7 @@ from blockwise.operators.joins import combine_by_key, join_on, lookup, semi_join
 from blockwise.operators.reshape import explode_delimited
 from blockwise.plans.clean import apply_start_fix, modal_start_times
 from blockwise.plans.effort import (
+    add_day_night_class,
     classify_by_season,
     classify_checklists,
     day_night_effort,
@@ -40,6 +41,40 @@ def season_fanout(obs: DataFrame, season: str | None = None, month_col: str = "o
     return obs.join(F.broadcast(s), on=month_col, how="inner")
 
 
+def aggregate_then_fan(
+    grain: DataFrame,
+    keys: list[str],
+    aggs: dict,
+    season: str | None = None,
+    transform=None,
+    month_col: str = "observation_month_num",
+) -> DataFrame:
+    """(season, keys..., aggregates): same rows as fanning ``grain`` out to seasons
+    and aggregating per (season, keys), with the shuffle on un-fanned rows.
+
+    A key whose rows all fall in one month has the same aggregates in every
+    season containing that month, so it is aggregated once and then fanned
+    out (a broadcast join, no shuffle). Keys spanning months (absent for
+    one-date checklists) are fanned first and aggregated per season.
+    ``transform`` (e.g. the day/night class) is applied to the aggregated
+    rows before they are fanned out.
+    """
+    from blockwise.operators.joins import join_on
+
+    named = [a.alias(n) for n, a in aggs.items()]
+    per = grain.groupBy(*keys).agg(*named, F.min(month_col).alias("__m0"), F.max(month_col).alias("__m1"))
+    one = per.where(F.col("__m0") == F.col("__m1")).withColumnRenamed("__m0", month_col).drop("__m1")
+    if transform is not None:
+        one = transform(one)
+    one = season_fanout(one, season, month_col).drop(month_col)
+    spanning = per.where(F.col("__m0") != F.col("__m1")).select(*keys)
+    rest = season_fanout(join_on(grain, spanning, keys, "left_semi", null_safe=True), season, month_col)
+    rest = rest.groupBy("season", *keys).agg(*[a.alias(n) for n, a in aggs.items()])
+    if transform is not None:
+        rest = transform(rest)
+    return one.select(*rest.columns).unionByName(rest)
+
+
 def checklist_count(fan: DataFrame) -> DataFrame:
     return fan.groupBy(*KEYS).agg(n_distinct("checklist_id").alias("checklist_count"))
 
@@ -129,7 +164,10 @@ def species_grain(obs: DataFrame) -> DataFrame:
     return obs.select(*SPECIES_GRAIN).distinct()
 
 
-def species_side(sg: DataFrame, nocturnal: DataFrame, min_rank: int = 2, strict: bool = False) -> DataFrame:
+def species_side(
+    sg: DataFrame, nocturnal: DataFrame, min_rank: int = 2, strict: bool = False, season: str | None = None,
+    fanned: bool = True,
+) -> DataFrame:
     """Fused species metrics per (season, block): species observed, species by highest
     category (absent class NULL, as an unfilled pivot), nocturnal species coded (0-filled).
 
@@ -141,7 +179,10 @@ def species_side(sg: DataFrame, nocturnal: DataFrame, min_rank: int = 2, strict:
     if strict:
         m = F.when(F.count_if(F.col("breeding_rank").isNull()) > 0, F.lit(None)).otherwise(m)
     noct = nocturnal.select("common_name").distinct().withColumn("__noct", F.lit(True))
-    per = sg.groupBy(*KEYS, "common_name").agg(m.alias("r"))
+    if fanned:
+        per = sg.groupBy(*KEYS, "common_name").agg(m.alias("r"))
+    else:
+        per = aggregate_then_fan(sg, ["pba3_block", "common_name"], {"r": m}, season)
     per = per.join(noct, "common_name", "left")
     classes = [
         F.when(F.count_if(F.col("r") == rank) > 0, F.count_if(F.col("r") == rank)).alias(name)
@@ -154,16 +195,18 @@ def species_side(sg: DataFrame, nocturnal: DataFrame, min_rank: int = 2, strict:
     )
 
 
-def checklist_side(cg: DataFrame) -> DataFrame:
+def checklist_side(cg: DataFrame, season: str | None = None, fanned: bool = True) -> DataFrame:
     """Fused checklist metrics per (season, block): checklist count, hours, km.
 
     One row per (season, block, checklist) first (longest duration and
     distance), so the count of those rows is the distinct checklist count
     (a NULL id counts once) and their sums are the two-level effort.
     """
-    per = cg.groupBy(*KEYS, "checklist_id").agg(
-        F.max("duration_minutes").alias("d"), F.max("effort_distance_km").alias("k")
-    )
+    aggs = {"d": F.max("duration_minutes"), "k": F.max("effort_distance_km")}
+    if fanned:
+        per = cg.groupBy(*KEYS, "checklist_id").agg(*[a.alias(n) for n, a in aggs.items()])
+    else:
+        per = aggregate_then_fan(cg, ["pba3_block", "checklist_id"], aggs, season)
     return per.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("checklist_count"),
         (sum0("d") / 60).alias("duration_hours_total"),
@@ -195,9 +238,20 @@ def block_season_metrics(
     # The repaired start is per checklist, so it is applied once on the grain,
     # before the season fan-out (coverage keeps the reported starts, as the
     # reference does).
-    classified = classify_by_season(apply_start_fix(c_grain, fixed), season_fanout, season, tz)
+    loc = ["pba3_block", "checklist_id", "longitude", "latitude"]
+    classified = aggregate_then_fan(
+        apply_start_fix(c_grain, fixed),
+        loc,
+        {
+            "observation_datetime": F.min("observation_datetime"),
+            "duration_minutes": F.coalesce(F.max("duration_minutes"), F.lit(0.0)).cast("double"),
+        },
+        season,
+        transform=lambda d: add_day_night_class(d, tz),
+    )
     parts = [
-        checklist_side(cg),
+        checklist_side(c_grain, season, fanned=False),
+        # Species are seen in many months, so their keys span seasons: fan first.
         species_side(sg, nocturnal, strict=strict),
         birders(cg),
         day_night_hours(classified, ["season"]),

@@ -67,3 +67,23 @@ def test_classify_by_season_equals_per_season_path(spark):
     cols = b.columns
     assert sorted(map(tuple, a.select(*cols).collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
     assert a.count() == 7  # c1: All seasons, Breeding (Apr), Winter (Dec); c2: 2; c3: 2
+
+
+def test_checklist_side_fan_late_equals_fan_first(spark):
+    import datetime as dt
+
+    rows = [
+        ("B", "c1", 4, 30.0, 1.0, dt.datetime(2024, 4, 2, 6, 0)),
+        ("B", "c1", 12, 50.0, None, dt.datetime(2024, 12, 2, 6, 0)),  # spans two seasons
+        ("B", "c2", 6, None, 2.0, None),
+        (None, "c3", 1, 10.0, 0.5, None),
+    ]
+    g = spark.createDataFrame(
+        rows,
+        "pba3_block string, checklist_id string, observation_month_num int, duration_minutes double, "
+        "effort_distance_km double, observation_datetime timestamp_ntz",
+    )
+    a = SE.checklist_side(g, fanned=False)
+    b = SE.checklist_side(SE.season_fanout(g))
+    cols = b.columns
+    assert sorted(map(tuple, a.select(*cols).collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
