@@ -30,14 +30,18 @@ def old_atlas_from_matrix(
     id_cols: Sequence[str],
     renames: dict[str, str] = TAXONOMY_RENAMES,
     drop_pattern: str = "N/A",
+    keep_first: int | None = None,
 ) -> DataFrame:
     """Wide old-atlas matrix -> (pba3_block, common_name, pba2 category, pba2 rank).
 
     Unpivot keeps blank cells as NULL rows (``pivot_longer`` default), species
     columns whose name holds ``drop_pattern`` are dropped, names are moved to
     the new taxonomy and "Observed/Possible" becomes "Observed". Only
-    ``distinct``, not max'ed, like the reference (T17).
+    ``distinct``, not max'ed, like the reference (T17). ``keep_first`` keeps
+    only the first N columns of the matrix (positional, as delivered).
     """
+    if keep_first is not None:
+        wide = wide.select(*wide.columns[:keep_first])
     long = pivot_longer(wide, list(id_cols), "common_name", "breeding_category_desc")
     long = long.where(~F.col("common_name").contains(drop_pattern))
     long = long.withColumns(

@@ -233,8 +233,8 @@ def block_season_metrics(
     c_grain, s_grain = grains if grains is not None else (checklist_grain(obs), species_grain(obs))
     if fixed is None:
         fixed = modal_start_times(c_grain)
-    cg = SE_fan(c_grain, season)
-    sg = SE_fan(s_grain, season)
+    cg = season_fanout(c_grain, season)
+    sg = season_fanout(s_grain, season)
     # The repaired start is per checklist, so it is applied once on the grain,
     # before the season fan-out (coverage keeps the reported starts, as the
     # reference does).
@@ -265,10 +265,6 @@ def block_season_metrics(
     return combine_by_key(parts, KEYS)
 
 
-def SE_fan(df: DataFrame, season: str | None) -> DataFrame:
-    return season_fanout(df, season)
-
-
 SUMMARY_COLUMNS = [
     "pba3_block",
     "block_name",

@@ -733,10 +733,10 @@ def q_progress_table(spark, sf):
 
 @register("missing_report")
 def q_missing_report(spark, sf):
-    return RP_missing(spark, sf)
+    return _missing_for_block(spark, sf)
 
 
-def RP_missing(spark, sf):
+def _missing_for_block(spark, sf):
     return cmp.missing_report(cmp.atlas_missing(compare_table(spark, sf)), fx.focal_species(spark, sf), MISSING_BLOCK)
 
 
@@ -799,10 +799,10 @@ def q_web_mercator(spark, sf):
 
 @register("bbox_buffer")
 def q_bbox_buffer(spark, sf):
-    return r6(SP.bbox_buffer(RP_density_points(spark, sf)))
+    return r6(SP.bbox_buffer(_density_points(spark, sf)))
 
 
-def RP_density_points(spark, sf):
+def _density_points(spark, sf):
     return RP.checklist_density(obs(spark, sf), REPORT_BLOCK, REPORT_SEASON)
 
 
@@ -826,12 +826,12 @@ def q_summary_polygons(spark, sf):
 
 @register("log_breaks")
 def q_log_breaks(spark, sf):
-    return ST.log_breaks(RP_density_points(spark, sf), "checklist_count")
+    return ST.log_breaks(_density_points(spark, sf), "checklist_count")
 
 
 @register("step_bins")
 def q_step_bins(spark, sf):
-    d = RP_density_points(spark, sf)
+    d = _density_points(spark, sf)
     brks = [r["brk"] for r in ST.log_breaks(d, "checklist_count").collect()]
     return r6(ST.step_bins(d, "checklist_count", brks))
 

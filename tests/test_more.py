@@ -111,3 +111,17 @@ def test_classify_respects_given_offsets(spark):
     assert classify_checklists(df).first()["checklist_type"] == "nocturnal"
     assert classify_checklists(df, before_min=60).first()["checklist_type"] == "diurnal"
     _ = F
+
+
+def test_old_atlas_matrix_rules(spark):
+    from blockwise.plans.compare import old_atlas_from_matrix
+
+    wide = spark.createDataFrame(
+        [("1", "B1", "n1", "Observed/Possible", None, "Confirmed", "Probable")],
+        "block string, pba3_block string, block_name string, `House Wren` string, `Blue Jay` string, "
+        "`N/A sp` string, `Late Col` string",
+    )
+    out = {(r["common_name"], r["pba2_breeding_category_max"], r["pba2_breeding_rank_max"])
+           for r in old_atlas_from_matrix(wide, ["block", "pba3_block", "block_name"], keep_first=6).collect()}
+    # renamed to the new taxonomy, recoded, blank kept as NULL, "N/A" column and columns past 6 dropped
+    assert out == {("Northern House Wren", "Observed", 1), ("Blue Jay", None, None)}
