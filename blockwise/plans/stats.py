@@ -99,7 +99,14 @@ def density(df: DataFrame, column: str, group: str | None = None, points: int =
         F.max(v).alias("hi"),
     )
     lim = F.least(F.col("sd"), (F.col("q3") - F.col("q1")) / 1.34)
-    lim = F.when(lim > 0, lim).otherwise(F.coalesce(F.when(F.col("sd") > 0, F.col("sd")), F.abs(F.col("lo")), F.lit(1.0)))
+    # bw.nrd0 fallbacks: min(sd, IQR/1.34), else sd, else |smallest value| (R takes the
+    # first value, which has no order here), else 1 — never 0.
+    lim = (
+        F.when(lim > 0, lim)
+        .when(F.col("sd") > 0, F.col("sd"))
+        .when(F.abs(F.col("lo")) > 0, F.abs(F.col("lo")))
+        .otherwise(F.lit(1.0))
+    )
     stats = stats.withColumn("h", 0.9 * lim * F.pow(F.col("N"), -0.2))
     stats = stats.withColumns({"glo": F.col("lo") - 3 * F.col("h"), "ghi": F.col("hi") + 3 * F.col("h")})
     stats = stats.withColumn("gstep", (F.col("ghi") - F.col("glo")) / (points - 1))

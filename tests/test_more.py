@@ -125,3 +125,9 @@ def test_old_atlas_matrix_rules(spark):
            for r in old_atlas_from_matrix(wide, ["block", "pba3_block", "block_name"], keep_first=6).collect()}
     # renamed to the new taxonomy, recoded, blank kept as NULL, "N/A" column and columns past 6 dropped
     assert out == {("Northern House Wren", "Observed", 1), ("Blue Jay", None, None)}
+
+
+def test_density_constant_zero_group(spark):
+    df = spark.createDataFrame([(0.0,)] * 10, "v double")
+    d = density(df, "v").collect()
+    assert len(d) > 0 and all(math.isfinite(r["density"]) for r in d)
