@@ -397,6 +397,16 @@ m AS (SELECT avg(CAST(observations AS DOUBLE) / checklist_count) AS mu,
         var_samp(CAST(observations AS DOUBLE) / checklist_count) AS v FROM es WHERE checklist_count > 0)
 SELECT round(mu * (mu * (1 - mu) / v - 1), 6) AS alpha, round((1 - mu) * (mu * (1 - mu) / v - 1), 6) AS beta,
   round(mu, 6) AS mean FROM m"""
+ORACLE["eb_rank_fitted"] = W + ",\n" + ES + """,
+m AS (SELECT avg(CAST(observations AS DOUBLE) / checklist_count) AS mu,
+        var_samp(CAST(observations AS DOUBLE) / checklist_count) AS v FROM es WHERE checklist_count > 0),
+p AS (SELECT mu * (mu * (1 - mu) / v - 1) AS a, (1 - mu) * (mu * (1 - mu) / v - 1) AS b FROM m)
+SELECT pba3_block, common_name, month_num, observations, checklist_count,
+  round(CAST(observations AS DOUBLE) / checklist_count, 6) AS raw,
+  round((observations + a) / (checklist_count + a + b), 6) AS fitted
+FROM es, p
+ORDER BY (observations + a) / (checklist_count + a + b) DESC, pba3_block, common_name, month_num
+LIMIT 20"""
 ORACLE["expected_species_state"] = W + ",\n" + ES + """
 SELECT common_name, CAST(sum(checklist_count) AS BIGINT) AS checklist_count, CAST(sum(observations) AS BIGINT) AS observations
 FROM es GROUP BY 1"""

@@ -716,6 +716,16 @@ def q_eb_shrink(spark, sf):
     return EX.weighted_rate(EX.eb_shrink(es, a, b))
 
 
+@register("eb_rank_fitted")
+def q_eb_rank_fitted(spark, sf):
+    """Top 20 block × species × month by shrunken rate (moment prior), ties by key."""
+    es = EX.eb_shrink_moments(EX.expected_species(obs(spark, sf)))
+    top = O.top_k(
+        es, 20, [F.col("fitted").desc(), F.col("pba3_block"), F.col("common_name"), F.col("month_num")]
+    )
+    return r6(top.select("pba3_block", "common_name", "month_num", "observations", "checklist_count", "raw", "fitted"))
+
+
 @register("expected_species_state")
 def q_expected_species_state(spark, sf):
     return EX.expected_species_total(EX.expected_species(obs(spark, sf)))
