@@ -1,0 +1,123 @@
+"""Beta-distribution quantiles as an Arrow-batched Pandas UDF.
+
+Spark has no inverse incomplete beta function, so the credible bounds of the
+shrunken rates use a small vectorised numpy routine: the regularised
+incomplete beta by its continued fraction (modified Lentz), inverted by
+safeguarded Newton steps. Accurate to ~1e-12.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+
+def _betacf(a: np.ndarray, b: np.ndarray, x: np.ndarray, iters: int = 400) -> np.ndarray:
+    tiny = 1e-300
+    qab, qap, qam = a + b, a + 1.0, a - 1.0
+    c = np.ones_like(x)
+    d = 1.0 - qab * x / qap
+    d = np.where(np.abs(d) < tiny, tiny, d)
+    d = 1.0 / d
+    h = d.copy()
+    for m in range(1, iters + 1):
+        m2 = 2.0 * m
+        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
+        d = 1.0 + aa * d
+        d = np.where(np.abs(d) < tiny, tiny, d)
+        c = 1.0 + aa / c
+        c = np.where(np.abs(c) < tiny, tiny, c)
+        d = 1.0 / d
+        h = h * d * c
+        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
+        d = 1.0 + aa * d
+        d = np.where(np.abs(d) < tiny, tiny, d)
+        c = 1.0 + aa / c
+        c = np.where(np.abs(c) < tiny, tiny, c)
+        d = 1.0 / d
+        delta = d * c
+        h = h * delta
+        if np.all(np.abs(delta - 1.0) < 1e-14):
+            break
+    return h
+
+
+def _log_beta(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    lg = np.vectorize(math.lgamma, otypes=[float])
+    return lg(a + b) - lg(a) - lg(b)
+
+
+def regularized_beta(x: np.ndarray, a: np.ndarray, b: np.ndarray, lbeta: np.ndarray | None = None) -> np.ndarray:
+    """I_x(a, b) for arrays of equal length (``lbeta`` = log Γ(a+b)/(Γ(a)Γ(b)) if known)."""
+    lbeta = _log_beta(a, b) if lbeta is None else lbeta
+    x = np.clip(x, 0.0, 1.0)
+    out = np.where(x >= 1.0, 1.0, 0.0)
+    inner = (x > 0.0) & (x < 1.0)
+    if inner.any():
+        xi, ai, bi = x[inner], a[inner], b[inner]
+        front = np.exp(lbeta[inner] + ai * np.log(xi) + bi * np.log1p(-xi))
+        direct = xi < (ai + 1.0) / (ai + bi + 2.0)
+        val = np.empty_like(xi)
+        if direct.any():
+            d = direct
+            val[d] = front[d] * _betacf(ai[d], bi[d], xi[d]) / ai[d]
+        if (~direct).any():
+            c = ~direct
+            val[c] = 1.0 - front[c] * _betacf(bi[c], ai[c], 1.0 - xi[c]) / bi[c]
+        out[inner] = val
+    return out
+
+
+def beta_quantile_np(p: float, a: np.ndarray, b: np.ndarray, max_iter: int = 60) -> np.ndarray:
+    """x with I_x(a, b) = p; NaN where a or b is not positive.
+
+    Safeguarded Newton steps (the beta density is the derivative) from a
+    normal-approximation start; a step that leaves the current bracket is
+    replaced by bisection, so it always converges.
+    """
+    from statistics import NormalDist
+
+    a = np.asarray(a, dtype=float)
+    b = np.asarray(b, dtype=float)
+    ok = (a > 0) & (b > 0) & np.isfinite(a) & np.isfinite(b)
+    aa, bb = np.where(ok, a, 1.0), np.where(ok, b, 1.0)
+    lb = _log_beta(aa, bb)
+    mean = aa / (aa + bb)
+    sd = np.sqrt(aa * bb / ((aa + bb) ** 2 * (aa + bb + 1.0)))
+    lo, hi = np.zeros_like(aa), np.ones_like(aa)
+    x = np.clip(mean + NormalDist().inv_cdf(p) * sd, 1e-12, 1.0 - 1e-12)
+    act = np.ones_like(x, dtype=bool)
+    for _ in range(max_iter):
+        i = np.flatnonzero(act)
+        if i.size == 0:
+            break
+        xi, ai, bi = x[i], aa[i], bb[i]
+        f = regularized_beta(xi, ai, bi, lb[i]) - p
+        lo[i] = np.where(f < 0, xi, lo[i])
+        hi[i] = np.where(f >= 0, xi, hi[i])
+        with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+            pdf = np.exp(lb[i] + (ai - 1.0) * np.log(xi) + (bi - 1.0) * np.log1p(-xi))
+            xn = xi - f / pdf
+        conv = np.abs(f) <= 1e-14
+        bad = ~conv & (~np.isfinite(xn) | (xn <= lo[i]) | (xn >= hi[i]))
+        xn = np.where(conv, xi, np.where(bad, (lo[i] + hi[i]) / 2.0, xn))
+        x[i] = xn
+        act[i] = ~conv & (np.abs(xn - xi) > 1e-15 * np.maximum(xi, 1e-300)) & (hi[i] - lo[i] > 1e-300)
+    return np.where(ok, x, np.nan)
+
+
+def beta_quantile(p: float, a: str | Column, b: str | Column) -> Column:
+    """Column of Beta(a, b) quantiles at probability ``p`` (Arrow-batched)."""
+
+    @F.pandas_udf(DoubleType())
+    def q(a_s: pd.Series, b_s: pd.Series) -> pd.Series:
+        return pd.Series(beta_quantile_np(p, a_s.to_numpy(dtype=float), b_s.to_numpy(dtype=float)))
+
+    col_a = F.col(a) if isinstance(a, str) else a
+    col_b = F.col(b) if isinstance(b, str) else b
+    return q(col_a.cast("double"), col_b.cast("double"))

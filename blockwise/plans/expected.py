@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockwise.functions.semantics import MONTH_ABB, n_distinct, parse_number
+from blockwise.functions.semantics import MONTH_ABB, n_distinct, parse_number, r_div
 from blockwise.operators.joins import join_on
 from blockwise.plans.lookups import BREEDING, SEASON_MONTHS
 
@@ -124,19 +124,40 @@ def beta_binomial_mle(
     return float(a), float(b)
 
 
-def eb_shrink(es: DataFrame, alpha: float, beta: float, x: str = "observations", n: str = "checklist_count") -> DataFrame:
-    """Add raw and shrunken rates: raw = x/n, fitted = (x+alpha)/(n+alpha+beta), posterior parameters."""
+def eb_shrink(
+    es: DataFrame,
+    alpha: float,
+    beta: float,
+    x: str = "observations",
+    n: str = "checklist_count",
+    cred_level: float | None = 0.95,
+) -> DataFrame:
+    """Add raw and shrunken rates: raw = x/n, fitted = (x+alpha)/(n+alpha+beta), posterior
+    parameters, and (``cred_level``) the equal-tailed credible bounds ``low`` / ``high``.
+
+    The bounds are Beta(alpha1, beta1) quantiles from an Arrow-batched Pandas
+    UDF (Spark has no inverse incomplete beta); Catalyst drops it when a
+    caller does not select them.
+    """
     if not (math.isfinite(alpha) and math.isfinite(beta)):
         raise ValueError("prior parameters must be finite")
-    return es.withColumns(
+    out = es.withColumns(
         {
             "alpha1": F.col(x) + F.lit(alpha),
             "beta1": F.col(n) - F.col(x) + F.lit(beta),
-            "raw": F.col(x) / F.col(n),
+            "raw": r_div(x, n),
             "fitted": (F.col(x) + F.lit(alpha)) / (F.col(n) + F.lit(alpha + beta)),
             "prior_mean": F.lit(alpha / (alpha + beta)),
         }
     )
+    if cred_level is None:
+        return out
+    from blockwise.functions.beta import beta_quantile
+
+    tail = (1.0 - cred_level) / 2.0
+    return out.withColumns(
+        {"low": beta_quantile(tail, "alpha1", "beta1"), "high": beta_quantile(1.0 - tail, "alpha1", "beta1")}
+    )
 
 
 def eb_shrink_moments(es: DataFrame, x: str = "observations", n: str = "checklist_count") -> DataFrame:

@@ -148,3 +148,12 @@ def test_sample_per_group_exact_against_brute_force(spark):
     for slack in (3.0, 0.5):  # 0.5 forces the exact redo path for short groups
         got = sorted((r["g"], r["id"]) for r in sample_per_group(df, ["g"], 40, ["id"], seed=5, slack=slack).collect())
         assert got == want
+
+
+def test_eb_credible_bounds(spark):
+    df = spark.createDataFrame([(0, 0), (3, 10), (40, 100)], "observations long, checklist_count long")
+    rows = EX.eb_shrink(df, 1.0, 1.0).collect()
+    first = rows[0]  # Beta(1, 1): quantiles are the probabilities
+    assert abs(first["low"] - 0.025) < 1e-9 and abs(first["high"] - 0.975) < 1e-9
+    for r in rows:
+        assert r["low"] < r["fitted"] < r["high"]
