@@ -16,6 +16,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+try:  # ship this module's helpers to executors by value (no package install needed there)
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001 - older cloudpickle: functions then travel by reference
+    pass
+
 
 def _betacf(a: np.ndarray, b: np.ndarray, x: np.ndarray, iters: int = 400) -> np.ndarray:
     tiny = 1e-300
