@@ -105,3 +105,13 @@ def test_kleene_flags(spark):  # F18
 def test_month_label_null_date_is_null(spark):  # element_at with a NULL index must not pick the last month
     df = spark.createDataFrame([(None,), (dt.date(2024, 3, 5),)], "d date")
     assert [r["m"] for r in df.select(S.month_label("d").alias("m")).collect()] == [None, "Mar"]
+
+
+def test_natural_join_uses_shared_names(spark):  # J3
+    from blockwise.operators.joins import natural_join
+
+    a = spark.createDataFrame([("b1", "c1", 1), ("b1", "c2", 2)], "pba3_block string, checklist_id string, x int")
+    b = spark.createDataFrame([("b1", "c1", 10)], "pba3_block string, checklist_id string, y int")
+    out = natural_join(a, b, "left").orderBy("checklist_id").collect()
+    assert [(r["checklist_id"], r["y"]) for r in out] == [("c1", 10), ("c2", None)]
+    assert natural_join(a, b).columns == ["pba3_block", "checklist_id", "x", "y"]
