@@ -87,3 +87,12 @@ def test_checklist_side_fan_late_equals_fan_first(spark):
     b = SE.checklist_side(SE.season_fanout(g))
     cols = b.columns
     assert sorted(map(tuple, a.select(*cols).collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+
+
+def test_summary_with_polygons_null_rule(spark):  # T1
+    polys = spark.createDataFrame([("P1", "B1"), ("P2", None)], "pba2_block string, pba3_block string")
+    summ = spark.createDataFrame([("B1", "All seasons", 5), (None, "All seasons", 7)], "pba3_block string, season string, n long")
+    strict = {(r["pba2_block"], r["n"]) for r in SE.summary_with_polygons(polys, summ).collect()}
+    dplyr = {(r["pba2_block"], r["n"]) for r in SE.summary_with_polygons(polys, summ, null_safe=True).collect()}
+    assert strict == {("P1", 5), ("P2", None)}
+    assert dplyr == {("P1", 5), ("P2", 7)}  # the unmatched polygon takes the NULL block's summary
