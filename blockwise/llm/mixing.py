@@ -32,7 +32,7 @@ from blockwise.llm.common import WORD, by_value, fixed, text_or_empty
 by_value(__name__)
 
 #: Documents of a flight block: the size of a task's group, whatever the source's size.
-BLOCK = 20_000
+BLOCK = 2_000
 #: Largest table of sources that is broadcast; beyond it the targets are joined by a shuffle.
 BROADCAST_SOURCES = 50_000
 EPS = 1e-9
