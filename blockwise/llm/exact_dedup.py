@@ -1,8 +1,9 @@
 """Exact duplicates by content sort (DataFrame operations only).
 
-Sampled splitters range-partition the normalised texts, each partition is
-sorted, equal texts become neighbours and a window over them compares the full
-normalised bytes. A text that holds more than a thousandth of all rows is
+Sampled splitters range-partition the normalised texts (by their first
+``HEAD`` characters, then a hash of the rest, so that the sample which goes to
+the driver stays small), each partition is sorted, equal texts become
+neighbours and a window over them compares the full normalised bytes. A text that holds more than a thousandth of all rows is
 spread over ``salts`` sort keys, and the at most ``salts`` winners of each such
 text are compared once more.
 
@@ -20,6 +21,10 @@ from pyspark.sql import functions as F
 from blockwise.llm.common import WS_RUN, fixed, frequent_keys, text_or_empty
 
 
+#: Characters of the normalised text that a splitter holds.
+HEAD = 48
+
+
 def normalised(text_col: str = "text") -> Column:
     return F.regexp_replace(text_or_empty(text_col), WS_RUN, "")
 
@@ -31,24 +36,24 @@ def _sorted_groups(docs: DataFrame, id_col: str, text_col: str, extra: list[str]
         *[F.col(c).alias(f"_x_{i}") for i, c in enumerate(extra)],
         F.char_length(text_or_empty(text_col)).cast("long").alias("_chars"),
         normalised(text_col).alias("_norm"),
-    ).withColumn("_key", F.xxhash64("_norm"))
+    ).withColumns({"_key": F.xxhash64("_norm"), "_head": F.substring("_norm", 1, HEAD)})
     hot = frequent_keys(base, "_key", hot_share)
     is_hot = F.col("_key").isin(hot) if hot else F.lit(False)
     salt = F.when(is_hot, F.pmod(F.xxhash64("_id", F.monotonically_increasing_id()), F.lit(salts))).otherwise(F.lit(-1))
     order = [F.col("_chars").desc(), F.col("_id").asc_nulls_last()]
-    whole = Window.partitionBy("_norm", "_salt").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    same = ["_head", "_key", "_norm", "_salt"]
+    whole = Window.partitionBy(*same).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
         base.withColumn("_salt", salt.cast("int"))
-        .drop("_key")
-        .repartitionByRange("_norm", "_salt")
+        .repartitionByRange("_head", "_key", "_salt")
         .select(
             "*",
-            F.row_number().over(Window.partitionBy("_norm", "_salt").orderBy(*order)).alias("_rank"),
+            F.row_number().over(Window.partitionBy(*same).orderBy(*order)).alias("_rank"),
             F.first("_id").over(whole).alias("_keep"),
             F.count(F.lit(1)).over(whole).alias("_size"),
         )
         .withColumn("_sha", F.sha2("_norm", 256))
-        .drop("_norm")
+        .drop("_norm", "_head", "_key")
     )
 
 
