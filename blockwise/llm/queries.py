@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockwise.llm import chat_format, exact_dedup, mixing, packing, token_counts
+from blockwise.llm import chat_format, exact_dedup, mixing, packing, pii, quality_rules, token_counts
 from blockwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,22 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"] < len(pii.BASE))
+    return found.select(
+        "doc_id",
+        *[F.size(pii.of_kind(spans, k)).cast("long").alias(f"n_{k}") for k in pii.BASE],
+        F.sha2(pii.written(base), 256).alias("base_sha256"),
+        pii.written(spans).alias("spans"),
+    )
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -88,8 +104,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
+    "op4_pii": op4_pii,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_chat_format": op7_chat_format,
+    "op8_quality_rules": op8_quality_rules,
     "op10_mix_sources": op10_mix_sources,
 }
 
