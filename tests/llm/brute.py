@@ -61,3 +61,29 @@ def removed_bytes(docs: list[tuple[int, bytes]], k: int = 100) -> dict[int, list
             seen.add(s)
         out[doc_id] = gone
     return out
+
+
+def shingles(text: str | None, width: int = 5) -> frozenset:
+    """Shingles of white-space separated words, ASCII letters in lower case."""
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = WORD.findall((text or "").translate(fold))
+    if len(words) < width:
+        return frozenset([tuple(words)] if words else [])
+    return frozenset(tuple(words[i : i + width]) for i in range(len(words) - width + 1))
+
+
+def jaccard_links(docs: list[tuple[int, str | None]], threshold: float = 0.8) -> set[tuple[int, int]]:
+    """Links between documents with different shingle sets (a < b), by an inverted index without any filter."""
+    from collections import Counter
+
+    sets = {d: shingles(t) for d, t in docs}
+    holders: dict[tuple, list[int]] = {}
+    for d in sorted(sets):
+        for s in sets[d]:
+            holders.setdefault(s, []).append(d)
+    common: Counter = Counter()
+    for ids in holders.values():
+        for i, a in enumerate(ids):
+            for b in ids[i + 1 :]:
+                common[a, b] += 1
+    return {(a, b) for (a, b), n in common.items() if sets[a] != sets[b] and n >= threshold * (len(sets[a]) + len(sets[b]) - n)}
