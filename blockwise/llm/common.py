@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from types import ModuleType
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,3 +80,11 @@ def text_chunks(texts: list[str | None], max_chars: int = 2_000_000) -> Iterator
             start, n = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def kept_by_worker(key: tuple, make: Callable[[], object]):
+    """What ``make`` returns, kept by a Python worker from task to task (functions shipped by value have no lasting globals)."""
+    store = sys.modules.setdefault("_blockwise_kept", ModuleType("_blockwise_kept")).__dict__.setdefault("store", {})
+    if key not in store:
+        store[key] = make()
+    return store[key]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockwise.llm.common import by_value, fixed, text_chunks
+from blockwise.llm.common import by_value, fixed, kept_by_worker, text_chunks
 from blockwise.llm.token_counts import LETTER, UNSURE
 
 by_value(__name__)
@@ -75,7 +75,7 @@ class WordEncoder:
 
 def _pieces(path: str, max_len: int, closing_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, closing = WordEncoder(path), np.array([closing_id], dtype="<u4").tobytes()
+        encoder, closing = kept_by_worker(("word encoder", path), lambda: WordEncoder(path)), np.array([closing_id], dtype="<u4").tobytes()
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
             row, start, length, crc, total = [], [], [], [], []

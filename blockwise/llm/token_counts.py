@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockwise.llm.common import by_value, text_chunks
+from blockwise.llm.common import by_value, kept_by_worker, text_chunks
 
 by_value(__name__)
 
@@ -39,7 +39,8 @@ LETTER = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 #: A text with one of these is split by the library itself: classes of Python's ``re`` may differ there.
 UNSURE = re.compile("[\x1c-\x1f\x85\xa0²³¹¼-¾İƀ-\U0010ffff]")
 PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^\s0-9{LETTER}]+|\s+(?!\S)|\s+")
-CONTRACTION_STARTS = {"'re": (1, 2, 0), "'ve": (1, 2, 0), "'ll": (1, 2, 0)}
+#: Contractions whose two-character prefix is two pieces.
+CONTRACTION_STARTS = {"'re", "'ve", "'ll"}
 #: Pieces kept by a task; the store is emptied when it is full.
 STORE = 300_000
 
@@ -55,6 +56,7 @@ class PrefixCounter:
     """Counts of every prefix for one ``tokenizers`` file of a byte-level BPE."""
 
     def __init__(self, path: str):
+        import ahocorasick
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -63,38 +65,66 @@ class PrefixCounter:
         word = lambda s: bytes(alphabet[c] for c in s)
         self.special = [t["content"] for t in spec["added_tokens"] if t["special"]]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        self.rank = {(word(a), word(b)): i for i, (a, b) in enumerate(pairs)}
-        self.vocab = {word(t) for t in spec["model"]["vocab"] if t not in self.special}
-        self.ends = {t[i:] for t in self.vocab for i in range(len(t))}
-        self.beside: dict[tuple[bytes, bytes], bool] = {}
+        self.vocab = [word(t) for t in spec["model"]["vocab"] if t not in self.special]
+        number = {t: k for k, t in enumerate(self.vocab)}
+        self.rank: dict[tuple[int, int], int] = {}
+        self.made_of: dict[int, tuple[int, int]] = {}
+        for i, (x, y) in enumerate(pairs):
+            x, y = word(x), word(y)
+            self.rank[number[x], number[y]] = i
+            self.made_of.setdefault(number[x + y], (number[x], number[y]))
+        self.sides: dict[tuple[int, int], list[tuple[int, float]]] = {}
+        # Finds the entries that end at each byte, the longest first. Bytes are looked up as Latin-1 characters.
+        self.ending = ahocorasick.Automaton()
+        for k, t in enumerate(self.vocab):
+            self.ending.add_word(t.decode("latin-1"), (len(t), k))
+        self.ending.make_automaton()
+        #: Pair of entry numbers (-1: nothing before) as one integer -> whether BPE leaves them side by side.
+        self.beside: dict[int, bool] = {}
         self.library = Tokenizer.from_file(path)
         self.total: dict[str, int] = {}
         self.inner: dict[str, object] = {}
 
-    def merged(self, parts: list[bytes]) -> list[bytes]:
-        rank = self.rank
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: rank.get((parts[i], parts[i + 1]), 1 << 60))
-            if (parts[best], parts[best + 1]) not in rank:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return parts
-
-    def fits(self, a: bytes, b: bytes) -> bool:
-        """Does BPE leave the tokens a and b side by side?"""
-        if len(self.beside) > 1_000_000:
+    def side(self, t: int, right: int) -> list[tuple[int, float]]:
+        """Entries at the right (1) or left (0) edge of t while t is merged, each with the rank of the merge that uses it up."""
+        if (t, right) not in self.sides:
+            parts = self.made_of.get(t)
+            inner = self.side(parts[right], right) if parts else []
+            if parts:
+                inner = [*inner[:-1], (inner[-1][0], self.rank[parts])]
+            self.sides[t, right] = [*inner, (t, float("inf"))]
+        return self.sides[t, right]
+
+    def fits(self, a: int, b: int) -> bool:
+        """Does BPE leave entries a and b side by side?
+
+        Merges happen in the order of their ranks, so it is enough to follow what stands at the border:
+        a merge across it must not come before the merge that uses up one of its two sides.
+        """
+        ok = True
+        if a >= 0:
+            left, right, i, j = self.side(a, 1), self.side(b, 0), 0, 0
+            while True:
+                (x, until_x), (y, until_y) = left[i], right[j]
+                across = self.rank.get((x, y), float("inf"))
+                if across < until_x and across <= until_y and across < float("inf"):
+                    ok = False
+                    break
+                if until_x == until_y == float("inf"):
+                    break
+                if until_x <= until_y:
+                    i += 1
+                else:
+                    j += 1
+        if len(self.beside) > 500_000:
             self.beside.clear()
-        whole = a + b
-        self.beside[a, b] = ok = self.merged([whole[i : i + 1] for i in range(len(whole))]) == ([a, b] if a else [b])
+        self.beside[(a << 32) + b] = ok
         return ok
 
     def learn(self, pieces: list[str]) -> None:
-        """Fill the store for ``pieces``; neighbours in sorted order share their common prefix."""
-        if len(self.total) + len(pieces) > STORE:
-            self.total.clear()
-            self.inner.clear()
-        ends, vocab, beside, fits = self.ends, self.vocab, self.beside, self.fits
-        before, last, count = b"", [b""], [0]
+        """Add ``pieces`` to the store; neighbours in sorted order share the states of their common prefix."""
+        matches, beside, fits = self.ending.iter, self.beside, self.fits
+        before, last, count = b"", [-1], [0]
         for piece in sorted(pieces):
             raw = piece.encode()
             same = 0
@@ -103,28 +133,25 @@ class PrefixCounter:
                     break
                 same += 1
             del last[same + 1 :], count[same + 1 :]
-            for i in range(same + 1, len(raw) + 1):
-                found, j = [], i - 1
-                while j >= 0 and (t := raw[j:i]) in ends:
-                    if t in vocab:
-                        found.append((j, t))
-                    j -= 1
-                for j, t in reversed(found):
-                    a = last[j]
-                    ok = beside.get((a, t))
+            found = same
+            for end, (n, t) in matches(raw.decode("latin-1")):
+                if end == found:
+                    begin = end + 1 - n
+                    a = last[begin]
+                    ok = beside.get((a << 32) + t)
                     if ok or ok is None and fits(a, t):
                         last.append(t)
-                        count.append(count[j] + 1)
-                        break
-                else:
-                    raise ValueError(f"no token of the vocabulary ends at byte {i} of {piece!r}")
+                        count.append(count[begin] + 1)
+                        found += 1
+            if found < len(raw):
+                raise ValueError(f"no token of the vocabulary ends at byte {found + 1} of {piece!r}")
             before = raw
             self.total[piece] = count[len(raw)]
             if len(raw) == len(piece):
                 chars = count[1 : len(raw) + 1]
             else:
                 chars = [count[k + 1] for k in range(len(raw)) if k + 1 == len(raw) or raw[k + 1] & 0xC0 != 0x80]
-            self.inner[piece] = bytes(chars) if chars[-1] < 250 and max(chars) < 256 else array("I", chars)
+            self.inner[piece] = bytes(chars) if len(chars) < 256 else array("I", chars)
 
     def pieces(self, text: str) -> list[str]:
         if UNSURE.search(text):
@@ -132,44 +159,44 @@ class PrefixCounter:
         return PIECE.findall(text)
 
     def known(self, texts: list[list[str]]) -> None:
-        new = set().union(*texts).difference(self.total) if texts else set()
-        if new:
-            if len(self.total) + len(new) > STORE:
-                new = set().union(*texts)
-            self.learn(list(new))
+        """Make sure that the store has every piece of ``texts``; a full store is emptied first."""
+        pieces = set().union(*texts)
+        new = pieces.difference(self.total)
+        if len(self.total) + len(new) > STORE:
+            self.total.clear()
+            self.inner.clear()
+            new = pieces
+        self.learn(list(new))
+
+    def counts(self, piece: str):
+        """Counts of the prefixes of one piece."""
+        if piece not in self.inner:
+            self.learn([piece])
+        return self.inner[piece]
 
     def plain_prefix_counts(self, text: str) -> list[int]:
         """Counts of all prefixes (index: code points) of a text without special strings."""
         pieces = self.pieces(text)
-        self.known([pieces])
         out, done, run_from, run_base = [0], 0, None, 0
         for piece in pieces:
-            inner = self.inner[piece]
+            inner = self.counts(piece)
             lead = len(piece) - len(piece.lstrip())
             if lead:
                 # A prefix that ends in white space has that whole run as its last piece.
                 if run_from is None:
                     run_from, run_base = len(out) - 1, done
-                run = text[run_from : len(out) - 1 + lead]
-                self.known([[run]])
-                counts = self.inner[run]
                 start = len(out) - 1 - run_from
-                out += [run_base + counts[start + k] for k in range(lead)]
-                if lead < len(piece):
-                    inner = self.inner.get(piece) or self._again(piece)
+                run = self.counts(text[run_from : len(out) - 1 + lead])
+                out += [run_base + run[start + k] for k in range(lead)]
             if lead < len(piece):
                 run_from = None
                 if piece in CONTRACTION_STARTS:
                     out += [done + 1, done + 2, done + inner[-1]]
                 else:
                     out += [done + inner[k] for k in range(lead, len(piece))]
-            done += self.total.get(piece) or self._again(piece)[-1]
+            done += inner[-1]
         return out
 
-    def _again(self, piece: str):
-        self.known([[piece]])
-        return self.inner[piece]
-
     def prefix_counts(self, text: str | None) -> list[int]:
         """``result[p]``: tokens of the first p code points."""
         text = text or ""
@@ -207,7 +234,7 @@ class PrefixCounter:
 
 def _counting(path: str, limit: int, store_prefixes: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(path)
+        counter = kept_by_worker(("prefix counter", path), lambda: PrefixCounter(path))
         special = re.compile("|".join(map(re.escape, counter.special)) or "(?!)")
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
@@ -222,13 +249,10 @@ def _counting(path: str, limit: int, store_prefixes: bool):
                     else:
                         n = sum(map(counter.total.__getitem__, pieces))
                         at = counter.cut(t, pieces, limit) if n > limit else len(t)
-                        if n > limit:
-                            counter.known(split)
                     tokens.append(n)
                     cuts.append(at)
                     if store_prefixes:
                         prefixes.append(counter.prefix_counts(t))
-                        counter.known(split)
             out = [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_()), pa.array(cuts, pa.int64())]
             names = ["id", "n_bytes", "n_tokens", "over_limit", "cut_chars"]
             if store_prefixes:
