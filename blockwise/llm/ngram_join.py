@@ -292,3 +292,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.when(found, F.col("links") + F.col("copies") - 1).otherwise(F.lit(0)).alias("n_links"),
         F.when(found, F.col("copies")).otherwise(F.lit(1)).alias("copies"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` whose id stands for its class (the smallest one), and rows without an id, with all columns.
+
+    Rows that repeat a kept id all stay; exact dedup settles those.
+    """
+    classes = near_duplicates(docs, id_col, text_col, **how)
+    gone = classes.where(F.col("class_id") != F.col(id_col)).select(id_col).distinct()
+    return docs.join(gone, id_col, "left_anti")

@@ -320,3 +320,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     return score(docs, fit(docs, labels, id_col, text_col), id_col, text_col, threshold)
+
+
+def keep_below(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns, in one pass without a join."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        restorer = Restorer(model.letters)
+        for batch in batches:
+            x = [model.features(restored_words(t or "", restorer)[0]) for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(model.score(np.array(x, float).reshape(-1, 3)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
