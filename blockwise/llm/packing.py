@@ -19,6 +19,7 @@ rows are packed separately; an empty table gives no rows.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -48,12 +49,29 @@ class WordEncoder:
     """Ids of texts as little-endian bytes; the ids of a word are looked up once and kept."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        vocab = self.library.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[k for t, k in vocab.items() if t.endswith("</w>")]] = True
         self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or "(?!)")
         self.store: dict[str, bytes] = {}
 
+    def learn(self, words: list[str]) -> None:
+        """Look up several words at once: with blanks between them, every word ends with an id that ends a word."""
+        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) == len(words):
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(words, (4 * ends).tolist(), strict=True):
+                self.store[w] = raw[at:end]
+                at = end
+        else:
+            for w in words:
+                self.store[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         odd = [bool(UNSURE.search(t) or self.special.search(t)) for t in texts]
         words = [[] if o else WORDS.findall(t.lower()) for t, o in zip(texts, odd, strict=True)]
@@ -62,10 +80,8 @@ class WordEncoder:
             self.store.clear()
             new = set().union(*words)
         new_words = list(new)
-        for at in range(0, len(new_words), 20_000):
-            part = new_words[at : at + 20_000]
-            for w, e in zip(part, self.library.encode_batch(part, add_special_tokens=False), strict=True):
-                self.store[w] = np.array(e.ids, dtype="<u4").tobytes()
+        for at in range(0, len(new_words), 200):
+            self.learn(new_words[at : at + 200])
         out = [b"".join(map(self.store.__getitem__, w)) for w in words]
         for i, o in enumerate(odd):
             if o:
