@@ -38,7 +38,7 @@ by_value(__name__)
 MAX_LEN = 4096
 CLOSING_ID = 2
 #: Pieces of one length that are ranked together.
-RANK_BLOCK = 50_000
+RANK_BLOCK = 2_000
 #: Largest table of block offsets that is broadcast.
 BROADCAST_BLOCKS = 100_000
 STORE = 300_000
