@@ -46,10 +46,9 @@ def main() -> None:
     obs_path = f"{base}/bench-obs-{uuid.uuid4().hex}"
     times: dict[str, float] = {}
 
-    # Written as several files clustered by checklist and sorted by block
-    # (sources.io.write_observations); the test tables are a single row group
-    # each, which would otherwise pin every scan to one task.
-    times["clean_observations_write"] = timed(lambda: write_observations(fx.observations(spark, sf_dir), obs_path))
+    # Clustered by checklist into several files: the test tables are a single
+    # row group each, which would otherwise pin every scan to one task.
+    times["clean_observations_write"] = timed(lambda: write_observations(fx.observations(spark, sf_dir), obs_path, clustered=True))
     obs = spark.read.parquet(obs_path)
     names = fx.block_names(spark, sf_dir)
     noct = fx.nocturnal_species(spark, sf_dir)

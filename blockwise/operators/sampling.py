@@ -11,9 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows above which an exact top-n is found by histogram refinement instead of
-# a single ordered take.
-TAKE_ORDERED_MAX = 100_000
+from blockwise.operators.joins import join_on
+
 _BUCKETS = 1024
 
 
@@ -29,42 +28,51 @@ def top_k(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
 
 
 def top_n_by_key(df: DataFrame, key: str, n: int) -> DataFrame:
-    """Exactly the ``n`` rows with the largest ``key`` (a double in [0, 1]).
-
-    Small ``n``: one ordered take (partial top-k per partition, then merge).
-    Large ``n``: a few scalar histogram passes narrow down the bucket holding
-    the cut; rows above it are kept by a filter and only the boundary bucket
-    goes through an ordered take. Bucket membership is always tested with the
-    same expression, so float rounding cannot mis-count.
+    """Exactly the ``n`` rows with the largest ``key`` (a finite double), ties settled by a hash of the whole row.
+
+    One path for every ``n``: histogram passes (one aggregate of 1,024 counts
+    each) narrow down the value at the cut until no further split is possible;
+    rows above it are kept by a filter. If several rows share that value, the
+    same search runs once more among them on their row hash, so no ordered take
+    of an unbounded number of rows is needed. Rows equal in every column are
+    interchangeable, and only among those a plain limit decides.
     """
     if n <= 0:
         return df.limit(0)
-    if n <= TAKE_ORDERED_MAX:
-        return top_k(df, n, [F.col(key).desc()])
-    k = F.col(key)
-    in_window = F.lit(True)
-    above = F.lit(False)
-    lo, width, need = 0.0, (1.0 + 1e-9) / _BUCKETS, n
-    for _ in range(6):
-        b = F.least(F.greatest(F.floor((k - lo) / width), F.lit(0)), F.lit(_BUCKETS - 1)).cast("int")
-        hist = {r["b"]: r["count"] for r in df.where(in_window).groupBy(b.alias("b")).count().collect()}
-        acc, cut = 0, None
-        for i in range(_BUCKETS - 1, -1, -1):
-            c = hist.get(i, 0)
-            if acc + c >= need:
-                cut = i
+    above, edge, need = _cut(df, F.col(key), n)
+    if edge is None:
+        return df
+    out, tied = df.where(above), df.where(edge)
+    if tied.limit(need + 1).count() <= need:
+        return out.unionByName(tied)
+    above, edge, need = _cut(tied, _row_uniform(df), need)
+    out = out.unionByName(tied.where(above))
+    return out if edge is None else out.unionByName(tied.where(edge).limit(need))
+
+
+def _row_uniform(df: DataFrame) -> Column:
+    return hash_uniform([F.col(f"`{c}`") for c in df.columns], 1)
+
+
+def _cut(df: DataFrame, k: Column, n: int) -> tuple[Column, Column | None, int]:
+    """(rows above the cut value, rows at it, how many of those are wanted); no cut if ``df`` has at most ``n`` rows."""
+    first = df.agg(F.min(k), F.max(k), F.count(F.lit(1))).first()
+    lo, hi, rows = first
+    if rows <= n:
+        return F.lit(True), None, 0
+    need = n
+    while lo < hi:
+        width = (hi - lo) / _BUCKETS
+        # A bucket keeps its own smallest and largest key, so the next pass starts from exact values.
+        b = F.least(F.floor((k - lo) / width), F.lit(_BUCKETS - 1)).cast("int") if width > 0 else (k > lo).cast("int")
+        window = (k >= lo) & (k <= hi)
+        hist = df.where(window).groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(k).alias("lo"), F.max(k).alias("hi"))
+        for r in sorted(hist.collect(), key=lambda r: -r["b"]):
+            if r["n"] >= need:
+                lo, hi = r["lo"], r["hi"]
                 break
-            acc += c
-        if cut is None:
-            return df.where(in_window | above)
-        above = above | (in_window & (b > cut))
-        in_window = in_window & (b == cut)
-        need -= acc
-        lo, width = lo + cut * width, width / _BUCKETS
-        if need <= TAKE_ORDERED_MAX:
-            break
-    edge = top_k(df.where(in_window), need, [k.desc()])
-    return df.where(above).unionByName(edge)
+            need -= r["n"]
+    return k > lo, k == lo, need
 
 
 def sample_prop(df: DataFrame, prop: float, key_cols: Sequence[str], seed: int = 42) -> DataFrame:
@@ -75,13 +83,13 @@ def sample_prop(df: DataFrame, prop: float, key_cols: Sequence[str], seed: int =
 
 
 def sample_weighted(df: DataFrame, n: int, weight: str, key_cols: Sequence[str], seed: int = 42) -> DataFrame:
-    """Weighted sample without replacement (Efraimidis-Spirakis: largest ``u^(1/w)``).
+    """Weighted sample without replacement (Efraimidis-Spirakis: largest ``ln(u) / w``).
 
+    The logarithm keeps all digits for small and large weights, so the draw does
+    not depend on the scale of the weights (scaling scales every key alike).
     Rows with weight <= 0 or NULL are never drawn.
     """
-    keyed = df.where(F.col(weight) > 0).withColumn(
-        "__u", F.pow(hash_uniform(key_cols, seed), 1.0 / F.col(weight).cast("double"))
-    )
+    keyed = df.where(F.col(weight) > 0).withColumn("__u", F.ln(hash_uniform(key_cols, seed)) / F.col(weight).cast("double"))
     return top_n_by_key(keyed, "__u", n).drop("__u")
 
 
@@ -96,7 +104,7 @@ def sample_per_group(
     """``group_by(g) |> slice_sample(n)``: exactly the ``n`` smallest hash keys per group.
 
     Each group's rows are first cut by a map-side filter ``u < slack * n / N_g``
-    (``N_g`` from one partial aggregate), so only about ``slack * n`` candidates
+    (``N_g`` from one partial aggregate; the NULL group counts as a group), so only about ``slack * n`` candidates
     per group reach the final window — a group holding a third of the data is
     never sorted or gathered in one task. The cut is exact: a group that kept
     fewer than ``min(n, N_g)`` candidates (vanishingly rare) is redone with
@@ -106,7 +114,7 @@ def sample_per_group(
     keyed = df.withColumn("__u", hash_uniform(key_cols, seed))
     sizes = keyed.groupBy(*group).agg(F.count(F.lit(1)).alias("__N"))
     cut = F.least(F.lit(1.0), F.lit(slack * n) / F.col("__N"))
-    with_n = keyed.join(sizes, on=group, how="inner")
+    with_n = join_on(keyed, sizes, group, null_safe=True)
     cand = with_n.where(F.col("__u") < cut)
     short = (
         cand.groupBy(*group, "__N")
@@ -116,7 +124,7 @@ def sample_per_group(
     )
     if short.limit(1).count() > 0:
         # Lift the filter for the few short groups (exactness); others keep their cut.
-        redo = with_n.join(short, on=group, how="left_semi")
-        cand = cand.join(short, on=group, how="left_anti").unionByName(redo)
-    w = Window.partitionBy(*group).orderBy("__u")
+        redo = join_on(with_n, short, group, "left_semi", null_safe=True)
+        cand = join_on(cand, short, group, "left_anti", null_safe=True).unionByName(redo)
+    w = Window.partitionBy(*group).orderBy("__u", _row_uniform(df))
     return cand.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__u", "__N", "__r")

@@ -418,9 +418,9 @@ FLAGS_SQL = """flags AS (
     (CASE WHEN species_coded = 0 THEN NULL ELSE CAST(coalesce(Possible, 0) AS DOUBLE) / species_coded END) < 0.25
       AS flag_possible_pct,
     pba3_pba2_coded_count_compare_pct >= 0.8 AS flag_coded_atlas_comparison,
-    duration_hours_total >= 20 AS flag_20_effort_hours,
+    round_even(duration_hours_total, 2) >= 20 AS flag_20_effort_hours,
     breeding_season_months_covered >= 3 AS flag_breeeding_season_coverage,
-    nocturnal_species_coded >= 2 OR duration_hours_nocturnal >= 2 AS flag_nocturnal_coverage
+    nocturnal_species_coded >= 2 OR round_even(duration_hours_nocturnal, 2) >= 2 AS flag_nocturnal_coverage
   FROM (SELECT *, coalesce(Possible, 0) + coalesce(Probable, 0) + coalesce(Confirmed, 0) AS species_coded
         FROM summary WHERE season = 'All seasons' AND pba3_block IS NOT NULL)
 )"""
@@ -438,14 +438,15 @@ FROM flags"""
 )
 ORACLE["progress_table"] = from_summary(
     "SELECT * EXCLUDE (season) REPLACE ("
-    + ", ".join(f"round({c}, 6) AS {c}" for c in SUMMARY_DOUBLES)
+    + ", ".join(
+        f"round_even({c}, 2) AS {c}" if "duration" in c or "km" in c else f"round({c}, 6) AS {c}" for c in SUMMARY_DOUBLES
+    )
     + ") FROM summary WHERE season = 'Breeding'"
 )
 ORACLE["missing_report"] = W + ",\n" + NAMES + ",\n" + OLD_ATLAS + """,
 focal AS (SELECT DISTINCT p_name AS common_name, TRUE AS is_focal FROM part WHERE p_size <= 1)
 SELECT m.pba3_block, m.block_name, m.common_name, coalesce(f.is_focal, FALSE) AS is_focal,
-  m.pba3_breeding_category_max, m.pba2_breeding_category_max,
-  m.pba2_breeding_rank_max - m.pba3_breeding_rank_max AS atlas_diff
+  m.pba3_breeding_category_max, m.pba2_breeding_category_max
 FROM cmp m LEFT JOIN focal f ON f.common_name = m.common_name
 WHERE m.pba2_breeding_rank_max > m.pba3_breeding_rank_max AND m.pba3_block = 'B21'"""
 ORACLE["report_effort"] = from_summary("""
@@ -510,7 +511,7 @@ SELECT common_name, 'focal_not_observed' AS side FROM focal WHERE common_name NO
 UNION ALL
 SELECT common_name, 'observed_not_focal' AS side FROM seen WHERE common_name NOT IN (SELECT common_name FROM focal)"""
 ORACLE["map_values"] = from_summary(
-    "SELECT pba3_block, round(duration_hours_diurnal, 6) AS value FROM summary WHERE season = 'Breeding'"
+    "SELECT pba3_block, round_even(duration_hours_diurnal, 2) AS value FROM summary WHERE season = 'Breeding'"
 )
 
 # ---------------------------------------------------------------- 2.10 spatial

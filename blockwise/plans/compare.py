@@ -126,12 +126,12 @@ def missing_report(missing: DataFrame, focal: DataFrame, block_id: str) -> DataF
     )
     out = join_on(one, focal.select("common_name", "is_focal"), ["common_name"], "left", null_safe=True)
     out = out.withColumn("is_focal", F.coalesce(F.col("is_focal"), F.lit(False)))
-    return out.orderBy(F.col("atlas_diff").desc_nulls_last()).select(
+    ranks = [F.col(c).desc_nulls_last() for c in ("atlas_diff", "pba2_breeding_rank_max")]
+    return out.orderBy(*ranks, F.col("common_name").asc_nulls_last()).select(
         "pba3_block",
         "block_name",
         "common_name",
         "is_focal",
         "pba3_breeding_category_max",
         "pba2_breeding_category_max",
-        "atlas_diff",
     )

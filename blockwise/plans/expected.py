@@ -17,7 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockwise.functions.semantics import MONTH_ABB, n_distinct, parse_number, r_div
@@ -79,49 +79,60 @@ def beta_moments(es: DataFrame, x: str = "observations", n: str = "checklist_cou
     )
 
 
-def _tail(hist: dict[int, int], top: int):
-    """t[j] = number of rows with value > j, for j in [0, top)."""
-    import numpy as np
-
-    counts = np.zeros(top + 1)
-    for v, c in hist.items():
-        if v > 0:
-            counts[min(v, top)] += c
-    return np.cumsum(counts[::-1])[::-1][1:]
+def _polygamma(z: Column) -> tuple[Column, Column]:
+    """Digamma and trigamma of a positive column: shifted by 8 by their recurrences, then the asymptotic series."""
+    first = second = F.lit(0.0)
+    for k in range(8):
+        first, second = first - 1 / (z + k), second + 1 / ((z + k) * (z + k))
+    y = z + 8
+    r = 1 / (y * y)
+    digamma = F.ln(y) - 0.5 / y - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r / 240)))
+    trigamma = 1 / y + r / 2 + r / y * (1 / 6 - r * (1 / 30 - r * (1 / 42 - r / 30)))
+    return first + digamma, second + trigamma
 
 
 def beta_binomial_mle(
-    es: DataFrame, x: str = "observations", n: str = "checklist_count", tol: float = 1e-8, max_iter: int = 20000
+    es: DataFrame, x: str = "observations", n: str = "checklist_count", tol: float = 1e-8, max_steps: int = 200
 ) -> tuple[float, float]:
-    """Beta-binomial maximum likelihood prior (Minka's fixed point).
+    """Beta-binomial maximum likelihood prior, by Newton steps on the logarithms of the parameters.
 
-    Spark computes three count histograms (of x, n - x and n); the driver
-    iterates on vectors as long as the largest n (bounded by the checklists of
-    one block), starting from the moment estimate.
+    A step is one Spark aggregate over the distinct (x, n) with their counts, so
+    nothing but five sums reaches the driver. Starts from the moment estimate;
+    raises when the steps do not converge.
     """
-    import numpy as np
-
-    base = es.where(F.col(n) > 0).select(F.col(x).cast("long").alias("x"), F.col(n).cast("long").alias("n"))
-    hx = {r[0]: r[1] for r in base.groupBy("x").count().collect()}
-    hf = {r[0]: r[1] for r in base.groupBy((F.col("n") - F.col("x")).alias("f")).count().collect()}
-    hn = {r[0]: r[1] for r in base.groupBy("n").count().collect()}
-    top = max(hn) if hn else 0
-    if top == 0:
-        return float("nan"), float("nan")
-    tx, tf, tn = _tail(hx, top), _tail(hf, top), _tail(hn, top)
-    j = np.arange(top, dtype=float)
-    mom = beta_moments(es, x, n).first()
-    a = mom["alpha"] if mom and mom["alpha"] and mom["alpha"] > 0 else 1.0
-    b = mom["beta"] if mom and mom["beta"] and mom["beta"] > 0 else 1.0
-    for _ in range(max_iter):
-        den = float(np.sum(tn / (a + b + j)))
-        na = a * float(np.sum(tx / (a + j))) / den
-        nb = b * float(np.sum(tf / (b + j))) / den
-        done = abs(na - a) < tol * max(1.0, a) and abs(nb - b) < tol * max(1.0, b)
-        a, b = na, nb
-        if done:
-            break
-    return float(a), float(b)
+    base = es.where(F.col(n) > 0).groupBy(F.col(x).cast("double").alias("x"), F.col(n).cast("double").alias("n"))
+    base = base.agg(F.count(F.lit(1)).alias("c")).cache()
+    try:
+        if base.isEmpty():
+            return float("nan"), float("nan")
+        mom = beta_moments(es, x, n).first()
+        a, b = (float(v) if v and v > 0 else 1.0 for v in (mom["alpha"], mom["beta"]))
+        for _ in range(max_steps):
+            la, lb, c = F.lit(a), F.lit(b), F.col("c")
+            terms = {"x": _polygamma(F.col("x") + la), "f": _polygamma(F.col("n") - F.col("x") + lb), "n": _polygamma(F.col("n") + la + lb)}
+            at = {"a": _polygamma(la), "b": _polygamma(lb), "ab": _polygamma(la + lb)}
+            sums = [
+                terms["x"][0] - terms["n"][0] + at["ab"][0] - at["a"][0],
+                terms["f"][0] - terms["n"][0] + at["ab"][0] - at["b"][0],
+                terms["x"][1] - terms["n"][1] + at["ab"][1] - at["a"][1],
+                terms["f"][1] - terms["n"][1] + at["ab"][1] - at["b"][1],
+                at["ab"][1] - terms["n"][1],
+            ]
+            ga, gb, haa, hbb, hab = base.agg(*[F.sum(c * t) for t in sums]).first()
+            # derivatives by the logarithms
+            da, db, paa, pbb, pab = a * ga, b * gb, a * a * haa + a * ga, b * b * hbb + b * gb, a * b * hab
+            det = paa * pbb - pab * pab
+            if paa < 0 < det:
+                sa, sb = -(da * pbb - db * pab) / det, -(db * paa - da * pab) / det
+            else:
+                sa, sb = da / (abs(paa) + abs(pab)), db / (abs(pbb) + abs(pab))
+            sa, sb = (max(-1.0, min(1.0, s)) for s in (sa, sb))
+            a, b = a * math.exp(sa), b * math.exp(sb)
+            if max(abs(sa), abs(sb)) < tol:
+                return a, b
+    finally:
+        base.unpersist()
+    raise ArithmeticError(f"the prior did not converge in {max_steps} steps (alpha {a}, beta {b})")
 
 
 def eb_shrink(
@@ -130,18 +141,11 @@ def eb_shrink(
     beta: float,
     x: str = "observations",
     n: str = "checklist_count",
-    cred_level: float | None = 0.95,
 ) -> DataFrame:
-    """Add raw and shrunken rates: raw = x/n, fitted = (x+alpha)/(n+alpha+beta), posterior
-    parameters, and (``cred_level``) the equal-tailed credible bounds ``low`` / ``high``.
-
-    The bounds are Beta(alpha1, beta1) quantiles from an Arrow-batched Pandas
-    UDF (Spark has no inverse incomplete beta); Catalyst drops it when a
-    caller does not select them.
-    """
+    """Add raw and shrunken rates: raw = x/n, fitted = (x+alpha)/(n+alpha+beta), and posterior parameters."""
     if not (math.isfinite(alpha) and math.isfinite(beta)):
         raise ValueError("prior parameters must be finite")
-    out = es.withColumns(
+    return es.withColumns(
         {
             "alpha1": F.col(x) + F.lit(alpha),
             "beta1": F.col(n) - F.col(x) + F.lit(beta),
@@ -150,14 +154,6 @@ def eb_shrink(
             "prior_mean": F.lit(alpha / (alpha + beta)),
         }
     )
-    if cred_level is None:
-        return out
-    from blockwise.functions.beta import beta_quantile
-
-    tail = (1.0 - cred_level) / 2.0
-    return out.withColumns(
-        {"low": beta_quantile(tail, "alpha1", "beta1"), "high": beta_quantile(1.0 - tail, "alpha1", "beta1")}
-    )
 
 
 def eb_shrink_moments(es: DataFrame, x: str = "observations", n: str = "checklist_count") -> DataFrame:

@@ -33,6 +33,15 @@ FLAGS = [
 ]
 
 
+#: Hours and kilometres of the dashboard are rounded to 2 places before anything is derived from them.
+ROUNDED = ["duration_hours_total", "duration_hours_diurnal", "duration_hours_nocturnal", "duration_hours_unknown", "effort_distance_km"]
+
+
+def dashboard_summary(summary: DataFrame) -> DataFrame:
+    """The block summary as every dashboard table reads it: hours and km half-to-even at 2 places."""
+    return summary.withColumns({c: F.bround(c, 2) for c in ROUNDED if c in summary.columns})
+
+
 def completion_flags(summary: DataFrame, season: str = ALL_SEASONS) -> DataFrame:
     """Seven completion criteria and their three-valued AND (R's ``&``, Kleene).
 
@@ -40,7 +49,7 @@ def completion_flags(summary: DataFrame, season: str = ALL_SEASONS) -> DataFrame
     share flags are NULL; a block with no old-atlas coded species has an
     infinite ratio and passes the 80 % rule.
     """
-    s = summary.where((F.col("season") == season) & F.col("pba3_block").isNotNull()).na.fill(
+    s = dashboard_summary(summary).where((F.col("season") == season) & F.col("pba3_block").isNotNull()).na.fill(
         {"Observed": 0, "Possible": 0, "Probable": 0, "Confirmed": 0}
     )
     s = s.withColumn("species_coded", F.col("Possible") + F.col("Probable") + F.col("Confirmed"))
@@ -66,12 +75,13 @@ def completion_flags(summary: DataFrame, season: str = ALL_SEASONS) -> DataFrame
     all_ok = F.col(FLAGS[0])
     for f in FLAGS[1:]:
         all_ok = all_ok & F.col(f)
+    s = s.orderBy(*[F.col(c).asc_nulls_last() for c in ("block_region", "block_county", "block_name") if c in s.columns])
     return s.select("pba3_block", "block_name", "block_county", all_ok.alias("all_criteria_complete"), *FLAGS)
 
 
 def progress_table(summary: DataFrame, season: str) -> DataFrame:
     """One season's summary without season / nested columns, by region, county, name (NULL last)."""
-    out = summary.where(F.col("season") == season).drop("season", "effort_breakdown")
+    out = dashboard_summary(summary).where(F.col("season") == season).drop("season", "effort_breakdown")
     return out.orderBy(
         F.col("block_region").asc_nulls_last(), F.col("block_county").asc_nulls_last(), F.col("block_name").asc_nulls_last()
     )
@@ -79,7 +89,7 @@ def progress_table(summary: DataFrame, season: str) -> DataFrame:
 
 def map_values(summary: DataFrame, season: str, variable: str) -> DataFrame:
     """(pba3_block, value) of one summary variable in one season, for the block map."""
-    return summary.where(F.col("season") == season).select("pba3_block", F.col(variable).alias("value"))
+    return dashboard_summary(summary).where(F.col("season") == season).select("pba3_block", F.col(variable).alias("value"))
 
 
 def report_effort(summary: DataFrame, block_id: str, season: str) -> DataFrame:
@@ -102,6 +112,11 @@ def report_codes(summary: DataFrame, block_id: str, season: str) -> DataFrame:
     return pivot_longer(one, [], "Code", "Count")
 
 
+def with_link(df: DataFrame, base_url: str, id_col: str = "pba3_block", link_col: str = "link") -> DataFrame:
+    """Link column ``base_url + id`` (NULL id: NULL link)."""
+    return df.withColumn(link_col, F.concat(F.lit(base_url), F.col(id_col)))
+
+
 def checklist_density(obs: DataFrame, block_id: str, season: str) -> DataFrame:
     """Checklists per coordinate in one block and season (filter pushed to the scan)."""
     one = season_fanout(obs.where(F.col("pba3_block") == block_id), season)

@@ -18,7 +18,7 @@ def log_breaks(df: DataFrame, column: str, length: int = 10) -> DataFrame:
     Non-positive min or max gives no rows (the reference stops with an error).
     """
     if length < 1:
-        raise ValueError("length must be a positive integer")
+        raise ValueError(f"no breaks to make: {length}")
     mm = df.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi")).where(
         (F.col("lo") > 0) & (F.col("hi") > 0)
     )
@@ -28,20 +28,18 @@ def log_breaks(df: DataFrame, column: str, length: int = 10) -> DataFrame:
     return seq.select(val.alias("brk")).distinct()
 
 
-def exp_seq(start: float, end: float, length: int) -> list[float]:
+def log_spaced(low: float, high: float, count: int) -> list[float]:
     """Driver-side twin for a handful of numbers (circle sizes)."""
-    if start <= 0 or end <= 0:
-        raise ValueError("start and end must be > 0")
-    if length == 1:
-        return [float(round(start))]
-    step = (math.log(end) - math.log(start)) / (length - 1)
-    return [float(round(math.exp(math.log(start) + i * step))) for i in range(length)]
+    if min(low, high) <= 0:
+        raise ValueError(f"a logarithmic scale needs positive ends, not {low} and {high}")
+    growth = (high / low) ** (1 / max(1, count - 1))
+    return [float(round(low * growth**i)) for i in range(count)]
 
 
 def step_bins(df: DataFrame, column: str, breaks: list[float]) -> DataFrame:
     """Circle size per row: size of the last break <= value (first size below the first break)."""
     breaks = sorted(breaks)
-    sizes = exp_seq(SIZE_MIN, SIZE_MAX, len(breaks)) if breaks else []
+    sizes = log_spaced(SIZE_MIN, SIZE_MAX, len(breaks)) if breaks else []
     expr = F.lit(sizes[0]) if sizes else F.lit(None)
     for b, s in zip(breaks, sizes):
         expr = F.when(F.col(column) >= b, F.lit(s)).otherwise(expr)

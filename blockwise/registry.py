@@ -170,7 +170,9 @@ def q_extract_filter(spark, sf):
     )
     path = scratch(spark, "extract")
     src = fx.raw_observations(spark, sf).select(*[c.split()[0] for c in schema.split(", ")])
-    src.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+    names = {c: c.upper().replace("_", " ") for c in reversed(src.columns)}
+    mixed = src.select(F.lit("x").alias("LAST EDITED DATE"), *[F.col(c).alias(n) for c, n in names.items()], F.lit(1).alias("OTHER"))
+    mixed.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
     return IO.read_extract(spark, path, schema, start="1996-01-01", end="1997-06-30", project="Atlas")
 
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blockwise.functions.semantics import squish
-
 MONTH_ALT = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 # Pattern of the release tag in an extract file name (e.g.
 # "relMay-2026.txt") and the sentence the tag is shown in.
@@ -26,7 +25,28 @@ def read_parquet(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """CSV with header. Give ``schema`` in production; inference is for exploration only."""
     r = spark.read.option("header", True)
-    return r.schema(schema).csv(path) if schema is not None else r.option("inferSchema", True).csv(path)
+    return by_header(r, path, schema) if schema is not None else r.option("inferSchema", True).csv(path)
+
+
+def header_name(name: str) -> str:
+    """``LAST EDITED DATE`` -> ``last_edited_date``."""
+    return re.sub(r"[^0-9a-z]+", "_", name.strip().lower()).strip("_")
+
+
+def by_header(reader: DataFrameReader, path: str, schema: T.StructType | str) -> DataFrame:
+    """The columns of ``schema``, found by header name (in any order, other columns left unread) and cast.
+
+    Raises when a column is missing. All files must have the header of the first;
+    Spark checks that while reading (``enforceSchema`` off).
+    """
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    raw = reader.option("enforceSchema", False).option("inferSchema", False).csv(path)
+    given = {header_name(c): c for c in reversed(raw.columns)}
+    missing = [f.name for f in schema.fields if header_name(f.name) not in given]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}; its header is {', '.join(raw.columns)}")
+    return raw.select([F.col(f"`{given[header_name(f.name)]}`").cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def read_csv_positional(spark: SparkSession, path: str, names: Sequence[str], skip: int = 0) -> DataFrame:
@@ -69,7 +89,7 @@ def read_extract(
     The filter is part of the scan plan; the caller writes the result to
     Parquet (not back to text).
     """
-    df = spark.read.schema(schema).option("sep", "\t").option("header", True).option("quote", "").csv(path)
+    df = by_header(spark.read.option("sep", "\t").option("header", True).option("quote", ""), path, schema)
     if start is not None:
         df = df.where(F.col(date_col) >= F.lit(start).cast("date"))
     if end is not None:
@@ -110,22 +130,16 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     w.parquet(path)
 
 
-def write_observations(obs: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Write processed observations laid out for the jobs that read them.
+def write_observations(obs: DataFrame, path: str, rows_per_file: int = 20_000_000, clustered: bool = False) -> None:
+    """Write processed observations: a narrow step, files bounded by ``rows_per_file``.
 
-    Rows are hash-partitioned by checklist, so the checklist-grain partial
-    aggregate collapses each checklist's species rows before any shuffle, and
-    each file is sorted by (block, checklist), so a one-block filter (the
-    block report) skips row groups by their min/max statistics. Hash
-    partitioning on checklist spreads a hot block over every file.
+    ``clustered`` adds a shuffle that keeps a checklist's rows together (files of
+    the advisory partition size, large partitions split by AQE), so that the
+    checklist aggregate collapses them map-side.
     """
-    n = partitions or obs.sparkSession.sparkContext.defaultParallelism
-    (
-        obs.repartition(n, "checklist_id")
-        .sortWithinPartitions("pba3_block", "checklist_id")
-        .write.mode("overwrite")
-        .parquet(path)
-    )
+    if clustered:
+        obs = obs.hint("rebalance", "checklist_id")
+    obs.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
 def write_csv_text(df: DataFrame, path: str) -> None:
@@ -134,6 +148,3 @@ def write_csv_text(df: DataFrame, path: str) -> None:
         "header", True
     ).csv(path)
 
-
-def squish_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.withColumns({c: squish(c) for c in cols})

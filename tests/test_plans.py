@@ -11,7 +11,7 @@ from blockwise.plans.clean import modal_start_times
 from blockwise.plans.effort import classify_checklists, sun_times
 from blockwise.plans.season import season_fanout
 from blockwise.plans.spatial import covers_join, hull_and_point
-from blockwise.plans.stats import exp_seq
+from blockwise.plans.stats import log_spaced
 
 SF001 = "/root/testdata/sf0.001"
 
@@ -116,18 +116,55 @@ def test_sample_per_group_size_and_determinism(spark):
     assert sorted(r["id"] for r in s1.collect()) == sorted(r["id"] for r in s2.collect())
 
 
-def test_top_n_by_key_large_path_exact(spark, monkeypatch):
-    import blockwise.operators.sampling as smp
-
-    monkeypatch.setattr(smp, "TAKE_ORDERED_MAX", 100)
+def test_top_n_by_key_exact_with_ties(spark):
     df = spark.range(0, 20000).withColumn("k", (F.col("id") * 7919 % 20000) / 20000.0)
     got = top_n_by_key(df, "k", 1234)
     assert got.count() == 1234
     assert got.agg(F.min("k")).first()[0] == sorted([(i * 7919 % 20000) / 20000.0 for i in range(20000)])[-1234]
+    tied = df.withColumn("k", F.floor(F.col("k") * 3) / -7.0)
+    one, two = (sorted(r["id"] for r in top_n_by_key(d, "k", 9000).collect()) for d in (tied, tied.repartition(9)))
+    assert one == two and len(one) == 9000
+
+
+def test_weighted_sample_ignores_the_scale_of_the_weights(spark):
+    from blockwise.operators.sampling import sample_weighted
+
+    df = spark.range(0, 20000).withColumn("w", F.when(F.col("id") % 2 == 0, 4.0).otherwise(1.0))
+    draws = [sorted(r["id"] for r in sample_weighted(df.withColumn("w", F.col("w") * s), 10000, "w", ["id"]).collect()) for s in (1.0, 0.0009765625, 1024.0)]
+    assert draws[0] == draws[1] == draws[2]
+    heavy = sum(i % 2 == 0 for i in draws[0])
+    assert 6900 < heavy < 7700
+
+
+def test_sample_per_group_keeps_the_null_group(spark):
+    df = spark.range(0, 300).withColumn("g", F.when(F.col("id") < 200, "a"))
+    got = {r["g"]: r["count"] for r in sample_per_group(df, ["g"], 20, ["id"]).groupBy("g").count().collect()}
+    assert got == {"a": 20, None: 20}
+
+
+def test_dashboard_rounds_before_it_compares(spark):
+    from blockwise.plans.reports import dashboard_summary, with_link
 
+    df = spark.createDataFrame([("B1", 19.996, 1.994), ("B2", 19.994, 1.996)], "pba3_block string, duration_hours_total double, duration_hours_nocturnal double")
+    got = {r["pba3_block"]: (r["duration_hours_total"], r["duration_hours_nocturnal"]) for r in dashboard_summary(df).collect()}
+    assert got == {"B1": (20.0, 1.99), "B2": (19.99, 2.0)}
+    assert with_link(df, "u/").first()["link"] == "u/B1"
 
-def test_exp_seq_matches_r():
-    assert exp_seq(3, 15, 5) == [3.0, 4.0, 7.0, 10.0, 15.0]
+
+def test_extract_is_read_by_header_name(spark, tmp_path):
+    import pytest
+
+    from blockwise.sources.io import read_extract
+
+    (tmp_path / "x.txt").write_text("OTHER\tPROJECT NAMES\tOBSERVATION DATE\tA\n1\tAtlas\t2024-05-01\tq\n2\tnone\t2024-05-02\tr\n")
+    rows = read_extract(spark, str(tmp_path), "a string, observation_date date, project_names string", start="2024-01-01", project="Atlas").collect()
+    assert [(r["a"], r["project_names"]) for r in rows] == [("q", "Atlas")]
+    with pytest.raises(ValueError, match="no column b"):
+        read_extract(spark, str(tmp_path), "b string, observation_date date, project_names string")
+
+
+def test_log_spaced_matches_r():
+    assert log_spaced(3, 15, 5) == [3.0, 4.0, 7.0, 10.0, 15.0]
 
 
 def test_sample_per_group_exact_against_brute_force(spark):
@@ -148,12 +185,3 @@ def test_sample_per_group_exact_against_brute_force(spark):
     for slack in (3.0, 0.5):  # 0.5 forces the exact redo path for short groups
         got = sorted((r["g"], r["id"]) for r in sample_per_group(df, ["g"], 40, ["id"], seed=5, slack=slack).collect())
         assert got == want
-
-
-def test_eb_credible_bounds(spark):
-    df = spark.createDataFrame([(0, 0), (3, 10), (40, 100)], "observations long, checklist_count long")
-    rows = EX.eb_shrink(df, 1.0, 1.0).collect()
-    first = rows[0]  # Beta(1, 1): quantiles are the probabilities
-    assert abs(first["low"] - 0.025) < 1e-9 and abs(first["high"] - 0.975) < 1e-9
-    for r in rows:
-        assert r["low"] < r["fitted"] < r["high"]
