@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockwise.llm.common import by_value, fixed, skew_left_join
+from blockwise.llm.common import by_value, fixed, perhaps_in, skew_left_join
 from blockwise.llm.components import components
 from blockwise.llm.shingles import mix64, shingle_hashes, utf8_blocks
 
@@ -273,7 +273,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     candidates = components(near.select("a", "b")).select(F.col("node").alias("rep"), "root")
     copies = classes.groupBy("rep").agg(F.sum("copies").alias("copies"))
     cells = fixed(_cells(candidates, cell).join(copies, "rep"), "cells")
-    texts = docs.join(cells.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").distinct()
+    wanted = cells.select(F.col("rep").alias("doc_id")).distinct()
+    texts = perhaps_in(docs, "doc_id", wanted).join(wanted, "doc_id", "left_semi").distinct()
     filled = cells.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
     parts = filled.groupBy("root", "ci", "cj").applyInPandas(_verify(threshold), "rep long, links long, low long")
     parts = fixed(parts, "links-found")
