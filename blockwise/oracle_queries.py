@@ -145,6 +145,7 @@ ORACLE["scan_parquet"] = (
     "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_suppkey % 20 = 3 AND l_quantity >= 40"
 )
 ORACLE["csv_roundtrip"] = W + "\nSELECT atlas_block, checklist_id, common_name, observation_count FROM raw"
+ORACLE["release_tag"] = "SELECT 'May-2026' AS release, 'Data includes checklists from Jan-2024 to May-2026' AS release_sentence"
 ORACLE["extract_filter"] = W + """
 SELECT atlas_block, checklist_id, common_name, observation_date, duration_minutes, project_names FROM raw
 WHERE observation_date BETWEEN DATE '1996-01-01' AND DATE '1997-06-30' AND contains(project_names, 'Atlas')"""
@@ -572,7 +573,7 @@ UNION ALL
 SELECT 'multi_start_checklist', checklist_id, count(*) FROM (SELECT DISTINCT checklist_id, observation_datetime FROM obsr)
 GROUP BY 1, 2 HAVING count(*) > 1
 UNION ALL
-SELECT 'multi_location_checklist', checklist_id, count(*) FROM (SELECT DISTINCT checklist_id, latitude FROM obsr)
+SELECT 'multi_location_checklist', checklist_id, count(*) FROM (SELECT DISTINCT checklist_id, longitude, latitude FROM obsr)
 GROUP BY 1, 2 HAVING count(*) > 1
 UNION ALL
 SELECT 'block_without_name', pba3_block, n FROM per_block WHERE pba3_block NOT IN (SELECT pba3_block FROM names)

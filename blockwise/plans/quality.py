@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockwise.functions.semantics import n_distinct
 from blockwise.operators.aggregate import count_by, duplicate_keys, multi_valued_keys
-from blockwise.operators.joins import anti_join, union_rows
+from blockwise.operators.joins import anti_join, join_on, union_rows
 from blockwise.plans.spatial import one_to_one_violations
 
 
@@ -35,29 +36,37 @@ def quality_report(obs: DataFrame, names: DataFrame) -> DataFrame:
 
     * ``duplicate_checklist_species``: a species twice on one checklist
     * ``multi_start_checklist``: a checklist with more than one start time
-    * ``multi_location_checklist``: a checklist at more than one latitude
+    * ``multi_location_checklist``: a checklist at more than one place (longitude and latitude)
     * ``block_without_name`` / ``name_without_observations``: lookup gaps both ways
     """
     key_n = ["check", "key", "n"]
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in ("checklist_id", "common_name")]
     dup = duplicate_keys(obs, ["checklist_id", "common_name"]).select(
-        F.lit("duplicate_checklist_species").alias("check"),
-        F.concat_ws("|", "checklist_id", "common_name").alias("key"),
-        "n",
+        F.lit("duplicate_checklist_species").alias("check"), F.concat_ws("|", *text).alias("key"), "n"
     )
-    starts = multi_valued_keys(obs, "checklist_id", "observation_datetime").select(
-        F.lit("multi_start_checklist").alias("check"), F.col("checklist_id").alias("key"), "n"
+    # One aggregate serves both checklist checks.
+    per_checklist = obs.groupBy("checklist_id").agg(
+        n_distinct("observation_datetime").alias("starts"),
+        F.count_distinct(F.struct(F.coalesce("longitude", F.lit(float("nan"))), F.coalesce("latitude", F.lit(float("nan"))))).alias("places"),
     )
-    places = multi_valued_keys(obs, "checklist_id", "latitude").select(
-        F.lit("multi_location_checklist").alias("check"), F.col("checklist_id").alias("key"), "n"
+    checks = F.array(
+        F.struct(F.lit("multi_start_checklist").alias("check"), F.col("starts").cast("long").alias("n")),
+        F.struct(F.lit("multi_location_checklist").alias("check"), F.col("places").cast("long").alias("n")),
     )
-    per_block = count_by(obs, ["pba3_block"])
-    no_name = anti_join(per_block, names, ["pba3_block"]).select(
-        F.lit("block_without_name").alias("check"), F.col("pba3_block").alias("key"), "n"
+    of_checklist = per_checklist.select("checklist_id", F.explode(checks).alias("c")).where("c.n > 1")
+    of_checklist = of_checklist.select("c.check", F.col("checklist_id").alias("key"), "c.n")
+    # One full join of blocks and names serves both lookup checks.
+    sides = join_on(
+        count_by(obs, ["pba3_block"]).withColumn("seen", F.lit(True)),
+        names.select("pba3_block").distinct().withColumn("named", F.lit(True)),
+        ["pba3_block"], "full", null_safe=True,
+    )
+    gaps = sides.where("(seen is null or named is null) and pba3_block is not null").select(
+        F.when(F.col("named").isNull(), "block_without_name").otherwise("name_without_observations").alias("check"),
+        F.col("pba3_block").alias("key"),
+        F.coalesce("n", F.lit(0)).cast("long").alias("n"),
     )
-    no_obs = anti_join(names.select("pba3_block").distinct(), per_block, ["pba3_block"]).select(
-        F.lit("name_without_observations").alias("check"), F.col("pba3_block").alias("key"), F.lit(0).cast("long").alias("n")
-    )
-    return union_rows(dup, starts, places, no_name, no_obs).select(*key_n)
+    return union_rows(dup, of_checklist, gaps).select(*key_n)
 
 
 def offending_rows(obs: DataFrame, bad_keys: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockwise.functions.geo import covers, ring_bbox, web_mercator
-from blockwise.operators.joins import union_rows
+from blockwise.operators.joins import join_on, union_rows
+from blockwise.session import materialize
 
 HULL_SALTS = 32
 
@@ -129,8 +130,9 @@ def covers_join(
     hits = pc.join(pt, ["cx", "cy"]).where(covers("ring", x, y)).drop("cx", "cy")
     if not keep_unmatched:
         return hits
+    hits = materialize(hits, "polygon-hits")  # read twice: as result and for the polygons without a point
     id_cols = [c for c in polys.columns if c != "ring"]
-    missing = polys.join(hits.select(*id_cols).distinct(), id_cols, "left_anti")
+    missing = join_on(polys, hits.select(*id_cols).distinct(), id_cols, "left_anti", null_safe=True)
     return union_rows(hits, missing)
 
 

@@ -183,10 +183,11 @@ def q_parquet_roundtrip(spark, sf):
     return IO.read_parquet(spark, path)
 
 
-@register("release_tag", rows_only=True)
+@register("release_tag")
 def q_release_tag(spark, sf):
-    files = fx.table(spark, sf, "lineitem").select(F.col("_metadata.file_path").alias("path")).distinct()
-    return IO.release_tag(files)
+    path = f"{scratch(spark, 'extract')}/ebd_relMay-2026.txt"
+    fx.raw_observations(spark, sf).select("checklist_id", "common_name").write.option("sep", "\t").option("header", True).csv(path)
+    return IO.release_tag(IO.list_files(spark, path)).select("release", "release_sentence").distinct()
 
 
 @register("blocks_source", rows_only=True)

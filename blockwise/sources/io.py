@@ -99,6 +99,11 @@ def read_extract(
     return df
 
 
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """Paths of the files under ``path`` (column ``path``); no content is read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+
+
 def release_tag(df: DataFrame, path_col: str = "path") -> DataFrame:
     """Release tag (``May-2026``) from an extract file name, and the sentence shown with it."""
     tag = F.regexp_extract(F.col(path_col), RELEASE_PATTERN, 0)
