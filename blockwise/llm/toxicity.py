@@ -46,6 +46,8 @@ CLEAN_ROWS = 40_000
 #: Words and word beginnings kept as marks, and those counted as candidates.
 MARKS = 50_000
 CANDIDATES = 200_000
+#: Least lower bound of a mark's log odds, and least share of the best mark's.
+MIN_ODDS, STRONG = 1.0, 0.35
 HELD_OUT = 2
 #: Look-alikes and the letters that they may stand for.
 LOOKS_LIKE = {
@@ -182,8 +184,11 @@ def restored_words(text: str, restorer: Restorer) -> tuple[set[str], int]:
 
 
 def marks_of(words: set[str]) -> set[str]:
-    """Words and the first four and five letters of longer ones."""
-    return words | {w[:4] + "-" for w in words if len(w) > 4} | {w[:5] + "-" for w in words if len(w) > 5}
+    """Words and the first four to seven letters of longer ones."""
+    out = set(words)
+    for k in range(4, 8):
+        out.update([w[:k] + "-" for w in words if len(w) > k])
+    return out
 
 
 # ------------------------------------------------------------ classifier
@@ -196,8 +201,13 @@ class Model:
     logistic: np.ndarray | None = None
 
     def features(self, words: set[str]) -> list[float]:
-        hits = [self.weights[m] for m in marks_of(words).intersection(self.weights)]
-        return [max(hits), math.log1p(len(hits)), 1.0] if hits else [0.0, 0.0, 1.0]
+        """Strongest mark, marked words by weight (their sum, and their share of all words), constant."""
+        weight = self.weights
+        if not marks_of(words) & weight.keys():
+            return [0.0, 0.0, 0.0, 1.0]
+        best = [max(weight.get(w, 0.0), *[weight.get(w[:k] + "-", 0.0) for k in range(4, min(8, len(w)))], 0.0) for w in words]
+        total = sum(best)
+        return [max(best), math.log1p(total), 10 * total / (len(words) + 20), 1.0]
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.logistic is None:
@@ -263,27 +273,37 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = training_rows(docs, labels, id_col, text_col, label_col)
     letters = spark.sparkContext.broadcast(model.letters)
     size = {(r["y"], r["fit"]): r["n"] for r in rows.groupBy("y", (F.col("part") != 3).alias("fit")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not size.get((1, True)) or not size.get((0, True)):
+    toxic, clean = (sum(size.get((y, f), 0) for f in (True, False)) for y in (1, 0))
+    if not toxic or not clean:
         return model
-    toxic = _mark_counts(rows.where("y = 1 and part <> 3"), letters, None).where("n > 2").orderBy(F.desc("n"), "mark").limit(CANDIDATES).toPandas()
+    # The logistic function is fitted on rows that the marks have not seen; then the marks are taken from all rows.
+    apart = all(size.get((y, f)) for y in (0, 1) for f in (True, False))
+    model.weights = _weights(rows.where("part <> 3") if apart else rows, letters)
+    found = _scored(rows.where("part = 3" if apart else "true").select(F.col("y").alias("id"), "text"), spark.sparkContext.broadcast(model), "int")
+    found = found.select("id", "features").toPandas()
+    x, y = np.array(found["features"].tolist(), float), found["id"].to_numpy(float)
+    order = np.lexsort([*x.T, y])
+    logistic = _logistic(x[order], y[order])
+    return Model(model.letters, _weights(rows, letters) if apart else model.weights, logistic)
+
+
+def _weights(rows: DataFrame, letters) -> dict[str, float]:
+    """Marks and the lower bounds of their log odds, from texts that hold them in each class."""
+    all_toxic, all_clean = (rows.where(f"y = {y}").count() for y in (1, 0))
+    toxic = _mark_counts(rows.where("y = 1"), letters, None).where("n > 2").orderBy(F.desc("n"), "mark").limit(CANDIDATES).toPandas()
     n_toxic = dict(zip(toxic["mark"], toxic["n"], strict=True))
-    only = spark.sparkContext.broadcast(frozenset(n_toxic))
-    clean = _mark_counts(rows.where("y = 0 and part <> 3"), letters, only).toPandas()
+    only = rows.sparkSession.sparkContext.broadcast(frozenset(n_toxic))
+    clean = _mark_counts(rows.where("y = 0"), letters, only).toPandas()
     n_clean = dict(zip(clean["mark"], clean["n"], strict=True))
-    all_toxic, all_clean = size[1, True], size[0, True]
     weights = {}
     for m, a in n_toxic.items():
         c = n_clean.get(m, 0)
         odds = math.log((a + 0.5) / (all_toxic + 1)) - math.log((c + 0.5) / (all_clean + 1)) - 2 * math.sqrt(1 / (a + 0.5) + 1 / (c + 0.5))
-        if odds > 1.2:
+        if odds > MIN_ODDS:
             weights[m] = odds
-    model.weights = dict(sorted(weights.items(), key=lambda e: (-e[1], e[0]))[:MARKS])
-    later = rows.where("part = 3") if size.get((1, False)) and size.get((0, False)) else rows
-    found = _scored(later.select(F.col("y").alias("id"), "text"), spark.sparkContext.broadcast(model), "int").select("id", "features").toPandas()
-    x, y = np.array(found["features"].tolist(), float), found["id"].to_numpy(float)
-    order = np.lexsort([*x.T, y])
-    model.logistic = _logistic(x[order], y[order])
-    return model
+    # Weak marks are left out: over a long text, chance ones would add up.
+    least = STRONG * max(weights.values(), default=0.0)
+    return dict(sorted(((m, w) for m, w in weights.items() if w >= least), key=lambda e: (-e[1], e[0]))[:MARKS])
 
 
 def _scored(rows: DataFrame, shared, id_type: str) -> DataFrame:
@@ -298,7 +318,7 @@ def _scored(rows: DataFrame, shared, id_type: str) -> DataFrame:
                 words, n = restored_words(text or "", restorer)
                 x.append(model.features(words))
                 restored.append(n)
-            score = model.score(np.array(x, float).reshape(-1, 3))
+            score = model.score(np.array(x, float).reshape(-1, 4))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64())), pa.array(score), pa.array(restored, pa.int64())], names=["id", "features", "score", "restored"])
 
     return rows.mapInArrow(run, f"id {id_type}, features array<double>, score double, restored long")
@@ -332,6 +352,6 @@ def keep_below(docs: DataFrame, model: Model, threshold: float = 0.3, text_col:
         restorer = Restorer(model.letters)
         for batch in batches:
             x = [model.features(restored_words(t or "", restorer)[0]) for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(model.score(np.array(x, float).reshape(-1, 3)) < threshold))
+            yield batch.filter(pa.array(model.score(np.array(x, float).reshape(-1, 4)) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
