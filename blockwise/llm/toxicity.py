@@ -248,7 +248,7 @@ def _mark_counts(rows: DataFrame, letters, only) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 marks = marks_of(restored_words(text, restorer)[0])
                 counts.update(marks if only is None else marks & only.value)
-                if len(counts) > 500_000:
+                if len(counts) > 200_000:
                     yield flush()
         yield flush()
 
