@@ -4,11 +4,13 @@
    a character language model (each order backs off to the next lower one). The
    alphabet has 32 symbols, so the summed table has at most 32 ** 4 entries,
    whatever the corpus.
-2. Places that look obfuscated (letters mixed with look-alikes, single letters
-   with separators, letters repeated three times or more) become character
-   lattices: a look-alike may stand for a letter or break the word, a separator
-   may be dropped or kept, a repetition may be dropped. Viterbi search under the
-   language model finds the restored text. Plain words have one path only.
+2. Places that may be obfuscated become character lattices: every token with a
+   look-alike beside a letter or with separators inside, every run of two or more
+   parts of at most ``SHORT`` letters whatever stands between them, every word
+   with a doubled letter. A look-alike may stand for a letter or break the word, a
+   separator may be dropped or kept, a repetition may be dropped. Viterbi search
+   under the language model finds the restored text; places that it leaves as they
+   are do not count as restored. Other words have one path only.
 3. ``fit`` learns from labelled rows which words and word beginnings mark toxic
    texts (counts over distinct texts, lower bound of the log odds), and a
    logistic function of the strongest mark and the number of marks, fitted on
@@ -27,9 +29,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,15 +59,21 @@ LOOKS_LIKE = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t",
 }
 #: Costs of the channel (natural logarithms).
-COST = {"look": 1.0, "break": 4.0, "drop_separator": 0.5, "keep_separator": 0.5, "drop_second": 2.5, "drop_more": 0.3}
+COST = {"look": 1.0, "break": 4.0, "drop_symbol": 2.5, "drop_separator": 0.5, "keep_separator": 0.5, "drop_blank": 3.0, "drop_second": 2.5, "drop_more": 0.3}
 BEAM = 48
 _LETTER = "a-zß-öø-ÿ"
 _LOOK = "".join(re.escape(c) for c in LOOKS_LIKE)
-MIXED = re.compile(rf"(?<![{_LETTER}{_LOOK}])(?:[{_LETTER}]+[{_LOOK}]+(?=[{_LETTER}])|[{_LOOK}]{{1,2}}(?=[{_LETTER}]))[{_LETTER}{_LOOK}]+")
-SPACED = re.compile(rf"(?<![^\W_{_LOOK}])(?:[{_LETTER}{_LOOK}][ ._*-]{{1,2}}){{3,}}[{_LETTER}{_LOOK}](?![^\W_])")
-REPEATED = re.compile(rf"[{_LETTER}]*([{_LETTER}])\1\1[{_LETTER}]*")
+#: Most letters of a part in a run of short parts.
+SHORT = 3
+_ANY = _LETTER + _LOOK
+_INNER, _BETWEEN = rf"(?:[^\w\s{_LOOK}]|_)++", rf"(?:[^\w{_LOOK}]|_)++"
+_PART = rf"[{_ANY}]{{1,{SHORT}}}+(?![^\W_]|[{_LOOK}])"
+TOKEN = re.compile(rf"(?<![{_ANY}])(?:[{_LETTER}]++(?=[{_LOOK}]|{_INNER}[{_ANY}])|[{_LOOK}]++(?=[{_LETTER}]|{_INNER}[{_ANY}]))[{_ANY}]*+(?:{_INNER}[{_ANY}]++)*+")
+PARTS = re.compile(rf"(?<![^\W_])(?<![{_LOOK}]){_PART}(?:{_BETWEEN}{_PART})++")
+DOUBLED = re.compile(rf"([{_LETTER}])\1")
+SEPARATORS = re.compile(_BETWEEN)
 WORDS = re.compile(r"[^\W\d_]+")
-STORE = 100_000
+STORE = 300_000
 #: Symbols of the language model: 0 ends a word, 1 to 26 are a to z, the rest are other letters.
 ORDER, SYMBOLS = 4, 32
 
@@ -81,8 +91,9 @@ def _byte_symbols() -> np.ndarray:
 _SYMBOL = _byte_symbols()
 
 
+@lru_cache(maxsize=4096)
 def symbol(char: str) -> int:
-    return int(_SYMBOL[char.encode()[-1]])
+    return 0 if char == " " else int(_SYMBOL[char.encode()[-1]])
 
 
 def letter_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -120,67 +131,100 @@ class Restorer:
     """Viterbi decoding of obfuscated places; equal places are decoded once."""
 
     def __init__(self, model: np.ndarray):
-        self.model = model
-        self.known: dict[str, str] = {}
-
-    def places(self, low: str, raw: np.ndarray) -> list[str]:
-        found = []
-        if not low.isalpha():
-            found = [m.group() for m in MIXED.finditer(low)] + [m.group() for m in SPACED.finditer(low)]
-        runs = (raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2]) & (_SYMBOL[raw[2:]] > 0)
-        if runs.any():
-            found += [m.group() for m in REPEATED.finditer(low)]
-        return found
-
-    def restore(self, place: str) -> str:
+        self.model = memoryview(np.ascontiguousarray(model, np.float32).ravel())
+        self.known: dict[str, list[str] | None] = {}
+
+    def places(self, low: str) -> list[str]:
+        """Tokens and runs of parts that may be obfuscated; of two places, one inside the other, the outer one."""
+        runs, found = [m.span() for m in PARTS.finditer(low)], []
+        ends = [b for _, b in runs]
+        for m in TOKEN.finditer(low):
+            a, b = m.span()
+            i = bisect_left(ends, b)
+            if i < len(runs) and runs[i][0] <= a:
+                continue  # inside a run of parts
+            found.append(m.group())
+            j = bisect_left(ends, a + 1)
+            while j < len(runs) and runs[j][0] >= a and runs[j][1] <= b:
+                runs[j], j = (a, a), j + 1  # a run of parts inside a token
+        return found + [low[a:b] for a, b in runs if a < b]
+
+    def restore(self, place: str) -> list[str] | None:
+        """The words of the restored place, None if they are those written."""
         if place not in self.known:
             if len(self.known) >= STORE:
                 self.known.clear()
-            self.known[place] = self.decode(place)
+            written = WORDS.findall(place)
+            restored = self.decode(SEPARATORS.sub(_one_separator, place)).split() if written else written
+            self.known[place] = None if restored == written else restored
         return self.known[place]
 
     def arcs(self, place: str, i: int) -> list[tuple[str, float]]:
         """What character i may have been (an empty string: nothing, a blank: the end of a word), with its cost."""
         c = place[i]
-        if c in " ._*-":
-            return [("", COST["drop_separator"]), (" ", COST["keep_separator"])]
+        if c in " .":
+            # A blank between two parts of several letters is most often one.
+            alone = place[max(i - 2, 0) : i - 1] in ("", " ", ".") and place[i + 2 : i + 3] in ("", " ", ".")
+            return [("", COST["drop_separator" if c == "." or alone else "drop_blank"]), (" ", COST["keep_separator"])]
         out = [(x, COST["look"]) for x in LOOKS_LIKE.get(c, "")]
         out = [*out, (" ", COST["break"])] if out else [(c, 0.0)]
+        if c in LOOKS_LIKE and not c.isdigit():
+            out.append(("", COST["drop_symbol"]))
         if i and place[i - 1] == c:
             out.append(("", COST["drop_more"] if i > 1 and place[i - 2] == c else COST["drop_second"]))
         return out
 
     def decode(self, place: str) -> str:
         model = self.model
-        beam: dict[int, tuple[float, str]] = {0: (0.0, "")}
+        beam: dict[int, tuple] = {0: (0.0, "", None)}  # state -> score, symbol, the entry before
         for i in range(len(place) + 1):
-            nxt: dict[int, tuple[float, str]] = {}
-            for state, (score, text) in beam.items():
-                for x, cost in self.arcs(place, i) if i < len(place) else [(" ", 0.0)]:
-                    s = score - cost
-                    at, out = state, text
-                    if x == " ":
-                        if state & 31:
-                            s += float(model[state, 0])
-                            at, out = (state << 5) & 32767, text + " "
-                    elif x:
-                        k = symbol(x)
-                        s += float(model[state, k])
-                        at, out = ((state << 5) & 32767) + k, text + x
+            nxt: dict[int, tuple] = {}
+            c = place[i : i + 1]
+            if c.isalpha() and place[i - 1 : i] != c:  # one arc without cost
+                k = symbol(c)
+                for state, before in beam.items():
+                    at, s = ((state << 5) & 32767) + k, before[0] + model[state * 32 + k]
                     if at not in nxt or s > nxt[at][0]:
-                        nxt[at] = (s, out)
-            beam = dict(sorted(nxt.items(), key=lambda e: -e[1][0])[:BEAM])
-        return max(beam.values())[1].strip()
+                        nxt[at] = (s, c, before)
+                beam = nxt
+                continue
+            for x, cost in self.arcs(place, i) if c else [(" ", 0.0)]:
+                k = symbol(x) if x else -1
+                for state, before in beam.items():
+                    if k < 0 or (k == 0 and not state & 31):
+                        at, s, y = state, before[0] - cost, ""
+                    else:
+                        at, s, y = ((state << 5) & 32767) + k, before[0] - cost + model[state * 32 + k], x
+                    if at not in nxt or s > nxt[at][0]:
+                        nxt[at] = (s, y, before)
+            beam = nxt if len(nxt) <= BEAM else dict(sorted(nxt.items(), key=lambda e: -e[1][0])[:BEAM])
+        entry, out = max(beam.values(), key=lambda e: e[0]), []
+        while entry is not None:
+            out.append(entry[1])
+            entry = entry[2]
+        return "".join(reversed(out)).strip()
+
+
+def _one_separator(m: re.Match) -> str:
+    """A run of separators counts as one: a blank if it holds white space, else a dot."""
+    return "." if not any(map(str.isspace, m.group())) else " "
 
 
 def restored_words(text: str, restorer: Restorer) -> tuple[set[str], int]:
-    """The words of the restored text, and how many places were restored."""
+    """The words of the restored text, and how many places differ from what was written."""
     low = text.lower()
-    words = set(WORDS.findall(low))
-    places = restorer.places(low, np.frombuffer(text.encode(), np.uint8))
-    for place in places:
-        words.update(restorer.restore(place).split())
-    return words, len(places)
+    written = WORDS.findall(low)
+    words = set(written)
+    changed = {w: r for w in words if DOUBLED.search(w) and (r := restorer.restore(w)) is not None}
+    n = sum(w in changed for w in written) if changed else 0
+    for r in changed.values():
+        words.update(r)
+    for place in restorer.places(low):
+        restored = restorer.restore(place)
+        if restored is not None:
+            n += 1
+            words.update(restored)
+    return words, n
 
 
 def marks_of(words: set[str]) -> set[str]:

@@ -34,6 +34,25 @@ def test_restores_obfuscated_words(spark):
     assert toxicity.restored_words("plain words of the text", r)[1] == 0
 
 
+OBFUSCATED = {
+    "a55": "ass", "id10+": "idiot", "idi07": "idiot", "hat3": "hate", "1053r": "loser", "$$$cum": "scum", "a s s": "ass", "d i e": "die",
+    "i,d,i,o,t": "idiot", "i/d/i/o/t": "idiot", "i|d|i|o|t": "idiot", "i   d   i   o   t": "idiot", "i\nd\ni\no\nt": "idiot",
+    "st.up.id": "stupid", "st up id": "stupid", "m-oron": "moron", "idioot": "idiot", "StuUupid": "stupid",
+}
+
+
+def test_every_obfuscated_form_is_proposed(spark):
+    plain = "you are an idiot and a loser whom they hate , an ass that may die , scum of the town , a moron so stupid that we left"
+    docs = spark.createDataFrame([(i, plain) for i in range(200)], "doc_id long, text string")
+    r = toxicity.Restorer(toxicity.language_model(toxicity.letter_grams(docs)))
+    for given, word in OBFUSCATED.items():
+        words, n = toxicity.restored_words(f"they left {given} whom we", r)
+        assert word in words and n == 1, given
+    assert toxicity.restored_words(plain, r)[1] == 0
+    long = " ".join(["a" * 3000, "a." * 3000, "a1" * 3000, "$" * 3000, "a" + "-" * 3000])
+    assert toxicity.restored_words(long, r)[0]
+
+
 def test_letter_grams_are_counted_over_everything(spark):
     docs = spark.createDataFrame([(1, "Aab"), (2, None), (3, "aab.")], "doc_id long, text string")
     got = {r.gram: r.n for r in toxicity.letter_grams(docs).collect()}
