@@ -31,9 +31,16 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})",  # the head only, see _ibans
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
+#: The longest text that an IBAN's head can start; and the registered lengths without blanks.
+IBAN = r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
 KINDS = list(PATTERNS)
 BASE = KINDS[:4]
 #: A text without a match of this cannot have the kind (cheap test before the pattern).
@@ -87,8 +94,6 @@ def _valid(kind: str, hit: Column) -> Column:
         return F.when(F.length(digits).between(14, 19), luhn_ok(digits)).otherwise(F.lit(False))
     if kind == "phone":
         return F.length(digits_of(hit)).between(10, 15)
-    if kind == "iban":
-        return mod97_ok(hit)
     return F.lit(True)
 
 
@@ -106,12 +111,45 @@ def _placed(hits: Column, gaps: Column, kind: str) -> Column:
     return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
 
+def _iban_end(longest: Column) -> Column:
+    """Length of the IBAN that ``longest`` starts with, null without one.
+
+    An upper-case word or a number may follow it, so every end at a blank is tried with mod-97; of several that
+    pass, the registered length of the country wins, then the longest.
+    """
+    lengths = F.create_map(*[F.lit(x) for n, codes in IBAN_LENGTHS.items() for code in codes.split() for x in (code, n)])
+    size = F.length(longest)
+
+    def passes(n: Column) -> Column:
+        at_end = (n <= size) & ((n == size) | (F.substr(longest, n + 1, F.lit(1)) == " "))
+        hit = F.substr(longest, F.lit(1), n)
+        return F.when(at_end & (F.length(F.replace(hit, F.lit(" "), F.lit(""))) >= 15), mod97_ok(hit)).otherwise(F.lit(False))
+
+    def rank(n: Column) -> Column:
+        compact = F.length(F.replace(F.substr(longest, F.lit(1), n), F.lit(" "), F.lit("")))
+        return F.struct(F.coalesce(compact == F.try_element_at(lengths, F.substr(longest, F.lit(1), F.lit(2))), F.lit(False)).alias("known"), n.alias("n"))
+
+    return F.array_max(F.transform(F.filter(F.sequence(F.lit(15), F.greatest(size, F.lit(15))), passes), rank))["n"]
+
+
+def _ibans(heads: Column, text: Column) -> Column:
+    """(start, end, hit) of the IBANs among the places of heads; one that starts inside another is left out."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("out"))
+    whole = F.transform(heads, lambda s: F.struct(s["start"].alias("start"), F.regexp_extract(F.substr(text, s["start"] + 1, F.lit(65)), IBAN, 0).alias("longest")))
+    ended = F.transform(whole, lambda s: F.struct(s["start"].alias("start"), (s["start"] + _iban_end(s["longest"])).alias("end"), s["longest"].alias("hit")))
+
+    def step(acc: Column, s: Column) -> Column:
+        return F.when(s["end"].isNotNull() & (s["start"] >= acc["at"]), F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(s)).alias("out"))).otherwise(acc)
+
+    return F.aggregate(ended, start, step, lambda acc: acc["out"])
+
+
 def _confirmed(placed: Column, kind: str, text: Column, min_score: float) -> Column:
     def near(s: Column) -> Column:
         begin = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
         return F.lower(F.substr(text, begin + 1, s["start"] - begin)).rlike(CONTEXT[kind])
 
-    ok = F.filter(placed, lambda s: _valid(kind, s["hit"]))
+    ok = _ibans(placed, text) if kind == "iban" else F.filter(placed, lambda s: _valid(kind, s["hit"]))
     scored = F.transform(
         ok,
         lambda s: F.struct(

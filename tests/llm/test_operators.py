@@ -166,6 +166,15 @@ def test_pii_checksums_and_context(spark):
     assert "[iban]" in both.select(pii.redact(queries.F.col("text"), queries.F.col("spans")).alias("r")).first().r
 
 
+def test_iban_ends_before_a_word_or_a_number(spark):
+    wide, narrow = "GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432"
+    given = [f"{wide} BIC WESTGB2L", f"{narrow} USD 500", f"{narrow} 500", f"ID12 ORDER {wide} and", f"{wide} {narrow}", f"{wide}X", f"{wide[:-1]}3 BIC", "NO93 8601 1117 947 KR 100 NOK"]
+    docs = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    out = pii.find_pii(docs).select("doc_id", pii.written(pii.of_kind(queries.F.col("spans"), "iban")).alias("w"))
+    got = {r.doc_id: r.w for r in out.collect()}
+    assert [got[i] for i in range(len(given))] == ["iban:0:27", "iban:0:22", "iban:0:22", "iban:11:38", "iban:0:27,iban:28:50", "", "", "iban:0:18"]
+
+
 # ------------------------------------------------------------ 5 n-gram join
 
 
