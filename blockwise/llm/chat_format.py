@@ -1,7 +1,9 @@
 """Chat formatting (DataFrame operations only).
 
 A layout is recognised by its schema fingerprint: the hash of its sorted nested
-field paths. The fingerprint selects a declarative mapping that turns rows,
+field paths. Of a schema or record, the paths that a layout has count for it, so
+other fields do not hide it; of several layouts the one with most paths is taken,
+then the first of ``LAYOUTS``. The fingerprint selects a declarative mapping that turns rows,
 prompt, instruction or message layouts into canonical turns
 (``conv_id, turn, role, text``). ``format_chat`` renders the turns of each
 conversation as one training string with a loss mask, ``read_turns`` reads them
@@ -22,6 +24,8 @@ training record and so must fit a row; conversations are spread by id.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,14 +104,19 @@ def fingerprint(paths: Column) -> Column:
     return F.md5(F.concat_ws("\x1f", F.array_sort(paths)))
 
 
-def _known_fingerprint(layout: str) -> Column:
-    return fingerprint(F.array(*[F.lit(p) for p in LAYOUTS[layout][0]]))
+def _hash(paths) -> str:
+    """The same hash of paths on the driver."""
+    return hashlib.md5("\x1f".join(sorted(paths)).encode()).hexdigest()
+
+
+#: Layout name -> fingerprint.
+FINGERPRINTS = {k: _hash(paths) for k, (paths, _) in LAYOUTS.items()}
 
 
 def layout_of(schema: T.StructType, id_col: str = "conv_id") -> str:
-    """The most specific layout whose field paths the schema has (other columns may be there too)."""
+    """The most specific layout whose fingerprint the schema's paths, projected to the layout's, have."""
     have = {p for p in field_paths(schema) if p != id_col}
-    fits = [k for k, (paths, _) in LAYOUTS.items() if set(paths) <= have]
+    fits = [k for k, (paths, _) in LAYOUTS.items() if _hash(have & set(paths)) == FINGERPRINTS[k]]
     if not fits:
         raise ValueError(f"no layout has fields {sorted(have)}")
     return max(fits, key=lambda k: len(LAYOUTS[k][0]))
@@ -141,12 +150,14 @@ def turns_from_json(df: DataFrame, id_col: str = "conv_id", record: str = "recor
     Records of an unknown layout come back as one turn with role ``unknown`` and the record as text, none is lost.
     """
     marked = df.select(F.col(id_col).alias("conv_id"), F.col(record).alias("record"))
-    marked = marked.withColumn("fp", fingerprint(_json_paths("record")))
+    marked = marked.withColumn("paths", F.array_distinct(_json_paths("record")))
     turns = F.array(F.struct(F.lit(0).cast("long").alias("turn"), F.lit("unknown").alias("role"), F.col("record").alias("text")))
     out = marked
     for name, schema in JSON_SCHEMAS.items():
-        out = out.withColumn(f"_{name}", F.when(F.col("fp") == _known_fingerprint(name), F.from_json("record", schema)))
-    for name in JSON_SCHEMAS:
+        own = F.array_intersect("paths", F.array(*[F.lit(p) for p in LAYOUTS[name][0]]))
+        out = out.withColumn(f"_{name}", F.when(fingerprint(own) == FINGERPRINTS[name], F.from_json("record", schema)))
+    # The last that fits is taken: the one with most paths, then the first of LAYOUTS.
+    for name in sorted(reversed(JSON_SCHEMAS), key=lambda k: len(LAYOUTS[k][0])):
         fields = out.select(f"_{name}.*").columns
         scope = {f: f"_{name}.{f}" for f in fields}
         turns = F.when(F.col(f"_{name}").isNotNull(), _scoped(name, scope)).otherwise(turns)

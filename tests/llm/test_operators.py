@@ -285,6 +285,20 @@ def test_layouts_by_fingerprint(spark):
     assert chat_format.format_chat(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_other_fields_do_not_hide_a_layout(spark):
+    records = [
+        (1, '{"id":7,"messages":[{"role":"user","content":"q","name":"n"},{"role":"assistant","content":"a"}]}'),
+        (2, '{"instruction":"q","input":"i","output":"a","source":"s"}'), (3, '{"system":"s","prompt":"q","response":"a","id":1}'),
+    ]
+    out = {}
+    for r in chat_format.turns_from_json(spark.createDataFrame(records, "conv_id long, record string")).orderBy("conv_id", "turn").collect():
+        out.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert out == {1: [("user", "q"), ("assistant", "a")], 2: [("user", "q\n\ni"), ("assistant", "a")], 3: [("system", "s"), ("user", "q"), ("assistant", "a")]}
+    for name, (paths, _) in chat_format.LAYOUTS.items():
+        known = chat_format.fingerprint(queries.F.array(*[queries.F.lit(p) for p in paths]))
+        assert spark.range(1).select(known.alias("f")).first().f == chat_format.FINGERPRINTS[name]
+
+
 # ------------------------------------------------------------ 8 quality
 
 
