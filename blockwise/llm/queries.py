@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockwise.llm import chat_format, exact_dedup, mixing, ngram_join, packing, pii, quality_rules, suffix_dedup, token_counts, toxicity
+from blockwise.llm import chat_format, exact_dedup, mixing, ngram_join, packing, pii, prefix_trie, quality_rules, suffix_dedup, token_counts, toxicity, whitening
 from blockwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,6 +113,46 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), every=100, heads=6)
+
+
+#: crc32 by bits; DuckDB has no such function.
+CRC32 = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), "
+    "lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+)
+
+OP11_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list({{'r': role, 't': text}} ORDER BY turn NULLS FIRST, role, sha256(length(role)::VARCHAR || ':' || role || text)) AS turns
+  FROM t GROUP BY conv_id
+), c AS (SELECT conv_id, turns, {CRC32} % 6 AS h FROM own
+), whole AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns, [])[1:c.h], c.turns[c.h + 1:]) AS path
+  FROM c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 100
+), steps AS (
+  SELECT conv_id, d, path[1:d] AS path, len(path) AS total, path[d].t AS last FROM (SELECT conv_id, path, unnest(range(len(path) + 1)) AS d FROM whole)
+), node AS (
+  SELECT path, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(total) = d AS leaf, coalesce((count(*) - 1) * length(any_value(last)), 0) AS saved,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE total = d), '')) AS ends_sha256
+  FROM steps GROUP BY path, d
+), above AS (
+  SELECT path[1:d] AS path, leaf, saved, depth - d AS below FROM (SELECT *, unnest(range(depth + 1)) AS d FROM node)
+), below AS (
+  SELECT path, sum(leaf::BIGINT)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (WHERE below = 1) AS n_children FROM above GROUP BY path
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, b.n_children, b.n_leaves, b.saved_tokens, n.ends_sha256
+FROM node n JOIN below b ON b.path = n.path LEFT JOIN node p ON n.depth > 0 AND p.path = n.path[1:n.depth - 1]
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), scale=64, offset=1_000_000, components=16)
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
@@ -124,9 +164,12 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_mix_sources": op10_mix_sources,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE: dict[str, str] = {
     "op6_exact_dedup": OP6_SQL,
     "op7_chat_format": OP7_SQL,
+    "op11_prefix_trie": OP11_SQL,
 }
