@@ -48,10 +48,13 @@ def frequent_keys(df: DataFrame, key: str, share: float = 0.001) -> list:
 
     The counter sketch is merged map-side; it has no false negatives, and a
     false positive only means that a key is treated as hot without need. The
-    result's size is bounded by ``share`` alone, so it may be broadcast.
+    result's size is bounded by ``share`` alone, so it may be broadcast. Binary keys are counted as text: the sketch
+    would take each array of bytes for a value of its own and return a key as often as it occurs.
     """
-    row = df.select(key).stat.freqItems([key], share).first()
-    return [] if row is None else list(row[0])
+    binary = df.schema[key].dataType.simpleString() == "binary"
+    row = df.select((F.hex(key) if binary else F.col(key)).alias(key)).stat.freqItems([key], share).first()
+    found = [] if row is None else list(dict.fromkeys(row[0]))
+    return [None if k is None else bytearray.fromhex(k) for k in found] if binary else found
 
 
 def skew_left_join(big: DataFrame, small: DataFrame, key: str, share: float = 0.001) -> DataFrame:
