@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockwise.llm import chat_format, exact_dedup, mixing, ngram_join, packing, pii, prefix_trie, quality_rules, suffix_dedup, token_counts, toxicity, whitening
+from blockwise.llm import chat_format, exact_dedup, hyperminhash, mixing, ngram_join, packing, pii, prefix_trie, quality_rules, suffix_dedup, token_counts, toxicity, whitening
 from blockwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,6 +149,28 @@ FROM node n JOIN below b ON b.path = n.path LEFT JOIN node p ON n.depth > 0 AND
 """
 
 
+def op12_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+OP12_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM d
+), s AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM g
+), l AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), both_ways AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), reach AS (SELECT x, y FROM both_ways UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON b.x = r.y
+), c AS (SELECT x AS doc_id, min(y) AS low FROM reach GROUP BY x)
+SELECT g.doc_id, len(g.s) AS n_shingles, least(g.doc_id, c.low) AS component_id, coalesce(g.doc_id = least(g.doc_id, c.low), true) AS kept
+FROM g LEFT JOIN c ON c.doc_id = g.doc_id
+"""
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"), scale=64, offset=1_000_000, components=16)
 
@@ -165,6 +187,7 @@ QUERIES: dict[str, Query] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_mix_sources": op10_mix_sources,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_hyperminhash": op12_hyperminhash,
     "op13_whitening": op13_whitening,
 }
 
@@ -172,4 +195,5 @@ ORACLE: dict[str, str] = {
     "op6_exact_dedup": OP6_SQL,
     "op7_chat_format": OP7_SQL,
     "op11_prefix_trie": OP11_SQL,
+    "op12_hyperminhash": OP12_SQL,
 }
