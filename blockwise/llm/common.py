@@ -109,8 +109,31 @@ def text_chunks(texts: list[str | None], max_chars: int = 2_000_000) -> Iterator
 
 
 def kept_by_worker(key: tuple, make: Callable[[], object]):
-    """What ``make`` returns, kept by a Python worker from task to task (functions shipped by value have no lasting globals)."""
+    """What ``make`` returns, kept by a Python worker from task to task (functions shipped by value have no lasting globals).
+
+    A worker keeps one object: asking for another key lets the one before go.
+    """
     store = sys.modules.setdefault("_blockwise_kept", ModuleType("_blockwise_kept")).__dict__.setdefault("store", {})
     if key not in store:
+        store.clear()
         store[key] = make()
     return store[key]
+
+
+class Generations:
+    """What was worked out for a key, kept while it is asked for: a full young generation becomes the old one."""
+
+    def __init__(self, make: Callable[[str], object], size: int):
+        self.make, self.size, self.young, self.old = make, size, {}, {}
+
+    def __getitem__(self, key: str):
+        value = self.young.get(key, self)
+        if value is self:
+            value = self.old.get(key, self)
+            self.put(key, value := self.make(key) if value is self else value)
+        return value
+
+    def put(self, key: str, value) -> None:
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[key] = value

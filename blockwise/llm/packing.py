@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockwise.llm.common import by_value, fixed, text_chunks
+from blockwise.llm.common import by_value, fixed, kept_by_worker, text_chunks
 from blockwise.llm.token_counts import LETTER, UNSURE
 
 by_value(__name__)
@@ -41,7 +41,8 @@ CLOSING_ID = 2
 RANK_BLOCK = 2_000
 #: Largest table of block offsets that is broadcast.
 BROADCAST_BLOCKS = 100_000
-STORE = 300_000
+#: Words that a generation of a worker's store holds.
+STORE = 100_000
 WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^\s0-9{LETTER}]+")
 
 
@@ -57,7 +58,9 @@ class WordEncoder:
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[k for t, k in vocab.items() if t.endswith("</w>")]] = True
         self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or "(?!)")
+        #: Ids of words; a full young store becomes the old one, from which words come back when they are met again.
         self.store: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
         """Look up several words at once: with blanks between them, every word ends with an id that ends a word."""
@@ -77,9 +80,11 @@ class WordEncoder:
         words = [[] if o else WORDS.findall(t.lower()) for t, o in zip(texts, odd, strict=True)]
         new = set().union(*words).difference(self.store)
         if len(self.store) + len(new) > STORE:
-            self.store.clear()
+            self.old, self.store = self.store, {}
             new = set().union(*words)
-        new_words = list(new)
+        back = new & self.old.keys()
+        self.store.update((w, self.old[w]) for w in back)
+        new_words = list(new - back)
         for at in range(0, len(new_words), 200):
             self.learn(new_words[at : at + 200])
         out = [b"".join(map(self.store.__getitem__, w)) for w in words]
@@ -91,7 +96,7 @@ class WordEncoder:
 
 def _pieces(path: str, max_len: int, closing_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, closing = WordEncoder(path), np.array([closing_id], dtype="<u4").tobytes()
+        encoder, closing = kept_by_worker(("word encoder", path), lambda: WordEncoder(path)), np.array([closing_id], dtype="<u4").tobytes()
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
             row, start, length, crc, total = [], [], [], [], []

@@ -39,6 +39,9 @@ LETTER = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 #: A text with one of these is split by the library itself: classes of Python's ``re`` may differ there.
 UNSURE = re.compile("[\x1c-\x1f\x85\xa0²³¹¼-¾İƀ-\U0010ffff]")
 PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^\s0-9{LETTER}]+|\s+(?!\S)|\s+")
+#: White space as the vocabulary's pattern has it: without the separators U+001C to U+001F, which Python counts in.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LEADING = re.compile(f"[{SPACE}]*")
 #: Contractions whose two-character prefix is two pieces.
 CONTRACTION_STARTS = {"'re", "'ve", "'ll"}
 #: Pieces kept by a task; the store is emptied when it is full.
@@ -180,7 +183,7 @@ class PrefixCounter:
         out, done, run_from, run_base = [0], 0, None, 0
         for piece in pieces:
             inner = self.counts(piece)
-            lead = len(piece) - len(piece.lstrip())
+            lead = LEADING.match(piece).end()
             if lead:
                 # A prefix that ends in white space has that whole run as its last piece.
                 if run_from is None:
@@ -223,7 +226,7 @@ class PrefixCounter:
         if over == len(sums):
             return len(text)
         first = max(0, over - 3)
-        while first and pieces[first - 1][-1].isspace():
+        while first and LEADING.fullmatch(pieces[first - 1][-1]):
             first -= 1
         start = sum(map(len, pieces[:first]))
         base = sums[first - 1] if first else 0

@@ -11,10 +11,13 @@
    separator may be dropped or kept, a repetition may be dropped. Viterbi search
    under the language model finds the restored text; places that it leaves as they
    are do not count as restored. Other words have one path only.
-3. ``fit`` learns from labelled rows which words and word beginnings mark toxic
-   texts (counts over distinct texts, lower bound of the log odds), and a
-   logistic function of the strongest mark and the number of marks, fitted on
-   rows that the counts did not use. ``score`` applies both to every whole text.
+3. ``fit`` decodes the labelled rows once and stores their words. From that table
+   it learns which words and word beginnings mark toxic texts (counts over
+   distinct texts, lower bound of the log odds; only the strong marks come to the
+   driver), and a logistic function of the strongest mark and the number of marks,
+   fitted on rows that the counts did not use. ``score`` applies both to every whole
+   text; a worker keeps what it knows of places and words from task to task, in
+   two generations of bounded size.
 
 The classifier is fitted on at most ``TOXIC_ROWS`` and ``CLEAN_ROWS`` labelled
 rows, those with the smallest id hash; the language model and the scoring cover
@@ -34,22 +37,20 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockwise.llm.common import by_value, fixed
+from blockwise.llm.common import Generations, by_value, fixed, kept_by_worker
 from blockwise.llm.shingles import utf8_blocks
 
 by_value(__name__)
 
 TOXIC_ROWS = 20_000
 CLEAN_ROWS = 40_000
-#: Words and word beginnings kept as marks, and those counted as candidates.
-MARKS = 50_000
-CANDIDATES = 200_000
 #: Least lower bound of a mark's log odds, and least share of the best mark's.
 MIN_ODDS, STRONG = 1.0, 0.35
 HELD_OUT = 2
@@ -60,7 +61,6 @@ LOOKS_LIKE = {
 }
 #: Costs of the channel (natural logarithms).
 COST = {"look": 1.0, "break": 4.0, "drop_symbol": 2.5, "drop_separator": 0.5, "keep_separator": 0.5, "drop_blank": 3.0, "drop_second": 2.5, "drop_more": 0.3}
-BEAM = 48
 _LETTER = "a-zß-öø-ÿ"
 _LOOK = "".join(re.escape(c) for c in LOOKS_LIKE)
 #: Most letters of a part in a run of short parts.
@@ -73,7 +73,8 @@ PARTS = re.compile(rf"(?<![^\W_])(?<![{_LOOK}]){_PART}(?:{_BETWEEN}{_PART})++")
 DOUBLED = re.compile(rf"([{_LETTER}])\1")
 SEPARATORS = re.compile(_BETWEEN)
 WORDS = re.compile(r"[^\W\d_]+")
-STORE = 300_000
+#: Places and words that a generation of a worker's store holds.
+STORE, WORD_STORE = 60_000, 150_000
 #: Symbols of the language model: 0 ends a word, 1 to 26 are a to z, the rest are other letters.
 ORDER, SYMBOLS = 4, 32
 
@@ -128,11 +129,12 @@ def language_model(grams: DataFrame) -> np.ndarray:
 
 
 class Restorer:
-    """Viterbi decoding of obfuscated places; equal places are decoded once."""
+    """Viterbi decoding of obfuscated places; equal places and words are worked out once."""
 
-    def __init__(self, model: np.ndarray):
+    def __init__(self, model: np.ndarray, weights: dict[str, float] | None = None):
         self.model = memoryview(np.ascontiguousarray(model, np.float32).ravel())
-        self.known: dict[str, list[str] | None] = {}
+        self.weights = weights or {}
+        self.place, self.word = Generations(self.restored, STORE), Generations(self.word_value, WORD_STORE)
 
     def places(self, low: str) -> list[str]:
         """Tokens and runs of parts that may be obfuscated; of two places, one inside the other, the outer one."""
@@ -149,15 +151,61 @@ class Restorer:
                 runs[j], j = (a, a), j + 1  # a run of parts inside a token
         return found + [low[a:b] for a, b in runs if a < b]
 
-    def restore(self, place: str) -> list[str] | None:
-        """The words of the restored place, None if they are those written."""
-        if place not in self.known:
-            if len(self.known) >= STORE:
-                self.known.clear()
-            written = WORDS.findall(place)
-            restored = self.decode(SEPARATORS.sub(_one_separator, place)).split() if written else written
-            self.known[place] = None if restored == written else restored
-        return self.known[place]
+    def restored(self, place: str) -> str | None:
+        """The words of the restored place, with blanks between them; None if they are those written."""
+        written = WORDS.findall(place)
+        if not written:
+            return None
+        out = " ".join(self.decode(SEPARATORS.sub(_one_separator, place)).split())
+        return None if out == " ".join(written) else out
+
+    def word_value(self, word: str) -> float | tuple[float, str]:
+        """A word's weight; with the restored words if a word with a doubled letter becomes others."""
+        value = self.weight(word)
+        if DOUBLED.search(word) and (out := self.restored(word)) is not None:
+            return value, out
+        return value
+
+    def weight(self, word: str) -> float:
+        """Weight of the strongest mark of a word."""
+        weight = self.weights
+        value = weight.get(word, 0.0)
+        for k in range(4, min(8, len(word))):
+            value = max(value, weight.get(word[:k] + "-", 0.0))
+        return value
+
+    def read(self, text: str) -> tuple[set[str], dict[str, float], int]:
+        """The words of the restored text, the weights of the marked ones, and how many places differ from what was written."""
+        low = text.lower()
+        written = WORDS.findall(low)
+        words, marked, more, n = set(written), {}, [], 0
+        known, recent, changed = self.word, self.word.young.get, set()
+        for w in words:
+            value = recent(w)
+            if value is None:
+                value = known[w]
+            if value:
+                if type(value) is tuple:
+                    changed.add(w)
+                    value, out = value
+                    more.append(out)
+                if value:
+                    marked[w] = value
+        if changed:
+            n = sum(w in changed for w in written)
+        place = self.place
+        for p in self.places(low):
+            out = place[p]
+            if out is not None:
+                n += 1
+                more.append(out)
+        for w in {w for out in more for w in out.split()} - words:
+            words.add(w)
+            value = known[w]
+            value = value[0] if type(value) is tuple else value
+            if value:
+                marked[w] = value
+        return words, marked, n
 
     def arcs(self, place: str, i: int) -> list[tuple[str, float]]:
         """What character i may have been (an empty string: nothing, a blank: the end of a word), with its cost."""
@@ -197,7 +245,7 @@ class Restorer:
                         at, s, y = ((state << 5) & 32767) + k, before[0] - cost + model[state * 32 + k], x
                     if at not in nxt or s > nxt[at][0]:
                         nxt[at] = (s, y, before)
-            beam = nxt if len(nxt) <= BEAM else dict(sorted(nxt.items(), key=lambda e: -e[1][0])[:BEAM])
+            beam = nxt  # one entry for each last three symbols, of which few are possible at a place
         entry, out = max(beam.values(), key=lambda e: e[0]), []
         while entry is not None:
             out.append(entry[1])
@@ -212,18 +260,7 @@ def _one_separator(m: re.Match) -> str:
 
 def restored_words(text: str, restorer: Restorer) -> tuple[set[str], int]:
     """The words of the restored text, and how many places differ from what was written."""
-    low = text.lower()
-    written = WORDS.findall(low)
-    words = set(written)
-    changed = {w: r for w in words if DOUBLED.search(w) and (r := restorer.restore(w)) is not None}
-    n = sum(w in changed for w in written) if changed else 0
-    for r in changed.values():
-        words.update(r)
-    for place in restorer.places(low):
-        restored = restorer.restore(place)
-        if restored is not None:
-            n += 1
-            words.update(restored)
+    words, _, n = restorer.read(text)
     return words, n
 
 
@@ -243,15 +280,19 @@ class Model:
     letters: np.ndarray
     weights: dict[str, float] = field(default_factory=dict)
     logistic: np.ndarray | None = None
+    name: str = field(default_factory=lambda: uuid4().hex)
 
-    def features(self, words: set[str]) -> list[float]:
-        """Strongest mark, marked words by weight (their sum, and their share of all words), constant."""
-        weight = self.weights
-        if not marks_of(words) & weight.keys():
+    @staticmethod
+    def features(words: int, marked: dict[str, float]) -> list[float]:
+        """Strongest mark, marked words by weight (their sum, and their share of all ``words``), constant."""
+        if not marked:
             return [0.0, 0.0, 0.0, 1.0]
-        best = [max(weight.get(w, 0.0), *[weight.get(w[:k] + "-", 0.0) for k in range(4, min(8, len(w)))], 0.0) for w in words]
-        total = sum(best)
-        return [max(best), math.log1p(total), 10 * total / (len(words) + 20), 1.0]
+        total = math.fsum(marked.values())
+        return [max(marked.values()), math.log1p(total), 10 * total / (words + 20), 1.0]
+
+    def restorer(self) -> Restorer:
+        """This worker's restorer for this model, kept from task to task."""
+        return kept_by_worker(("restorer", self.name), lambda: Restorer(self.letters, self.weights))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.logistic is None:
@@ -276,27 +317,41 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     return fixed(text.join(chosen, "_id").join(kept, "_id", "left_semi"), "toxic-train")
 
 
-def _mark_counts(rows: DataFrame, letters, only) -> DataFrame:
-    """``mark, n``: texts that hold each mark (``only``: a broadcast set to count, or None for all)."""
+def words_of(rows: DataFrame, model: Model) -> DataFrame:
+    """``y, part, words``: the restored words of each row's text; every text is decoded once, here."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer = shared.value.restorer()
+        for batch in batches:
+            words = [sorted(restored_words(t, restorer)[0]) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string()))], names=["y", "part", "words"])
+
+    return fixed(rows.select("y", "part", "text").mapInArrow(run, "y int, part int, words array<string>"), "toxic-words")
+
+
+def mark_counts(rows: DataFrame) -> DataFrame:
+    """``mark, toxic, clean``: texts of each class that hold each mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(letters.value)
-        counts: Counter = Counter()
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
 
         def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["mark", "n"])
-            counts.clear()
+            marks = list(counts[0].keys() | counts[1].keys())
+            out = pa.RecordBatch.from_arrays([pa.array(marks, pa.string()), *[pa.array([c[m] for m in marks], pa.int64()) for c in counts[::-1]]], names=["mark", "toxic", "clean"])
+            for c in counts:
+                c.clear()
             return out
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                marks = marks_of(restored_words(text, restorer)[0])
-                counts.update(marks if only is None else marks & only.value)
-                if len(counts) > 200_000:
+            for y, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts[y].update(marks_of(set(words)))
+                if len(counts[0]) + len(counts[1]) > 200_000:
                     yield flush()
         yield flush()
 
-    return rows.select("text").mapInArrow(run, "mark string, n long").groupBy("mark").agg(F.sum("n").alias("n"))
+    parts = rows.select("y", "words").mapInArrow(run, "mark string, toxic long, clean long")
+    return parts.groupBy("mark").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -315,57 +370,64 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     model = Model(language_model(letter_grams(docs, text_col)))
     rows = training_rows(docs, labels, id_col, text_col, label_col)
-    letters = spark.sparkContext.broadcast(model.letters)
-    size = {(r["y"], r["fit"]): r["n"] for r in rows.groupBy("y", (F.col("part") != 3).alias("fit")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    words = words_of(rows, model)
+    size = {(r["y"], r["fit"]): r["n"] for r in words.groupBy("y", (F.col("part") != 3).alias("fit")).agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = (sum(size.get((y, f), 0) for f in (True, False)) for y in (1, 0))
     if not toxic or not clean:
         return model
     # The logistic function is fitted on rows that the marks have not seen; then the marks are taken from all rows.
     apart = all(size.get((y, f)) for y in (0, 1) for f in (True, False))
-    model.weights = _weights(rows.where("part <> 3") if apart else rows, letters)
-    found = _scored(rows.where("part = 3" if apart else "true").select(F.col("y").alias("id"), "text"), spark.sparkContext.broadcast(model), "int")
-    found = found.select("id", "features").toPandas()
-    x, y = np.array(found["features"].tolist(), float), found["id"].to_numpy(float)
+    weights = mark_weights(words.where("part <> 3") if apart else words)
+    found = _features(words.where("part = 3") if apart else words, weights).toPandas()  # a row for each labelled row at most
+    x, y = np.array(found["features"].tolist(), float), found["y"].to_numpy(float)
     order = np.lexsort([*x.T, y])
     logistic = _logistic(x[order], y[order])
-    return Model(model.letters, _weights(rows, letters) if apart else model.weights, logistic)
-
-
-def _weights(rows: DataFrame, letters) -> dict[str, float]:
-    """Marks and the lower bounds of their log odds, from texts that hold them in each class."""
-    all_toxic, all_clean = (rows.where(f"y = {y}").count() for y in (1, 0))
-    toxic = _mark_counts(rows.where("y = 1"), letters, None).where("n > 2").orderBy(F.desc("n"), "mark").limit(CANDIDATES).toPandas()
-    n_toxic = dict(zip(toxic["mark"], toxic["n"], strict=True))
-    only = rows.sparkSession.sparkContext.broadcast(frozenset(n_toxic))
-    clean = _mark_counts(rows.where("y = 0"), letters, only).toPandas()
-    n_clean = dict(zip(clean["mark"], clean["n"], strict=True))
-    weights = {}
-    for m, a in n_toxic.items():
-        c = n_clean.get(m, 0)
-        odds = math.log((a + 0.5) / (all_toxic + 1)) - math.log((c + 0.5) / (all_clean + 1)) - 2 * math.sqrt(1 / (a + 0.5) + 1 / (c + 0.5))
-        if odds > MIN_ODDS:
-            weights[m] = odds
+    return Model(model.letters, mark_weights(words) if apart else weights, logistic)
+
+
+def mark_weights(rows: DataFrame) -> dict[str, float]:
+    """Strong marks and the lower bounds of their log odds, from texts that hold them in each class."""
+    n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    a, c = F.col("toxic"), F.col("clean")
+    odds = F.ln((a + 0.5) / (n[1] + 1)) - F.ln((c + 0.5) / (n[0] + 1)) - 2 * F.sqrt(1 / (a + 0.5) + 1 / (c + 0.5))
+    marks = fixed(mark_counts(rows).where(a > 2).select("mark", odds.alias("odds")).where(F.col("odds") > MIN_ODDS), "toxic-marks")
+    best = marks.agg(F.max("odds")).first()[0]
     # Weak marks are left out: over a long text, chance ones would add up.
-    least = STRONG * max(weights.values(), default=0.0)
-    return dict(sorted(((m, w) for m, w in weights.items() if w >= least), key=lambda e: (-e[1], e[0]))[:MARKS])
+    strong = marks.where(F.col("odds") >= STRONG * (best or 0.0)).orderBy(F.desc("odds"), "mark").toPandas()
+    return dict(zip(strong["mark"], strong["odds"], strict=True))
+
+
+def _features(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """``y, features`` of ``words``."""
+    shared = rows.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weigh = Restorer(np.zeros(1, np.float32), shared.value)
+        for batch in batches:
+            x = []
+            for words in batch.column(1).to_pylist():
+                x.append(Model.features(len(words), {w: v for w in words if (v := weigh.weight(w))}))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["y", "features"])
+
+    return rows.select("y", "words").mapInArrow(run, "y int, features array<double>")
 
 
 def _scored(rows: DataFrame, shared, id_type: str) -> DataFrame:
-    """``id, features, score, restored`` of ``id, text``."""
+    """``id, score, restored`` of ``id, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        restorer = Restorer(model.letters)
+        restorer = model.restorer()
         for batch in batches:
             x, restored = [], []
-            for text in batch.column(1).to_pylist():
-                words, n = restored_words(text or "", restorer)
-                x.append(model.features(words))
+            for text in batch.column(1):
+                words, marked, n = restorer.read(text.as_py() or "")
+                x.append(model.features(len(words), marked))
                 restored.append(n)
             score = model.score(np.array(x, float).reshape(-1, 4))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64())), pa.array(score), pa.array(restored, pa.int64())], names=["id", "features", "score", "restored"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(restored, pa.int64())], names=["id", "score", "restored"])
 
-    return rows.mapInArrow(run, f"id {id_type}, features array<double>, score double, restored long")
+    return rows.mapInArrow(run, f"id {id_type}, score double, restored long")
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -393,9 +455,12 @@ def keep_below(docs: DataFrame, model: Model, threshold: float = 0.3, text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        restorer = Restorer(model.letters)
+        restorer = model.restorer()
         for batch in batches:
-            x = [model.features(restored_words(t or "", restorer)[0]) for t in batch.column(at).to_pylist()]
+            x = []
+            for text in batch.column(at):
+                words, marked, _ = restorer.read(text.as_py() or "")
+                x.append(model.features(len(words), marked))
             yield batch.filter(pa.array(model.score(np.array(x, float).reshape(-1, 4)) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
