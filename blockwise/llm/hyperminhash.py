@@ -9,10 +9,7 @@ Documents are linked when the Jaccard similarity of their sets of word shingles
    own, so short texts band like long ones. A pair at the threshold shares a band with probability ``1 - 4e-7``.
 3. Classes that share a band are candidates. ``likely`` prunes a pair by its sizes (without loss) and by the estimate
    ``(matches - expected accidental matches) / filled buckets``, with five standard deviations of tolerance.
-4. ``verified`` compares full shingle sets: the texts of a hub's candidates stream past the set of the hub.
-   First every class is compared with the smallest one of each of its bands; then, where a band still holds several
-   components, the members outside the hub's component with all others, in cells of bounded size. Pairs inside a
-   component are never formed, because a further link in it changes nothing.
+4. The module ``linking`` verifies candidates on full shingle sets, each class with the hub of each of its bands first, then across the components that a band still holds.
 
 Defined results: a null text is empty; an empty set is linked with nothing; a text of fewer than five words has one
 shingle of all its words; only ASCII letters are folded; repeated rows and rows with equal sets are in one component;
@@ -23,16 +20,16 @@ component, kept); an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockwise.llm.common import by_value, fixed, perhaps_in, skew_left_join
+from blockwise.llm.common import by_value, fixed, skew_left_join
 from blockwise.llm.components import components
+from blockwise.llm.linking import CELL, PIECE, crossing, degrees, hubs_of, nodes_of, sets_of, starred, text_key, verified
 from blockwise.llm.shingles import mix64, shingle_hashes, utf8_blocks
 
 by_value(__name__)
@@ -44,8 +41,6 @@ BANDS, ROWS = 25, 5
 EMPTY = 0xFFFF
 #: Standard deviations by which an estimate may miss the threshold.
 TOLERANCE = 5.0
-#: Members of a band in a cell; candidates of a hub that one task compares.
-CELL, PIECE = 1_000, 200
 
 
 def registers(keys: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -125,7 +120,7 @@ def likely(n: np.ndarray, m: np.ndarray, r: np.ndarray, s: np.ndarray, percent:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_key, set_hash, shingles, registers`` of each row of ``doc_id, text`` (texts not null)."""
+    """``doc_id, text_key, set_hash, shingles, sketch`` (the registers) of each row of ``doc_id, text`` (texts not null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,11 +135,11 @@ def sketches(docs: DataFrame) -> DataFrame:
                         pa.array(np.diff(begins).astype(np.int64)),
                         pa.array([r.tobytes() for r in regs], pa.binary()),
                     ],
-                    names=["doc_id", "text_key", "set_hash", "shingles", "registers"],
+                    names=["doc_id", "text_key", "set_hash", "shingles", "sketch"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, set_hash binary, shingles long, registers binary")
+    return docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key binary, set_hash binary, shingles long, sketch binary")
 
 
 def set_hashes(keys: np.ndarray, begins: np.ndarray) -> list[bytes]:
@@ -164,115 +159,7 @@ def bands(classes: DataFrame) -> DataFrame:
                 keys = band_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, BUCKETS))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(len(keys)), BANDS)))], names=["key", "node"])
 
-    return classes.select("node", "registers").mapInArrow(run, "key long, node long")
-
-
-def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint16).reshape(-1, BUCKETS)
-
-
-def starred(banded: DataFrame, hubs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs ``a, b`` of the smallest class of a band with its other members."""
-
-    @F.pandas_udf("boolean")
-    def may(n: pd.Series, m: pd.Series, r: pd.Series, s: pd.Series) -> pd.Series:
-        if not len(n):
-            return pd.Series([], dtype=bool)
-        return pd.Series(likely(n.to_numpy(np.int64), m.to_numpy(np.int64), _matrix(r), _matrix(s), percent))
-
-    pairs = banded.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    of = lambda c: classes.select(F.col("node").alias(c), F.col("shingles").alias(f"n_{c}"), F.col("registers").alias(f"r_{c}"))
-    return pairs.join(of("b"), "b").join(of("a"), "a").where(may("n_a", "n_b", "r_a", "r_b")).select("a", "b")
-
-
-def leftover(banded: DataFrame, hubs: DataFrame, classes: DataFrame, roots: DataFrame, percent: int, cell: int = CELL) -> DataFrame:
-    """Likely pairs ``a, b`` that share a band but no component, other than those with the band's hub.
-
-    One of them is outside the hub's component (``minor``). Minors are cut into pieces of about ``cell``, and all members
-    likewise; each pair of pieces is a cell, in which the members stream past the registers of the minors.
-    """
-    rooted = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    members = banded.join(hubs, "key").join(rooted("node"), "node", "left").join(rooted("hub"), "hub", "left")
-    members = members.select("key", "node", F.coalesce("root_node", "node").alias("root"), (F.coalesce("root_node", "node") != F.coalesce("root_hub", "hub")).alias("minor"), (F.col("node") == F.col("hub")).alias("is_hub"))
-    members = fixed(members, "band-members")
-    open_keys = members.groupBy("key").agg(F.count_if("minor").alias("minors"), F.count(F.lit(1)).alias("all")).where("minors > 0 and all > 2")
-    sizes = open_keys.select("key", *[F.ceil(F.col(c) / F.lit(cell)).cast("int").alias(f"of_{c}") for c in ("minors", "all")])
-    placed = members.where("not is_hub").join(sizes, "key").join(classes.select("node", "shingles", "registers"), "node")
-    at = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
-    cells = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    columns = ["root", "node", "shingles", "registers"]
-    left = placed.where("minor").select("key", at("of_minors").alias("i"), cells("of_all").alias("j"), F.lit(0).alias("side"), *columns)
-    right = placed.select("key", cells("of_minors").alias("i"), at("of_all").alias("j"), F.lit(1).alias("side"), *columns)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, minors = None, []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, i, j, side, root, node, size = (np.asarray(batch.column(k)) for k in range(7))
-            regs = _matrix(batch.column(7).to_pylist())
-            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (side[1:] != side[:-1])]))
-            a, b = [], []
-            for x, y in zip(new, [*new[1:], len(key)], strict=True):
-                cell_id = (key[x], i[x], j[x])
-                if cell_id != here:
-                    here, minors = cell_id, []
-                if side[x] == 0:
-                    minors.append((root[x:y], node[x:y], size[x:y], regs[x:y]))
-                    continue
-                if len(minors) > 1:
-                    minors = [tuple(np.concatenate(p) for p in zip(*minors, strict=True))]
-                for mr, mn, ms, mg in minors:
-                    step = max(1, 8_000 // (y - x))
-                    for z in range(0, len(mn), step):
-                        w = slice(z, z + step)
-                        other = mr[w, None] != root[None, x:y]
-                        ok = other & likely(ms[w, None], size[None, x:y], mg[w, None, :], regs[None, x:y, :], percent)
-                        p, q = np.nonzero(ok)
-                        a.append(mn[w][p])
-                        b.append(node[x:y][q])
-            if a:
-                p, q = np.concatenate(a), np.concatenate(b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
-
-    order = ["key", "i", "j", "side"]
-    return left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions(*order).select(*order, *columns).mapInArrow(run, "a long, b long").distinct()
-
-
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, piece: int = PIECE) -> DataFrame:
-    """The pairs ``a, b`` of classes whose full shingle sets reach the threshold."""
-    pairs = fixed(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes.select("node", "doc_id", "text_key"), "node")
-    wanted = fixed(wanted, "pair-classes")
-    near = perhaps_in(docs, "doc_id", wanted.select("doc_id")).withColumn("text_key", F.xxhash64("text"))
-    texts = near.join(wanted, ["doc_id", "text_key"]).dropDuplicates(["node"]).select("node", "text")
-    texts = fixed(texts, "pair-texts")
-    pieces = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(piece)).cast("int").alias("pieces"))
-    dealt = fixed(skew_left_join(pairs, pieces, "a").select("a", F.pmod(F.xxhash64("b"), F.col("pieces")).cast("int").alias("piece"), "b"), "pairs-dealt")
-    hubs = dealt.select("a", "piece").distinct().withColumn("b", F.lit(None).cast("long")).join(texts.withColumnRenamed("node", "a"), "a")
-    members = dealt.join(texts.withColumnRenamed("node", "b"), "b")
-    rows = hubs.select("a", "piece", "b", "text").unionByName(members.select("a", "piece", "b", "text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub = None
-        for batch in batches:
-            a, b, linked = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for x, y, data, offsets in utf8_blocks(batch.column(2)):
-                keys, begins = shingle_hashes(data, offsets)
-                for k in range(x, y):
-                    own = keys[begins[k - x] : begins[k - x + 1]]
-                    if b[k] is None:
-                        hub = own.copy()
-                        continue
-                    common = np.searchsorted(hub, own, side="right") - np.searchsorted(hub, own)
-                    both = int(common.sum())
-                    if 100 * both >= percent * (len(hub) + len(own) - both):
-                        linked.append((a[k], b[k]))
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in linked], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-    order = ["a", "piece", F.asc_nulls_first("b")]
-    by_hub = rows.repartition("a", "piece").sortWithinPartitions(*order).select("a", "b", "text")
-    return fixed(by_hub.mapInArrow(run, "a long, b long"), "links-verified")
+    return classes.select("node", "sketch").mapInArrow(run, "key long, node long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, cell: int = CELL, piece: int = PIECE) -> DataFrame:
@@ -280,12 +167,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     drawn = fixed(sketches(docs), "hmh-sketches")
     known = drawn.where("doc_id is not null and shingles > 0")
-    classes = known.groupBy("set_hash").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("shingles").alias("shingles"), F.first("registers").alias("registers"))
-    classes = fixed(classes.select(F.monotonically_increasing_id().alias("node"), "set_hash", "rep.*", "shingles", "registers"), "hmh-classes")
+    classes = known.groupBy("set_hash").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch"))
+    classes = fixed(classes.select(F.monotonically_increasing_id().alias("node"), "set_hash", "rep.*", "shingles", "sketch"), "hmh-classes")
     banded = fixed(bands(classes), "hmh-bands")
-    hubs = fixed(banded.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "hmh-hubs")
-    links = verified(starred(banded, hubs, classes, percent), classes, docs, percent, piece)
-    more = verified(leftover(banded, hubs, classes, components(links), percent, cell), classes, docs, percent, piece)
+    hubs, may = hubs_of(banded, degrees(banded)), partial(likely, percent=percent)
+    near = fixed(starred(banded, hubs, classes, may, "uint16"), "pairs")
+    links = verified(near, sets_of(nodes_of(near), classes, docs), percent, piece)
+    more = crossing(banded, hubs, lambda nodes: sets_of(nodes, classes, docs), components(links), percent, cell)
     roots = classes.join(components(links.union(more)), "node", "left").select("set_hash", "doc_id", F.coalesce("root", "node").alias("root"))
     smallest = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     component = fixed(skew_left_join(fixed(roots, "hmh-roots"), smallest, "root").select("set_hash", "component_id"), "hmh-components")

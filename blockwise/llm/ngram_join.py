@@ -1,35 +1,38 @@
 """N-gram Jaccard self-join with an LSH forest.
 
 Words shingles of five words; two documents are linked when the Jaccard
-similarity of their shingle sets is at least ``threshold``.
+similarity of their shingle sets is at least ``percent`` / 100.
 
 1. ``sketches``: each whole text gives a hash of its shingle set and a MinHash
    signature of ``trees`` times ``depth`` values. Texts with equal shingle sets
    are one class from here on (pre-aggregated map-side).
-2. ``forest``: in each tree the classes are sorted by their signature part, a
-   prefix trie in sorted form, and neighbours with a common prefix are
-   candidates. The prefix that must match is shortened from the full depth
-   (``prefix_length``) until the probability that a pair at the threshold meets
-   in some tree reaches ``recall``.
-3. Candidate groups are joined to candidate components, and all pairs within a
-   component are compared exactly by an inverted index over the shingles. A
-   component with more than ``cell`` classes is cut into pieces and every pair of
-   pieces is a task, so no task holds more than twice ``cell`` texts.
-4. A task returns link counts for each class and one link to the smallest member
-   of its part, never the pairs; a last pass connects the parts.
+2. ``tries``: in each tree a class stands under its signature part, a path of
+   ``depth`` values; a trie node is the key of a prefix.
+3. The tries are walked from the full depth up. At each depth, classes that meet
+   under one node and are not connected yet are candidates: the signatures prune
+   them, whole shingle sets decide (module ``linking``), and verified links are
+   closed to components. The prefix is shortened until a pair at the threshold
+   meets in some tree with probability ``recall``; at that depth the components
+   that still meet under a node are compared with each other. Similar texts are
+   connected at full depth, so the short prefixes only cost what is left.
+4. Links are counted inside the components of verified links, by an inverted index
+   over the shingles. A component with more than ``cell`` classes is cut into
+   pieces and every pair of pieces is a task, so no task holds more than twice
+   ``cell`` texts. A task returns counts, never the pairs.
 
 Defined results: a null text is empty; texts without words are one class of
 equal texts; a text of fewer than five words has one shingle of all its words;
-ASCII letters are folded to lower case; repeated rows are copies of each other,
-and rows that share an id but not the text are one document with several texts;
-``class_id`` is the smallest id of the connected class (null ids: null rows get
-no class and no links); an empty table gives no rows.
+ASCII letters are folded to lower case; repeated rows are copies of each other;
+rows that share an id but not the set each have the class of their own set;
+``class_id`` is the smallest id of the connected class (null if all its rows have
+a null id); an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -37,25 +40,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockwise.llm.common import by_value, fixed, perhaps_in, skew_left_join
+from blockwise.llm.common import by_value, fixed, skew_left_join
 from blockwise.llm.components import components
+from blockwise.llm.linking import common_members, crossing, degrees, hubs_of, sets_of, starred, text_key, verified
 from blockwise.llm.shingles import mix64, shingle_hashes, utf8_blocks
 
 by_value(__name__)
 
-THRESHOLD = 0.8
+PERCENT = 80
 TREES, DEPTH = 16, 8
 RECALL = 0.98
-#: Classes of a candidate component that are compared in one piece.
+#: Classes of a component that are compared in one piece.
 CELL = 1_000
+#: Standard deviations by which a signature may miss the threshold.
+TOLERANCE = 5.0
 
 
-def recall_at(prefix: int, trees: int = TREES, similarity: float = THRESHOLD) -> float:
+def recall_at(prefix: int, trees: int = TREES, similarity: float = PERCENT / 100) -> float:
     """Probability that a pair of this similarity shares a prefix in some tree."""
     return 1 - (1 - similarity**prefix) ** trees
 
 
-def prefix_length(trees: int = TREES, depth: int = DEPTH, similarity: float = THRESHOLD, recall: float = RECALL) -> int:
+def prefix_length(trees: int = TREES, depth: int = DEPTH, similarity: float = PERCENT / 100, recall: float = RECALL) -> int:
     """Shorten the prefix from the full depth until the recall is reached."""
     length = depth
     while length > 1 and recall_at(length, trees, similarity) < recall:
@@ -89,12 +95,12 @@ def _set_hashes(keys: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.nd
         return tuple((p[begins[1:]] - p[begins[:-1]]).view(np.int64) for p in parts)
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, depth: int = DEPTH) -> DataFrame:
-    """``doc_id, set_hash, shingles, signature`` of each document."""
+def sketches(docs: DataFrame, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+    """``doc_id, text_key, set_hash, shingles, sketch`` of each row of ``doc_id, text`` (texts not null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in utf8_blocks(batch.column(1)):
+            for a, b, data, offsets in utf8_blocks(batch.column(2)):
                 keys, begins = shingle_hashes(data, offsets)
                 h1, h2 = _set_hashes(keys, begins)
                 packed = np.stack([h1, h2], axis=1).tobytes()
@@ -103,203 +109,133 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
+                        batch.column(1).slice(a, b - a),
                         pa.array([packed[16 * i : 16 * i + 16] for i in range(b - a)], pa.binary()),
                         pa.array(np.diff(begins).astype(np.int64)),
                         pa.array([sig[w * i : w * i + w] for i in range(b - a)], pa.binary()),
                     ],
-                    names=["doc_id", "set_hash", "shingles", "signature"],
+                    names=["doc_id", "text_key", "set_hash", "shingles", "sketch"],
                 )
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, set_hash binary, shingles long, signature binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key binary, set_hash binary, shingles long, sketch binary")
 
 
-def forest(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, shortest: int | None = None) -> DataFrame:
-    """Links (``a, b, matched``) between neighbours of the sorted prefix tries that share ``shortest`` values at least.
+def tries(classes: DataFrame, shortest: int, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+    """``node, k<shortest> .. k<depth>``: for each class and tree the keys of its prefixes."""
+    lengths = range(shortest, depth + 1)
 
-    ``matched`` is the length of the common prefix. The tries are range-partitioned on the whole signature part
-    and the id, so a prefix that many classes share is spread over several tasks; the first and last entry of
-    every task are linked once more where a prefix crosses a border.
-    """
-    shortest = shortest or prefix_length(trees, depth)
-
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, trees, depth)
-            rep = batch.column(0)
-            for t in range(trees):
-                halves = []
-                with np.errstate(over="ignore"):
-                    for seed in (1, 2):
-                        key = np.full(len(rows), t * 2 + seed, np.uint64)
-                        for k in range(shortest):
-                            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, t, k].astype(np.uint64))
-                        halves.append(pa.array(key.view(np.int64)))
-                tail = rows[:, t, shortest:].astype(">u4").tobytes()
-                w = 4 * (depth - shortest)
-                tails = pa.array([tail[i * w : i * w + w] for i in range(len(rows))], pa.binary())
-                yield pa.RecordBatch.from_arrays([*halves, tails, rep], names=["k1", "k2", "tail", "rep"])
-
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(a, b, matched, k1, k2):
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, matched, k1, k2)], names=["a", "b", "matched", "k1", "k2"])
-
-        last = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k1, k2, rep = (np.asarray(batch.column(i)) for i in (0, 1, 3))
-            tails = batch.column(2).to_pylist()
-            if last is None:
-                yield out([rep[0]], [None], [None], [k1[0]], [k2[0]])
-            else:
-                k1, k2, rep = (np.concatenate([[x], y]) for x, y in zip((last[0], last[1], last[3]), (k1, k2, rep), strict=True))
-                tails = [last[2], *tails]
-            same = np.flatnonzero((k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1]) & (rep[1:] != rep[:-1]))
-            matched = [shortest + next((j // 4 for j in range(0, len(tails[i]), 4) if tails[i][j : j + 4] != tails[i + 1][j : j + 4]), depth - shortest) for i in same]
-            none = [None] * len(same)
-            yield out(rep[same + 1], rep[same], matched, none, none)
-            last = (k1[-1], k2[-1], tails[-1], rep[-1])
-        if last is not None:
-            yield out([last[3]], [None], [None], [last[0]], [last[1]])
-
-    trie = ["k1", "k2", "tail", "rep"]
-    keyed = classes.select("rep", "signature").mapInArrow(entries, "k1 long, k2 long, tail binary, rep long")
-    found = keyed.repartitionByRange(*trie).sortWithinPartitions(*trie).mapInArrow(neighbours, "a long, b long, matched long, k1 long, k2 long")
-    found = fixed(found, "forest")
-    borders = found.where("b is null").groupBy("k1", "k2").agg(F.collect_set("a").alias("s")).where(F.size("s") > 1)
-    crossing = borders.select(F.explode("s").alias("a"), F.array_min("s").alias("b"), F.lit(shortest).cast("long").alias("matched")).where("a <> b")
-    return found.where("b is not null").select("a", "b", "matched").union(crossing)
-
-
-def compare(sets: list[np.ndarray], piece: np.ndarray, threshold: float, across: bool) -> tuple[np.ndarray, np.ndarray]:
-    """All links among ``sets`` (with ``across``: only those between the two pieces), as index pairs."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    keys = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(keys, kind="stable")
-    keys, owner = keys[order], owner[order]
-    _, code = np.unique(keys, return_inverse=True)
-    begin = np.concatenate([np.searchsorted(code, np.arange(code[-1] + 1)), [len(code)]]) if len(code) else np.zeros(1, np.int64)
-    mine = np.empty(len(order), np.int64)
-    mine[order] = code
-    ends = np.cumsum(sizes)
-    a, b = [], []
-    for i in range(len(sets)):
-        if across and piece[i]:
-            continue
-        codes = mine[ends[i] - sizes[i] : ends[i]]
-        lo, hi = begin[codes], begin[codes + 1]
-        many = hi - lo > 1
-        lo, n = lo[many], (hi - lo)[many]
-        if not len(n):
-            continue
-        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        common = np.bincount(owner[at], minlength=len(sets))
-        ok = common >= threshold * (sizes + sizes[i] - common) - 1e-9
-        ok[i] = False
-        if across:
-            ok &= piece == 1
-        else:
-            ok[: i + 1] = False
-        found = np.flatnonzero(ok)
-        a.append(np.full(len(found), i))
-        b.append(found)
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def smallest_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index of each index's component."""
-    low = np.arange(n)
-    while len(a):
-        new = low.copy()
-        np.minimum.at(new, a, low[b])
-        np.minimum.at(new, b, low[a])
-        new = new[new]
-        if (new == low).all():
-            break
-        low = new
-    return low
-
-
-def _verify(threshold: float):
+            rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, trees, depth).astype(np.uint64)
+            key = np.broadcast_to(np.arange(1, trees + 1, dtype=np.uint64), rows.shape[:2])
+            keys = []
+            with np.errstate(over="ignore"):
+                for k in range(depth):
+                    key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, k])
+                    keys.append(key)
+            node = batch.column(0).take(pa.array(np.repeat(np.arange(len(rows)), trees)))
+            yield pa.RecordBatch.from_arrays([node, *[pa.array(keys[k - 1].view(np.int64).ravel()) for k in lengths]], names=["node", *[f"k{k}" for k in lengths]])
+
+    return classes.select("node", "sketch").mapInArrow(run, "node long, " + ", ".join(f"k{k} long" for k in lengths))
+
+
+def likely(n: np.ndarray, m: np.ndarray, r: np.ndarray, s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Whether pairs of sizes ``n, m`` with signatures ``r, s`` may reach the threshold; leading axes broadcast."""
+    t = percent / 100
+    near = (r == s).mean(axis=-1) >= t - TOLERANCE * math.sqrt(t * (1 - t) / r.shape[-1])
+    return near & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+
+
+def _count(percent: int):
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("rep", ignore_index=True)
-        data = "".join(g["text"]).encode()
-        lengths = np.array([len(t.encode()) for t in g["text"]], np.int64)
-        keys, begins = shingle_hashes(np.frombuffer(data, np.uint8), np.concatenate([[0], np.cumsum(lengths)]))
-        sets = [keys[begins[i] : begins[i + 1]] for i in range(len(g))]
-        across = bool(g["ci"].iloc[0] != g["cj"].iloc[0])
-        piece = (g["piece"] != g["ci"]).to_numpy().astype(np.int64)
-        a, b = compare(sets, piece, threshold, across)
-        copies = g["copies"].to_numpy()
-        links = np.zeros(len(g), np.int64)
-        np.add.at(links, a, copies[b])
-        np.add.at(links, b, copies[a])
-        low = smallest_reachable(len(g), a, b)
-        rep = g["rep"].to_numpy()
-        out = pd.DataFrame({"rep": rep, "links": links, "low": rep[low]})
-        return out[(out["links"] > 0)]
+        sets = [np.frombuffer(x, np.uint64) for x in g["set"]]
+        size, copies, links = np.array([len(x) for x in sets]), g["copies"].to_numpy(), np.zeros(len(g), np.int64)
+        mine = (g["piece"] == g["ci"]).to_numpy()
+        within = g["ci"].iloc[0] == g["cj"].iloc[0]
+        one, two = np.flatnonzero(mine), np.arange(len(g)) if within else np.flatnonzero(~mine)
+        for begin, common in common_members([sets[i] for i in one], [sets[i] for i in two]):
+            rows = two[begin : begin + len(common)]
+            ok = (100 * common >= percent * (size[rows][:, None] + size[one][None, :] - common)) & (rows[:, None] != one[None, :])
+            links[rows] += ok @ copies[one]
+            if not within:
+                links[one] += copies[rows] @ ok
+        return pd.DataFrame({"node": g["node"].to_numpy(), "links": links})
 
     return run
 
 
-def _cells(candidates: DataFrame, cell: int) -> DataFrame:
-    """Each candidate class with the cells (pairs of pieces of its component) in which it is compared."""
-    sizes = candidates.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+def _cells(linked: DataFrame, cell: int) -> DataFrame:
+    """Each class of a component with the cells (pairs of pieces of its component) in which it is compared."""
+    sizes = linked.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     pieces = sizes.select("root", F.ceil(F.col("n") / F.lit(cell)).cast("int").alias("pieces"))
-    placed = skew_left_join(candidates, pieces, "root").withColumn("piece", F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int"))
+    placed = skew_left_join(linked, pieces, "root").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("pieces") - 1),
         lambda k: F.struct(F.least(k, F.col("piece")).alias("ci"), F.greatest(k, F.col("piece")).alias("cj")),
     )
-    return placed.select("root", "rep", "piece", F.explode(pairs).alias("c")).select("root", "rep", "piece", "c.ci", "c.cj")
+    return placed.select("root", "node", "piece", F.explode(pairs).alias("c")).select("root", "node", "piece", "c.ci", "c.cj")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, cell: int = CELL) -> DataFrame:
+def _linked_rows(docs: DataFrame, percent: int, trees: int, depth: int, recall: float, cell: int) -> DataFrame:
+    """``doc_id, text_key, class_id, n_links, copies, keeper`` of each row of ``doc_id, text``.
+
+    ``keeper`` (null id?, id, text key) is the first of its component; rows with it stay when near copies go.
+    """
+    drawn = fixed(sketches(docs, trees, depth), "sketches")
+    row = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key")
+    classes = drawn.groupBy("set_hash").agg(
+        F.min(row).alias("first"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch")
+    )
+    classes = fixed(classes.select(F.monotonically_increasing_id().alias("node"), F.col("first.text_key").alias("text_key"), "*"), "set-classes")
+    shortest, may = prefix_length(trees, depth, percent / 100, recall), partial(likely, percent=percent)
+    trie = fixed(tries(classes.where("shingles > 0"), shortest, trees, depth), "tries")
+    meeting = trie.select(F.col(f"k{shortest}").alias("key"), "node")
+    degree = degrees(meeting)
+    sets = sets_of(degree.select("node"), classes, docs)
+    links = roots = None
+    for length in range(depth, shortest - 1, -1):
+        under = trie.select(F.col(f"k{length}").alias("key"), "node")
+        hubs = hubs_of(under, degree)
+        new = verified(fixed(starred(under, hubs, classes, may, "uint32", roots), "pairs"), sets, percent)
+        links = new if links is None else links.union(new)
+        roots = components(links)
+    roots = fixed(components(links.union(crossing(under, hubs, lambda nodes: sets, roots, percent, cell))), "class-roots")
+
+    cells = _cells(roots, cell).join(classes.select("node", "copies"), "node")
+    filled = fixed(cells, "cells").join(sets, "node")
+    counted = filled.groupBy("root", "ci", "cj").applyInPandas(_count(percent), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    rooted = classes.drop("sketch", "text_key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("keeper"), F.min("low").alias("class_id"))
+    of_class = skew_left_join(fixed(rooted.join(counted, "node", "left"), "class-links"), firsts, "root")
+    of_class = of_class.select("set_hash", "class_id", "keeper", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
+    return skew_left_join(drawn.select("doc_id", "text_key", "set_hash"), fixed(of_class, "set-links"), "set_hash")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, cell: int = CELL) -> DataFrame:
     """``doc_id, class_id, n_links, copies`` of each document.
 
     ``n_links``: documents whose shingle set has at least the threshold similarity with this one's (copies too);
     ``copies``: documents with the same shingle set, itself included.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    drawn = fixed(sketches(docs, "doc_id", "text", trees, depth), "sketches")
-    known = drawn.where("doc_id is not null")
-    classes = known.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = fixed(classes, "set-classes")
-    reps = known.join(classes.select(F.col("rep").alias("doc_id"), "set_hash"), ["doc_id", "set_hash"], "left_semi")
-    with_words = reps.where("shingles > 0").dropDuplicates(["doc_id", "set_hash"]).select(F.col("doc_id").alias("rep"), "signature")
-    near = forest(with_words, trees, depth, prefix_length(trees, depth, threshold, recall))
-    candidates = components(near.select("a", "b")).select(F.col("node").alias("rep"), "root")
-    copies = classes.groupBy("rep").agg(F.sum("copies").alias("copies"))
-    cells = fixed(_cells(candidates, cell).join(copies, "rep"), "cells")
-    wanted = cells.select(F.col("rep").alias("doc_id")).distinct()
-    texts = perhaps_in(docs, "doc_id", wanted).join(wanted, "doc_id", "left_semi").distinct()
-    filled = cells.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
-    parts = filled.groupBy("root", "ci", "cj").applyInPandas(_verify(threshold), "rep long, links long, low long")
-    parts = fixed(parts, "links-found")
-    linked = parts.groupBy("rep").agg(F.sum("links").alias("links"))
-    joined = components(parts.select(F.col("rep").alias("a"), F.col("low").alias("b")))
-    of_class = (
-        classes.join(linked, "rep", "left")
-        .join(joined.select(F.col("node").alias("rep"), "root"), "rep", "left")
-        .select("set_hash", F.coalesce("root", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), "copies")
-    )
-    out = skew_left_join(drawn.select("doc_id", "set_hash"), fixed(of_class, "set-links"), "set_hash")
-    found = F.col("doc_id").isNotNull()
-    return out.select(
-        F.col("doc_id").alias(id_col),
-        F.when(found, F.col("class_id")).alias("class_id"),
-        F.when(found, F.col("links") + F.col("copies") - 1).otherwise(F.lit(0)).alias("n_links"),
-        F.when(found, F.col("copies")).otherwise(F.lit(1)).alias("copies"),
-    )
+    rows = _linked_rows(_texts(docs, id_col, text_col), percent, trees, depth, recall, cell)
+    return rows.select(F.col("doc_id").alias(id_col), "class_id", "n_links", "copies")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` whose id stands for its class (the smallest one), and rows without an id, with all columns.
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, cell: int = CELL) -> DataFrame:
+    """One row of ``docs`` for each class, with all columns: the one with the smallest id (null last), then text key.
 
-    Rows that repeat a kept id all stay; exact dedup settles those.
+    A row goes by its id and text together, so another text under the same id stays; rows that repeat the one
+    that stays all stay (exact dedup settles those).
     """
-    classes = near_duplicates(docs, id_col, text_col, **how)
-    gone = classes.where(F.col("class_id") != F.col(id_col)).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    rows = _linked_rows(_texts(docs, id_col, text_col), percent, trees, depth, recall, cell)
+    stays = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key").eqNullSafe(F.col("keeper"))
+    gone = rows.where(~stays).select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
+    key = F.unhex(F.md5(F.coalesce(docs[text_col], F.lit("")).cast("binary")))
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]) & (key == gone["_gone_key"]), "left_anti")
