@@ -3,6 +3,9 @@
 A point is two double columns; a polygon is one ring ``ARRAY<STRUCT<x,y>>``
 (closed or open). Predicates use Spark's higher-order functions over the ring,
 so they stay JVM-side.
+
+Coordinates mean what they say in decimal, to 12 places: a point is on an edge
+if it is on it in decimal arithmetic, although the nearest doubles may not be.
 """
 
 from __future__ import annotations
@@ -18,9 +21,15 @@ from blockwise.functions.semantics import col
 EARTH_RADIUS_M = 6378137.0
 
 
+# Relative error of an orientation in doubles, with room for
+# coordinates that are themselves rounded; decimal digits of a coordinate.
+ORIENTATION_ERROR = 2.0**-50
+DECIMAL = "decimal(16,12)"
+
+
 def _closed(ring: Column) -> Column:
     """Ring with its first point repeated at the end; a one-point ring becomes one zero-length edge."""
-    first, last = ring[0], F.element_at(ring, -1)
+    first, last = F.get(ring, F.lit(0)), F.element_at(ring, -1)
     return (
         F.when(F.size(ring) == 1, F.concat(ring, ring))
         .when((first.x == last.x) & (first.y == last.y), ring)
@@ -28,28 +37,38 @@ def _closed(ring: Column) -> Column:
     )
 
 
+def orientation(a: Column, b: Column, x: Column, y: Column) -> Column:
+    """Sign of the turn a -> b -> (x, y): 1 left, -1 right, 0 straight.
+
+    A determinant in doubles decides where it exceeds its error bound (rounding
+    of the coordinates included), decimal arithmetic everywhere else.
+    """
+    left, right = (b.x - a.x) * (y - a.y), (b.y - a.y) * (x - a.x)
+    reach = F.abs(b.x) + F.abs(a.x) + F.abs(x), F.abs(b.y) + F.abs(a.y) + F.abs(y)
+    bound = reach[0] * reach[1] * ORIENTATION_ERROR
+    d = lambda c: c.cast(DECIMAL)
+    exact = (d(b.x) - d(a.x)) * (d(y) - d(a.y)) - (d(b.y) - d(a.y)) * (d(x) - d(a.x))
+    return F.when(F.abs(left - right) > bound, F.signum(left - right)).otherwise(F.signum(exact.cast("double"))).cast("int")
+
+
 def covers(ring: str | Column, px: str | Column, py: str | Column) -> Column:
-    """Polygon covers point: inside by even-odd ray cast, or on the boundary."""
-    r = _closed(col(ring))
+    """Polygon covers point: inside by even-odd ray cast, or on the boundary; an empty or missing ring covers nothing."""
+    ring = col(ring)
+    r = _closed(ring)
     x, y = col(px).cast("double"), col(py).cast("double")
-    edges = F.sequence(F.lit(0), F.size(r) - 2)
+    edges = F.transform(F.sequence(F.lit(0), F.size(r) - 2), lambda i: F.struct(F.get(r, i).alias("a"), F.get(r, i + 1).alias("b")))
 
-    def crosses(acc, i):
-        a, b = r[i], r[i + 1]
+    def met(e):
+        """2 on the edge, 1 if a ray to the right crosses it, else 0."""
+        a, b = e["a"], e["b"]
+        turn = orientation(a, b, x, y)
+        within = x.between(F.least(a.x, b.x), F.greatest(a.x, b.x)) & y.between(F.least(a.y, b.y), F.greatest(a.y, b.y))
         straddles = (a.y > y) != (b.y > y)
-        x_at = (b.x - a.x) * (y - a.y) / (b.y - a.y) + a.x
-        return acc + F.when(straddles & (x < x_at), 1).otherwise(0)
-
-    def on_edge(i):
-        a, b = r[i], r[i + 1]
-        cross = (b.x - a.x) * (y - a.y) - (b.y - a.y) * (x - a.x)
-        within = (x >= F.least(a.x, b.x)) & (x <= F.greatest(a.x, b.x)) & (y >= F.least(a.y, b.y)) & (
-            y <= F.greatest(a.y, b.y)
-        )
-        return (cross == 0) & within
-
-    inside = F.aggregate(edges, F.lit(0), crosses) % 2 == 1
-    return inside | F.exists(edges, on_edge)
+        return F.when((turn == 0) & within, 2).when(straddles & ((turn > 0) == (b.y > a.y)) & (turn != 0), 1).otherwise(0)
+
+    codes = F.transform(edges, met)
+    odd = F.size(F.filter(codes, lambda c: c == 1)) % 2 == 1
+    return F.when(F.size(ring) > 0, F.exists(codes, lambda c: c == 2) | odd).otherwise(False)
 
 
 def ring_bbox(ring: str | Column) -> tuple[Column, Column, Column, Column]:

@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from blockwise.operators.joins import join_on
+
 
 def select_matching(
     df: DataFrame,
@@ -106,6 +108,26 @@ def unnest(df: DataFrame, column: str) -> DataFrame:
     return df.select(*others, F.inline(F.col(column)))
 
 
+def complete_keys(df: DataFrame, key: str, others: Sequence[str], fill: dict[str, object], most: int = 10_000) -> DataFrame:
+    """``complete(key, others...)`` + fill: every distinct ``key`` with every combination of the ``others``' values.
+
+    The values of the others are small domains (months, categories): they come
+    to the driver, at most ``most`` each, else this raises. The distinct keys
+    are exploded by their combinations and meet the rows in one join, so
+    nothing is joined without a key. NULL is a value like others.
+    """
+    domains = {}
+    for c in others:
+        domains[c] = df.select(c).distinct().limit(most + 1).collect()
+        if len(domains[c]) > most:
+            raise ValueError(f"{c} has more than {most} values; complete it as the key")
+    grid = df.select(key).distinct()
+    for c, rows in domains.items():
+        kind = df.schema[c].dataType
+        grid = grid.withColumn(c, F.explode(F.array(*[F.lit(r[0]).cast(kind) for r in rows])))
+    return join_on(grid, df, [key, *others], "left", null_safe=True).na.fill(fill)
+
+
 def complete_values(df: DataFrame, key: str, all_keys: DataFrame, fill: dict[str, object]) -> DataFrame:
     """``complete(key = values)`` + fill: left join the key universe, fill the gaps."""
     return all_keys.select(key).distinct().join(df, on=key, how="left").na.fill(fill)

@@ -30,7 +30,7 @@ RAW = f"""raw AS (
     CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE lpad(CAST((o_orderkey * 7) % 24 AS VARCHAR), 2, '0') || ':' ||
       (CASE WHEN o_orderkey % 5 = 0 AND l_linenumber = 2 THEN '30' ELSE '00' END) || ':00' END AS time_observations_started,
     CAST(o_custkey % 50 - 800 AS DOUBLE) / 10 AS longitude,
-    CAST(l_suppkey % 20 + 400 AS DOUBLE) / 10 AS latitude,
+    CAST(l_suppkey % 20 * 2 + l_partkey % 7 + 800 AS DOUBLE) / 20 AS latitude,
     l_quantity AS duration_minutes,
     l_tax * 10 AS effort_distance_km,
     CASE WHEN o_orderpriority = '5-LOW' THEN 'Other' ELSE 'Atlas' END AS project_names,

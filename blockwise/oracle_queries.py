@@ -9,6 +9,7 @@ from blockwise.oracle import (
     NAMES,
     OBS,
     OLD_ATLAS,
+    RAW,
     SEASONS,
     TZ,
     classified_sql,
@@ -145,17 +146,72 @@ ORACLE["scan_parquet"] = (
     "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_suppkey % 20 = 3 AND l_quantity >= 40"
 )
 ORACLE["csv_roundtrip"] = W + "\nSELECT atlas_block, checklist_id, common_name, observation_count FROM raw"
-ORACLE["release_tag"] = "SELECT 'May-2026' AS release, 'Data includes checklists from Jan-2024 to May-2026' AS release_sentence"
+ORACLE["release_tag"] = """WITH n AS (
+  SELECT DISTINCT strftime(o_orderdate, '%b-%Y') AS tag, o_orderkey % 4 <> 0 AS text FROM orders
+)
+SELECT 'data/ebd_rel' || tag || CASE WHEN text THEN '.txt' ELSE '.csv' END AS path, CASE WHEN text THEN tag END AS release,
+  CASE WHEN text THEN 'Data includes checklists from Jan-2024 to ' || tag END AS release_sentence FROM n"""
+ORACLE["extract_pipeline"] = "WITH " + RAW + """,
+k AS (
+  SELECT coalesce(CASE WHEN CAST(substr(checklist_id, 2) AS BIGINT) % 3 <> 0 THEN 'G' || substr(checklist_id, 2) END,
+      checklist_id || '_' || atlas_block) AS cid, checklist_id || '_' || atlas_block AS event,
+    trim(regexp_replace(breeding_category, '\\s+', ' ', 'g')) AS cat, CASE WHEN atlas_block <> 'B7' THEN duration_minutes END AS dur, *
+  FROM raw WHERE observation_date BETWEEN DATE '1996-01-01' AND DATE '1997-06-30' AND contains(project_names, 'Atlas')
+),
+f AS (
+  SELECT cid, common_name, event, row_number() OVER (PARTITION BY cid, common_name ORDER BY event) AS rn,
+    first_value(atlas_block) OVER (PARTITION BY cid, common_name ORDER BY event, atlas_block) AS block,
+    first_value(observation_date) OVER (PARTITION BY cid, common_name ORDER BY event, observation_date) AS day,
+    first_value(time_observations_started) OVER (PARTITION BY cid, common_name ORDER BY event, time_observations_started NULLS FIRST) AS start,
+    first_value(dur) OVER (PARTITION BY cid, common_name ORDER BY event, dur NULLS FIRST) AS dur
+  FROM k
+),
+g AS (SELECT cid, common_name, string_agg(DISTINCT observer_id, ',' ORDER BY observer_id) AS observer_id, max(cat) AS cat, min(event) AS event FROM k GROUP BY 1, 2),
+j AS (
+  SELECT g.*, f.block, f.day, f.dur, coalesce(g.cat, 'C1') AS category,
+    try_strptime(strftime(f.day, '%Y-%m-%d') || ' ' || f.start, '%Y-%m-%d %H:%M:%S') AS ts
+  FROM g JOIN f USING (cid, common_name) WHERE f.rn = 1
+),
+""" + LOOKUP + f"""
+SELECT cid AS checklist_id, common_name, observer_id, event AS first_event_id, block AS pba3_block, category AS breeding_category,
+  breeding_rank, day AS observation_date, strftime(day, '%b') AS observation_month,
+  CASE WHEN timezone('{TZ}', timezone('{TZ}', ts)) = ts THEN ts END AS observation_datetime, round(dur, 6) AS duration_minutes
+FROM j LEFT JOIN lk ON lk.breeding_category = j.category"""
+ORACLE["bad_cells"] = "WITH " + RAW + """
+SELECT c.name AS "column", CASE WHEN c.name = 'duration_minutes' THEN (SELECT count(*) FROM raw WHERE atlas_block = 'B7') ELSE 0 END AS bad
+FROM (SELECT unnest(['atlas_block', 'sampling_event_identifier', 'group_identifier', 'observer_id', 'common_name', 'breeding_category',
+  'breeding_code', 'observation_date', 'time_observations_started', 'duration_minutes', 'project_names']) AS name) c"""
+ORACLE["csv_positional"] = """SELECT CAST(o_orderkey AS VARCHAR) AS order_id, CAST(o_custkey AS VARCHAR) AS customer,
+  strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders"""
+ORACLE["partition_refresh"] = from_summary("""SELECT season, count(*) AS blocks,
+  CAST(sum(CASE WHEN season = 'Winter' THEN -checklist_count ELSE checklist_count END) AS BIGINT) AS checklists, season <> 'Winter' AS same_files
+FROM cc GROUP BY season""")
 ORACLE["extract_filter"] = W + """
 SELECT atlas_block, checklist_id, common_name, observation_date, duration_minutes, project_names FROM raw
 WHERE observation_date BETWEEN DATE '1996-01-01' AND DATE '1997-06-30' AND contains(project_names, 'Atlas')"""
 
+ORACLE["blocks_source"] = W + """,
+sq AS (SELECT DISTINCT longitude AS x, latitude AS y FROM obsr),
+c AS (SELECT * FROM (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1), (4, 0, 0)) t(place, dx, dy))
+SELECT 'P' || CAST(x AS VARCHAR) || '_' || CAST(y AS VARCHAR) AS pba2_block, CAST(place AS BIGINT) AS place,
+  round(x + dx * 0.1, 6) AS x, round(y + dy * 0.1, 6) AS y FROM sq, c"""
+BY_DATE = """SELECT {g}pba3_block, CAST(observation_datetime AS DATE) AS observation_date,
+    sum(duration_minutes) FILTER (WHERE checklist_type = 'diurnal') / 60 AS duration_hours_diurnal,
+    sum(duration_minutes) FILTER (WHERE checklist_type = 'nocturnal') / 60 AS duration_hours_nocturnal,
+    sum(duration_minutes) FILTER (WHERE checklist_type = 'unknown') / 60 AS duration_hours_unknown
+  FROM cls GROUP BY ALL"""
+HOURS = ", ".join(f"round({c}, 6) AS {c}" for c in DUR)
+ORACLE["parquet_roundtrip"] = from_summary(f"""SELECT d.season, d.pba3_block, cc.checklist_count, observation_date, {HOURS},
+  row_number() OVER (PARTITION BY d.season, d.pba3_block ORDER BY observation_date NULLS FIRST) - 1 AS place
+FROM ({BY_DATE.format(g='season, ')}) d JOIN cc ON cc.season = d.season AND cc.pba3_block = d.pba3_block""")
+
 # ---------------------------------------------------------------- 2.2 projection, filter, reshape
 ORACLE["select_reorder"] = W + """
 SELECT checklist_id, pba3_block, breeding_code, breeding_category, breeding_category_desc, breeding_rank,
   observation_month, round(longitude, 6) AS longitude FROM obsr"""
 ORACLE["rename_fn"] = W + """
 SELECT checklist_id, observation_date AS "date", observation_month AS "month", observation_count AS "count" FROM obsr"""
+ORACLE["rename_positional"] = W + "\nSELECT DISTINCT pba3_block AS block, checklist_id, common_name AS species FROM obsr"
 ORACLE["across_round"] = from_summary(
     "SELECT season, pba3_block, round_even(duration_hours_total, 2) AS duration_hours_total, "
     "round_even(effort_distance_km, 2) AS effort_distance_km FROM summary"
@@ -182,6 +238,15 @@ SELECT pba3_block, CAST(observation_datetime AS DATE) AS observation_date,
   round(sum(duration_minutes) FILTER (WHERE checklist_type = 'nocturnal') / 60, 6) AS duration_hours_nocturnal,
   round(sum(duration_minutes) FILTER (WHERE checklist_type = 'unknown') / 60, 6) AS duration_hours_unknown
 FROM cls GROUP BY 1, 2"""
+ORACLE["nest_effort"] = WF + ",\ncls AS " + classified_sql("obsr") + f"""
+SELECT pba3_block, count(*) OVER (PARTITION BY pba3_block) AS days,
+  row_number() OVER (PARTITION BY pba3_block ORDER BY observation_date NULLS FIRST) - 1 AS place, observation_date, {HOURS}
+FROM ({BY_DATE.format(g='')})"""
+ORACLE["complete_keys"] = W + """
+SELECT s.common_name, m.observation_month_num, c.breeding_category, coalesce(x.n, 0) AS n
+FROM (SELECT DISTINCT common_name FROM obsr) s, (SELECT DISTINCT observation_month_num FROM obsr) m, (SELECT DISTINCT breeding_category FROM obsr) c
+LEFT JOIN (SELECT common_name, observation_month_num, breeding_category, count(*) AS n FROM obsr GROUP BY ALL) x
+  ON x.common_name = s.common_name AND x.observation_month_num = m.observation_month_num AND x.breeding_category = c.breeding_category"""
 ORACLE["complete_grid"] = W + ",\n" + NAMES + """
 SELECT n.pba3_block, CAST(coalesce(c.k, 0) AS BIGINT) AS confirmed_species
 FROM names n LEFT JOIN (
@@ -217,10 +282,78 @@ SELECT d.checklist_id, d.observation_datetime, c.n_checklists
 FROM d LEFT JOIN c ON c.observation_datetime IS NOT DISTINCT FROM d.observation_datetime"""
 ORACLE["spatial_covers"] = W + """,
 sq AS (SELECT DISTINCT longitude AS x0, latitude AS y0 FROM obsr),
+dia AS (SELECT longitude AS x0, min(latitude) AS y0 FROM obsr WHERE longitude IS NOT NULL GROUP BY 1),
 pts AS (SELECT DISTINCT checklist_id, longitude AS px, latitude AS py FROM obsr)
 SELECT 'P' || CAST(sq.x0 AS VARCHAR) || '_' || CAST(sq.y0 AS VARCHAR) AS pba2_block, pts.checklist_id,
   round(pts.px, 6) AS px, round(pts.py, 6) AS py
-FROM sq JOIN pts ON pts.px BETWEEN sq.x0 AND sq.x0 + 0.1 AND pts.py BETWEEN sq.y0 AND sq.y0 + 0.1"""
+FROM sq JOIN pts ON CAST(pts.px AS DECIMAL(16, 12)) - CAST(sq.x0 AS DECIMAL(16, 12)) BETWEEN 0 AND 0.1
+  AND CAST(pts.py AS DECIMAL(16, 12)) - CAST(sq.y0 AS DECIMAL(16, 12)) BETWEEN 0 AND 0.1
+UNION ALL
+SELECT 'D' || CAST(dia.x0 AS VARCHAR), pts.checklist_id, round(pts.px, 6), round(pts.py, 6)
+FROM dia JOIN pts ON abs(CAST(pts.px AS DECIMAL(16, 12)) - CAST(dia.x0 AS DECIMAL(16, 12)))
+  + abs(CAST(pts.py AS DECIMAL(16, 12)) - CAST(dia.y0 AS DECIMAL(16, 12))) <= 0.2
+UNION ALL
+SELECT 'EMPTY', NULL, NULL, NULL"""
+#: Exact decimal hulls: an edge has every candidate on its left or between its ends.
+HULL = W + """,
+hp AS (SELECT DISTINCT pba3_block AS g, CAST(longitude AS DECIMAL(16, 12)) AS x, CAST(latitude AS DECIMAL(16, 12)) AS y FROM obsr
+       WHERE pba3_block IS NOT NULL AND longitude IS NOT NULL AND latitude IS NOT NULL),
+np AS (SELECT g, count(*) AS n_points FROM hp GROUP BY g),
+cand AS (SELECT g, x, min(y) AS y FROM hp GROUP BY g, x UNION SELECT g, x, max(y) FROM hp GROUP BY g, x),
+edge AS (
+  SELECT p.g, p.x AS x1, p.y AS y1, q.x AS x2, q.y AS y2
+  FROM cand p JOIN cand q ON p.g = q.g AND (p.x <> q.x OR p.y <> q.y) JOIN cand r ON r.g = p.g
+  GROUP BY p.g, p.x, p.y, q.x, q.y
+  HAVING bool_and((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) > 0
+    OR ((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) = 0
+        AND r.x BETWEEN least(p.x, q.x) AND greatest(p.x, q.x) AND r.y BETWEEN least(p.y, q.y) AND greatest(p.y, q.y)))
+),
+vertex AS (SELECT g, x1 AS x, y1 AS y FROM edge UNION SELECT c.g, c.x, c.y FROM cand c JOIN np USING (g) WHERE n_points = 1),
+shape AS (
+  SELECT v.g, count(*) AS n_vertices, min(CAST(v.y AS DOUBLE)) AS lo, max(CAST(v.y AS DOUBLE)) AS hi,
+    (min(CAST(v.y AS DOUBLE)) + max(CAST(v.y AS DOUBLE))) / 2 AS centre FROM vertex v GROUP BY v.g
+),
+scan AS (
+  SELECT s.g, any_value(s.n_vertices) AS n_vertices,
+    (coalesce(max(CAST(v.y AS DOUBLE)) FILTER (WHERE CAST(v.y AS DOUBLE) <= s.centre AND CAST(v.y AS DOUBLE) > s.lo), any_value(s.lo))
+     + coalesce(min(CAST(v.y AS DOUBLE)) FILTER (WHERE CAST(v.y AS DOUBLE) > s.centre AND CAST(v.y AS DOUBLE) < s.hi), any_value(s.hi))) / 2 AS at,
+    CAST(min(v.x) AS DOUBLE) AS x_first, CAST(arg_min(v.y, (v.x, v.y)) AS DOUBLE) AS y_first
+  FROM shape s JOIN vertex v ON v.g = s.g GROUP BY s.g
+),
+cut AS (
+  SELECT c.g, CAST(e.x1 AS DOUBLE) + (c.at - CAST(e.y1 AS DOUBLE)) * (CAST(e.x2 AS DOUBLE) - CAST(e.x1 AS DOUBLE))
+    / (CAST(e.y2 AS DOUBLE) - CAST(e.y1 AS DOUBLE)) AS x
+  FROM scan c JOIN edge e ON e.g = c.g AND (CAST(e.y1 AS DOUBLE) > c.at) <> (CAST(e.y2 AS DOUBLE) > c.at)
+),
+ip AS (
+  SELECT c.g AS pba3_block, CASE WHEN any_value(c.n_vertices) <= 2 THEN any_value(c.x_first) ELSE (min(u.x) + max(u.x)) / 2 END AS px,
+    CASE WHEN any_value(c.n_vertices) <= 2 THEN any_value(c.y_first) ELSE any_value(c.at) END AS py
+  FROM scan c LEFT JOIN cut u ON u.g = c.g GROUP BY c.g
+),
+sq AS (SELECT DISTINCT longitude AS x0, latitude AS y0 FROM obsr),
+cw AS (
+  SELECT 'P' || CAST(sq.x0 AS VARCHAR) || '_' || CAST(sq.y0 AS VARCHAR) AS pba2_block, ip.pba3_block
+  FROM sq LEFT JOIN ip ON CAST(ip.px AS DECIMAL(16, 12)) - CAST(sq.x0 AS DECIMAL(16, 12)) BETWEEN 0 AND 0.1
+    AND CAST(ip.py AS DECIMAL(16, 12)) - CAST(sq.y0 AS DECIMAL(16, 12)) BETWEEN 0 AND 0.1
+)"""
+ORACLE["convex_hull"] = HULL + """,
+area AS (SELECT g, sum((CAST(x1 AS DOUBLE) * CAST(y2 AS DOUBLE) - CAST(x2 AS DOUBLE) * CAST(y1 AS DOUBLE)) / 2) AS area FROM edge GROUP BY g)
+SELECT v.g AS pba3_block, np.n_points, s.n_vertices,
+  round(CASE WHEN s.n_vertices > 2 THEN a.area ELSE 0 END, 6) AS area, round(CAST(v.x AS DOUBLE), 6) AS x, round(CAST(v.y AS DOUBLE), 6) AS y
+FROM vertex v JOIN np USING (g) JOIN shape s USING (g) LEFT JOIN area a USING (g)"""
+ORACLE["interior_point"] = HULL + "\nSELECT pba3_block, round(px, 6) AS px, round(py, 6) AS py FROM ip"
+ORACLE["block_crosswalk"] = HULL + "\nSELECT * FROM cw"
+ORACLE["crosswalk_overrides"] = HULL + """
+SELECT CASE WHEN pba3_block = 'B5' THEN 'P-80.0_40.5' ELSE pba2_block END AS pba2_block, pba3_block FROM cw
+WHERE NOT (pba2_block = 'P-80.0_40.5' AND pba3_block IS NULL)"""
+ORACLE["crosswalk_one_to_one"] = HULL + """,
+d AS (SELECT DISTINCT pba2_block, pba3_block FROM cw),
+s AS (SELECT 'pba2_block' AS side, pba2_block AS id, pba3_block AS other FROM d UNION ALL SELECT 'pba3_block', pba3_block, pba2_block FROM d)
+SELECT side, id, count(other) AS partners, count(*) AS partners_with_null FROM s WHERE id IS NOT NULL GROUP BY side, id HAVING count(*) > 1"""
+ORACLE["season_glossary"] = "WITH " + CAL + """
+SELECT l.breeding_calendar_code, count(*) AS n, any_value(d.Description) AS Description FROM cal_long l
+LEFT JOIN (VALUES ('B', 'Breeding season only'), ('E', 'Either migration or breeding'), ('M', 'Migration'), ('N', 'Non-breeding season'))
+  d(Season, Description) ON d.Season = l.breeding_calendar_code GROUP BY 1"""
 CMP = W + ",\n" + NAMES + ",\n" + OLD_ATLAS
 ORACLE["full_outer_compare"] = CMP + "\nSELECT * FROM cmp"
 
@@ -259,6 +392,8 @@ ORACLE["rows_at_group_max"] = CMP + "\nSELECT * FROM pba3"
 ORACLE["region_blocks"] = from_summary(
     "SELECT DISTINCT block_region, pba3_block, block_name FROM summary WHERE block_region <> 'Unknown region'"
 )
+ORACLE["region_hierarchy"] = from_summary("""SELECT block_region, row_number() OVER (PARTITION BY block_region ORDER BY pba3_block, block_name) - 1 AS place,
+  pba3_block, block_name FROM (SELECT DISTINCT block_region, pba3_block, block_name FROM summary WHERE block_region <> 'Unknown region')""")
 ORACLE["rowwise_sum"] = WF + ",\ncls AS " + classified_sql("obsr") + """
 SELECT pba3_block, observation_date, round(coalesce(d, 0) + coalesce(n, 0) + coalesce(u, 0), 6) AS duration_hours_total
 FROM (
@@ -269,7 +404,7 @@ FROM (
   FROM cls GROUP BY 1, 2)"""
 
 # ---------------------------------------------------------------- 2.5 windows
-ORACLE["week_index"] = "WITH " + CAL + "\nSELECT DISTINCT week, week_index FROM cal_long"
+ORACLE["week_index"] = "WITH " + CAL + "\nSELECT common_name, week, CAST(week_index AS INTEGER) AS week_index FROM cal_long"
 ORACLE["add_count"] = W + """,
 d AS (SELECT DISTINCT pba3_block, checklist_id, duration_minutes, effort_distance_km FROM obsr)
 SELECT pba3_block, checklist_id, round(duration_minutes, 6) AS duration_minutes,
@@ -283,6 +418,46 @@ ORACLE["top_k"] = from_summary(
     "ORDER BY checklist_count DESC, pba3_block LIMIT 10"
 )
 
+DRAW = "CAST('0x' || substr(md5(concat_ws('|', '{seed}', {keys})), 1, 13) AS BIGINT)"
+_prop = DRAW.format(seed=7, keys="checklist_id, common_name, observer_id, pba3_block, CAST(observation_date AS VARCHAR)")
+ORACLE["sample_prop"] = W + f""",
+d AS (SELECT DISTINCT checklist_id, common_name, observer_id, pba3_block, observation_date FROM obsr)
+SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (ORDER BY {_prop} DESC) AS r FROM d)
+WHERE r <= floor(CAST(0.1 AS DOUBLE) * (SELECT count(*) FROM d))"""
+_place = DRAW.format(seed=1, keys="checklist_id, CAST(longitude AS VARCHAR), CAST(latitude AS VARCHAR)")
+ORACLE["sample_per_group"] = W + f""",
+d AS (SELECT DISTINCT pba3_block, checklist_id, longitude, latitude FROM obsr)
+SELECT pba3_block, checklist_id, round(longitude, 6) AS longitude, round(latitude, 6) AS latitude
+FROM (SELECT *, row_number() OVER (PARTITION BY pba3_block ORDER BY {_place}) AS r FROM d) WHERE r <= 100"""
+EB = W + ",\n" + ES + """,
+m AS (SELECT avg(CAST(observations AS DOUBLE) / checklist_count) AS mu,
+        var_samp(CAST(observations AS DOUBLE) / checklist_count) AS v FROM es WHERE checklist_count > 0),
+p AS (SELECT mu * (mu * (1 - mu) / v - 1) AS a, (1 - mu) * (mu * (1 - mu) / v - 1) AS b FROM m),
+eb AS (
+  SELECT es.*, observations + a AS alpha1, checklist_count - observations + b AS beta1,
+    CAST(observations AS DOUBLE) / checklist_count AS raw, (observations + a) / (checklist_count + a + b) AS fitted,
+    a / (a + b) AS prior_mean
+  FROM es, p
+)"""
+EB_DOUBLES = ["observed_pct", "alpha1", "beta1", "raw", "fitted", "prior_mean"]
+_w = DRAW.format(seed=3, keys="pba3_block, common_name, CAST(month_num AS VARCHAR)")
+ORACLE["sample_weighted"] = EB + f"""
+SELECT pba3_block, common_name, observation_month, month_num, observations, checklist_count, {rnd(EB_DOUBLES)}
+FROM (SELECT *, row_number() OVER (ORDER BY ln(({_w} + 0.5) / 4503599627370496.0::DOUBLE) / fitted DESC) AS r FROM eb)
+WHERE r <= floor(CAST(0.1 AS DOUBLE) * (SELECT count(*) FROM eb))"""
+ORACLE["eb_shrink"] = EB + f"""
+SELECT pba3_block, common_name, observation_month, month_num, observations, checklist_count, {rnd(EB_DOUBLES)},
+  round(observed_pct * checklist_count, 6) AS observed_pct_weighted FROM eb"""
+ORACLE["eb_species"] = W + ",\n" + ES + """,
+t AS (SELECT common_name, CAST(sum(checklist_count) AS BIGINT) AS checklist_count, CAST(sum(observations) AS BIGINT) AS observations
+      FROM es GROUP BY 1),
+m AS (SELECT avg(CAST(observations AS DOUBLE) / checklist_count) AS mu,
+        var_samp(CAST(observations AS DOUBLE) / checklist_count) AS v FROM t WHERE checklist_count > 0),
+p AS (SELECT mu * (mu * (1 - mu) / v - 1) AS a, (1 - mu) * (mu * (1 - mu) / v - 1) AS b FROM m)
+SELECT common_name, checklist_count, observations, round(observations + a, 6) AS alpha1,
+  round(checklist_count - observations + b, 6) AS beta1, round(CAST(observations AS DOUBLE) / checklist_count, 6) AS raw,
+  round((observations + a) / (checklist_count + a + b), 6) AS fitted, round(a / (a + b), 6) AS prior_mean FROM t, p"""
+
 # ---------------------------------------------------------------- 2.7 set operations
 ORACLE["union_rows"] = CMP + "\nSELECT pba3_block, common_name FROM pba2 UNION ALL SELECT pba3_block, common_name FROM pba3"
 ORACLE["union_distinct"] = CMP + "\nSELECT pba3_block, common_name FROM pba2 UNION SELECT pba3_block, common_name FROM pba3"
@@ -480,6 +655,25 @@ bydate AS (
     sum(duration_minutes) FILTER (WHERE checklist_type = 'unknown') / 60 AS duration_hours_unknown
   FROM cls GROUP BY 1, 2
 )
+SELECT CAST(year(observation_date) AS INTEGER) AS obs_year, CAST(month(observation_date) AS INTEGER) AS obs_month_num,
+  strftime(observation_date, '%b') AS obs_month,
+  round(sum(coalesce(duration_hours_diurnal, 0) + coalesce(duration_hours_nocturnal, 0) + coalesce(duration_hours_unknown, 0)), 6)
+    AS duration_hours_total,
+  round(CASE WHEN count(*) = count(duration_hours_diurnal) THEN sum(duration_hours_diurnal) END, 6) AS duration_hours_diurnal,
+  round(CASE WHEN count(*) = count(duration_hours_nocturnal) THEN sum(duration_hours_nocturnal) END, 6) AS duration_hours_nocturnal,
+  round(CASE WHEN count(*) = count(duration_hours_unknown) THEN sum(duration_hours_unknown) END, 6) AS duration_hours_unknown
+FROM bydate GROUP BY 1, 2, 3"""
+ORACLE["effort_over_time_known"] = WF + """,
+one AS (SELECT o.* FROM obsr o WHERE pba3_block = 'B3'
+        AND observation_month_num IN (SELECT month_num FROM seasons WHERE season = 'Breeding')),
+cls AS """ + classified_sql("one") + """,
+bydate AS (
+  SELECT pba3_block, CAST(observation_datetime AS DATE) AS observation_date,
+    sum(duration_minutes) FILTER (WHERE checklist_type = 'diurnal') / 60 AS duration_hours_diurnal,
+    sum(duration_minutes) FILTER (WHERE checklist_type = 'nocturnal') / 60 AS duration_hours_nocturnal,
+    sum(duration_minutes) FILTER (WHERE checklist_type = 'unknown') / 60 AS duration_hours_unknown
+  FROM cls GROUP BY 1, 2
+)
 SELECT CAST(year(observation_date) AS INTEGER) AS obs_year, CAST(month(observation_date) AS INTEGER) AS obs_month_num,
   strftime(observation_date, '%b') AS obs_month,
   round(sum(coalesce(duration_hours_diurnal, 0) + coalesce(duration_hours_nocturnal, 0) + coalesce(duration_hours_unknown, 0)), 6)
@@ -505,6 +699,11 @@ SELECT n.pba3_block, round(duration_hours_total_naive, 6) AS duration_hours_tota
   round(duration_hours_total_adj - duration_hours_total_naive, 6) AS duration_hours_diff,
   round(effort_distance_km_adj - effort_distance_km_naive, 6) AS effort_distance_diff
 FROM naive n LEFT JOIN adj a ON a.pba3_block IS NOT DISTINCT FROM n.pba3_block"""
+AUDIT = ORACLE["effort_audit"].replace("SELECT n.pba3_block, round(", "SELECT * FROM (SELECT n.pba3_block, round(", 1) + ")"
+ORACLE["effort_audit_changed"] = AUDIT + " WHERE abs(duration_hours_diff) > 0 OR abs(effort_distance_diff) > 0"
+ORACLE["effort_audit_means"] = AUDIT.replace(
+    "SELECT * FROM (SELECT n.pba3_block", "SELECT round(avg(duration_hours_diff), 6) AS mean_duration_hours_diff, "
+    "round(avg(effort_distance_diff), 6) AS mean_effort_distance_diff FROM (SELECT n.pba3_block", 1)
 ORACLE["focal_match"] = W + """,
 focal AS (SELECT DISTINCT p_name AS common_name FROM part WHERE p_size <= 1),
 seen AS (SELECT DISTINCT common_name FROM obsr)
@@ -528,6 +727,10 @@ SELECT round(min(radians(longitude) * 6378137.0) - 1000.0, 6) AS xmin,
   round(max(ln(tan(pi() / 4 + radians(latitude) / 2)) * 6378137.0) + 1000.0, 6) AS ymax
 FROM dens"""
 
+ORACLE["summary_polygons"] = SQ + HULL[len(W):] + """
+SELECT cw.pba2_block, s.* REPLACE (cw.pba3_block AS pba3_block, """ + ", ".join(f"round(s.{c}, 6) AS {c}" for c in SUMMARY_DOUBLES) + """)
+FROM cw LEFT JOIN summary s ON s.pba3_block = cw.pba3_block"""
+
 # ---------------------------------------------------------------- 2.11 statistics
 BREAKS = """mm AS (SELECT CAST(min(checklist_count) AS DOUBLE) AS lo, CAST(max(checklist_count) AS DOUBLE) AS hi FROM dens),
 brks AS (
@@ -535,6 +738,31 @@ brks AS (
   FROM mm, (SELECT unnest(range(10)) AS i) WHERE lo > 0 AND hi > 0
 )"""
 ORACLE["log_breaks"] = W + ",\n" + DENSITY + ",\n" + BREAKS + "\nSELECT brk FROM brks"
+ORACLE["density"] = W + ",\n" + ES + """,
+es_rows AS (SELECT observation_month AS g, CAST(observed_pct AS DOUBLE) AS v FROM es),
+s0 AS (
+  SELECT g, count(*) AS n, stddev_samp(v) AS sd, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3, min(v) AS lo, max(v) AS hi
+  FROM es_rows GROUP BY g
+),
+s1 AS (
+  SELECT *, 0.9::DOUBLE * (CASE WHEN least(sd, (q3 - q1) / 1.34::DOUBLE) > 0 THEN least(sd, (q3 - q1) / 1.34::DOUBLE) WHEN sd > 0 THEN sd
+    WHEN abs(lo) > 0 THEN abs(lo) ELSE 1.0::DOUBLE END) * pow(n, -0.2) AS h FROM s0
+),
+s2 AS (SELECT *, lo - 3 * h AS glo, ((hi + 3 * h) - (lo - 3 * h)) / 511 AS gstep FROM s1),
+w AS (SELECT min(h) / 8 AS width FROM s2),
+bin0 AS (
+  SELECT g, CAST(floor(v / width) AS BIGINT) AS j, count(*) AS c, sum(v / width - floor(v / width)) AS f FROM es_rows, w GROUP BY 1, 2
+),
+bins AS (SELECT g, j, c - f AS wt FROM bin0 UNION ALL SELECT g, j + 1, f FROM bin0),
+fan AS (
+  SELECT b.g, b.wt, s.n, s.h, s.glo, s.gstep, b.j * w.width AS centre,
+    unnest(range(CAST(greatest(ceil((b.j * w.width - 4 * s.h - s.glo) / s.gstep), 0) AS BIGINT),
+                 CAST(least(floor((b.j * w.width + 4 * s.h - s.glo) / s.gstep), 511) AS BIGINT) + 1)) AS k
+  FROM bins b JOIN s2 s ON s.g IS NOT DISTINCT FROM b.g, w WHERE b.wt > 0
+)
+SELECT g AS observation_month, CAST(k AS INTEGER) AS k, round(any_value(glo + k * gstep), 6) AS x,
+  round(sum(wt * exp(-0.5 * ((glo + k * gstep - centre) / h) * ((glo + k * gstep - centre) / h)) / (n * h * sqrt(2 * pi()))), 6) AS density
+FROM fan GROUP BY g, k"""
 ORACLE["step_bins"] = W + ",\n" + DENSITY + ",\n" + BREAKS + """,
 ranked AS (SELECT brk, row_number() OVER (ORDER BY brk) AS i, count(*) OVER () AS k FROM brks),
 sizes AS (
@@ -565,6 +793,14 @@ SELECT checklist_id, count(*) AS n FROM (SELECT DISTINCT checklist_id, latitude
 GROUP BY 1 HAVING count(*) > 1"""
 ORACLE["class_balance"] = "WITH " + VISITS + ",\n" + fixed_sql("visits") + ",\ncls AS " + classified_sql("visits") + """
 SELECT checklist_type, count(*) AS n FROM cls GROUP BY 1"""
+_rise, _set = sun_sql("longitude", "latitude", "observation_datetime")
+_odd = DRAW.format(seed=11, keys="pba3_block, checklist_id, CAST(longitude AS VARCHAR), CAST(latitude AS VARCHAR)")
+ORACLE["class_outliers"] = "WITH " + VISITS + ",\n" + fixed_sql("visits") + ",\ncls AS " + classified_sql("visits") + f"""
+SELECT checklist_type, pba3_block, checklist_id, round(longitude, 6) AS longitude, round(latitude, 6) AS latitude,
+  CAST(observation_datetime AS DATE) AS observation_date, strftime(observation_datetime, '%H:%M:%S') AS start,
+  strftime({from_utc_sql(_rise)}, '%H:%M:%S') AS sunrise, strftime({from_utc_sql(_set)}, '%H:%M:%S') AS sunset
+FROM (SELECT *, row_number() OVER (PARTITION BY checklist_type ORDER BY {_odd}) AS r FROM cls) WHERE r <= 1000"""
+ORACLE["zone_check"] = "SELECT 'source' AS \"check\", 'nowhere' AS \"key\""
 ORACLE["quality_report"] = W + ",\n" + NAMES + """,
 per_block AS (SELECT pba3_block, count(*) AS n FROM obsr GROUP BY 1)
 SELECT 'duplicate_checklist_species' AS "check", checklist_id || '|' || common_name AS "key", count(*) AS n

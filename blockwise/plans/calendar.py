@@ -40,23 +40,30 @@ def safe_dates_view(safe: DataFrame, year: int) -> DataFrame:
     return out.orderBy(F.col("date_probable_start").asc_nulls_last())
 
 
+def _weeks(cal: DataFrame) -> list[str]:
+    """The week columns of a calendar, in the order in which it has them."""
+    return [c for c in cal.columns if c not in ("taxonomic_order", "common_name", "priority_species")]
+
+
 def calendar_long(cal: DataFrame) -> DataFrame:
-    """(common_name, priority_species, week_index, week, breeding_calendar_code)."""
-    idx = F.create_map(*[x for i, w in enumerate(WEEKS, start=1) for x in (F.lit(w), F.lit(i))])
-    long = cal.drop("taxonomic_order").unpivot(
-        ["common_name", "priority_species"], WEEKS, "week", "breeding_calendar_code"
-    )
-    return long.withColumn("week_index", idx[F.col("week")])
+    """(common_name, priority_species, week_index, week, breeding_calendar_code).
+
+    The index numbers a species' weeks in the order in which the calendar has
+    them (``row_number()`` per species in input order): a place in the row, no window.
+    """
+    cells = F.array(*[F.struct(F.lit(w).alias("week"), F.col(f"`{w}`").alias("breeding_calendar_code")) for w in _weeks(cal)])
+    long = cal.select("common_name", "priority_species", F.posexplode(cells).alias("place", "cell"))
+    return long.select("common_name", "priority_species", "cell.week", "cell.breeding_calendar_code", (F.col("place") + 1).alias("week_index"))
 
 
 def calendar_view(cal: DataFrame, start_month: str | None, exclude_blank: bool, show_priority: bool) -> DataFrame:
     """Weeks from ``start_month`` on, wide; optionally drop species blank in the first shown week (T14)."""
     long = calendar_long(cal)
-    weeks = WEEKS
+    weeks = _weeks(cal)
     if start_month is not None:
-        first = WEEKS.index(f"{start_month} 1") + 1
+        first = weeks.index(f"{start_month} 1") + 1
         long = long.where(F.col("week_index") >= first)
-        weeks = WEEKS[first - 1 :]
+        weeks = weeks[first - 1 :]
     ids = ["common_name", "priority_species"] if show_priority else ["common_name"]
     wide = pivot_wider(long, ids, "week", "breeding_calendar_code", weeks)
     wide = wide.select(*ids, *weeks)

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockwise.functions.semantics import build_local_datetime, month_label, parse_number, squish
-from blockwise.operators.aggregate import modal_value, multi_valued_keys
-from blockwise.operators.joins import lookup, semi_join
-from blockwise.operators.reshape import explode_delimited
+from blockwise.operators.aggregate import multi_valued_keys
+from blockwise.operators.joins import lookup
 from blockwise.plans.lookups import breeding_lookup
 from blockwise.session import LOCAL_TZ
 
@@ -59,7 +58,7 @@ def collapse_shared(
     rest = [c for c in rows.columns if c not in (group_col, event_col, species_col, observer_col, category_col)]
     aggs = [
         F.array_join(F.sort_array(F.collect_set(observer_col)), ",").alias(observer_col),
-        F.max(category_col).alias(category_col),
+        F.max(squish(category_col)).alias(category_col),
         F.min(event_col).alias("first_event_id"),
     ] + [F.min_by(F.col(c), F.struct(F.col(event_col), F.col(c))).alias(c) for c in rest]
     return keyed.groupBy("checklist_id", species_col).agg(*aggs)
@@ -80,12 +79,16 @@ def modal_start_times(
     """(checklist_id, observation_datetime_fixed): modal start per multi-start checklist.
 
     The mode is taken after splitting the observer list, so a time reported by
-    k observers weighs k (T12); ties go to the earliest time (T11).
+    k observers weighs k (T12); ties go to the earliest time (T11). A chain of
+    aggregates by growing keys and no join: on rows that are already
+    partitioned by ``checklist`` it adds no exchange.
     """
-    dupes = dupe_start_checklists(obs, checklist, dt)
-    rows = semi_join(obs.select(block, checklist, observer, dt).distinct(), dupes, [checklist])
-    rows = explode_delimited(rows, observer, ",")
-    return modal_value(rows, [checklist], dt, out=f"{dt}_fixed")
+    rows = obs.where(F.col(checklist).isNotNull()).select(block, checklist, observer, dt).distinct()
+    weight = F.coalesce(F.size(F.split(F.col(observer), ",")), F.lit(1))  # a missing list is one observer
+    per_start = rows.groupBy(checklist, dt).agg(F.sum(weight).alias("__n"))
+    rank = F.when(F.col(dt).isNotNull(), F.struct((-F.col("__n")).alias("k1"), F.col(dt).alias("k2")))
+    modes = per_start.groupBy(checklist).agg(F.count(F.lit(1)).alias("__starts"), F.min_by(F.col(dt), rank).alias(f"{dt}_fixed"))
+    return modes.where((F.col("__starts") > 1) & F.col(f"{dt}_fixed").isNotNull()).drop("__starts")
 
 
 def apply_start_fix(df: DataFrame, fixed: DataFrame, checklist: str = "checklist_id", dt: str = "observation_datetime") -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockwise.functions.semantics import r_div
-from blockwise.operators.aggregate import rows_at_group_max
 from blockwise.operators.joins import full_outer_on_keys, join_on, lookup
 from blockwise.operators.reshape import pivot_longer
 from blockwise.plans.lookups import TAXONOMY_RENAMES, breeding_lookup
@@ -62,12 +61,19 @@ def old_atlas_from_matrix(
 
 
 def new_atlas_max(obs: DataFrame, strict: bool = False) -> DataFrame:
-    """Highest category per (block, species) in the new atlas; ties kept."""
-    slim = obs.select("pba3_block", "common_name", "breeding_category_desc", "breeding_rank").distinct()
-    top = rows_at_group_max(slim, KEYS, "breeding_rank", strict=strict)
-    return top.withColumnsRenamed(
-        {"breeding_category_desc": "pba3_breeding_category_max", "breeding_rank": "pba3_breeding_rank_max"}
-    )
+    """Highest category per (block, species) in the new atlas; ties kept.
+
+    One aggregate: a (block, species) has at most a handful of distinct (rank,
+    category) pairs, which are kept as a set; the pairs of the highest rank
+    become rows again. ``strict`` drops keys with an unknown rank (T4).
+    """
+    pairs = F.collect_set(F.struct(F.col("breeding_rank").alias("r"), F.col("breeding_category_desc").alias("c")))
+    per = obs.groupBy(*KEYS).agg(pairs.alias("p"), F.max("breeding_rank").alias("m"), F.count_if(F.col("breeding_rank").isNull()).alias("unknown"))
+    if strict:
+        per = per.where("unknown = 0")
+    top = F.filter("p", lambda x: x["r"] == F.col("m"))
+    named = {"c": "pba3_breeding_category_max", "r": "pba3_breeding_rank_max"}
+    return per.select(*KEYS, F.explode(top).alias("t")).select(*KEYS, *[F.col(f"t.{k}").alias(v) for k, v in named.items()])
 
 
 def atlas_compare(old: DataFrame, new: DataFrame, names: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockwise.functions.semantics import MONTH_ABB, from_utc, month_label, row_sum, sum0, to_utc
+from blockwise.functions.semantics import MONTH_ABB, from_utc, month_label, row_sum, strict_sum, sum0, to_utc
 from blockwise.functions.sun import with_sun_events_utc
 from blockwise.operators.joins import join_on
 from blockwise.operators.reshape import nest, unnest
@@ -79,40 +79,6 @@ def add_day_night_class(
     return per.withColumn("checklist_type", kind).drop("__rise", "__set", "__day")
 
 
-def classify_by_season(
-    grain: DataFrame,
-    season_fanout,
-    season: str | None = None,
-    tz: str = LOCAL_TZ,
-    before_min: int = MINUTES_BEFORE_SUNRISE,
-    after_min: int = MINUTES_AFTER_SUNSET,
-) -> DataFrame:
-    """Per (season, block, checklist, place) class, classifying each place once.
-
-    Same rows as fanning ``grain`` out to seasons and then classifying per
-    season. A checklist place whose rows all fall in one month has the same
-    start and duration in every season that contains the month, so it is
-    classified once and then fanned out; the (in practice absent) places that
-    span months take the per-season path. ``season_fanout(df, season)`` is
-    the season join to use.
-    """
-    from blockwise.operators.joins import join_on
-
-    loc = ["pba3_block", "checklist_id", "longitude", "latitude"]
-    per = grain.groupBy(*loc).agg(
-        F.min("observation_datetime").alias("observation_datetime"),
-        F.coalesce(F.max("duration_minutes"), F.lit(0.0)).cast("double").alias("duration_minutes"),
-        F.min("observation_month_num").alias("__m0"),
-        F.max("observation_month_num").alias("__m1"),
-    )
-    single = per.where(F.col("__m0") == F.col("__m1")).withColumnRenamed("__m0", "observation_month_num").drop("__m1")
-    single = season_fanout(add_day_night_class(single, tz, before_min, after_min), season).drop("observation_month_num")
-    spanning = per.where(F.col("__m0") != F.col("__m1")).select(*loc)
-    rest = join_on(grain, spanning, loc, "left_semi", null_safe=True)
-    rest = classify_checklists(season_fanout(rest, season), None, ["season"], tz, before_min, after_min)
-    return single.select(*rest.columns).unionByName(rest)
-
-
 def day_night_hours(classified: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """Hours per class, wide, missing classes 0: (group..., pba3_block, duration_hours_*)."""
     hours = [
@@ -151,8 +117,13 @@ def day_night_effort(
     return join_on(hours, nest_effort(effort_by_date(classified, group), group), [*group, "pba3_block"], "left", True)
 
 
-def effort_over_time(breakdown: DataFrame) -> DataFrame:
-    """Unnested breakdown -> total hours per (year, month), month as label plus number."""
+def effort_over_time(breakdown: DataFrame, strict: bool = True) -> DataFrame:
+    """Unnested breakdown -> total hours per (year, month), month as label plus number.
+
+    As R's ``sum`` without ``na.rm``, a month with a day that lacks a class has no
+    total of that class (T5), while the daily totals ignore missing classes;
+    ``strict=False`` sums the days that have it.
+    """
     flat = unnest(breakdown, "effort_breakdown") if "effort_breakdown" in breakdown.columns else breakdown
     flat = flat.withColumns(
         {
@@ -162,8 +133,9 @@ def effort_over_time(breakdown: DataFrame) -> DataFrame:
             "duration_hours_total": row_sum(*DURATION_COLS),
         }
     )
+    total = strict_sum if strict else F.sum
     return flat.groupBy("obs_year", "obs_month_num", "obs_month").agg(
-        *[F.sum(c).alias(c) for c in ["duration_hours_total", *DURATION_COLS]]
+        *[total(c).alias(c) for c in ["duration_hours_total", *DURATION_COLS]]
     )
 
 
@@ -204,8 +176,9 @@ def effort_audit_means(audit: DataFrame) -> DataFrame:
     )
 
 
-def effort_audit_changed(audit: DataFrame) -> DataFrame:
-    return audit.where((F.abs("duration_hours_diff") > 0) | (F.abs("effort_distance_diff") > 0))
+def effort_audit_changed(audit: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """Blocks whose hours or distance change; differences up to ``tolerance`` are rounding of the two sums."""
+    return audit.where((F.abs("duration_hours_diff") > tolerance) | (F.abs("effort_distance_diff") > tolerance))
 
 
 __all__ = [
@@ -218,4 +191,6 @@ __all__ = [
     "day_night_effort",
     "effort_over_time",
     "effort_audit",
+    "effort_audit_means",
+    "effort_audit_changed",
 ]

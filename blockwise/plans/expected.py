@@ -2,14 +2,17 @@
 
 The reference fills a full grid per block (every checklist × species × month,
 ``complete``) and then averages. The grid has checklists × species × months
-rows per block; here the same numbers come from three small aggregates:
+rows per block; here the same numbers come from real rows only:
 
     rows(b, s, m)          = C_b - D(b, s, m) + R(b, s, m)
     observations(b, s, m)  = O(b, s, m)
     checklist_count(b,s,m) = C_b
 
 with C_b the distinct checklists of the block, R / D / O the real rows,
-distinct checklists and non-missing counts of (b, s, m). Work is O(rows).
+distinct checklists and non-missing counts of (b, s, m). The observations are
+read once: one aggregate to (block, species, checklist, month), then GROUPING
+SETS ((block, species), (block, checklist)) give R, D, O and C_b from one
+expansion of that small table.
 """
 
 from __future__ import annotations
@@ -17,12 +20,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockwise.functions.semantics import MONTH_ABB, n_distinct, parse_number, r_div
+from blockwise.functions.semantics import MONTH_ABB, parse_number, r_div
 from blockwise.operators.joins import join_on
 from blockwise.plans.lookups import BREEDING, SEASON_MONTHS
+from blockwise.session import materialize
 
 
 def expected_species(
@@ -39,13 +43,18 @@ def expected_species(
     b = obs.where(F.col(month_num_col).isin(nums)).select(
         block, species, checklist, F.col(month_num_col).alias("month_num"), parse_number(count_col).alias("cnt")
     )
-    cb = b.groupBy(block).agg(n_distinct(checklist).alias("checklist_count"))
-    act = b.groupBy(block, species, "month_num").agg(
-        F.count(F.lit(1)).alias("R"), n_distinct(checklist).alias("D"), F.count("cnt").alias("O")
-    )
-    grid = b.select(block, species).distinct().withColumn("month_num", F.explode(F.array(*[F.lit(n) for n in nums])))
-    g = join_on(grid, cb, [block], "inner", null_safe=True)
-    g = join_on(g, act, [block, species, "month_num"], "left", null_safe=True)
+    base = b.groupBy(block, species, checklist, "month_num").agg(F.count(F.lit(1)).alias("r"), F.count("cnt").alias("o"))
+    at = [F.col("month_num") == n for n in nums]
+    sums = [a for i, m in enumerate(at) for a in (F.sum(F.when(m, F.col("r"))).alias(f"R{i}"), F.count_if(m).alias(f"D{i}"), F.sum(F.when(m, F.col("o"))).alias(f"O{i}"))]
+    sets = base.groupingSets([[F.col(block), F.col(species)], [F.col(block), F.col(checklist)]], block, species, checklist)
+    # grouping_id: 1 for (block, species), 2 for (block, checklist); the latter are only counted by block.
+    per = sets.agg(F.grouping_id().alias("g"), *sums).groupBy(block, species, "g")
+    per = per.agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"{c}{i}").alias(f"{c}{i}") for i in range(len(nums)) for c in "RDO"])
+    # At most a row per species and one for the checklists share a block.
+    checklists = F.max(F.when(F.col("g") == 2, F.col("n"))).over(Window.partitionBy(block))
+    g = per.withColumn("checklist_count", checklists).where("g = 1")
+    months = F.array(*[F.struct(F.lit(n).alias("month_num"), *[F.col(f"{c}{i}").alias(c) for c in "RDO"]) for i, n in enumerate(nums)])
+    g = g.select(block, species, "checklist_count", F.inline(months))
     rows = F.col("checklist_count") - F.coalesce(F.col("D"), F.lit(0)) + F.coalesce(F.col("R"), F.lit(0))
     obs_n = F.coalesce(F.col("O"), F.lit(0))
     label = F.when(
@@ -91,48 +100,70 @@ def _polygamma(z: Column) -> tuple[Column, Column]:
     return first + digamma, second + trigamma
 
 
-def beta_binomial_mle(
-    es: DataFrame, x: str = "observations", n: str = "checklist_count", tol: float = 1e-8, max_steps: int = 200
-) -> tuple[float, float]:
-    """Beta-binomial maximum likelihood prior, by Newton steps on the logarithms of the parameters.
+def _newton(a: Column, b: Column, sums: dict[str, Column]) -> tuple[Column, Column]:
+    """Step of the logarithms of (a, b) from sums over the data: Newton where the surface is concave, else uphill; at most 1."""
+    trig_a, trig_b, trig_ab = (_polygamma(c)[1] for c in (a, b, a + b))
+    psi_a, psi_b, psi_ab = (_polygamma(c)[0] for c in (a, b, a + b))
+    c = sums["c"]
+    ga = sums["x0"] - sums["n0"] + c * (psi_ab - psi_a)
+    gb = sums["f0"] - sums["n0"] + c * (psi_ab - psi_b)
+    haa = sums["x1"] - sums["n1"] + c * (trig_ab - trig_a)
+    hbb = sums["f1"] - sums["n1"] + c * (trig_ab - trig_b)
+    hab = c * trig_ab - sums["n1"]
+    # derivatives by the logarithms
+    da, db, paa, pbb, pab = a * ga, b * gb, a * a * haa + a * ga, b * b * hbb + b * gb, a * b * hab
+    det = paa * pbb - pab * pab
+    concave = (paa < 0) & (det > 0)
+    clip = lambda s: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s))
+    sa = F.when(concave, -(da * pbb - db * pab) / det).otherwise(da / (F.abs(paa) + F.abs(pab)))
+    sb = F.when(concave, -(db * paa - da * pab) / det).otherwise(db / (F.abs(pbb) + F.abs(pab)))
+    return clip(sa), clip(sb)
+
+
+def beta_binomial_priors(
+    es: DataFrame, group: str, x: str = "observations", n: str = "checklist_count", tol: float = 1e-6, max_steps: int = 60
+) -> DataFrame:
+    """Beta-binomial maximum likelihood priors per ``group`` (NULL is a group): (group, alpha, beta, mean, steps, converged).
 
-    A step is one Spark aggregate over the distinct (x, n) with their counts, so
-    nothing but five sums reaches the driver. Starts from the moment estimate;
-    raises when the steps do not converge.
+    Newton steps on the logarithms of the parameters, for all groups at once. The
+    distinct (group, x, n) with their counts are stored once; a step is one
+    aggregate of them, joined by the group's present parameters, and groups that
+    have converged drop out of it. Starts from the moment estimates. A group
+    whose likelihood has no maximum (all rates equal, say) ends unconverged.
     """
-    base = es.where(F.col(n) > 0).groupBy(F.col(x).cast("double").alias("x"), F.col(n).cast("double").alias("n"))
-    base = base.agg(F.count(F.lit(1)).alias("c")).cache()
-    try:
-        if base.isEmpty():
-            return float("nan"), float("nan")
-        mom = beta_moments(es, x, n).first()
-        a, b = (float(v) if v and v > 0 else 1.0 for v in (mom["alpha"], mom["beta"]))
-        for _ in range(max_steps):
-            la, lb, c = F.lit(a), F.lit(b), F.col("c")
-            terms = {"x": _polygamma(F.col("x") + la), "f": _polygamma(F.col("n") - F.col("x") + lb), "n": _polygamma(F.col("n") + la + lb)}
-            at = {"a": _polygamma(la), "b": _polygamma(lb), "ab": _polygamma(la + lb)}
-            sums = [
-                terms["x"][0] - terms["n"][0] + at["ab"][0] - at["a"][0],
-                terms["f"][0] - terms["n"][0] + at["ab"][0] - at["b"][0],
-                terms["x"][1] - terms["n"][1] + at["ab"][1] - at["a"][1],
-                terms["f"][1] - terms["n"][1] + at["ab"][1] - at["b"][1],
-                at["ab"][1] - terms["n"][1],
-            ]
-            ga, gb, haa, hbb, hab = base.agg(*[F.sum(c * t) for t in sums]).first()
-            # derivatives by the logarithms
-            da, db, paa, pbb, pab = a * ga, b * gb, a * a * haa + a * ga, b * b * hbb + b * gb, a * b * hab
-            det = paa * pbb - pab * pab
-            if paa < 0 < det:
-                sa, sb = -(da * pbb - db * pab) / det, -(db * paa - da * pab) / det
-            else:
-                sa, sb = da / (abs(paa) + abs(pab)), db / (abs(pbb) + abs(pab))
-            sa, sb = (max(-1.0, min(1.0, s)) for s in (sa, sb))
-            a, b = a * math.exp(sa), b * math.exp(sb)
-            if max(abs(sa), abs(sb)) < tol:
-                return a, b
-    finally:
-        base.unpersist()
-    raise ArithmeticError(f"the prior did not converge in {max_steps} steps (alpha {a}, beta {b})")
+    rates = es.where(F.col(n) > 0).select(F.col(group).alias("g"), F.col(x).cast("double").alias("x"), F.col(n).cast("double").alias("n"))
+    base = materialize(rates.groupBy("g", "x", "n").agg(F.count(F.lit(1)).cast("double").alias("c")), "prior-base")
+    p, c = F.col("x") / F.col("n"), F.col("c")
+    mom = base.groupBy("g").agg(F.sum(c).alias("rows"), (F.sum(c * p) / F.sum(c)).alias("mu"), F.sum(c * p * p).alias("pp"))
+    v = (F.col("pp") - F.col("rows") * F.col("mu") * F.col("mu")) / (F.col("rows") - 1)
+    total = F.when((F.col("rows") > 1) & (v > 0), F.col("mu") * (1 - F.col("mu")) / v - 1)
+    start = lambda share: F.when(total * share > 0, total * share).otherwise(F.lit(1.0))
+    state = materialize(mom.select("g", start(F.col("mu")).alias("a"), start(1 - F.col("mu")).alias("b"), F.lit(0).alias("steps"), F.lit(False).alias("converged")), "prior-state")
+    a, b = F.col("a"), F.col("b")
+    for _ in range(max_steps):
+        moving = state.where("not converged")
+        if moving.isEmpty():
+            break
+        at = {"x": _polygamma(F.col("x") + a), "f": _polygamma(F.col("n") - F.col("x") + b), "n": _polygamma(F.col("n") + a + b)}
+        sums = [F.sum(c).alias("c"), *[F.sum(c * at[k][d]).alias(f"{k}{d}") for k in at for d in (0, 1)]]
+        added = join_on(base, moving, ["g"], null_safe=True).groupBy("g", "a", "b", "steps").agg(*sums)
+        sa, sb = _newton(a, b, {k: F.col(k) for k in ("c", "x0", "x1", "f0", "f1", "n0", "n1")})
+        moved = added.select("g", "a", "b", "steps", sa.alias("sa"), sb.alias("sb"))
+        moved = moved.select("g", (a * F.exp("sa")).alias("a"), (b * F.exp("sb")).alias("b"), (F.col("steps") + 1).alias("steps"), (F.greatest(F.abs("sa"), F.abs("sb")) < tol).alias("converged"))
+        state = materialize(state.where("converged").unionByName(moved), "prior-state")
+    return state.select(F.col("g").alias(group), a.alias("alpha"), b.alias("beta"), (a / (a + b)).alias("mean"), "steps", "converged")
+
+
+def beta_binomial_mle(
+    es: DataFrame, x: str = "observations", n: str = "checklist_count", tol: float = 1e-6, max_steps: int = 60
+) -> tuple[float, float]:
+    """Beta-binomial maximum likelihood prior of the whole table (one group); raises when the steps do not converge."""
+    prior = beta_binomial_priors(es.withColumn("__all", F.lit(0)), "__all", x, n, tol, max_steps).first()
+    if prior is None:
+        return float("nan"), float("nan")
+    if not prior["converged"]:
+        raise ArithmeticError(f"the prior did not converge in {max_steps} steps (alpha {prior['alpha']}, beta {prior['beta']})")
+    return prior["alpha"], prior["beta"]
 
 
 def eb_shrink(

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockwise.functions.semantics import n_distinct
+from blockwise.functions.semantics import from_utc, n_distinct, time_of_day
+from blockwise.functions.sun import with_sun_events_utc
 from blockwise.operators.aggregate import count_by, duplicate_keys, multi_valued_keys
 from blockwise.operators.joins import anti_join, join_on, union_rows
+from blockwise.operators.sampling import sample_per_group
 from blockwise.plans.spatial import one_to_one_violations
+from blockwise.session import LOCAL_TZ
 
 
 def keys_missing_both_ways(a: DataFrame, b: DataFrame, key: str, a_name: str = "a", b_name: str = "b") -> DataFrame:
@@ -22,9 +26,57 @@ def keys_missing_both_ways(a: DataFrame, b: DataFrame, key: str, a_name: str = "
     )
 
 
-def domain_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Row counts per distinct combination (code / category / rank listings)."""
-    return count_by(df, cols)
+def one_to_one_both_ways(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """Ids of either side with more than one partner: (side, id, partners, partners_with_null).
+
+    ``partners`` counts real partners, ``partners_with_null`` a missing partner
+    as one more; rows with ``partners > 1`` break the relation, rows with only
+    ``partners_with_null > 1`` break it if missing partners count. The pairs
+    are made distinct once, then each side is one aggregate; no rows is a pass.
+    """
+    ids = [F.struct(F.lit(s).alias("side"), F.col(s).cast("string").alias("id"), F.col(o).isNotNull().alias("real")) for s, o in ((left, right), (right, left))]
+    sides = pairs.select(left, right).distinct().select(F.inline(F.array(*ids))).where("id is not null")
+    counted = sides.groupBy("side", "id").agg(F.count_if("real").alias("partners"), F.count(F.lit(1)).alias("partners_with_null"))
+    return counted.where("partners_with_null > 1")
+
+
+def class_outliers(classified: DataFrame, n: int, seed: int = 42, tz: str = LOCAL_TZ) -> DataFrame:
+    """``n`` random rows of each class with date, start and sun times as times of day, for a look at odd ones.
+
+    The sun times are worked out for the drawn rows only.
+    """
+    keys = ["pba3_block", "checklist_id", "longitude", "latitude"]
+    drawn = sample_per_group(classified, ["checklist_type"], n, keys, seed)
+    sun = with_sun_events_utc(drawn, "longitude", "latitude", F.to_date("observation_datetime"), "__r", "__s")
+    return sun.select(
+        "checklist_type",
+        *keys,
+        F.to_date("observation_datetime").alias("observation_date"),
+        time_of_day("observation_datetime").alias("start"),
+        time_of_day(from_utc("__r", tz)).alias("sunrise"),
+        time_of_day(from_utc("__s", tz)).alias("sunset"),
+    )
+
+
+def changed_types(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(column, before, after) of columns whose type differs, time zone handling included: ``timestamp`` is an instant
+    shown in the session's zone, ``timestamp_ntz`` a wall-clock time that no zone moves. No rows is a pass."""
+    a, b = dict(before.dtypes), dict(after.dtypes)
+    rows = [(c, a.get(c), b.get(c)) for c in [*a, *[c for c in b if c not in a]] if a.get(c) != b.get(c)]
+    return before.sparkSession.createDataFrame(rows, "column string, before string, after string")
+
+
+def missing_sources(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """The paths (or glob patterns) that Spark cannot read; no rows is a pass."""
+    missing = []
+    for p in paths:
+        try:
+            spark.read.format("binaryFile").load(p)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            missing.append((p,))
+    return spark.createDataFrame(missing, "path string")
 
 
 def date_range(df: DataFrame, column: str) -> DataFrame:
@@ -84,6 +136,9 @@ __all__ = [
     "duplicate_keys",
     "one_to_one_violations",
     "multi_valued_keys",
-    "domain_counts",
+    "one_to_one_both_ways",
+    "class_outliers",
+    "changed_types",
+    "missing_sources",
     "date_range",
 ]

@@ -1,11 +1,13 @@
 """Season fan-out (C6) and the block × season summary (C9, the flagship).
 
 The reference filters the observations once per season and runs eight
-branches per season (about 24 scans). Here each observation row is joined to
-the seasons its month belongs to (a 20-row literal, broadcast), and every
-branch groups by (season, block) once, so the three seasons cost one pass per
-branch. Branch results are block-level and tiny; they are combined with
-NULL-matching left joins as dplyr does (T1).
+branches per season (about 24 scans). Here two grains are aggregated from the
+observations once, and the summary keeps their partitioning: the checklist
+grain is hashed by checklist once, every aggregate of a checklist (start
+repair, place, duration) reuses that, and the season fan-out is a narrow step
+on the aggregated rows (``per_season``). The rows of all branches meet in one
+aggregate by (season, block), which combines map-side. The single branches are
+also there as functions of a fanned-out table (``season_fanout``).
 """
 
 from __future__ import annotations
@@ -13,20 +15,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockwise.functions.semantics import n_distinct, sum0
-from blockwise.operators.joins import combine_by_key, join_on, lookup, semi_join
+from blockwise.functions.semantics import MONTH_ABB, n_distinct, sum0
+from blockwise.operators.joins import combine_by_key, join_on, lookup, semi_join, union_rows
 from blockwise.operators.reshape import explode_delimited
 from blockwise.plans.clean import apply_start_fix, modal_start_times
-from blockwise.plans.effort import (
-    add_day_night_class,
-    classify_by_season,
-    classify_checklists,
-    day_night_effort,
-    day_night_hours,
-    effort_by_date,
-    nest_effort,
-)
-from blockwise.plans.lookups import ALL_SEASONS, BREEDING, CODED_CLASSES, breeding_lookup, seasons
+from blockwise.plans.effort import CLASSES, add_day_night_class, effort_by_date, nest_effort
+from blockwise.plans.lookups import ALL_SEASONS, BREEDING, CODED_CLASSES, SEASON_MONTHS, breeding_lookup, seasons
 from blockwise.session import LOCAL_TZ, materialize
 
 KEYS = ["season", "pba3_block"]
@@ -41,7 +35,7 @@ def season_fanout(obs: DataFrame, season: str | None = None, month_col: str = "o
     return obs.join(F.broadcast(s), on=month_col, how="inner")
 
 
-def aggregate_then_fan(
+def per_season(
     grain: DataFrame,
     keys: list[str],
     aggs: dict,
@@ -49,30 +43,27 @@ def aggregate_then_fan(
     transform=None,
     month_col: str = "observation_month_num",
 ) -> DataFrame:
-    """(season, keys..., aggregates): same rows as fanning ``grain`` out to seasons
-    and aggregating per (season, keys), with the shuffle on un-fanned rows.
-
-    A key whose rows all fall in one month has the same aggregates in every
-    season containing that month, so it is aggregated once and then fanned
-    out (a broadcast join, no shuffle). Keys spanning months (absent for
-    one-date checklists) are fanned first and aggregated per season.
-    ``transform`` (e.g. the day/night class) is applied to the aggregated
-    rows before they are fanned out.
+    """(season, keys..., aggregates): same rows as fanning ``grain`` out to seasons and aggregating per (season, keys).
+
+    One aggregate by ``keys`` with one set of conditional aggregates per season
+    (``aggs``: name -> function from a condition to an aggregate column); the
+    seasons become rows after it, so the shuffle sees un-fanned rows, and none
+    happens at all if ``grain`` is partitioned by some of the keys.
+    ``transform`` (e.g. the day/night class) is applied once for all seasons
+    in which a key has the same aggregates.
     """
-    from blockwise.operators.joins import join_on
-
-    named = [a.alias(n) for n, a in aggs.items()]
-    per = grain.groupBy(*keys).agg(*named, F.min(month_col).alias("__m0"), F.max(month_col).alias("__m1"))
-    one = per.where(F.col("__m0") == F.col("__m1")).withColumnRenamed("__m0", month_col).drop("__m1")
-    if transform is not None:
-        one = transform(one)
-    one = season_fanout(one, season, month_col).drop(month_col)
-    spanning = per.where(F.col("__m0") != F.col("__m1")).select(*keys)
-    rest = season_fanout(join_on(grain, spanning, keys, "left_semi", null_safe=True), season, month_col)
-    rest = rest.groupBy("season", *keys).agg(*[a.alias(n) for n, a in aggs.items()])
+    months = {s: [MONTH_ABB.index(m) + 1 for m in ms] for s, ms in SEASON_MONTHS.items() if season in (None, s)}
+    here = {s: F.coalesce(F.col(month_col).isin(nums), F.lit(False)) for s, nums in months.items()}
+    values = [
+        F.struct(F.lit(s).alias("season"), F.bool_or(c).alias("there"), F.struct(*[f(c).alias(n) for n, f in aggs.items()]).alias("v"))
+        for s, c in here.items()
+    ]
+    per = grain.groupBy(*keys).agg(F.filter(F.array(*values), lambda x: x["there"]).alias("__s"))
+    per = per.select(*keys, "__s", F.explode(F.array_distinct(F.transform("__s", lambda x: x["v"]))).alias("__v"))
+    per = per.select(*keys, F.transform(F.filter("__s", lambda x: x["v"].eqNullSafe(F.col("__v"))), lambda x: x["season"]).alias("__s"), "__v.*")
     if transform is not None:
-        rest = transform(rest)
-    return one.select(*rest.columns).unionByName(rest)
+        per = transform(per)
+    return per.select(F.explode("__s").alias("season"), *[c for c in per.columns if c != "__s"])
 
 
 def checklist_count(fan: DataFrame) -> DataFrame:
@@ -164,54 +155,51 @@ def species_grain(obs: DataFrame) -> DataFrame:
     return obs.select(*SPECIES_GRAIN).distinct()
 
 
-def species_side(
-    sg: DataFrame, nocturnal: DataFrame, min_rank: int = 2, strict: bool = False, season: str | None = None,
-    fanned: bool = True,
+def _when_max(column: str):
+    return lambda here: F.max(F.when(here, F.col(column)))
+
+
+def species_rows(
+    sg: DataFrame, nocturnal: DataFrame, min_rank: int = 2, strict: bool = False, season: str | None = None
 ) -> DataFrame:
-    """Fused species metrics per (season, block): species observed, species by highest
-    category (absent class NULL, as an unfilled pivot), nocturnal species coded (0-filled).
+    """(season, block, species, r, coded_nocturnal): the highest rank of a species, and whether it counts as nocturnal.
 
-    Two aggregates in total: highest rank per (season, block, species), then
-    conditional counts per (season, block). The nocturnal list is a species
-    list (bounded by the taxonomy), joined as a flag.
+    The nocturnal list is a species list (bounded by the taxonomy), joined as a
+    flag. ``strict`` follows R's ``max`` without ``na.rm`` (T4).
     """
-    m = F.max("breeding_rank")
+    top = _when_max("breeding_rank")
     if strict:
-        m = F.when(F.count_if(F.col("breeding_rank").isNull()) > 0, F.lit(None)).otherwise(m)
-    noct = nocturnal.select("common_name").distinct().withColumn("__noct", F.lit(True))
-    if fanned:
-        per = sg.groupBy(*KEYS, "common_name").agg(m.alias("r"))
+        rank = F.col("breeding_rank")
+        aggs = {"r": lambda here: F.when(F.count_if(here & rank.isNull()) == 0, F.max(F.when(here, rank)))}
     else:
-        per = aggregate_then_fan(sg, ["pba3_block", "common_name"], {"r": m}, season)
-    per = per.join(noct, "common_name", "left")
-    classes = [
-        F.when(F.count_if(F.col("r") == rank) > 0, F.count_if(F.col("r") == rank)).alias(name)
-        for rank, name in enumerate(CODED_CLASSES, start=1)
-    ]
-    return per.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("species_observed"),
-        *classes,
-        F.count_if(F.col("__noct") & (F.col("r") >= min_rank)).alias("nocturnal_species_coded"),
-    )
+        aggs = {"r": top}
+    per = per_season(sg, ["pba3_block", "common_name"], aggs, season)
+    noct = nocturnal.select("common_name").distinct().withColumn("__noct", F.lit(True))
+    flagged = per.join(noct, "common_name", "left")
+    return flagged.select(*KEYS, "common_name", "r", (F.col("__noct") & (F.col("r") >= min_rank)).alias("coded_nocturnal"))
 
 
-def checklist_side(cg: DataFrame, season: str | None = None, fanned: bool = True) -> DataFrame:
-    """Fused checklist metrics per (season, block): checklist count, hours, km.
+def checklist_rows(cg: DataFrame, season: str | None = None) -> DataFrame:
+    """(season, block, checklist, d, k, dated): longest duration and distance, and the months of its starts as bits."""
+    month_bit = F.expr("shiftleft(1, month(observation_datetime))")
+    aggs = {"d": _when_max("duration_minutes"), "k": _when_max("effort_distance_km"), "dated": lambda here: F.bit_or(F.when(here, month_bit))}
+    return per_season(cg, ["pba3_block", "checklist_id"], aggs, season)
 
-    One row per (season, block, checklist) first (longest duration and
-    distance), so the count of those rows is the distinct checklist count
-    (a NULL id counts once) and their sums are the two-level effort.
-    """
-    aggs = {"d": F.max("duration_minutes"), "k": F.max("effort_distance_km")}
-    if fanned:
-        per = cg.groupBy(*KEYS, "checklist_id").agg(*[a.alias(n) for n, a in aggs.items()])
-    else:
-        per = aggregate_then_fan(cg, ["pba3_block", "checklist_id"], aggs, season)
-    return per.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("checklist_count"),
-        (sum0("d") / 60).alias("duration_hours_total"),
-        sum0("k").alias("effort_distance_km"),
-    )
+
+def place_rows(cg: DataFrame, season: str | None = None, tz: str = LOCAL_TZ) -> DataFrame:
+    """(season, block, checklist, place, start, duration, class); ``cg`` has repaired starts."""
+    aggs = {
+        "observation_datetime": lambda here: F.min(F.when(here, F.col("observation_datetime"))),
+        "duration_minutes": lambda here: F.coalesce(F.max(F.when(here, F.col("duration_minutes"))), F.lit(0.0)).cast("double"),
+    }
+    keys = ["pba3_block", "checklist_id", "longitude", "latitude"]
+    return per_season(cg, keys, aggs, season, transform=lambda d: add_day_night_class(d, tz))
+
+
+def birder_rows(cg: DataFrame, season: str | None = None) -> DataFrame:
+    """(season, block, observer): each person once, a missing list being one person."""
+    people = explode_delimited(cg.select("pba3_block", "observer_id", "observation_month_num").distinct(), "observer_id", ",")
+    return per_season(people, ["pba3_block", "observer_id"], {"one": lambda here: F.max(F.lit(1))}, season).drop("one")
 
 
 def block_season_metrics(
@@ -226,43 +214,45 @@ def block_season_metrics(
 ) -> DataFrame:
     """All per (season, block) metrics of the summary, before names and atlas metrics.
 
-    Two aggregates of the observations (checklist grain, species grain) are
-    fanned out to seasons; each branch then works on those small tables.
-    ``grains`` passes them in already built (e.g. materialized once).
+    The checklist grain is hashed by checklist once; start repair, checklist
+    rows and place rows reuse that partitioning, so nothing is exchanged until
+    all branches are stacked and meet in one aggregate by (season, block) with
+    map-side combine. ``grains`` passes the grains in already built (e.g.
+    materialized once).
     """
     c_grain, s_grain = grains if grains is not None else (checklist_grain(obs), species_grain(obs))
-    if fixed is None:
-        fixed = modal_start_times(c_grain)
-    cg = season_fanout(c_grain, season)
-    sg = season_fanout(s_grain, season)
-    # The repaired start is per checklist, so it is applied once on the grain,
-    # before the season fan-out (coverage keeps the reported starts, as the
-    # reference does).
-    loc = ["pba3_block", "checklist_id", "longitude", "latitude"]
-    classified = aggregate_then_fan(
-        apply_start_fix(c_grain, fixed),
-        loc,
-        {
-            "observation_datetime": F.min("observation_datetime"),
-            "duration_minutes": F.coalesce(F.max("duration_minutes"), F.lit(0.0)).cast("double"),
-        },
-        season,
-        transform=lambda d: add_day_night_class(d, tz),
+    by_checklist = c_grain.repartition("checklist_id")
+    # The repaired start counts for the day/night class only; coverage keeps
+    # the reported starts, as the reference does.
+    repaired = apply_start_fix(by_checklist, modal_start_times(by_checklist) if fixed is None else fixed)
+    places = place_rows(repaired, season, tz)
+    rows = union_rows(
+        checklist_rows(by_checklist, season).select(*KEYS, F.lit("checklist").alias("branch"), "d", "k", "dated"),
+        places.select(*KEYS, F.col("checklist_type").alias("branch"), F.col("duration_minutes").alias("d")),
+        species_rows(s_grain, nocturnal, strict=strict, season=season).select(*KEYS, F.lit("species").alias("branch"), "r", "coded_nocturnal"),
+        birder_rows(c_grain, season).select(*KEYS, F.lit("birder").alias("branch")),
     )
-    parts = [
-        checklist_side(c_grain, season, fanned=False),
-        # Species are seen in many months, so their keys span seasons: fan first.
-        species_side(sg, nocturnal, strict=strict),
-        birders(cg),
-        day_night_hours(classified, ["season"]),
-        season_coverage(cg),
-    ]
-    if nested:
-        parts.append(nest_effort(effort_by_date(classified, ["season"]), ["season"]))
-    # Every branch has one row per (season, block) and its keys are a subset of
-    # the checklist-count keys, so stacking and grouping once gives the rows of
-    # the reference's left-join chain without seven joins.
-    return combine_by_key(parts, KEYS)
+    branch, r = F.col("branch"), F.col("r")
+    breeding = sum(1 << (MONTH_ABB.index(m) + 1) for m in SEASON_MONTHS[BREEDING])
+    covered = F.bit_count(F.bit_or(F.col("dated")).bitwiseAND(breeding)).cast("long")
+    out = rows.groupBy(*KEYS).agg(
+        F.count_if(branch == "checklist").alias("checklist_count"),
+        (sum0(F.when(branch == "checklist", F.col("d"))) / 60).alias("duration_hours_total"),
+        sum0("k").alias("effort_distance_km"),
+        F.count_if(branch == "species").alias("species_observed"),
+        *[
+            F.when(F.count_if(r == rank) > 0, F.count_if(r == rank)).alias(name)
+            for rank, name in enumerate(CODED_CLASSES, start=1)
+        ],
+        F.count_if("coded_nocturnal").alias("nocturnal_species_coded"),
+        F.count_if(branch == "birder").alias("birders"),
+        *[(sum0(F.when(branch == c, F.col("d"))) / 60).alias(f"duration_hours_{c}") for c in CLASSES],
+        F.when(covered > 0, covered).alias("breeding_season_months_covered"),
+    )
+    if not nested:
+        return out
+    breakdown = nest_effort(effort_by_date(places, ["season"]), ["season"])
+    return combine_by_key([out, breakdown], KEYS)
 
 
 SUMMARY_COLUMNS = [

@@ -1,9 +1,10 @@
 """Spatial jobs: convex hull and interior point per group (G3/G4), polygon-covers-point
 join (G5/J9), Web Mercator and bounding box (G7/G8), old↔new block crosswalk (G10).
 
-The hull is exact without sampling: each (group, salt) slice returns its own
-hull, and the group's hull is the hull of those vertices, so no task ever
-holds more than one slice of a group plus a few hull vertices.
+The hull is exact without sampling. One aggregate per (group, x) keeps the
+lowest and highest y, the only points of that x that can be vertices; slices of
+bounded size return their own hulls, and slices of those are taken until a group
+fits one slice, so no task holds more than a slice.
 """
 
 from __future__ import annotations
@@ -12,14 +13,18 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockwise.functions.geo import covers, ring_bbox, web_mercator
 from blockwise.operators.joins import join_on, union_rows
 from blockwise.session import materialize
 
-HULL_SALTS = 32
+#: Points of a hull slice.
+SLICE = 10_000
+#: Points that one cell of the polygon join may hold, and how often a cell may be halved on the way there.
+CELL_POINTS = 20_000
+CELL_DEPTH = 10
 
 
 def _geometry_helpers():
@@ -28,70 +33,82 @@ def _geometry_helpers():
     import of this package is needed on the workers)."""
     import numpy as np
 
+    def _straight_or_right(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether each inner point does not turn left from its predecessor to its successor.
+
+        Doubles decide beyond their error bound; the rest is decided in whole
+        numbers of 1e-12, the decimals that coordinates stand for.
+        """
+        left, right = (x[1:-1] - x[:-2]) * (y[2:] - y[:-2]), (y[1:-1] - y[:-2]) * (x[2:] - x[:-2])
+        out = left <= right
+        reach = [np.abs(v[:-2]) + np.abs(v[1:-1]) + np.abs(v[2:]) for v in (x, y)]
+        near = np.flatnonzero(np.abs(left - right) <= reach[0] * reach[1] * 2.0**-50)
+        if len(near):
+            whole = [np.array([round(float(z) * 10**12) for z in v[i]], object) for v in (x, y) for i in (near, near + 1, near + 2)]
+            x0, x1, x2, y0, y1, y2 = whole
+            out[near] = ((x1 - x0) * (y2 - y0) <= (y1 - y0) * (x2 - x0)).astype(bool)
+        return out
+
+    def _lower(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Places of the lower chain. A point on or above the line between two others is no vertex, whatever becomes of those."""
+        at = np.arange(len(x))
+        while len(at) > 2:
+            gone = _straight_or_right(x[at], y[at])
+            if not gone.any():
+                break
+            at = at[np.concatenate([[True], ~gone, [True]])]
+        return at
+
     def _hull(xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
-        """Monotone-chain convex hull, counter-clockwise, no repeated end point."""
+        """Convex hull counter-clockwise from the leftmost (lowest) point, no repeated end point."""
         pts = np.unique(np.column_stack([xs, ys]), axis=0)
         if len(pts) <= 2:
             return pts
-
-        def cross(o, a, b):
-            return (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
-
-        lower: list = []
-        for p in pts:
-            while len(lower) >= 2 and cross(lower[-2], lower[-1], p) <= 0:
-                lower.pop()
-            lower.append(tuple(p))
-        upper: list = []
-        for p in pts[::-1]:
-            while len(upper) >= 2 and cross(upper[-2], upper[-1], p) <= 0:
-                upper.pop()
-            upper.append(tuple(p))
-        return np.array(lower[:-1] + upper[:-1])
-
+        x, y = pts[:, 0], pts[:, 1]
+        lower, back = _lower(x, y), _lower(-x[::-1], -y[::-1])
+        upper = len(x) - 1 - back
+        return pts[np.concatenate([lower[:-1], upper[:-1]])]
 
     def _interior_point(h: np.ndarray) -> tuple[float, float]:
         """Point on surface of a convex ring: middle of the scan line between the vertex
         heights nearest the envelope centre; a point or segment gives its first point."""
         if len(h) <= 2:
             return float(h[0][0]), float(h[0][1])
-        ys = h[:, 1]
-        lo_y, hi_y = ys.min(), ys.max()
+        x, y = h[:, 0], h[:, 1]
+        lo_y, hi_y = y.min(), y.max()
         centre = (lo_y + hi_y) / 2
-        below = ys[(ys <= centre) & (ys > lo_y)]
-        above = ys[(ys > centre) & (ys < hi_y)]
+        below = y[(y <= centre) & (y > lo_y)]
+        above = y[(y > centre) & (y < hi_y)]
         lo = below.max() if len(below) else lo_y
         hi = above.min() if len(above) else hi_y
-        y = (lo + hi) / 2
-        xs = []
-        n = len(h)
-        for i in range(n):
-            (x1, y1), (x2, y2) = h[i], h[(i + 1) % n]
-            if (y1 > y) != (y2 > y):
-                xs.append(x1 + (y - y1) * (x2 - x1) / (y2 - y1))
-        if len(xs) < 2:
-            return float(h[0][0]), float(y)
-        return float((min(xs) + max(xs)) / 2), float(y)
+        at = (lo + hi) / 2
+        x2, y2 = np.roll(x, -1), np.roll(y, -1)
+        cut = (y > at) != (y2 > at)
+        if cut.sum() < 2:
+            return float(x[0]), float(at)
+        hits = x[cut] + (at - y[cut]) * (x2[cut] - x[cut]) / (y2[cut] - y[cut])
+        return float((hits.min() + hits.max()) / 2), float(at)
 
     return _hull, _interior_point
 
 
-def hull_and_point(points: DataFrame, group: str, x: str = "longitude", y: str = "latitude") -> DataFrame:
-    """(group, hull ring ``ARRAY<STRUCT<x,y>>``, interior point px/py, distinct point count)."""
-    pts = points.where(F.col(group).isNotNull()).select(
-        F.col(group).alias("g"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
-    ).distinct()
-    salted = pts.withColumn("salt", F.pmod(F.xxhash64("x", "y"), F.lit(HULL_SALTS)))
+def hull_and_point(points: DataFrame, group: str, x: str = "longitude", y: str = "latitude", slice_points: int = SLICE) -> DataFrame:
+    """(group, hull ring ``ARRAY<STRUCT<x,y>>``, interior point px/py, distinct point count).
+
+    Rows without a group or a coordinate are left out. A hull that itself has
+    more than ``slice_points`` vertices is one value of the result, whatever its size.
+    """
+    pts = points.select(F.col(group).alias("g"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    columns = pts.distinct().groupBy("g", "x").agg(F.min("y").alias("lo"), F.max("y").alias("hi"), F.count(F.lit(1)).alias("n"))
+    columns = materialize(columns, "hull-columns")
+    counts = columns.groupBy("g").agg(F.sum("n").alias("n_points"))
+    left = columns.select("g", "x", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("y"))
     _hull, _interior_point = _geometry_helpers()
+    kind = pts.schema["g"].dataType.simpleString()
 
     def partial(pdf: pd.DataFrame) -> pd.DataFrame:
         h = _hull(pdf["x"].to_numpy(), pdf["y"].to_numpy())
-        return pd.DataFrame(
-            {"g": pdf["g"].iloc[0], "salt": pdf["salt"].iloc[0], "x": h[:, 0], "y": h[:, 1], "n": len(pdf)}
-        )
-
-    stage1 = salted.groupBy("g", "salt").applyInPandas(partial, "g string, salt long, x double, y double, n long")
-    counts = stage1.groupBy("g", "salt").agg(F.first("n").alias("n")).groupBy("g").agg(F.sum("n").alias("n_points"))
+        return pd.DataFrame({"g": pdf["g"].iloc[0], "x": h[:, 0], "y": h[:, 1]})
 
     def final(pdf: pd.DataFrame) -> pd.DataFrame:
         h = _hull(pdf["x"].to_numpy(), pdf["y"].to_numpy())
@@ -101,33 +118,87 @@ def hull_and_point(points: DataFrame, group: str, x: str = "longitude", y: str =
             ring.append(ring[0])
         return pd.DataFrame({"g": [pdf["g"].iloc[0]], "ring": [ring], "px": [px], "py": [py]})
 
-    schema = "g string, ring array<struct<x:double,y:double>>, px double, py double"
-    out = stage1.select("g", "x", "y").groupBy("g").applyInPandas(final, schema)
+    before = None
+    while True:
+        sizes = left.groupBy("g").agg(F.count(F.lit(1)).alias("k"))
+        most, rows = sizes.agg(F.max("k"), F.sum("k")).first()
+        if most is None or most <= slice_points or rows == before:
+            break
+        before = rows
+        slices = sizes.select("g", F.ceil(F.col("k") / F.lit(slice_points)).cast("int").alias("slices"))
+        dealt = left.join(slices, "g").withColumn("slice", F.pmod(F.xxhash64("x"), F.col("slices")).cast("int"))
+        left = materialize(dealt.groupBy("g", "slice").applyInPandas(partial, f"g {kind}, x double, y double"), "hull-slices")
+    schema = f"g {kind}, ring array<struct<x:double,y:double>>, px double, py double"
+    out = left.groupBy("g").applyInPandas(final, schema)
     return out.join(counts, "g").withColumnRenamed("g", group)
 
 
-def polygon_cells(polys: DataFrame, cell: float) -> DataFrame:
-    """Each polygon once per grid cell its bounding box touches."""
-    minx, miny, maxx, maxy = ring_bbox("ring")
-    b = polys.withColumns({"__x0": minx, "__y0": miny, "__x1": maxx, "__y1": maxy})
-    cx = F.explode(F.sequence(F.floor(F.col("__x0") / cell).cast("long"), F.floor(F.col("__x1") / cell).cast("long")))
-    cy = F.explode(F.sequence(F.floor(F.col("__y0") / cell).cast("long"), F.floor(F.col("__y1") / cell).cast("long")))
-    return b.withColumn("cx", cx).withColumn("cy", cy).drop("__x0", "__y0", "__x1", "__y1")
+def _cell_index(column: str | Column, size: float) -> Column:
+    """Whole number of the cell: one formula for points and polygons, so that rounding cannot part them."""
+    c = F.col(column) if isinstance(column, str) else column
+    return F.floor(c / size).cast("long")
+
+
+def polygon_cells(polys: DataFrame, cell: float, depth: int = CELL_DEPTH) -> DataFrame:
+    """Each polygon (``__ring``) once per grid cell ``cx, cy`` that its bounding box touches; empty rings touch none.
+
+    ``x0, y0, x1, y1`` bound the box in finest cells (``cell`` halved ``depth`` times).
+    """
+    names = ("x0", "y0", "x1", "y1")
+    box = dict(zip(names, ring_bbox("__ring"), strict=True))
+    b = polys.where(F.size("__ring") > 0).withColumns({f"__{n}": _cell_index(c, cell / (1 << depth)) for n, c in box.items()})
+    spans = {c: F.explode(F.expr(f"sequence(shiftright(__{n}0, {depth}), shiftright(__{n}1, {depth}))")) for c, n in (("cx", "x"), ("cy", "y"))}
+    return b.withColumn("cx", spans["cx"]).withColumn("cy", spans["cy"])
+
+
+def quadtree(points: DataFrame, x: str, y: str, cell: float, limit: int = CELL_POINTS, depth: int = CELL_DEPTH) -> DataFrame:
+    """Leaves ``level, lx, ly`` of a quadtree over the grid, with their finest cells ``fx, fy`` and ``pieces``.
+
+    A cell of more than ``limit`` points is halved both ways until each part has
+    fewer, at most ``depth`` times. Points are counted once, by finest cell; the
+    tree is made from these counts. A leaf that is still too full (equal points)
+    is cut into ``pieces``.
+    """
+    fine = points.groupBy(*[_cell_index(c, cell / (1 << depth)).alias(n) for c, n in ((x, "fx"), (y, "fy"))]).agg(F.count(F.lit(1)).alias("n"))
+    fine = materialize(fine.where("fx is not null and fy is not null"), "quadtree-cells")
+    up = lambda c: F.expr(f"shiftright({c}, {depth} - level)")
+    levels = fine.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth)))).select("fx", "fy", "n", "level", up("fx").alias("lx"), up("fy").alias("ly"))
+    nodes = levels.groupBy("level", "lx", "ly").agg(F.sum("n").alias("k")).where((F.col("k") <= limit) | (F.col("level") == depth))
+    # The leaf of a finest cell is its highest cell that is not too full.
+    leaves = levels.join(nodes, ["level", "lx", "ly"]).groupBy("fx", "fy").agg(F.min(F.struct("level", "lx", "ly", "k")).alias("leaf"))
+    return leaves.select("fx", "fy", "leaf.level", "leaf.lx", "leaf.ly", F.greatest(F.ceil(F.col("leaf.k") / limit), F.lit(1)).cast("int").alias("pieces"))
+
+
+def _join_cells(polys: DataFrame, points: DataFrame, cell: float, limit: int, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Polygons (``__ring``) and points (``__px, __py``) with the key ``level, lx, ly, piece`` on which they meet."""
+    leaves = materialize(quadtree(points, "__px", "__py", cell, limit, depth), "quadtree-leaves")
+    at = {n: _cell_index(c, cell / (1 << depth)) for c, n in (("__px", "fx"), ("__py", "fy"))}
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in points.columns], F.monotonically_increasing_id())
+    placed = points.withColumns(at).withColumn("__row", row).join(leaves, ["fx", "fy"])
+    placed = placed.withColumn("piece", F.pmod("__row", F.col("pieces")).cast("int")).drop("fx", "fy", "pieces", "__row")
+    whole = leaves.select("level", "lx", "ly", "pieces", *[F.expr(f"shiftright({c}, level)").alias(n) for c, n in (("lx", "cx"), ("ly", "cy"))]).distinct()
+    met = polygon_cells(polys, cell, depth).join(whole, ["cx", "cy"])
+    inside = [F.expr(f"l{n} between shiftright(__{n}0, {depth} - level) and shiftright(__{n}1, {depth} - level)") for n in "xy"]
+    met = met.where(inside[0] & inside[1]).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    return met.drop("cx", "cy", "pieces", "__x0", "__y0", "__x1", "__y1"), placed
 
 
 def covers_join(
-    polys: DataFrame, points: DataFrame, x: str = "px", y: str = "py", cell: float = 0.1, keep_unmatched: bool = True
+    polys: DataFrame, points: DataFrame, x: str = "px", y: str = "py", cell: float = 0.1, keep_unmatched: bool = True,
+    limit: int = CELL_POINTS, depth: int = CELL_DEPTH,
 ) -> DataFrame:
     """Polygons left-joined to every point they cover (boundary included).
 
-    Equi join on grid cell, exact ring test after it; polygons without a point
-    are kept once with NULL point columns when ``keep_unmatched``.
+    Equi join on quadtree cells of at most ``limit`` points, exact ring test
+    after it, both on coordinates rounded to 12 decimals; polygons without a
+    point are kept once with NULL point columns when ``keep_unmatched``.
     """
-    pc = polygon_cells(polys, cell)
-    pt = points.withColumns(
-        {"cx": F.floor(F.col(x) / cell).cast("long"), "cy": F.floor(F.col(y) / cell).cast("long")}
-    )
-    hits = pc.join(pt, ["cx", "cy"]).where(covers("ring", x, y)).drop("cx", "cy")
+    decimals = lambda c: F.round(c.cast("double"), 12)
+    ring = F.transform("ring", lambda p: F.struct(decimals(p["x"]).alias("x"), decimals(p["y"]).alias("y")))
+    rounded = points.withColumns({"__px": decimals(F.col(x)), "__py": decimals(F.col(y))})
+    pc, pt = _join_cells(polys.withColumn("__ring", ring), rounded, cell, limit, depth)
+    key = ["level", "lx", "ly", "piece"]
+    hits = pc.join(pt, key).where(covers("__ring", "__px", "__py")).drop(*key, "__ring", "__px", "__py")
     if not keep_unmatched:
         return hits
     hits = materialize(hits, "polygon-hits")  # read twice: as result and for the polygons without a point

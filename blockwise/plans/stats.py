@@ -7,6 +7,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockwise.operators.joins import join_on
+from blockwise.session import materialize
+
 # Circle sizes run from 3 to 15 on a log scale.
 SIZE_MIN, SIZE_MAX = 3.0, 15.0
 
@@ -73,28 +76,30 @@ def bin_2d(df: DataFrame, x: str, y: str, dx: float, dy: float) -> DataFrame:
     )
 
 
-def density(df: DataFrame, column: str, group: str | None = None, points: int = 512, bins: int = 1024) -> DataFrame:
-    """Gaussian kernel density per group on ``points`` grid points (binned, so linear in rows).
+def density(df: DataFrame, column: str, group: str | None = None, points: int = 512, per_bandwidth: int = 8) -> DataFrame:
+    """Gaussian kernel density per group (NULL is a group) on ``points`` grid points: (group, k, x, density).
 
-    Bandwidth is Silverman's rule (``bw.nrd0``), with the IQR from a
-    bounded quantile summary. Rows are first binned into
-    ``bins`` equal-width bins per group; every bin then adds to the grid points
-    within 4 bandwidths of it (a bounded fan-out, no cross product).
+    Bandwidths follow Silverman's rule (``bw.nrd0``), with the IQR from a bounded
+    quantile summary. The rows are binned linearly once (a row's weight goes to
+    its two neighbouring bins), ``per_bandwidth`` bins to the smallest bandwidth
+    of all groups, which is the one number that the binning needs; so rows are
+    combined map-side and never joined to their group's statistics. The bins
+    meet them, and each adds to the grid points within 4 bandwidths.
     """
     if group is None:
         df = df.withColumn("__all", F.lit(0))
-        group = "__all"
-    g = [group]
+    g = group or "__all"
     v = F.col(column).cast("double")
-    stats = df.where(v.isNotNull()).groupBy(*g).agg(
+    rows = df.where(v.isNotNull() & ~F.isnan(v)).select(F.col(g).alias("g"), v.alias("v"))
+    stats = rows.groupBy("g").agg(
         F.count(F.lit(1)).alias("N"),
-        F.stddev_samp(v).alias("sd"),
+        F.stddev_samp("v").alias("sd"),
         # Bounded-memory quantile summary (relative rank error 1e-4) for the
         # IQR of the bandwidth rule; an exact percentile keeps every distinct value.
-        F.percentile_approx(v, 0.25, 10000).alias("q1"),
-        F.percentile_approx(v, 0.75, 10000).alias("q3"),
-        F.min(v).alias("lo"),
-        F.max(v).alias("hi"),
+        F.percentile_approx("v", 0.25, 10000).alias("q1"),
+        F.percentile_approx("v", 0.75, 10000).alias("q3"),
+        F.min("v").alias("lo"),
+        F.max("v").alias("hi"),
     )
     lim = F.least(F.col("sd"), (F.col("q3") - F.col("q1")) / 1.34)
     # bw.nrd0 fallbacks: min(sd, IQR/1.34), else sd, else |smallest value| (R takes the
@@ -107,21 +112,22 @@ def density(df: DataFrame, column: str, group: str | None = None, points: int =
     )
     stats = stats.withColumn("h", 0.9 * lim * F.pow(F.col("N"), -0.2))
     stats = stats.withColumns({"glo": F.col("lo") - 3 * F.col("h"), "ghi": F.col("hi") + 3 * F.col("h")})
-    stats = stats.withColumn("gstep", (F.col("ghi") - F.col("glo")) / (points - 1))
-    # One stats row per group: the join is an equi join on the group key.
-    joined = df.where(v.isNotNull()).select(*g, v.alias("v")).join(stats, on=g)
-    bw = (F.col("hi") - F.col("lo")) / bins
-    bidx = F.when(bw > 0, F.least(F.floor((F.col("v") - F.col("lo")) / bw), F.lit(bins - 1))).otherwise(F.lit(0))
-    binned = joined.groupBy(*g, bidx.cast("int").alias("b"), "N", "h", "lo", "glo", "gstep", "hi").agg(
-        F.count(F.lit(1)).alias("c")
+    stats = materialize(stats.withColumn("gstep", (F.col("ghi") - F.col("glo")) / (points - 1)), "density-stats")
+    smallest = stats.agg(F.min("h")).first()[0]
+    width = (smallest or 1.0) / per_bandwidth
+    place = F.col("v") / F.lit(width)
+    binned = rows.groupBy("g", F.floor(place).alias("j")).agg(F.count(F.lit(1)).alias("c"), F.sum(place - F.floor(place)).alias("f"))
+    both = F.array(
+        F.struct(F.col("j").alias("j"), (F.col("c") - F.col("f")).alias("w")),
+        F.struct((F.col("j") + 1).alias("j"), F.col("f").alias("w")),
     )
-    center = F.when(bw > 0, F.col("lo") + (F.col("b") + 0.5) * bw).otherwise(F.col("lo"))
-    binned = binned.withColumn("x", center)
-    first = F.greatest(F.ceil((F.col("x") - 4 * F.col("h") - F.col("glo")) / F.col("gstep")), F.lit(0))
-    last = F.least(F.floor((F.col("x") + 4 * F.col("h") - F.col("glo")) / F.col("gstep")), F.lit(points - 1))
-    fan = binned.withColumn("k", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    bins = join_on(binned.select("g", F.inline(both)), stats, ["g"], null_safe=True).where("w > 0")
+    bins = bins.withColumn("at", F.col("j") * F.lit(width))
+    first = F.greatest(F.ceil((F.col("at") - 4 * F.col("h") - F.col("glo")) / F.col("gstep")), F.lit(0))
+    last = F.least(F.floor((F.col("at") + 4 * F.col("h") - F.col("glo")) / F.col("gstep")), F.lit(points - 1))
+    fan = bins.where(first <= last).withColumn("k", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
     gx = F.col("glo") + F.col("k") * F.col("gstep")
-    z = (gx - F.col("x")) / F.col("h")
-    contrib = F.col("c") * F.exp(-0.5 * z * z) / (F.col("N") * F.col("h") * math.sqrt(2 * math.pi))
-    out = fan.groupBy(*g, "k").agg(F.first(gx).alias("x"), F.sum(contrib).alias("density"))
-    return out.drop("__all") if group == "__all" else out
+    z = (gx - F.col("at")) / F.col("h")
+    contrib = F.col("w") * F.exp(-0.5 * z * z) / (F.col("N") * F.col("h") * math.sqrt(2 * math.pi))
+    out = fan.groupBy("g", "k").agg(F.first(gx).alias("x"), F.sum(contrib).alias("density"))
+    return out.withColumnRenamed("g", group) if group else out.drop("g")

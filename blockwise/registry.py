@@ -9,6 +9,7 @@ comparison is not thrown by summation order; library functions never round.
 from __future__ import annotations
 
 from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,15 +52,15 @@ def obs(spark, sf):
     return fx.observations(spark, sf)
 
 
-_SPECIES: dict[tuple[int, str], list[str]] = {}
+_SPECIES: WeakKeyDictionary[SparkSession, dict[str, list[str]]] = WeakKeyDictionary()
 
 
 def species_list(spark, sf) -> list[str]:
     """Distinct species names (bounded by the species count) as the pivot value list."""
-    key = (id(spark._jsparkSession), sf)
-    if key not in _SPECIES:
-        _SPECIES[key] = sorted(r[0] for r in fx.table(spark, sf, "part").select("p_name").distinct().collect())
-    return _SPECIES[key]
+    known = _SPECIES.setdefault(spark, {})
+    if sf not in known:
+        known[sf] = sorted(r[0] for r in fx.table(spark, sf, "part").select("p_name").distinct().collect())
+    return known[sf]
 
 
 def old_atlas(spark, sf):
@@ -114,8 +115,9 @@ from blockwise.plans import reports as RP  # noqa: E402
 from blockwise.plans import season as SE  # noqa: E402
 from blockwise.plans import spatial as SP  # noqa: E402
 from blockwise.plans import stats as ST  # noqa: E402
+from blockwise.plans.lookups import calendar_glossary  # noqa: E402
 from blockwise.plans.lookups import seasons as seasons_df  # noqa: E402
-from blockwise.session import ensure_checkpoint_dir  # noqa: E402
+from blockwise.session import ensure_checkpoint_dir, materialize  # noqa: E402
 from blockwise.sources import io as IO  # noqa: E402
 
 REPORT_BLOCK = "B3"
@@ -176,28 +178,112 @@ def q_extract_filter(spark, sf):
     return IO.read_extract(spark, path, schema, start="1996-01-01", end="1997-06-30", project="Atlas")
 
 
-@register("parquet_roundtrip", rows_only=True)
+@register("parquet_roundtrip")
 def q_parquet_roundtrip(spark, sf):
+    """Summary written by season and read back; the nested breakdown as rows with their places in the list."""
     path = scratch(spark, "summary")
     IO.write_parquet(summary(spark, sf, nested=True), path, partition_by=["season"])
-    return IO.read_parquet(spark, path)
+    back = IO.read_parquet(spark, path).select("season", "pba3_block", "checklist_count", F.posexplode("effort_breakdown").alias("place", "e"))
+    return r6(back.select("season", "pba3_block", "checklist_count", F.col("place").cast("long").alias("place"), "e.*"))
 
 
 @register("release_tag")
 def q_release_tag(spark, sf):
-    path = f"{scratch(spark, 'extract')}/ebd_relMay-2026.txt"
-    fx.raw_observations(spark, sf).select("checklist_id", "common_name").write.option("sep", "\t").option("header", True).csv(path)
-    return IO.release_tag(IO.list_files(spark, path)).select("release", "release_sentence").distinct()
+    """Release tags of the file names that each part would be delivered in; every other name has none."""
+    o = fx.table(spark, sf, "orders")
+    month = F.element_at(F.array(*[F.lit(m) for m in S.MONTH_ABB]), F.month("o_orderdate"))
+    name = F.concat(F.lit("data/ebd_rel"), month, F.lit("-"), F.year("o_orderdate").cast("string"), F.when(F.col("o_orderkey") % 4 == 0, ".csv").otherwise(".txt"))
+    return IO.release_tag(o.select(name.alias("path")).distinct())
 
 
-@register("blocks_source", rows_only=True)
+EXTRACT_SCHEMA = (
+    "atlas_block string, sampling_event_identifier string, group_identifier string, observer_id string, common_name string, "
+    "breeding_category string, breeding_code string, observation_date date, time_observations_started string, "
+    "duration_minutes double, project_names string"
+)
+
+
+def write_extract(spark, sf) -> str:
+    """A delivered extract: shuffled columns in capitals, further columns, durations that are no numbers."""
+    path = scratch(spark, "extract")
+    number = F.substring("checklist_id", 2, 20).cast("long")
+    src = fx.raw_observations(spark, sf).withColumns(
+        {
+            "group_identifier": F.when(number % 3 != 0, F.concat(F.lit("G"), number.cast("string"))),
+            "sampling_event_identifier": F.concat_ws("_", "checklist_id", "atlas_block"),
+            "duration_minutes": F.when(F.col("atlas_block") == "B7", F.lit("n/a")).otherwise(F.col("duration_minutes").cast("string")),
+        }
+    )
+    names = [c.split()[0] for c in EXTRACT_SCHEMA.split(", ")][::-1]
+    given = [F.col(c).alias(c.upper().replace("_", " ")) for c in names]
+    src = src.select(F.lit("x").alias("LAST EDITED DATE"), *given[:5], F.col("longitude").alias("LONGITUDE"), *given[5:])
+    src.write.option("sep", "\t").option("header", True).option("emptyValue", "").csv(path)
+    return path
+
+
+@register("extract_pipeline")
+def q_extract_pipeline(spark, sf):
+    """Extract -> filter -> one row per checklist and species -> clean -> rank."""
+    raw = IO.read_extract(spark, write_extract(spark, sf), EXTRACT_SCHEMA, start="1996-01-01", end="1997-06-30", project="Atlas")
+    out = CL.with_breeding_rank(CL.clean_observations(CL.collapse_shared(raw)))
+    return r6(
+        out.select(
+            "checklist_id", "common_name", "observer_id", "first_event_id", "pba3_block", "breeding_category", "breeding_rank",
+            "observation_date", "observation_month", "observation_datetime", "duration_minutes",
+        )
+    )
+
+
+@register("bad_cells")
+def q_bad_cells(spark, sf):
+    reader = spark.read.option("sep", "\t").option("header", True).option("quote", "")
+    return IO.bad_cells(reader, write_extract(spark, sf), EXTRACT_SCHEMA)
+
+
+@register("csv_positional")
+def q_csv_positional(spark, sf):
+    """Files with three leading lines that are no data, read by position."""
+    path = scratch(spark, "positional")
+    src = fx.table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"))
+    rows = src.repartition(5, "o_orderkey").sortWithinPartitions("o_orderkey").select(F.concat_ws(",", "o_orderkey", "o_custkey", "day").alias("line"))
+
+    def headed(batches):
+        import pyarrow as pa
+
+        lines = ["delivered,by,hand", "o_orderkey,o_custkey,day", "number,number,date"]
+        for batch in batches:
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], schema=batch.schema)
+                lines = []
+            yield batch
+
+    rows.mapInArrow(headed, "line string").write.text(path)
+    return IO.read_csv_positional(spark, path, ["order_id", "customer", "day"], skip=3)
+
+
+@register("partition_refresh")
+def q_partition_refresh(spark, sf):
+    """A summary stored by season, of which one season is written anew: (season, rows, files) and whether its files are the old ones."""
+    path = scratch(spark, "seasons")
+    counts = SE.checklist_count(fan(spark, sf))
+    IO.write_parquet(counts, path, ["season"])
+    files = lambda: IO.read_parquet(spark, path).select("season", F.col("_metadata.file_path").alias("file")).distinct()
+    before = materialize(files(), "files-before")
+    IO.write_parquet(counts.where(F.col("season") == "Winter").withColumn("checklist_count", -F.col("checklist_count")), path, ["season"], refresh=True)
+    kept = files().join(before, ["season", "file"], "left_semi").groupBy("season").agg(F.lit(True).alias("same_files"))
+    rows = IO.read_parquet(spark, path).groupBy("season").agg(F.count(F.lit(1)).alias("blocks"), F.sum("checklist_count").alias("checklists"))
+    return rows.join(kept, "season", "left").select("season", "blocks", "checklists", F.coalesce("same_files", F.lit(False)).alias("same_files"))
+
+
+@register("blocks_source")
 def q_blocks_source(spark, sf):
     path = scratch(spark, "polys")
     sq = fx.grid_squares(obs(spark, sf))
     sq.select("pba2_block", F.transform("ring", lambda p: F.array(p.x, p.y)).alias("ring")).write.mode(
         "overwrite"
     ).json(path)
-    return IO.read_polygons_json(spark, path, "pba2_block")
+    read = IO.read_polygons_json(spark, path, "pba2_block")
+    return r6(read.select("pba2_block", F.posexplode("ring").alias("place", "p")).select("pba2_block", F.col("place").cast("long").alias("place"), "p.*"))
 
 
 # ---------------------------------------------------------------- 2.2 projection, filter, reshape
@@ -219,6 +305,12 @@ def q_rename_fn(spark, sf):
     return R.rename_with(o, R.str_remove_fn("observation_"), lambda c: "observation" in c)
 
 
+@register("rename_positional")
+def q_rename_positional(spark, sf):
+    o = obs(spark, sf).select("pba3_block", "checklist_id", "common_name").distinct()
+    return R.rename_positional(o, {1: "block", 3: "species"})
+
+
 @register("across_round")
 def q_across_round(spark, sf):
     s = summary(spark, sf).select("season", "pba3_block", "duration_hours_total", "effort_distance_km")
@@ -268,9 +360,11 @@ def q_explode_delimited(spark, sf):
     return R.explode_delimited(o, "observer_id").distinct()
 
 
-@register("nest_effort", rows_only=True)
+@register("nest_effort")
 def q_nest_effort(spark, sf):
-    return EF.nest_effort(EF.effort_by_date(classified(spark, sf)))
+    nested = EF.nest_effort(EF.effort_by_date(classified(spark, sf)))
+    flat = nested.select("pba3_block", F.size("effort_breakdown").cast("long").alias("days"), F.posexplode("effort_breakdown").alias("place", "e"))
+    return r6(flat.select("pba3_block", "days", F.col("place").cast("long").alias("place"), "e.*"))
 
 
 @register("unnest_effort")
@@ -287,6 +381,12 @@ def q_complete_grid(spark, sf):
     return R.complete_values(confirmed, "pba3_block", fx.block_names(spark, sf), {"confirmed_species": 0})
 
 
+@register("complete_keys")
+def q_complete_keys(spark, sf):
+    counts = A.count_by(obs(spark, sf), ["common_name", "observation_month_num", "breeding_category"])
+    return R.complete_keys(counts, "common_name", ["observation_month_num", "breeding_category"], {"n": 0})
+
+
 # ---------------------------------------------------------------- 2.3 joins
 
 
@@ -335,7 +435,8 @@ def q_join_null_safe(spark, sf):
 def q_spatial_covers(spark, sf):
     o = obs(spark, sf)
     pts = o.select("checklist_id", F.col("longitude").alias("px"), F.col("latitude").alias("py")).distinct()
-    return r6(SP.covers_join(fx.grid_squares(o), pts).drop("ring"))
+    polys = fx.grid_squares(o).unionByName(fx.slanted_polygons(o))
+    return r6(SP.covers_join(polys, pts).drop("ring"))
 
 
 @register("full_outer_compare")
@@ -343,6 +444,14 @@ def q_full_outer_compare(spark, sf):
     return compare_table(spark, sf)
 
 
+@register("season_glossary")
+def q_season_glossary(spark, sf):
+    """Calendar codes with the meaning that the legend gives them."""
+    cal, _ = calendar(spark, sf)
+    codes = A.count_by(CAL.calendar_long(cal), ["breeding_calendar_code"])
+    return J.lookup(codes, calendar_glossary(spark).withColumnRenamed("Season", "breeding_calendar_code"), ["breeding_calendar_code"])
+
+
 # ---------------------------------------------------------------- 2.4 aggregations
 
 
@@ -420,9 +529,11 @@ def q_rows_at_group_max(spark, sf):
     return cmp.new_atlas_max(obs(spark, sf))
 
 
-@register("region_hierarchy", rows_only=True)
+@register("region_hierarchy")
 def q_region_hierarchy(spark, sf):
-    return RP.region_hierarchy(summary(spark, sf))
+    blocks = F.posexplode("blocks").alias("place", "b")
+    flat = RP.region_hierarchy(summary(spark, sf)).select("block_region", blocks)
+    return flat.select("block_region", F.col("place").cast("long").alias("place"), "b.pba3_block", "b.block_name")
 
 
 @register("region_blocks")
@@ -442,7 +553,7 @@ def q_rowwise_sum(spark, sf):
 @register("week_index")
 def q_week_index(spark, sf):
     cal, _ = calendar(spark, sf)
-    return CAL.calendar_long(cal).select("week", "week_index").distinct()
+    return CAL.calendar_long(cal).select("common_name", "week", "week_index")
 
 
 @register("add_count")
@@ -466,21 +577,22 @@ def q_top_k(spark, sf):
     return O.top_k(cc, 10, [F.col("checklist_count").desc(), F.col("pba3_block").asc()])
 
 
-@register("sample_prop", rows_only=True)
+@register("sample_prop")
 def q_sample_prop(spark, sf):
-    return O.sample_prop(obs(spark, sf), 0.1, ["checklist_id", "common_name", "observer_id"], seed=7)
+    keys = ["checklist_id", "common_name", "observer_id", "pba3_block", "observation_date"]
+    return O.sample_prop(obs(spark, sf).select(*keys).distinct(), 0.1, keys, seed=7)
 
 
-@register("sample_per_group", rows_only=True)
+@register("sample_per_group")
 def q_sample_per_group(spark, sf):
     pts = obs(spark, sf).select("pba3_block", "checklist_id", "longitude", "latitude").distinct()
-    return O.sample_per_group(pts, ["pba3_block"], 100, ["checklist_id", "longitude", "latitude"], seed=1)
+    return r6(O.sample_per_group(pts, ["pba3_block"], 100, ["checklist_id", "longitude", "latitude"], seed=1))
 
 
-@register("sample_weighted", rows_only=True)
+@register("sample_weighted")
 def q_sample_weighted(spark, sf):
     es = EX.eb_shrink_moments(EX.expected_species(obs(spark, sf)))
-    return O.sample_weighted_prop(es, 0.1, "fitted", ["pba3_block", "common_name", "month_num"], seed=3)
+    return r6(O.sample_weighted_prop(es, 0.1, "fitted", ["pba3_block", "common_name", "month_num"], seed=3))
 
 
 # ---------------------------------------------------------------- 2.7 set operations
@@ -712,13 +824,29 @@ def q_eb_moments(spark, sf):
     return r6(EX.beta_moments(EX.expected_species(obs(spark, sf))))
 
 
-@register("eb_shrink", rows_only=True)
+@register("eb_shrink")
 def q_eb_shrink(spark, sf):
+    return r6(EX.weighted_rate(EX.eb_shrink_moments(EX.expected_species(obs(spark, sf)))))
+
+
+@register("eb_shrink_mle", rows_only=True)
+def q_eb_shrink_mle(spark, sf):
     es = EX.expected_species(obs(spark, sf))
     a, b = EX.beta_binomial_mle(es)
     return EX.weighted_rate(EX.eb_shrink(es, a, b))
 
 
+@register("eb_species")
+def q_eb_species(spark, sf):
+    """Shrunken rate of each species over all blocks and months (prior fitted on the species' totals)."""
+    return r6(EX.eb_shrink_moments(EX.expected_species_total(EX.expected_species(obs(spark, sf)))))
+
+
+@register("eb_prior_by_month", rows_only=True)
+def q_eb_prior_by_month(spark, sf):
+    return EX.beta_binomial_priors(EX.expected_species(obs(spark, sf)), "month_num")
+
+
 @register("eb_rank_fitted")
 def q_eb_rank_fitted(spark, sf):
     """Top 20 block × species × month by shrunken rate (moment prior), ties by key."""
@@ -768,12 +896,20 @@ def q_checklist_density(spark, sf):
     return r6(RP.checklist_density(obs(spark, sf), REPORT_BLOCK, REPORT_SEASON))
 
 
-@register("effort_over_time")
-def q_effort_over_time(spark, sf):
+def report_breakdown(spark, sf):
     o = obs(spark, sf)
     one = SE.season_fanout(o, REPORT_SEASON).where(F.col("pba3_block") == REPORT_BLOCK)
-    c = EF.classify_checklists(one, CL.modal_start_times(o))
-    return r6(EF.effort_over_time(EF.nest_effort(EF.effort_by_date(c))))
+    return EF.nest_effort(EF.effort_by_date(EF.classify_checklists(one, CL.modal_start_times(o))))
+
+
+@register("effort_over_time")
+def q_effort_over_time(spark, sf):
+    return r6(EF.effort_over_time(report_breakdown(spark, sf)))
+
+
+@register("effort_over_time_known")
+def q_effort_over_time_known(spark, sf):
+    return r6(EF.effort_over_time(report_breakdown(spark, sf), strict=False))
 
 
 @register("effort_audit")
@@ -781,6 +917,16 @@ def q_effort_audit(spark, sf):
     return r6(EF.effort_audit(obs(spark, sf)))
 
 
+@register("effort_audit_means")
+def q_effort_audit_means(spark, sf):
+    return r6(EF.effort_audit_means(EF.effort_audit(obs(spark, sf))))
+
+
+@register("effort_audit_changed")
+def q_effort_audit_changed(spark, sf):
+    return r6(EF.effort_audit_changed(EF.effort_audit(obs(spark, sf))))
+
+
 @register("focal_match")
 def q_focal_match(spark, sf):
     return RP.focal_match(fx.focal_species(spark, sf), obs(spark, sf))
@@ -794,14 +940,19 @@ def q_map_values(spark, sf):
 # ---------------------------------------------------------------- 2.10 spatial
 
 
-@register("convex_hull", rows_only=True)
+@register("convex_hull")
 def q_convex_hull(spark, sf):
-    return SP.hull_and_point(obs(spark, sf), "pba3_block").select("pba3_block", "ring", "n_points")
+    """A row per vertex; the area, from the ring in its order, shows that the order is right."""
+    h = SP.hull_and_point(obs(spark, sf), "pba3_block")
+    pairs = F.arrays_zip(F.slice("ring", 1, F.size("ring") - 1).alias("a"), F.slice("ring", 2, F.size("ring") - 1).alias("b"))
+    area = F.aggregate(pairs, F.lit(0.0), lambda s, e: s + (e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]) / 2)
+    h = h.withColumns({"area": area, "vertices": F.array_distinct("ring")})
+    return r6(h.select("pba3_block", "n_points", F.size("vertices").cast("long").alias("n_vertices"), "area", F.inline("vertices")))
 
 
-@register("interior_point", rows_only=True)
+@register("interior_point")
 def q_interior_point(spark, sf):
-    return SP.hull_and_point(obs(spark, sf), "pba3_block").select("pba3_block", "px", "py")
+    return r6(SP.hull_and_point(obs(spark, sf), "pba3_block").select("pba3_block", "px", "py"))
 
 
 @register("web_mercator")
@@ -819,19 +970,34 @@ def _density_points(spark, sf):
     return RP.checklist_density(obs(spark, sf), REPORT_BLOCK, REPORT_SEASON)
 
 
-@register("block_crosswalk", rows_only=True)
-def q_block_crosswalk(spark, sf):
+#: Old id that is set by hand for a block, as the reference does for one.
+PINNED = {"B5": "P-80.0_40.5"}
+
+
+def crosswalk(spark, sf, overrides=None):
     o = obs(spark, sf)
-    return SP.block_crosswalk(o, fx.grid_squares(o))
+    return SP.block_crosswalk(o, fx.grid_squares(o), overrides=overrides)
+
+
+@register("block_crosswalk")
+def q_block_crosswalk(spark, sf):
+    return crosswalk(spark, sf)
+
+
+@register("crosswalk_overrides")
+def q_crosswalk_overrides(spark, sf):
+    return crosswalk(spark, sf, PINNED)
 
 
-@register("summary_polygons", rows_only=True)
+@register("crosswalk_one_to_one")
+def q_crosswalk_one_to_one(spark, sf):
+    """Ids of either side with more than one partner, counting a missing partner or not."""
+    return QC.one_to_one_both_ways(crosswalk(spark, sf), "pba2_block", "pba3_block")
+
+
+@register("summary_polygons")
 def q_summary_polygons(spark, sf):
-    o = obs(spark, sf)
-    squares = fx.grid_squares(o)
-    cw = SP.block_crosswalk(o, squares)
-    polys = squares.join(cw, "pba2_block", "left")
-    return SE.summary_with_polygons(polys, summary(spark, sf))
+    return r6(SE.summary_with_polygons(crosswalk(spark, sf), summary(spark, sf)))
 
 
 # ---------------------------------------------------------------- 2.11 statistics
@@ -860,10 +1026,10 @@ def q_bin_2d(spark, sf):
     return ST.bin_2d(es, "checklist_count", "observed_pct", 100.0, 0.05)
 
 
-@register("density", rows_only=True)
+@register("density")
 def q_density(spark, sf):
     es = EX.expected_species(obs(spark, sf))
-    return ST.density(es, "observed_pct", group="observation_month")
+    return r6(ST.density(es, "observed_pct", group="observation_month"))
 
 
 # ---------------------------------------------------------------- 2.12 quality
@@ -887,6 +1053,25 @@ def q_class_balance(spark, sf):
     return A.count_by(c, ["checklist_type"])
 
 
+@register("class_outliers")
+def q_class_outliers(spark, sf):
+    """A thousand rows of each class with their sun times as times of day (the rows to look at)."""
+    v = fx.visits(spark, sf)
+    c = EF.classify_checklists(v, CL.modal_start_times(v))
+    return r6(QC.class_outliers(c, 1000, seed=11))
+
+
+@register("zone_check")
+def q_zone_check(spark, sf):
+    """Columns whose type changed on the way through Parquet (none), and files that are missing (one that was never written)."""
+    path = scratch(spark, "sun")
+    sun = EF.sun_times(fx.visits(spark, sf))
+    IO.write_parquet(sun, path)
+    changed = QC.changed_types(sun, IO.read_parquet(spark, path)).select(F.lit("type").alias("check"), F.col("column").alias("key"))
+    missing = QC.missing_sources(spark, [path, f"{path}-nowhere"]).select(F.lit("source").alias("check"), F.substring_index("path", "-", -1).alias("key"))
+    return changed.unionByName(missing)
+
+
 @register("quality_report")
 def q_quality_report(spark, sf):
     return QC.quality_report(obs(spark, sf), fx.block_names(spark, sf))

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,18 +67,40 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+#: Manifest of the stored tables of each open ``stored_tables`` block, innermost last.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def stored_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes, at its end, the tables that were stored inside it; the list is their manifest.
+
+    The creator of intermediate tables wraps its work in this: results that are
+    still read lazily must be written or collected inside.
+    """
+    manifest: list[str] = []
+    _OPEN.append(manifest)
+    try:
+        yield manifest
+    finally:
+        _OPEN.remove(manifest)
+        hadoop = spark._jsc.hadoopConfiguration()
+        for path in manifest:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(hadoop).delete(place, True)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
     Used for small intermediate tables that several branches read (the
     checklist and species grains): computed once, columnar on re-read, and
     the lineage is cut, so a lost executor does not force a rescan of the
-    observations.
+    observations. Inside ``stored_tables`` the table is entered in its manifest.
     """
-    import uuid
-
     base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
     path = f"{base}/{tag}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
     return df.sparkSession.read.parquet(path)
-

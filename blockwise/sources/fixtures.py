@@ -8,6 +8,8 @@ written in DuckDB SQL in ``blockwise.oracle`` (the correctness oracle).
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,17 +30,17 @@ CATEGORY_SQL = """CASE
   ELSE NULL END"""
 
 
-_TABLES: dict[tuple[int, str], DataFrame] = {}
+_TABLES: WeakKeyDictionary[SparkSession, dict[str, DataFrame]] = WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Lazy scan of one test table; the DataFrame is reused per session and path
     (its schema is read once, and equal subtrees let Spark reuse exchanges)."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark._jsparkSession), path)
-    if key not in _TABLES:
-        _TABLES[key] = spark.read.parquet(path)
-    return _TABLES[key]
+    known = _TABLES.setdefault(spark, {})
+    if path not in known:
+        known[path] = spark.read.parquet(path)
+    return known[path]
 
 
 def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +69,7 @@ def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
             "(CASE WHEN o_orderkey % 5 = 0 AND l_linenumber = 2 THEN '30' ELSE '00' END) || ':00' END"
         ).alias("time_observations_started"),
         e("cast(o_custkey % 50 - 800 as double) / 10").alias("longitude"),
-        e("cast(l_suppkey % 20 + 400 as double) / 10").alias("latitude"),
+        e("cast(l_suppkey % 20 * 2 + l_partkey % 7 + 800 as double) / 20").alias("latitude"),
         F.col("l_quantity").alias("duration_minutes"),
         e("l_tax * 10").alias("effort_distance_km"),
         e("CASE WHEN o_orderpriority = '5-LOW' THEN 'Other' ELSE 'Atlas' END").alias("project_names"),
@@ -207,3 +209,18 @@ def grid_squares(obs: DataFrame, size: float = 0.1) -> DataFrame:
     )
     pid = F.concat(F.lit("P"), F.col("longitude").cast("string"), F.lit("_"), F.col("latitude").cast("string"))
     return pts.select(pid.alias("pba2_block"), ring.alias("ring"))
+
+
+def slanted_polygons(obs: DataFrame, radius: float = 0.2) -> DataFrame:
+    """Polygons with slanted edges that run through other points, and one without points.
+
+    A diamond of ``radius`` degrees around the southernmost point of each
+    longitude, and an empty ring.
+    """
+    x, y = F.col("longitude"), F.col("latitude")
+    south = obs.where(x.isNotNull()).groupBy("longitude").agg(F.min("latitude").alias("latitude"))
+    corner = lambda dx, dy: F.struct((x + dx * radius).alias("x"), (y + dy * radius).alias("y"))
+    ring = F.array(corner(1, 0), corner(0, 1), corner(-1, 0), corner(0, -1), corner(1, 0))
+    diamonds = south.select(F.concat(F.lit("D"), x.cast("string")).alias("pba2_block"), ring.alias("ring"))
+    empty = diamonds.sparkSession.createDataFrame([("EMPTY", [])], diamonds.schema)
+    return diamonds.unionByName(empty)

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MONTH_ALT = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
+from blockwise.functions.semantics import MONTH_ABB
+
 # Pattern of the release tag in an extract file name (e.g.
 # "relMay-2026.txt") and the sentence the tag is shown in.
-RELEASE_PATTERN = rf"({MONTH_ALT})-\d{{4}}\.txt"
+RELEASE_PATTERN = rf"({'|'.join(MONTH_ABB)})-\d{{4}}\.txt"
 RELEASE_SENTENCE = "Data includes checklists from Jan-2024 to"
 
 
@@ -34,44 +35,78 @@ def header_name(name: str) -> str:
 
 
 def by_header(reader: DataFrameReader, path: str, schema: T.StructType | str) -> DataFrame:
-    """The columns of ``schema``, found by header name (in any order, other columns left unread) and cast.
+    """The columns of ``schema``, found by header name (in any order, other columns left unread) and converted.
 
-    Raises when a column is missing. All files must have the header of the first;
-    Spark checks that while reading (``enforceSchema`` off).
+    A cell that is not of its column's type is NULL (``bad_cells`` counts them).
+    Raises when a column is missing or two headers have the same name. All files
+    must have the header of the first; Spark checks that while reading
+    (``enforceSchema`` off).
     """
-    if isinstance(schema, str):
-        schema = T.StructType.fromDDL(schema)
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    raw, given = _as_text(reader, path, schema)
+    return raw.select([F.col(given[f.name]).try_cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def bad_cells(reader: DataFrameReader, path: str, schema: T.StructType | str) -> DataFrame:
+    """(column, bad): cells of each column of ``schema`` that have text but not of the column's type; one pass."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    raw, given = _as_text(reader, path, schema)
+    bad = [F.count_if(F.col(given[f.name]).isNotNull() & F.col(given[f.name]).try_cast(f.dataType).isNull()) for f in schema.fields]
+    counts = raw.agg(F.array(*[F.struct(F.lit(f.name).alias("column"), b.alias("bad")) for f, b in zip(schema.fields, bad, strict=True)]).alias("c"))
+    return counts.select(F.inline("c"))
+
+
+def _as_text(reader: DataFrameReader, path: str, schema: T.StructType) -> tuple[DataFrame, dict[str, str]]:
     raw = reader.option("enforceSchema", False).option("inferSchema", False).csv(path)
-    given = {header_name(c): c for c in reversed(raw.columns)}
-    missing = [f.name for f in schema.fields if header_name(f.name) not in given]
-    if missing:
+    given: dict[str, list[str]] = {}
+    for c in raw.columns:
+        given.setdefault(header_name(c), []).append(c)
+    wanted = {f.name: given.get(header_name(f.name), []) for f in schema.fields}
+    if missing := [n for n, found in wanted.items() if not found]:
         raise ValueError(f"{path} has no column {', '.join(missing)}; its header is {', '.join(raw.columns)}")
-    return raw.select([F.col(f"`{given[header_name(f.name)]}`").cast(f.dataType).alias(f.name) for f in schema.fields])
+    if double := [found for found in wanted.values() if len(found) > 1]:
+        raise ValueError(f"{path} has several columns of one name: {double}")
+    return raw, {n: f"`{found[0]}`" for n, found in wanted.items()}
 
 
 def read_csv_positional(spark: SparkSession, path: str, names: Sequence[str], skip: int = 0) -> DataFrame:
-    """Header-less CSV, first ``skip`` lines of each file dropped, columns named by position."""
+    """Header-less CSV, first ``skip`` lines of each file dropped, columns named by position.
+
+    One scan: rows come in file order, so a row's place in its split is counted
+    as it streams by, and only the split that starts a file drops its first rows.
+    """
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     raw = spark.read.schema(schema).option("header", False).csv(path)
     if skip <= 0:
         return raw
-    # The leading lines of a file all sit in its first split; number rows by
-    # (file, split start) order, which a retry reproduces.
-    return (
-        raw.withColumn("__file", F.col("_metadata.file_path"))
-        .withColumn("__start", F.col("_metadata.file_block_start"))
-        .withColumn("__id", F.monotonically_increasing_id())
-        .transform(lambda d: _drop_leading(d, skip))
-    )
+    split = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("at"))
+    return raw.select(*[F.col(f"`{n}`") for n in names], split["f"].alias("__file"), split["at"].alias("__at")).mapInArrow(_after(skip), schema)
+
+
+def _after(skip: int):
+    """Drops the first ``skip`` rows of each file (a closure, so that executors need no copy of this package)."""
 
+    def run(batches):
+        import numpy as np
 
-def _drop_leading(d: DataFrame, skip: int) -> DataFrame:
-    from pyspark.sql import Window
+        here, seen = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            *_, file, at = batch.columns
+            file, at = file.to_pylist(), np.asarray(at)
+            keep = np.ones(batch.num_rows, bool)
+            begin = 0
+            for i in [*(k for k in range(1, len(file)) if at[k] != at[k - 1] or file[k] != file[k - 1]), len(file)]:
+                if here != (file[begin], at[begin]):
+                    here, seen = (file[begin], at[begin]), 0
+                if at[begin] == 0:
+                    keep[begin : min(i, begin + max(0, skip - seen))] = False
+                seen += i - begin
+                begin = i
+            yield batch.select(list(range(batch.num_columns - 2))).take(np.flatnonzero(keep))
 
-    firsts = d.where(F.col("__start") == 0)
-    w = Window.partitionBy("__file").orderBy("__id")
-    head = firsts.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= skip).select("__id")
-    return d.join(head, "__id", "left_anti").drop("__file", "__start", "__id")
+    return run
 
 
 def read_extract(
@@ -128,10 +163,11 @@ def read_polygons_json(spark: SparkSession, path: str, id_col: str = "id") -> Da
     )
 
 
-def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), refresh: bool = False) -> None:
+    """Write ``df``; with ``refresh`` only the partitions that it has rows for are replaced, other files stay as they are."""
     w = df.write.mode("overwrite")
     if partition_by:
-        w = w.partitionBy(*partition_by)
+        w = w.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic" if refresh else "static")
     w.parquet(path)
 
 

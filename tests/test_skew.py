@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from blockwise.plans import season as SE
 from blockwise.plans.clean import modal_start_times
-from blockwise.plans.effort import day_night_effort
+from blockwise.plans.effort import classify_checklists, day_night_effort
 from blockwise.sources import fixtures as fx
 
 SF001 = "/root/testdata/sf0.001"
@@ -46,47 +46,53 @@ def test_fused_summary_equals_branches_on_hot_block(spark):
     assert share > 0.33
 
 
-def test_classify_by_season_equals_per_season_path(spark):
+def test_per_season_equals_fan_first(spark):
+    """Keys whose rows lie in one month, in several months of different seasons, and in no month."""
     import datetime as dt
 
-    from blockwise.plans.effort import classify_by_season, classify_checklists
-
     rows = [
-        ("B", "c1", -79.9, 40.4, 4, dt.datetime(2024, 4, 2, 6, 0), 30.0),
-        ("B", "c1", -79.9, 40.4, 12, dt.datetime(2024, 12, 2, 23, 0), 50.0),  # same place, another month
-        ("B", "c2", -79.9, 40.4, 6, dt.datetime(2024, 6, 1, 12, 0), None),
-        (None, "c3", -79.9, 40.4, 1, None, 10.0),
+        ("B", "c1", -79.9, 40.4, 4, dt.datetime(2024, 4, 2, 6, 0), 30.0, 1.0),
+        ("B", "c1", -79.9, 40.4, 12, dt.datetime(2024, 12, 2, 23, 0), 50.0, None),  # same place, another month
+        ("B", "c2", -79.9, 40.4, 6, dt.datetime(2024, 6, 1, 12, 0), None, 2.0),
+        ("B", "c4", -79.9, 40.4, 10, None, None, None),
+        ("B", "c5", None, 40.4, None, dt.datetime(2024, 6, 1, 12, 0), 5.0, 2.0),  # no month: in no season
+        (None, "c3", -79.9, 40.4, 1, None, 10.0, 0.5),
+        (None, None, -79.9, 40.4, 1, None, 10.0, 0.5),
     ]
     g = spark.createDataFrame(
         rows,
         "pba3_block string, checklist_id string, longitude double, latitude double, observation_month_num int, "
-        "observation_datetime timestamp_ntz, duration_minutes double",
+        "observation_datetime timestamp_ntz, duration_minutes double, effort_distance_km double",
     )
-    a = classify_by_season(g, SE.season_fanout)
-    b = classify_checklists(SE.season_fanout(g), None, ["season"])
-    cols = b.columns
-    assert sorted(map(tuple, a.select(*cols).collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
-    assert a.count() == 7  # c1: All seasons, Breeding (Apr), Winter (Dec); c2: 2; c3: 2
 
+    def same(a, b):
+        assert sorted(map(tuple, a.select(*b.columns).collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
 
-def test_checklist_side_fan_late_equals_fan_first(spark):
-    import datetime as dt
+    a = SE.place_rows(g)
+    same(a, classify_checklists(SE.season_fanout(g), None, ["season"]))
+    assert a.count() == 10  # c1: All seasons, Breeding (Apr), Winter (Dec); c2: 2; c4: 1; c3 and the missing id: 2 each
+    assert SE.place_rows(g, "Winter").count() == 3
+    fan = SE.season_fanout(g)
+    per = fan.groupBy("season", "pba3_block", "checklist_id").agg(F.max("duration_minutes").alias("d"), F.max("effort_distance_km").alias("k"))
+    same(SE.checklist_rows(g), per)
 
-    rows = [
-        ("B", "c1", 4, 30.0, 1.0, dt.datetime(2024, 4, 2, 6, 0)),
-        ("B", "c1", 12, 50.0, None, dt.datetime(2024, 12, 2, 6, 0)),  # spans two seasons
-        ("B", "c2", 6, None, 2.0, None),
-        (None, "c3", 1, 10.0, 0.5, None),
-    ]
-    g = spark.createDataFrame(
-        rows,
-        "pba3_block string, checklist_id string, observation_month_num int, duration_minutes double, "
-        "effort_distance_km double, observation_datetime timestamp_ntz",
-    )
-    a = SE.checklist_side(g, fanned=False)
-    b = SE.checklist_side(SE.season_fanout(g))
-    cols = b.columns
-    assert sorted(map(tuple, a.select(*cols).collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+
+def test_start_repair_equals_brute_force(spark):
+    import datetime as dt
+    import itertools
+
+    t = [dt.datetime(2024, 5, 1, h, 0) for h in (5, 6, 7)]
+    rows = [(b, f"c{i}", o, x) for i, (o1, o2, o3) in enumerate(itertools.product(["a", "a,b", None], repeat=3)) for b, o, x in (("B", o1, t[0]), ("B", o2, t[1]), ("C", o3, t[1]), ("B", o1, None if i % 2 else t[2]))]
+    rows += [("B", "one", "a", t[0]), ("B", None, "a", t[0]), ("B", None, "a", t[1]), ("B", "half", "a", None), ("B", "half", "b", t[2])]
+    df = spark.createDataFrame(rows, "pba3_block string, checklist_id string, observer_id string, observation_datetime timestamp_ntz")
+    want = {}
+    for cid in {r[1] for r in rows if r[1]}:
+        mine = {(b, o, x) for b, c, o, x in rows if c == cid}
+        if len({x for _, _, x in mine}) > 1:
+            votes = [x for _, o, x in mine for _ in (o or "x").split(",") if x]
+            want[cid] = min(votes, key=lambda x: (-votes.count(x), x))
+    got = {r.checklist_id: r.observation_datetime_fixed for r in modal_start_times(df).collect()}
+    assert got == want and len(got) > 20
 
 
 def test_summary_with_polygons_null_rule(spark):  # T1
