@@ -42,7 +42,7 @@ RANK_BLOCK = 2_000
 #: Largest table of block offsets that is broadcast.
 BROADCAST_BLOCKS = 100_000
 #: Words that a generation of a worker's store holds.
-STORE = 100_000
+STORE = 250_000
 WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^\s0-9{LETTER}]+")
 
 
