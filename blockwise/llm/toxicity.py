@@ -74,7 +74,7 @@ DOUBLED = re.compile(rf"([{_LETTER}])\1")
 SEPARATORS = re.compile(_BETWEEN)
 WORDS = re.compile(r"[^\W\d_]+")
 #: Places and words that a generation of a worker's store holds.
-STORE, WORD_STORE = 60_000, 150_000
+STORE, WORD_STORE = 40_000, 60_000
 #: Symbols of the language model: 0 ends a word, 1 to 26 are a to z, the rest are other letters.
 ORDER, SYMBOLS = 4, 32
 
