@@ -100,6 +100,10 @@ def _polygamma(z: Column) -> tuple[Column, Column]:
     return first + digamma, second + trigamma
 
 
+#: Sum of the parameters beyond which a prior is as good as a constant.
+_RUNAWAY = 1e6
+
+
 def _newton(a: Column, b: Column, sums: dict[str, Column]) -> tuple[Column, Column]:
     """Step of the logarithms of (a, b) from sums over the data: Newton where the surface is concave, else uphill; at most 1."""
     trig_a, trig_b, trig_ab = (_polygamma(c)[1] for c in (a, b, a + b))
@@ -129,7 +133,8 @@ def beta_binomial_priors(
     distinct (group, x, n) with their counts are stored once; a step is one
     aggregate of them, joined by the group's present parameters, and groups that
     have converged drop out of it. Starts from the moment estimates. A group
-    whose likelihood has no maximum (all rates equal, say) ends unconverged.
+    whose likelihood has no finite maximum (all rates equal, say: the parameters run
+    away beyond a million) ends unconverged.
     """
     rates = es.where(F.col(n) > 0).select(F.col(group).alias("g"), F.col(x).cast("double").alias("x"), F.col(n).cast("double").alias("n"))
     base = materialize(rates.groupBy("g", "x", "n").agg(F.count(F.lit(1)).cast("double").alias("c")), "prior-base")
@@ -138,10 +143,10 @@ def beta_binomial_priors(
     v = (F.col("pp") - F.col("rows") * F.col("mu") * F.col("mu")) / (F.col("rows") - 1)
     total = F.when((F.col("rows") > 1) & (v > 0), F.col("mu") * (1 - F.col("mu")) / v - 1)
     start = lambda share: F.when(total * share > 0, total * share).otherwise(F.lit(1.0))
-    state = materialize(mom.select("g", start(F.col("mu")).alias("a"), start(1 - F.col("mu")).alias("b"), F.lit(0).alias("steps"), F.lit(False).alias("converged")), "prior-state")
+    state = materialize(mom.select("g", start(F.col("mu")).alias("a"), start(1 - F.col("mu")).alias("b"), F.lit(0).alias("steps"), F.lit(False).alias("converged"), F.lit(False).alias("done")), "prior-state")
     a, b = F.col("a"), F.col("b")
     for _ in range(max_steps):
-        moving = state.where("not converged")
+        moving = state.where("not done")
         if moving.isEmpty():
             break
         at = {"x": _polygamma(F.col("x") + a), "f": _polygamma(F.col("n") - F.col("x") + b), "n": _polygamma(F.col("n") + a + b)}
@@ -149,8 +154,10 @@ def beta_binomial_priors(
         added = join_on(base, moving, ["g"], null_safe=True).groupBy("g", "a", "b", "steps").agg(*sums)
         sa, sb = _newton(a, b, {k: F.col(k) for k in ("c", "x0", "x1", "f0", "f1", "n0", "n1")})
         moved = added.select("g", "a", "b", "steps", sa.alias("sa"), sb.alias("sb"))
-        moved = moved.select("g", (a * F.exp("sa")).alias("a"), (b * F.exp("sb")).alias("b"), (F.col("steps") + 1).alias("steps"), (F.greatest(F.abs("sa"), F.abs("sb")) < tol).alias("converged"))
-        state = materialize(state.where("converged").unionByName(moved), "prior-state")
+        moved = moved.select("g", (a * F.exp("sa")).alias("a"), (b * F.exp("sb")).alias("b"), (F.col("steps") + 1).alias("steps"), (F.greatest(F.abs("sa"), F.abs("sb")) < tol).alias("small"))
+        runaway = a + b > _RUNAWAY
+        moved = moved.select("g", "a", "b", "steps", (F.col("small") & ~runaway).alias("converged"), (F.col("small") | runaway).alias("done"))
+        state = materialize(state.where("done").unionByName(moved), "prior-state")
     return state.select(F.col("g").alias(group), a.alias("alpha"), b.alias("beta"), (a / (a + b)).alias("mean"), "steps", "converged")
 
 
