@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 from collections.abc import Callable, Iterator
 from types import ModuleType
 
 import numpy as np
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,14 +84,18 @@ def perhaps_in(df: DataFrame, key: str, ids: DataFrame, bits: int = 24) -> DataF
     task. It spares a shuffle the rows that cannot match; a join on the key must follow.
     """
     place = F.pmod(F.xxhash64(F.col(ids.columns[0])), F.lit(1 << bits))
-    octets = ids.select(place.alias("p")).groupBy(F.floor(F.col("p") / 8).alias("w")).agg(F.bit_or(F.expr("shiftleft(1, cast(p % 8 as int))")).alias("b"))
-    filled = np.zeros((1 << bits) // 8, np.uint8)
-    rows = octets.toPandas()  # at most 2 ** bits / 8 rows
-    filled[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.uint8)
-    # The test is a JVM expression, so that a stage needs no Python worker for it.
-    at = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << bits))
-    octet = F.conv(F.hex(F.substring(F.lit(filled.tobytes()), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return df.where(octet.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0)
+    words = ids.select(place.alias("p")).groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
+    filled = np.zeros((1 << bits) // 64, np.int64)
+    rows = words.toPandas()  # at most 2 ** bits / 64 rows
+    filled[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64)
+    shared = df.sparkSession.sparkContext.broadcast(filled.view(np.uint64))
+
+    @F.pandas_udf("boolean")
+    def there(p: pd.Series) -> pd.Series:
+        p = p.to_numpy(np.int64)
+        return pd.Series((shared.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    return df.where(there(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << bits))))
 
 
 def text_chunks(texts: list[str | None], max_chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
@@ -115,6 +122,16 @@ def kept_by_worker(key: tuple, make: Callable[[], object]):
     return store[key]
 
 
+def let_go() -> None:
+    """Frees what this worker keeps for another stage, and gives the memory back to the system where the C library can."""
+    sys.modules.setdefault("_blockwise_kept", ModuleType("_blockwise_kept")).__dict__.setdefault("store", {}).clear()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not this C library
+
+
 class Generations:
     """What was worked out for a key, kept while it is asked for: a full young generation becomes the old one."""
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockwise.llm.common import by_value, fixed, skew_left_join
+from blockwise.llm.common import by_value, fixed, let_go, skew_left_join
 from blockwise.llm.components import components
 from blockwise.llm.linking import CELL, PIECE, crossing, degrees, hubs_of, nodes_of, sets_of, starred, text_key, verified
 from blockwise.llm.shingles import mix64, shingle_hashes, utf8_blocks
@@ -123,6 +123,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """``doc_id, text_key, set_hash, shingles, sketch`` (the registers) of each row of ``doc_id, text`` (texts not null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()  # an earlier stage's stores
         for batch in batches:
             for a, b, data, offsets in utf8_blocks(batch.column(2)):
                 keys, begins = shingle_hashes(data, offsets)
