@@ -87,3 +87,68 @@ def jaccard_links(docs: list[tuple[int, str | None]], threshold: float = 0.8) ->
             for b in ids[i + 1 :]:
                 common[a, b] += 1
     return {(a, b) for (a, b), n in common.items() if sets[a] != sets[b] and n >= threshold * (len(sets[a]) + len(sets[b]) - n)}
+
+
+def rebuilt_turns(rows: list[tuple], every: int | None, heads: int = 6) -> dict[int, list[tuple[str, str]]]:
+    """Turns of each conversation in order; with ``every``, with the beginning of the conversation that starts its range."""
+    import zlib
+
+    convs: dict[int, list] = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            convs.setdefault(c, []).append((turn is not None, turn or 0, role or "", hashlib.sha256(f"{len(role or '')}:{role or ''}{text or ''}".encode()).digest()[:16], text or ""))
+    own = {c: [(r, t) for _, _, r, _, t in sorted(x)] for c, x in convs.items()}
+    if not every:
+        return own
+    h = {c: zlib.crc32(str(c).encode()) % heads for c in own}
+    return {c: own.get(c - c % every, [])[: h[c]] + turns[h[c] :] for c, turns in own.items()}
+
+
+def prefix_trie(convs: dict[int, list[tuple[str, str]]]) -> list[tuple]:
+    """Rows of the trie, from all prefixes of all conversations."""
+    members: dict[tuple, list[int]] = {}
+    for c, turns in convs.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:d]), []).append(c)
+    out: dict[tuple, tuple] = {}
+    for path, m in sorted(members.items(), key=lambda e: -len(e[0])):
+        d = len(path)
+        below = [out[k] for k in {tuple(convs[c][: d + 1]) for c in m if len(convs[c]) > d}]
+        ends = ",".join(str(c) for c in sorted(m) if len(convs[c]) == d)
+        saved = (len(m) - 1) * (len(path[-1][1]) if d else 0) + sum(r[6] for r in below)
+        parent = min(members[path[:-1]]) if d else None
+        out[path] = (min(m), d, parent, len(m), len(below), sum(r[5] for r in below) or 1, saved, hashlib.sha256(ends.encode()).hexdigest())
+    return sorted(out.values())
+
+
+def components(rows: list[tuple[int | None, str | None]], percent: int) -> list[tuple]:
+    """``doc_id, n_shingles, component_id, kept`` of each row, by sets; an empty set is alone, a null id takes no part."""
+    from collections import Counter
+
+    sets = [shingles(t) for _, t in rows]
+    first: dict[frozenset, int] = {}
+    parent = list(range(len(rows)))
+
+    def top(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    holders: dict[tuple, list[int]] = {}
+    for i, s in enumerate(sets):
+        if rows[i][0] is None or not s:
+            continue
+        j = first.setdefault(s, i)
+        parent[top(i)] = top(j)
+        if i == j:
+            for x in s:
+                holders.setdefault(x, []).append(i)
+    common = Counter((a, b) for ids in holders.values() for k, a in enumerate(ids) for b in ids[k + 1 :])
+    for (a, b), n in common.items():
+        if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
+            parent[top(a)] = top(b)
+    low: dict[int, int] = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            low[top(i)] = min(low.get(top(i), d), d)
+    return [(d, len(s), None if d is None else low[top(i)], d is None or low[top(i)] == d) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))]
