@@ -317,13 +317,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     return fixed(text.join(chosen, "_id").join(kept, "_id", "left_semi"), "toxic-train")
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows: the words of a whole batch as Python strings would fill a worker's memory."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def words_of(rows: DataFrame, model: Model) -> DataFrame:
     """``y, part, words``: the restored words of each row's text; every text is decoded once, here."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = shared.value.restorer()
-        for batch in batches:
+        for batch in _slices(batches):
             words = [sorted(restored_words(t, restorer)[0]) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string()))], names=["y", "part", "words"])
 
@@ -343,7 +350,7 @@ def mark_counts(rows: DataFrame) -> DataFrame:
                 c.clear()
             return out
 
-        for batch in batches:
+        for batch in _slices(batches):
             for y, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts[y].update(marks_of(set(words)))
                 if len(counts[0]) + len(counts[1]) > 200_000:
@@ -403,7 +410,7 @@ def _features(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weigh = Restorer(np.zeros(1, np.float32), shared.value)
-        for batch in batches:
+        for batch in _slices(batches):
             x = []
             for words in batch.column(1).to_pylist():
                 x.append(Model.features(len(words), {w: v for w in words if (v := weigh.weight(w))}))
