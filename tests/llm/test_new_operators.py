@@ -170,7 +170,7 @@ def test_whitening_against_eigh(spark):
 
 def test_whitening_of_dependent_and_odd_vectors(spark):
     rng = np.random.default_rng(1)
-    flat = np.round(rng.normal(size=(200, 3)) @ np.array([[1, 0, 1, 0], [0, 1, 1, 0], [0, 0, 0, 5]]) * 64) / 64
+    flat = np.round(rng.normal(size=(200, 3)) * 64) / 64 @ np.array([[1, 0, 1, 0], [0, 1, 1, 0], [0, 0, 0, 5]])
     df = spark.createDataFrame([(i, [*v, 2.0]) for i, v in enumerate(flat.tolist())], "vec_id long, embedding array<double>")
     out = whitening.whitened(df).toPandas()
     assert out.component.max() == 3 and out.identity_error.max() < 1e-9 and abs(out.explained[:3].sum() - 1) < 1e-9
