@@ -51,24 +51,44 @@ def orientation(a: Column, b: Column, x: Column, y: Column) -> Column:
     return F.when(F.abs(left - right) > bound, F.signum(left - right)).otherwise(F.signum(exact.cast("double"))).cast("int")
 
 
+#: Beyond this distance two coordinates differ in their 12 decimals, however they were rounded.
+_APART = 1e-11
+
+
+def ring_edges(ring: str | Column) -> Column:
+    """Edges ``ARRAY<STRUCT<a,b>>`` of a ring; none for an empty or missing ring."""
+    ring = col(ring)
+    edges = lambda r: F.zip_with(F.slice(r, 1, F.size(r) - 1), F.slice(r, 2, F.size(r) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return F.when(F.size(ring) > 0, F.element_at(F.transform(F.array(_closed(ring)), edges), 1))
+
+
 def covers(ring: str | Column, px: str | Column, py: str | Column) -> Column:
     """Polygon covers point: inside by even-odd ray cast, or on the boundary; an empty or missing ring covers nothing."""
-    ring = col(ring)
-    r = _closed(ring)
+    return covers_edges(ring_edges(ring), px, py)
+
+
+def covers_edges(edges: str | Column, px: str | Column, py: str | Column) -> Column:
+    """``covers`` on the edges of a ring, which a join makes once per polygon.
+
+    One pass over the edges. The orientation decides only for a point next to a
+    slanted edge: on a level or upright edge, and beside the edge's box,
+    comparisons say the same.
+    """
     x, y = col(px).cast("double"), col(py).cast("double")
-    edges = F.transform(F.sequence(F.lit(0), F.size(r) - 2), lambda i: F.struct(F.get(r, i).alias("a"), F.get(r, i + 1).alias("b")))
 
-    def met(e):
-        """2 on the edge, 1 if a ray to the right crosses it, else 0."""
+    def step(met, e):
+        """2 once the point is on an edge, else whether a ray to the right has crossed an odd number of edges."""
         a, b = e["a"], e["b"]
         turn = orientation(a, b, x, y)
-        within = x.between(F.least(a.x, b.x), F.greatest(a.x, b.x)) & y.between(F.least(a.y, b.y), F.greatest(a.y, b.y))
+        lo, hi = F.least(a.x, b.x), F.greatest(a.x, b.x)
+        within = x.between(lo, hi) & y.between(F.least(a.y, b.y), F.greatest(a.y, b.y))
         straddles = (a.y > y) != (b.y > y)
-        return F.when((turn == 0) & within, 2).when(straddles & ((turn > 0) == (b.y > a.y)) & (turn != 0), 1).otherwise(0)
+        beside = F.when(x > hi + _APART, False).when(x < lo - _APART, True)
+        crosses = F.coalesce(beside, ((turn > 0) == (b.y > a.y)) & (turn != 0))
+        on_edge = within & ((a.x == b.x) | (a.y == b.y) | (turn == 0))
+        return F.when(met == 2, 2).when(on_edge, 2).when(straddles & crosses, 1 - met).otherwise(met)
 
-    codes = F.transform(edges, met)
-    odd = F.size(F.filter(codes, lambda c: c == 1)) % 2 == 1
-    return F.when(F.size(ring) > 0, F.exists(codes, lambda c: c == 2) | odd).otherwise(False)
+    return F.coalesce(F.aggregate(col(edges), F.lit(0), step) > 0, F.lit(False))
 
 
 def ring_bbox(ring: str | Column) -> tuple[Column, Column, Column, Column]:

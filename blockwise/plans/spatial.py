@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockwise.functions.geo import covers, ring_bbox, web_mercator
+from blockwise.functions.geo import covers_edges, ring_bbox, ring_edges, web_mercator
 from blockwise.operators.joins import join_on, union_rows
 from blockwise.session import materialize
 
@@ -189,21 +189,27 @@ def covers_join(
 ) -> DataFrame:
     """Polygons left-joined to every point they cover (boundary included).
 
-    Equi join on quadtree cells of at most ``limit`` points, exact ring test
+    Equi join on quadtree cells of at most ``limit`` places, exact ring test
     after it, both on coordinates rounded to 12 decimals; polygons without a
-    point are kept once with NULL point columns when ``keep_unmatched``.
+    point are kept once with NULL point columns when ``keep_unmatched``. Both
+    inputs are stored once; a place that several points share is tested once,
+    and the points meet the polygons of their place in an equi join.
     """
     decimals = lambda c: F.round(c.cast("double"), 12)
     ring = F.transform("ring", lambda p: F.struct(decimals(p["x"]).alias("x"), decimals(p["y"]).alias("y")))
-    rounded = points.withColumns({"__px": decimals(F.col(x)), "__py": decimals(F.col(y))})
-    pc, pt = _join_cells(polys.withColumn("__ring", ring), rounded, cell, limit, depth)
+    polys = materialize(polys, "polygons")
+    rounded = materialize(points.withColumns({"__px": decimals(F.col(x)), "__py": decimals(F.col(y))}), "polygon-points")
+    places = rounded.select("__px", "__py").where("__px is not null and __py is not null").distinct()
+    edged = materialize(polys.withColumn("__ring", ring).withColumn("__edges", ring_edges("__ring")), "polygon-edges")
+    pc, pt = _join_cells(edged, materialize(places, "polygon-places"), cell, limit, depth)
     key = ["level", "lx", "ly", "piece"]
-    hits = pc.join(pt, key).where(covers("__ring", "__px", "__py")).drop(*key, "__ring", "__px", "__py")
+    met = pc.drop("__ring").join(pt, key).where(covers_edges("__edges", "__px", "__py")).drop(*key, "__edges")
+    met = materialize(met, "polygon-places-met")  # read twice: for the points and for the polygons without one
+    hits = met.join(rounded, ["__px", "__py"]).select(*polys.columns, *points.columns)
     if not keep_unmatched:
         return hits
-    hits = materialize(hits, "polygon-hits")  # read twice: as result and for the polygons without a point
     id_cols = [c for c in polys.columns if c != "ring"]
-    missing = join_on(polys, hits.select(*id_cols).distinct(), id_cols, "left_anti", null_safe=True)
+    missing = join_on(polys, met.select(*id_cols).distinct(), id_cols, "left_anti", null_safe=True)
     return union_rows(hits, missing)
 
 
