@@ -71,3 +71,11 @@ def test_weighted_sample_stores_the_rates(spark, monkeypatch):
     monkeypatch.setattr(registry.EX, "expected_species", lambda o: rates)
     assert registry.q_sample_weighted(spark, "").count() == 2
     assert kept == ["expected-species"]
+
+
+def test_summary_joins_its_tables_once(spark, monkeypatch):
+    """Both grains and the old atlas read one stored join."""
+    read, table = [], registry.fx.table
+    monkeypatch.setattr(registry.fx, "table", lambda s, d, name: read.append(name) or table(s, d, name))
+    assert registry.summary(spark, "/root/testdata/sf0.001").count() > 0
+    assert read.count("lineitem") == 1 and read.count("orders") == 1
