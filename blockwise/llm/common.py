@@ -117,7 +117,8 @@ def kept_by_worker(key: tuple, make: Callable[[], object]):
     """
     store = sys.modules.setdefault("_blockwise_kept", ModuleType("_blockwise_kept")).__dict__.setdefault("store", {})
     if key not in store:
-        store.clear()
+        if store:
+            let_go()
         store[key] = make()
     return store[key]
 

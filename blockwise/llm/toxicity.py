@@ -32,11 +32,13 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from operator import itemgetter
 from uuid import uuid4
 
 import numpy as np
@@ -44,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockwise.llm.common import Generations, by_value, fixed, kept_by_worker
+from blockwise.llm.common import Generations, by_value, fixed, kept_by_worker, let_go
 from blockwise.llm.shingles import utf8_blocks
 
 by_value(__name__)
@@ -70,11 +72,20 @@ _INNER, _BETWEEN = rf"(?:[^\w\s{_LOOK}]|_)++", rf"(?:[^\w{_LOOK}]|_)++"
 _PART = rf"[{_ANY}]{{1,{SHORT}}}+(?![^\W_]|[{_LOOK}])"
 TOKEN = re.compile(rf"(?<![{_ANY}])(?:[{_LETTER}]++(?=[{_LOOK}]|{_INNER}[{_ANY}])|[{_LOOK}]++(?=[{_LETTER}]|{_INNER}[{_ANY}]))[{_ANY}]*+(?:{_INNER}[{_ANY}]++)*+")
 PARTS = re.compile(rf"(?<![^\W_])(?<![{_LOOK}]){_PART}(?:{_BETWEEN}{_PART})++")
+SAME = re.compile(r"(.)\1", re.DOTALL)
 DOUBLED = re.compile(rf"([{_LETTER}])\1")
 SEPARATORS = re.compile(_BETWEEN)
 WORDS = re.compile(r"[^\W\d_]+")
-#: Places and words that a generation of a worker's store holds.
-STORE, WORD_STORE = 40_000, 60_000
+#: What stands between separators, and the short ones of them.
+BLOBS, SHORT_PART = re.compile(rf"(?:[^\W_]|[{_LOOK}])+"), re.compile(rf"[{_ANY}]{{1,{SHORT}}}")
+#: Separators at the ends of a token that matter to nothing in it.
+EDGES = ".,;:?\"'()"
+#: Tokens, by kind, that may hold a run of parts, and the length from which such a piece is not kept as a whole.
+#: The move at a place's end.
+END = [(" ", 0, 0.0)]
+SEGMENTS, LONG = re.compile("[ax](?:_*[ax])+|x"), 100
+#: Places, words and tokens that a generation of a worker's store holds.
+STORE, WORD_STORE, TOKEN_STORE = 40_000, 20_000, 150_000
 #: Symbols of the language model: 0 ends a word, 1 to 26 are a to z, the rest are other letters.
 ORDER, SYMBOLS = 4, 32
 
@@ -97,10 +108,22 @@ def symbol(char: str) -> int:
     return 0 if char == " " else int(_SYMBOL[char.encode()[-1]])
 
 
+class _Symbols(dict):
+    """``symbol`` of each character met."""
+
+    def __missing__(self, char: str) -> int:
+        self[char] = out = symbol(char)
+        return out
+
+
+SYMBOL = _Symbols()
+
+
 def letter_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``gram, n``: letter 4-grams of all whole texts, as base-32 numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()  # an earlier stage's stores
         total = np.zeros(SYMBOLS**ORDER, np.int64)
         for batch in batches:
             for _, _, data, offsets in utf8_blocks(batch.column(0)):
@@ -129,12 +152,19 @@ def language_model(grams: DataFrame) -> np.ndarray:
 
 
 class Restorer:
-    """Viterbi decoding of obfuscated places; equal places and words are worked out once."""
+    """Viterbi decoding of obfuscated places; equal places, words and tokens are worked out once.
+
+    A text is read by its tokens between white space, most of which are one plain word. Only a run of
+    parts reaches across white space, so the other places are those of their tokens, and a run is looked
+    for where tokens begin or end with short parts.
+    """
 
     def __init__(self, model: np.ndarray, weights: dict[str, float] | None = None):
-        self.model = memoryview(np.ascontiguousarray(model, np.float32).ravel())
+        self.model = array("f", np.ascontiguousarray(model, np.float32).tobytes())
         self.weights = weights or {}
-        self.place, self.word = Generations(self.restored, STORE), Generations(self.word_value, WORD_STORE)
+        self.moves: dict[tuple, list[tuple[str, int, float]]] = {}
+        self.place, self.segment = Generations(self.restored, STORE), Generations(self.restored_places, STORE)
+        self.word, self.token = Generations(self.word_value, WORD_STORE), Generations(self.token_value, TOKEN_STORE)
 
     def places(self, low: str) -> list[str]:
         """Tokens and runs of parts that may be obfuscated; of two places, one inside the other, the outer one."""
@@ -159,13 +189,67 @@ class Restorer:
         out = " ".join(self.decode(SEPARATORS.sub(_one_separator, place)).split())
         return None if out == " ".join(written) else out
 
+    def restored_places(self, low: str) -> tuple[str, ...]:
+        """What the places of a piece of text become, without those that stay as they are."""
+        return tuple([out for p in self.places(low) if (out := self.restored(p) if p == low else self.place[p]) is not None])
+
     def word_value(self, word: str) -> float | tuple[float, str]:
         """A word's weight; with the restored words if a word with a doubled letter becomes others."""
-        value = self.weight(word)
-        if DOUBLED.search(word) and (out := self.restored(word)) is not None:
-            return value, out
+        value = self.weight(word) if self.weights else 0.0
+        m = DOUBLED.search(word)
+        if m is not None:
+            i = m.start() + 1
+            only = SAME.search(word).start() == i - 1 and SAME.search(word, i) is None
+            out = self.without(word, i) if only else self.decode(word)
+            if out != word:
+                return value, out
         return value
 
+    def without(self, word: str, i: int) -> str:
+        """``decode`` of a word whose only repeated letter is at ``i``: two ways, which part there and meet after three letters."""
+        model, at, met = self.model, 0, word[i + 1 : i + 4]
+        symbols = [SYMBOL[c] for c in met] + [0] * (len(met) < 3)
+        for c in word[max(0, i - 3) : i]:
+            at = (at * 32 + SYMBOL[c]) & 32767
+        to = at * 32 + SYMBOL[word[i]]
+        kept, dropped, other = model[to], -COST["drop_second"], to & 32767
+        for k in symbols:
+            to, here = other * 32 + k, at * 32 + k
+            kept, dropped = kept + model[to], dropped + model[here]
+            other, at = to & 32767, here & 32767
+        return word[:i] + word[i + 1 :] if dropped > kept else word
+
+    def token_value(self, token: str) -> str | tuple[str, tuple, dict, tuple, int]:
+        """The word that a token between white space is, if it is one without a mark.
+
+        Else its kind (``_``: separators only, ``a``: one short part, ``x``: short parts at an end, else ``n``),
+        its words, the weights of the marked ones, what is restored inside it, and how many places that are.
+        """
+        core = token.strip(EDGES)
+        plain = len(core) > SHORT and core.isalpha()
+        if plain:
+            value = self.word_value(core) if core == token else self.word[core]
+            if not value:
+                return core
+        kind, words, out = "n", (core,) if plain else tuple(WORDS.findall(token)), ()
+        if not plain:
+            blobs = BLOBS.findall(token)
+            if not blobs:
+                kind = "_"
+            elif SHORT_PART.fullmatch(blobs[0]) or SHORT_PART.fullmatch(blobs[-1]):
+                kind = "a" if len(blobs) == 1 and not TOKEN.search(token) else "x"
+            else:
+                out = self.restored_places(token)
+        n, marked = len(out), {}
+        for w in words:
+            value = self.word[w]
+            if type(value) is tuple:
+                value, restored = value
+                out, n = (*out, restored), n + 1
+            if value:
+                marked[w] = value
+        return kind, words, marked or None, out, n
+
     def weight(self, word: str) -> float:
         """Weight of the strongest mark of a word."""
         weight = self.weights
@@ -176,32 +260,39 @@ class Restorer:
 
     def read(self, text: str) -> tuple[set[str], dict[str, float], int]:
         """The words of the restored text, the weights of the marked ones, and how many places differ from what was written."""
-        low = text.lower()
-        written = WORDS.findall(low)
-        words, marked, more, n = set(written), {}, [], 0
-        known, recent, changed = self.word, self.word.young.get, set()
-        for w in words:
-            value = recent(w)
+        tokens = text.lower().split()
+        words, marked, more, n = set(), {}, [], 0
+        kinds, changed = {}, {}
+        known, recent, add = self.token, self.token.young.get, words.add
+        for t in set(tokens):
+            value = recent(t)
             if value is None:
-                value = known[w]
-            if value:
-                if type(value) is tuple:
-                    changed.add(w)
-                    value, out = value
-                    more.append(out)
-                if value:
-                    marked[w] = value
-        if changed:
-            n = sum(w in changed for w in written)
-        place = self.place
-        for p in self.places(low):
-            out = place[p]
-            if out is not None:
-                n += 1
-                more.append(out)
+                value = known[t]
+                recent = known.young.get
+            if type(value) is str:
+                add(value)
+                continue
+            kind, own, weights, out, k = value
+            words.update(own)
+            if kind != "n":
+                kinds[t] = kind
+            if weights:
+                marked.update(weights)
+            if k:
+                changed[t] = k
+                more += out
+        for t, k in changed.items():
+            n += k * tokens.count(t)
+        if kinds:
+            place, segment = self.place, self.segment
+            for m in SEGMENTS.finditer("".join([kinds.get(t, "n") for t in tokens])):
+                piece = " ".join(tokens[m.start() : m.end()])
+                out = segment[piece] if len(piece) <= LONG else [o for p in self.places(piece) if (o := place[p]) is not None]
+                n += len(out)
+                more += out
         for w in {w for out in more for w in out.split()} - words:
             words.add(w)
-            value = known[w]
+            value = self.word[w]
             value = value[0] if type(value) is tuple else value
             if value:
                 marked[w] = value
@@ -223,39 +314,68 @@ class Restorer:
         return out
 
     def decode(self, place: str) -> str:
-        model = self.model
-        beam: dict[int, tuple] = {0: (0.0, "", None)}  # state -> score, symbol, the entry before
-        for i in range(len(place) + 1):
-            nxt: dict[int, tuple] = {}
-            c = place[i : i + 1]
-            if c.isalpha() and place[i - 1 : i] != c:  # one arc without cost
-                k = symbol(c)
-                for state, before in beam.items():
-                    at, s = ((state << 5) & 32767) + k, before[0] + model[state * 32 + k]
-                    if at not in nxt or s > nxt[at][0]:
-                        nxt[at] = (s, c, before)
-                beam = nxt
-                continue
-            for x, cost in self.arcs(place, i) if c else [(" ", 0.0)]:
-                k = symbol(x) if x else -1
-                for state, before in beam.items():
-                    if k < 0 or (k == 0 and not state & 31):
-                        at, s, y = state, before[0] - cost, ""
-                    else:
-                        at, s, y = ((state << 5) & 32767) + k, before[0] - cost + model[state * 32 + k], x
-                    if at not in nxt or s > nxt[at][0]:
-                        nxt[at] = (s, y, before)
+        model, moves, n = self.model, self.moves, len(place)
+        beam: dict[int, tuple] = {0: (0.0, None)}  # state -> score, (what was read, the one before)
+        i, last = 0, ""
+        while i <= n:
+            j, symbols = i, []
+            while j < n and (c := place[j]) != last and c.isalpha():
+                symbols.append(SYMBOL[c])
+                j, last = j + 1, c
+            if j > i:  # letters that are what they are: one arc each, without cost
+                cut = i + 3
+                while True:
+                    piece, nxt = place[i : min(cut, j)], {}
+                    first = symbols[:3] if j > cut else symbols
+                    for at, (s, way) in beam.items():
+                        for k in first:
+                            to = at * 32 + k
+                            s += model[to]
+                            at = to & 32767
+                        if at not in nxt or s > nxt[at][0]:
+                            nxt[at] = (s, (piece, way))
+                    beam = nxt
+                    if j <= cut:
+                        break
+                    i, cut, symbols = cut, j, symbols[3:]  # after three letters one entry is left
+                i = j
+            if i < n:
+                c = place[i]
+                key = (c, place[i - 2 : i - 1] if i > 1 else "", place[i + 2 : i + 3]) if c == " " else (c, last == c, i > 1 and last == c == place[i - 2])
+                arcs = moves.get(key)
+                if arcs is None:
+                    arcs = [(x, symbol(x) if x else -1, cost) for x, cost in self.arcs(place, i)]
+                    if len(moves) < 10_000:
+                        moves[key] = arcs
+                last = c
+            else:
+                arcs = END
+            i, nxt = i + 1, {}
+            for x, k, cost in arcs:
+                for state, (s, way) in beam.items():
+                    s -= cost
+                    if k > 0 or (k == 0 and state & 31):
+                        to = state * 32 + k
+                        s += model[to]
+                        state, way = to & 32767, (x, way)
+                    if state not in nxt or s > nxt[state][0]:
+                        nxt[state] = (s, way)
             beam = nxt  # one entry for each last three symbols, of which few are possible at a place
-        entry, out = max(beam.values(), key=lambda e: e[0]), []
-        while entry is not None:
-            out.append(entry[1])
-            entry = entry[2]
-        return "".join(reversed(out)).strip()
+        _, way = max(beam.values(), key=_score_of)
+        out = []
+        while way is not None:
+            x, way = way
+            out.append(x)
+        return "".join(out[::-1]).strip()
+
+
+_score_of = itemgetter(0)
 
 
 def _one_separator(m: re.Match) -> str:
     """A run of separators counts as one: a blank if it holds white space, else a dot."""
-    return "." if not any(map(str.isspace, m.group())) else " "
+    run = m.group()
+    return " " if run == " " or any(map(str.isspace, run)) else "."
 
 
 def restored_words(text: str, restorer: Restorer) -> tuple[set[str], int]:
@@ -338,27 +458,29 @@ def words_of(rows: DataFrame, model: Model) -> DataFrame:
 
 
 def mark_counts(rows: DataFrame) -> DataFrame:
-    """``mark, toxic, clean``: texts of each class that hold each mark."""
+    """``mark, fit_toxic, fit_clean, toxic, clean``: texts of each class that hold each mark, outside part 3 and in all."""
+    names = ["fit_toxic", "fit_clean", "toxic", "clean"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        apart, rest = [Counter(), Counter()], [Counter(), Counter()]  # outside part 3, in part 3; clean, toxic
 
         def flush():
-            marks = list(counts[0].keys() | counts[1].keys())
-            out = pa.RecordBatch.from_arrays([pa.array(marks, pa.string()), *[pa.array([c[m] for m in marks], pa.int64()) for c in counts[::-1]]], names=["mark", "toxic", "clean"])
-            for c in counts:
+            marks = list(set().union(*apart, *rest))
+            n = [np.array([[c[m] for m in marks] for c in counts[::-1]], np.int64) for counts in (apart, rest)]
+            out = pa.RecordBatch.from_arrays([pa.array(marks, pa.string()), *map(pa.array, n[0]), *map(pa.array, n[0] + n[1])], names=["mark", *names])
+            for c in (*apart, *rest):
                 c.clear()
             return out
 
         for batch in _slices(batches):
-            for y, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts[y].update(marks_of(set(words)))
-                if len(counts[0]) + len(counts[1]) > 200_000:
+            for y, part, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                (rest if part == 3 else apart)[y].update(marks_of(set(words)))
+                if sum(map(len, (*apart, *rest))) > 200_000:
                     yield flush()
         yield flush()
 
-    parts = rows.select("y", "words").mapInArrow(run, "mark string, toxic long, clean long")
-    return parts.groupBy("mark").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    parts = rows.select("y", "part", "words").mapInArrow(run, "mark string, " + ", ".join(f"{n} long" for n in names))
+    return parts.groupBy("mark").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -384,20 +506,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return model
     # The logistic function is fitted on rows that the marks have not seen; then the marks are taken from all rows.
     apart = all(size.get((y, f)) for y in (0, 1) for f in (True, False))
-    weights = mark_weights(words.where("part <> 3") if apart else words)
+    counts = fixed(mark_counts(words).where("toxic > 2"), "toxic-marks")
+    weights = mark_weights(counts, size.get((1, True), 0), size.get((0, True), 0), "fit_") if apart else mark_weights(counts, toxic, clean)
     found = _features(words.where("part = 3") if apart else words, weights).toPandas()  # a row for each labelled row at most
     x, y = np.array(found["features"].tolist(), float), found["y"].to_numpy(float)
     order = np.lexsort([*x.T, y])
     logistic = _logistic(x[order], y[order])
-    return Model(model.letters, mark_weights(words) if apart else weights, logistic)
+    return Model(model.letters, mark_weights(counts, toxic, clean) if apart else weights, logistic)
 
 
-def mark_weights(rows: DataFrame) -> dict[str, float]:
-    """Strong marks and the lower bounds of their log odds, from texts that hold them in each class."""
-    n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    a, c = F.col("toxic"), F.col("clean")
-    odds = F.ln((a + 0.5) / (n[1] + 1)) - F.ln((c + 0.5) / (n[0] + 1)) - 2 * F.sqrt(1 / (a + 0.5) + 1 / (c + 0.5))
-    marks = fixed(mark_counts(rows).where(a > 2).select("mark", odds.alias("odds")).where(F.col("odds") > MIN_ODDS), "toxic-marks")
+def mark_weights(counts: DataFrame, n_toxic: int, n_clean: int, prefix: str = "") -> dict[str, float]:
+    """Strong marks and the lower bounds of their log odds, from how many texts of each class hold them."""
+    a, c = F.col(f"{prefix}toxic"), F.col(f"{prefix}clean")
+    odds = F.ln((a + 0.5) / (n_toxic + 1)) - F.ln((c + 0.5) / (n_clean + 1)) - 2 * F.sqrt(1 / (a + 0.5) + 1 / (c + 0.5))
+    marks = counts.where(a > 2).select("mark", odds.alias("odds")).where(F.col("odds") > MIN_ODDS)
     best = marks.agg(F.max("odds")).first()[0]
     # Weak marks are left out: over a long text, chance ones would add up.
     strong = marks.where(F.col("odds") >= STRONG * (best or 0.0)).orderBy(F.desc("odds"), "mark").toPandas()
@@ -425,7 +547,7 @@ def _scored(rows: DataFrame, shared, id_type: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         restorer = model.restorer()
-        for batch in batches:
+        for batch in _slices(batches):
             x, restored = [], []
             for text in batch.column(1):
                 words, marked, n = restorer.read(text.as_py() or "")
@@ -463,7 +585,7 @@ def keep_below(docs: DataFrame, model: Model, threshold: float = 0.3, text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         restorer = model.restorer()
-        for batch in batches:
+        for batch in _slices(batches):
             x = []
             for text in batch.column(at):
                 words, marked, _ = restorer.read(text.as_py() or "")

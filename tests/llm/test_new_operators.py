@@ -225,3 +225,37 @@ def test_decoding_is_exact_without_a_beam():
     for place in ("1d10t", "a55 ho", "m.o.r", "$cu!m", "b4a4d"):
         best = max(paths(place, 0, 0, 0.0, ""))[0]
         assert any(s > best - 1e-4 and out == r.decode(place) for s, out in paths(place, 0, 0, 0.0, ""))
+
+
+def test_texts_read_by_tokens_are_read_whole():
+    """Tokens and runs across white space against the places and words of the whole text, worked out one by one."""
+    rng = np.random.default_rng(5)
+    model = np.log(rng.dirichlet(np.ones(32) / 8, 32**3) + 1e-9).astype(np.float32)
+    r, chars = toxicity.Restorer(model, {"aab": 1.5}), list("aab.e s5$ \n-_'éя!i|7 2t,\x1c ß")
+    assert not r.token.young
+    for _ in range(300):
+        text = "".join(rng.choice(chars, rng.integers(0, 40)))
+        written, plain = toxicity.WORDS.findall(text.lower()), toxicity.Restorer(model)
+        outs = [o for p in plain.places(text.lower()) if (o := plain.restored(p)) is not None]
+        outs += [o for w in written if toxicity.DOUBLED.search(w) and (o := " ".join(plain.decode(w).split())) != w]
+        words = set(written).union(*(o.split() for o in outs))
+        assert r.read(text) == (words, {w: 1.5 for w in words if w == "aab"}, len(outs)), text
+    assert r.token.young
+
+
+def test_marks_of_both_fits_are_counted_at_once(spark):
+    rows = spark.createDataFrame([(1, 0, ["bad"]), (1, 3, ["bad"]), (0, 0, ["bad", "good"]), (0, 3, ["good"])], "y int, part int, words array<string>")
+    got = {r.mark: (r.fit_toxic, r.fit_clean, r.toxic, r.clean) for r in toxicity.mark_counts(rows).collect()}
+    assert got == {"bad": (1, 1, 2, 1), "good": (0, 1, 0, 2)}
+
+
+def test_a_worker_lets_the_store_before_go(monkeypatch):
+    from blockwise.llm import common
+
+    gone = []
+    let_go = common.let_go
+    monkeypatch.setattr(common, "let_go", lambda: gone.append(1) or let_go())
+    common.let_go()
+    assert common.kept_by_worker(("a",), lambda: 1) == 1 and common.kept_by_worker(("b",), lambda: 2) == 2 == common.kept_by_worker(("b",), lambda: 3)
+    assert len(gone) == 2
+    let_go()
