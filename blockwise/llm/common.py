@@ -10,6 +10,7 @@ from types import ModuleType
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,9 +125,10 @@ def kept_by_worker(key: tuple, make: Callable[[], object]):
 
 
 def let_go() -> None:
-    """Frees what this worker keeps for another stage, and gives the memory back to the system where the C library can."""
+    """Frees what this worker keeps for another stage, and gives the memory back to the system, Arrow's too, where the C library can."""
     sys.modules.setdefault("_blockwise_kept", ModuleType("_blockwise_kept")).__dict__.setdefault("store", {}).clear()
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):

@@ -126,7 +126,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, piece: int = PIECE
     return fixed(by_hub.mapInArrow(run, "a long, b long"), "links-verified")
 
 
-def common_members(index: list[np.ndarray], others: list[np.ndarray], most: int = 4_000_000) -> Iterator[tuple[int, np.ndarray]]:
+def common_members(index: list[np.ndarray], others: list[np.ndarray], most: int = 500_000) -> Iterator[tuple[int, np.ndarray]]:
     """(first of ``others``, how many members each of the following has in common with each set of ``index``).
 
     A matrix is as tall as ``most`` matching places allow, one row at least.

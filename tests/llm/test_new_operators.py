@@ -1,11 +1,12 @@
 """Prefix trie, HyperMinHash components and whitening against brute force, on odd rows and empty tables."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 
-from blockwise.llm import hyperminhash, ngram_join, pii, prefix_trie, queries, token_counts, toxicity, whitening
+from blockwise.llm import hyperminhash, linking, ngram_join, pii, prefix_trie, queries, token_counts, toxicity, whitening
 from blockwise.llm.common import Generations, frequent_keys
 from blockwise.llm.shingles import shingle_hashes
 from tests.llm import brute
@@ -191,8 +192,7 @@ def test_exact_deviations_beyond_a_long():
 
 
 def test_white_space_before_special_strings_counts_as_the_library():
-    import public_tokenizers
-
+    
     counter = token_counts.PrefixCounter(public_tokenizers.path("byte_bpe_50k.json"))
     for text in ("\n\n\x1c<|endoftext|>", "a \x1c<|endoftext|> \x1f b", "  \x1d x <|endoftext|> \x1e", "<|endoftext|>\x85 \x1c", "\x1c \x1d<|endoftext|>"):
         assert counter.prefix_counts(text)[-1] == len(counter.library.encode(text, add_special_tokens=False).ids)
@@ -259,3 +259,16 @@ def test_a_worker_lets_the_store_before_go(monkeypatch):
     assert common.kept_by_worker(("a",), lambda: 1) == 1 and common.kept_by_worker(("b",), lambda: 2) == 2 == common.kept_by_worker(("b",), lambda: 3)
     assert len(gone) == 2
     let_go()
+
+
+def test_comparing_near_copies_takes_little_memory():
+    rng = np.random.default_rng(13)
+    base = np.sort(rng.integers(0, 2**63, 400, dtype=np.uint64))
+    sets = [base[rng.random(400) < 0.95] for _ in range(600)]
+    tracemalloc.start()
+    common = np.concatenate([c for _, c in linking.common_members(sets, sets[:100])])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    for i, j in ((0, 0), (3, 500), (99, 7)):
+        assert common[i, j] == len(np.intersect1d(sets[i], sets[j]))
