@@ -34,15 +34,16 @@ import math
 import re
 from array import array
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import repeat
 from operator import itemgetter
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,14 +85,14 @@ EDGES = ".,;:?\"'()"
 #: The move at a place's end.
 END = [(" ", 0, 0.0)]
 SEGMENTS, LONG = re.compile("[ax](?:_*[ax])+|x"), 100
-#: Places, words and tokens that a generation of a worker's store holds.
-STORE, WORD_STORE, TOKEN_STORE = 40_000, 20_000, 150_000
+#: Places, words, tokens and tokens that are one plain word, which a generation of a worker's store holds.
+STORE, WORD_STORE, TOKEN_STORE, PLAIN_STORE = 40_000, 20_000, 50_000, 100_000
 #: Symbols of the language model: 0 ends a word, 1 to 26 are a to z, the rest are other letters.
 ORDER, SYMBOLS = 4, 32
 
 
 def _byte_symbols() -> np.ndarray:
-    out = np.zeros(256, np.int64)
+    out = np.zeros(256, np.int8)
     for c in range(26):
         out[97 + c] = out[65 + c] = c + 1
     for c in range(0x80, 0xC0):
@@ -131,6 +132,7 @@ def letter_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 s = s[s >= 0]
                 s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]
                 if len(s) >= ORDER:
+                    s = s.astype(np.int32)
                     total += np.bincount(((s[:-3] * 32 + s[1:-2]) * 32 + s[2:-1]) * 32 + s[3:], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
@@ -162,9 +164,13 @@ class Restorer:
     def __init__(self, model: np.ndarray, weights: dict[str, float] | None = None):
         self.model = array("f", np.ascontiguousarray(model, np.float32).tobytes())
         self.weights = weights or {}
+        self.heads = {mark[:4] for mark in self.weights}
         self.moves: dict[tuple, list[tuple[str, int, float]]] = {}
         self.place, self.segment = Generations(self.restored, STORE), Generations(self.restored_places, STORE)
         self.word, self.token = Generations(self.word_value, WORD_STORE), Generations(self.token_value, TOKEN_STORE)
+        #: Word of each token that is one without a mark, in two generations like the others.
+        self.plain: dict[str, str] = {}
+        self.plain_before: dict[str, str] = {}
 
     def places(self, low: str) -> list[str]:
         """Tokens and runs of parts that may be obfuscated; of two places, one inside the other, the outer one."""
@@ -250,8 +256,15 @@ class Restorer:
                 marked[w] = value
         return kind, words, marked or None, out, n
 
+    def keep_plain(self, token: str, word: str) -> None:
+        if len(self.plain) >= PLAIN_STORE:
+            self.plain_before, self.plain = self.plain, {}
+        self.plain[token] = word
+
     def weight(self, word: str) -> float:
-        """Weight of the strongest mark of a word."""
+        """Weight of the strongest mark of a word; the first four letters of a mark are those of its words."""
+        if word[:4] not in self.heads:
+            return 0.0
         weight = self.weights
         value = weight.get(word, 0.0)
         for k in range(4, min(8, len(word))):
@@ -261,17 +274,21 @@ class Restorer:
     def read(self, text: str) -> tuple[set[str], dict[str, float], int]:
         """The words of the restored text, the weights of the marked ones, and how many places differ from what was written."""
         tokens = text.lower().split()
-        words, marked, more, n = set(), {}, [], 0
+        met, marked, more, n = set(tokens), {}, [], 0
+        rest = met.difference(self.plain)
+        words = set(map(self.plain.__getitem__, met - rest))
         kinds, changed = {}, {}
         known, recent, add = self.token, self.token.young.get, words.add
-        for t in set(tokens):
+        for t in rest:
             value = recent(t)
             if value is None:
-                value = known[t]
+                value = self.plain_before.get(t) or known.old.get(t) or self.token_value(t)
+                if type(value) is str:
+                    self.keep_plain(t, value)
+                    add(value)
+                    continue
+                known.put(t, value)
                 recent = known.young.get
-            if type(value) is str:
-                add(value)
-                continue
             kind, own, weights, out, k = value
             words.update(own)
             if kind != "n":
@@ -281,11 +298,14 @@ class Restorer:
             if k:
                 changed[t] = k
                 more += out
-        for t, k in changed.items():
-            n += k * tokens.count(t)
+        if len(changed) > 2:
+            n += sum(map(changed.get, tokens, repeat(0)))
+        else:
+            for t, k in changed.items():
+                n += k * tokens.count(t)
         if kinds:
             place, segment = self.place, self.segment
-            for m in SEGMENTS.finditer("".join([kinds.get(t, "n") for t in tokens])):
+            for m in SEGMENTS.finditer("".join(map(kinds.get, tokens, repeat("n")))):
                 piece = " ".join(tokens[m.start() : m.end()])
                 out = segment[piece] if len(piece) <= LONG else [o for p in self.places(piece) if (o := place[p]) is not None]
                 n += len(out)
@@ -384,14 +404,6 @@ def restored_words(text: str, restorer: Restorer) -> tuple[set[str], int]:
     return words, n
 
 
-def marks_of(words: set[str]) -> set[str]:
-    """Words and the first four to seven letters of longer ones."""
-    out = set(words)
-    for k in range(4, 8):
-        out.update([w[:k] + "-" for w in words if len(w) > k])
-    return out
-
-
 # ------------------------------------------------------------ classifier
 
 
@@ -444,6 +456,17 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.R
             yield batch.slice(a, rows)
 
 
+def _word_slices(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches of ``y, part, words`` with at most about ``most`` words, one row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.list_value_length(batch.column(2)).to_numpy(), dtype=np.int64)
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def words_of(rows: DataFrame, model: Model) -> DataFrame:
     """``y, part, words``: the restored words of each row's text; every text is decoded once, here."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
@@ -462,22 +485,27 @@ def mark_counts(rows: DataFrame) -> DataFrame:
     names = ["fit_toxic", "fit_clean", "toxic", "clean"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        apart, rest = [Counter(), Counter()], [Counter(), Counter()]  # outside part 3, in part 3; clean, toxic
-
-        def flush():
-            marks = list(set().union(*apart, *rest))
-            n = [np.array([[c[m] for m in marks] for c in counts[::-1]], np.int64) for counts in (apart, rest)]
-            out = pa.RecordBatch.from_arrays([pa.array(marks, pa.string()), *map(pa.array, n[0]), *map(pa.array, n[0] + n[1])], names=["mark", *names])
-            for c in (*apart, *rest):
-                c.clear()
-            return out
-
-        for batch in _slices(batches):
-            for y, part, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                (rest if part == 3 else apart)[y].update(marks_of(set(words)))
-                if sum(map(len, (*apart, *rest))) > 200_000:
-                    yield flush()
-        yield flush()
+        for batch in _word_slices(batches):
+            group = batch.column(0).to_numpy() + 2 * (batch.column(1).to_numpy(zero_copy_only=False) == 3)  # clean, toxic; the same in part 3
+            lengths = pc.list_value_length(batch.column(2)).to_numpy()
+            words = batch.column(2).flatten().dictionary_encode()
+            known, code, row = words.dictionary, words.indices.to_numpy(), np.repeat(np.arange(len(lengths)), lengths)
+            letters = pc.utf8_length(known).to_numpy()
+            for k in (0, 4, 5, 6, 7):  # whole words, then the beginnings of longer ones
+                long = np.flatnonzero(letters > k)
+                marks = known.take(pa.array(long))
+                if k:
+                    marks = pc.binary_join_element_wise(pc.utf8_slice_codeunits(marks, 0, k), "-", "")
+                marks = marks.dictionary_encode()
+                of_word = np.full(len(known), -1)
+                of_word[long] = marks.indices.to_numpy()
+                mark = of_word[code]
+                there = mark >= 0
+                m = len(marks.dictionary)
+                once = np.unique(row[there] * m + mark[there])  # a text holds a mark once
+                n = np.bincount(once % max(m, 1) * 4 + group[once // max(m, 1)], minlength=4 * m).reshape(m, 4)
+                counts = [n[:, 1], n[:, 0], n[:, 1] + n[:, 3], n[:, 0] + n[:, 2]]
+                yield pa.RecordBatch.from_arrays([marks.dictionary, *[pa.array(c.astype(np.int64)) for c in counts]], names=["mark", *names])
 
     parts = rows.select("y", "part", "words").mapInArrow(run, "mark string, " + ", ".join(f"{n} long" for n in names))
     return parts.groupBy("mark").agg(*[F.sum(n).alias(n) for n in names])

@@ -261,6 +261,30 @@ def test_a_worker_lets_the_store_before_go(monkeypatch):
     let_go()
 
 
+def test_plain_tokens_have_a_store_of_their_own(monkeypatch):
+    monkeypatch.setattr(toxicity, "PLAIN_STORE", 3)
+    model = np.log(np.full((32**3, 32), 1 / 32)).astype(np.float32)
+    r = toxicity.Restorer(model, {"marked": 2.0, "zorg-": 1.5})
+    for _ in range(3):
+        assert r.read("Plain words repeat; zorgle, marked tokens dont") == ({"plain", "words", "repeat", "zorgle", "marked", "tokens", "dont"}, {"zorgle": 1.5, "marked": 2.0}, 0)
+    assert set(r.token.young) == {"zorgle,", "marked"} and len(r.plain) <= 3 and len(r.plain_before) <= 3
+
+
+def test_marks_are_counted_once_a_text_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(toxicity._word_slices, "__defaults__", (7,))
+    rng = np.random.default_rng(12)
+    vocabulary = ["bad", "badge", "badger", "badgers", "übermäßig", "übermut", "übermütig", "go", "gone"]
+    rows = [(int(rng.integers(2)), int(rng.choice([0, 1, 3])), sorted(set(rng.choice(vocabulary, rng.integers(0, 9)).tolist()))) for _ in range(60)]
+    want = {}
+    for y, part, words in rows:
+        for m in {*words, *(w[:k] + "-" for w in words for k in range(4, 8) if len(w) > k)}:
+            n = want.setdefault(m, [0, 0, 0, 0])
+            n[1 - y] += part != 3
+            n[3 - y] += 1
+    frame = spark.createDataFrame(rows, "y int, part int, words array<string>")
+    assert {r.mark: [r.fit_toxic, r.fit_clean, r.toxic, r.clean] for r in toxicity.mark_counts(frame).collect()} == want
+
+
 def test_comparing_near_copies_takes_little_memory():
     rng = np.random.default_rng(13)
     base = np.sort(rng.integers(0, 2**63, 400, dtype=np.uint64))
