@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockwise.llm.common import by_value, fixed, kept_by_worker, text_chunks
-from blockwise.llm.token_counts import LETTER, UNSURE
+from blockwise.llm.token_counts import LETTER, UNSURE, byte_of_char
 
 by_value(__name__)
 
@@ -54,26 +54,23 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        vocab = self.library.get_vocab()
-        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends_word[[k for t, k in vocab.items() if t.endswith("</w>")]] = True
+        #: Bytes, as Latin-1 characters, in the vocabulary's alphabet; the line feed, which is in no word, stays.
+        self.shown = {b: c for c, b in byte_of_char().items() if b != ord("\n")}
         self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or "(?!)")
         #: Ids of words; a full young store becomes the old one, from which words come back when they are met again.
         self.store: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
-        """Look up several words at once: with blanks between them, every word ends with an id that ends a word."""
-        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
-        ends = np.flatnonzero(self.ends_word[ids]) + 1
-        if len(ends) == len(words):
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(words, (4 * ends).tolist(), strict=True):
-                self.store[w] = raw[at:end]
-                at = end
-        else:
-            for w in words:
-                self.store[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        """Ids of several words, which need no normalising or splitting any more: the vocabulary's merges are all that is left."""
+        ids, ends, merge = [], [], self.library.model.tokenize
+        for w in "\n".join(words).encode().decode("latin-1").translate(self.shown).split("\n"):
+            ids += [t.id for t in merge(w)]
+            ends.append(4 * len(ids))
+        raw, at = np.array(ids, dtype="<u4").tobytes(), 0
+        for w, end in zip(words, ends, strict=True):
+            self.store[w] = raw[at:end]
+            at = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
         odd = [bool(UNSURE.search(t) or self.special.search(t)) for t in texts]
@@ -85,8 +82,8 @@ class WordEncoder:
         back = new & self.old.keys()
         self.store.update((w, self.old[w]) for w in back)
         new_words = list(new - back)
-        for at in range(0, len(new_words), 200):
-            self.learn(new_words[at : at + 200])
+        for at in range(0, len(new_words), 10_000):
+            self.learn(new_words[at : at + 10_000])
         out = [b"".join(map(self.store.__getitem__, w)) for w in words]
         for i, o in enumerate(odd):
             if o:

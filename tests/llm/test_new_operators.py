@@ -4,14 +4,17 @@ import random
 import tracemalloc
 
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
-from blockwise.llm import hyperminhash, linking, ngram_join, pii, prefix_trie, queries, token_counts, toxicity, whitening
+from blockwise.llm import hyperminhash, linking, ngram_join, packing, pii, prefix_trie, queries, token_counts, toxicity, whitening
 from blockwise.llm.common import Generations, frequent_keys
 from blockwise.llm.shingles import shingle_hashes
 from tests.llm import brute
 
 SF01 = "/root/testdata/sf0.01"
+WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
 
 # ------------------------------------------------------------ 11 prefix trie
 
@@ -192,7 +195,8 @@ def test_exact_deviations_beyond_a_long():
 
 
 def test_white_space_before_special_strings_counts_as_the_library():
-    
+    import public_tokenizers
+
     counter = token_counts.PrefixCounter(public_tokenizers.path("byte_bpe_50k.json"))
     for text in ("\n\n\x1c<|endoftext|>", "a \x1c<|endoftext|> \x1f b", "  \x1d x <|endoftext|> \x1e", "<|endoftext|>\x85 \x1c", "\x1c \x1d<|endoftext|>"):
         assert counter.prefix_counts(text)[-1] == len(counter.library.encode(text, add_special_tokens=False).ids)
@@ -261,6 +265,22 @@ def test_a_worker_lets_the_store_before_go(monkeypatch):
     let_go()
 
 
+def test_words_are_learnt_by_merges_alone():
+    """Plain words need no library pass: their ids are those that the whole library gives."""
+    library = Tokenizer.from_file(WORD_FILE)
+    rng = np.random.default_rng(11)
+    letters = list("etaoinshrdlu' ,.!?0123456789\n\tABCÄÖüßéñçœŒªµ¡¿%&/#\"<>|")
+    sample = ["".join(rng.choice(letters, 200)) for _ in range(50)] + ["", " \n", "x" * 300]
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in sample]
+    encoder = packing.WordEncoder(WORD_FILE)
+
+    class MergesOnly:
+        model = encoder.library.model
+
+    encoder.library = MergesOnly()
+    assert encoder.encode(sample) == want
+
+
 def test_plain_tokens_have_a_store_of_their_own(monkeypatch):
     monkeypatch.setattr(toxicity, "PLAIN_STORE", 3)
     model = np.log(np.full((32**3, 32), 1 / 32)).astype(np.float32)
