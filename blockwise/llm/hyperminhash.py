@@ -174,8 +174,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs, may = hubs_of(banded, degrees(banded)), partial(likely, percent=percent)
     near = fixed(starred(banded, hubs, classes, may, "uint16"), "pairs")
     links = verified(near, sets_of(nodes_of(near), classes, docs), percent, piece)
-    more = crossing(banded, hubs, lambda nodes: sets_of(nodes, classes, docs), components(links), percent, cell)
-    roots = classes.join(components(links.union(more)), "node", "left").select("set_hash", "doc_id", F.coalesce("root", "node").alias("root"))
+    linked = components(links)
+    linked = components(crossing(banded, hubs, lambda nodes: sets_of(nodes, classes, docs), linked, percent, cell), linked)
+    roots = classes.join(linked, "node", "left").select("set_hash", "doc_id", F.coalesce("root", "node").alias("root"))
     smallest = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     component = fixed(skew_left_join(fixed(roots, "hmh-roots"), smallest, "root").select("set_hash", "component_id"), "hmh-components")
     out = skew_left_join(drawn.select("doc_id", "shingles", "set_hash"), component, "set_hash")

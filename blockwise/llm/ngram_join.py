@@ -196,14 +196,12 @@ def _linked_rows(docs: DataFrame, percent: int, trees: int, depth: int, recall:
     meeting = trie.select(F.col(f"k{shortest}").alias("key"), "node")
     degree = degrees(meeting)
     sets = sets_of(degree.select("node"), classes, docs)
-    links = roots = None
+    roots = None
     for length in range(depth, shortest - 1, -1):
         under = trie.select(F.col(f"k{length}").alias("key"), "node")
         hubs = hubs_of(under, degree)
-        new = verified(fixed(starred(under, hubs, classes, may, "uint32", roots), "pairs"), sets, percent)
-        links = new if links is None else links.union(new)
-        roots = components(links)
-    roots = fixed(components(links.union(crossing(under, hubs, lambda nodes: sets, roots, percent, cell))), "class-roots")
+        roots = components(verified(fixed(starred(under, hubs, classes, may, "uint32", roots), "pairs"), sets, percent), roots)
+    roots = components(crossing(under, hubs, lambda nodes: sets, roots, percent, cell), roots)
 
     cells = _cells(roots, cell).join(classes.select("node", "copies"), "node")
     filled = fixed(cells, "cells").join(sets, "node")
